@@ -116,13 +116,18 @@ def format_general(v: Column) -> Column:
 
     ``%e`` gives the rounded six-digit mantissa and the exponent; casting that
     text to a decimal yields the plain form without going back through binary.
+    A value whose shortest decimal form has exactly seven digits ending in five
+    is rounded up, whatever its binary value; label quantities are shorter.
     """
-    sci = F.format_string("%.5e", v)
-    exponent = F.regexp_extract(sci, "e([+-]\\d+)$", 1).cast("int")
-    mantissa = F.regexp_replace(F.regexp_extract(sci, "^(-?[\\d.]+)e", 1), "\\.?0+$", "")
-    plain = F.regexp_replace(sci.cast("decimal(24,10)").cast("string"), "\\.?0+$", "")
-    scientific = F.concat(mantissa, F.regexp_extract(sci, "(e[+-]\\d+)$", 1))
-    return F.when(v == 0, F.lit("0")).when(exponent.between(-4, 5), plain).otherwise(scientific)
+
+    def text(sci: Column) -> Column:
+        exponent = F.regexp_extract(sci, "e([+-]\\d+)$", 1).try_cast("int")
+        mantissa = F.regexp_replace(F.regexp_extract(sci, "^(-?[\\d.]+)e", 1), "\\.?0+$", "")
+        plain = F.regexp_replace(sci.try_cast("decimal(24,10)").cast("string"), "\\.?0+$", "")
+        scientific = F.concat(mantissa, F.regexp_extract(sci, "(e[+-]\\d+)$", 1))
+        return F.when(exponent.between(-4, 5), plain).otherwise(scientific)
+
+    return F.when(v == 0, F.lit("0")).when(v.isNotNull(), bind(F.format_string("%.5e", v), text))
 
 
 def words(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("q_scan",)
+FAMILIES = ("q_scan", "q_text")
 
 
 def all_queries() -> dict:

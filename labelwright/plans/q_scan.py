@@ -23,11 +23,11 @@ NOW = "(SELECT max(o_orderdate) + INTERVAL 1 DAY FROM orders)"
 
 
 def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.frame(spark, sf_dir, C.ORDER_LABELS)
+    return C.spread(C.frame(spark, sf_dir, C.ORDER_LABELS))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "text")
+    return C.spread(C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "text"))
 
 
 def order_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
