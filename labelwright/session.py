@@ -21,6 +21,8 @@ def local_session(cores: int = 8, app: str = "labelwright", memory: str = "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # wide plans are built from thousands of column calls; skip recording a call site for each
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
