@@ -263,7 +263,7 @@ _HTML = f"""concat(
       2: "'<img src=\"https://cdn1.jiomartjcp.com/images/product/t.resize(w:330)/back-' || CAST(k AS STRING) || '.jpg\"><img src=\"https://cdn1.jiomartjcp.com/theme/assets/logo.png\">'",
       3: "'<script>{\"brandName\":\"MynBrand\",\"mrp\":\"' || CAST(p_size * 10 AS STRING) || '\",\"brandSize\":\"' || CAST(p_size AS STRING) || ' g\",\"countryOfOrigin\":\"India\",\"seller\":\"MynSeller\",\"productDetails\":[{\"title\":\"Manufacturer Details\",\"content\":\"Myn Foods Ltd\"},{\"title\":\"Ingredient List\",\"content\":\"Oats, Salt\"},{\"title\":\"Packer\",\"content\":\"N/A\"}],\"styleId\":1}</script><img src=\"https://assets.myntassets.com/assets/images/2024/JUNE/7/abc' || CAST(k AS STRING) || '_1.jpg\"><img src=\"https://assets.myntassets.com/assets/images/retaillabs/x.png\">'",
       4: "'<script id=\"__NEXT_DATA__\" type=\"application/json\">{\"props\":{\"pageProps\":{\"product\":{\"name\":\"Mee ' || p_name || '\",\"brand\":\"MeeBrand\",\"mrp\":' || CAST(p_size AS STRING) || ',\"description\":\"Mee text\"}}}}</script><img src=\"https://media.meesho.com/images/products/' || CAST(k AS STRING) || '/256/256/a.jpg\">'",
-      5: "'<script id=\"__NEXT_DATA__\" type=\"application/json\">{\"props\":{\"pageProps\":{\"product\":{\"name\":\"Gen ' || p_name || '\",\"mrp\":\"' || CAST(p_size AS STRING) || '\",\"brand\":\"GenBrand\"}}}}</script><img srcset=\"https://cdn.example.com/a-300.jpg 300w, https://cdn.example.com/a-900.jpg 900w\" src=\"/img/side-label-' || CAST(k AS STRING) || '.jpg\" alt=\"side label\">'",
+      5: "'<script id=\"__NEXT_DATA__\" type=\"application/json\">{\"props\":{\"pageProps\":{\"product\":{\"name\":\"Gen ' || p_name || '\",\"mrp\":\"' || CAST(p_size AS STRING) || '\",\"brand\":\"GenBrand\",\"imageUrl\":\"https://www.bigbasket.com/media/uploads/p/back-' || CAST(k AS STRING) || '.jpg\"}}}}</script><img srcset=\"https://cdn.example.com/a-300.jpg 300w, https://cdn.example.com/a-900.jpg 900w\" src=\"/img/side-label-' || CAST(k AS STRING) || '.jpg\" alt=\"side label\">'",
       6: "'<img data-src=\"//cdn.example.com/lifestyle/happy-' || CAST(k AS STRING) || '.png\" src=\"https://cdn.example.com/p/ingredients-' || CAST(k AS STRING) || '.webp\" alt=\"ingredients list\"><img src=\"https://cdn.example.com/icons/star.png\">'",
       7: "''"})},
   '</main><footer>&copy; Shop 2025 &lt;ok&gt;</footer></body></html>')"""
@@ -281,7 +281,7 @@ _IMG_KIND = _case("i", 12, {
 
 # image candidates, one row per line item of the product
 IMAGE_CANDIDATES = f"""
-SELECT CAST(l_partkey AS STRING) AS product_id, i AS ord,
+SELECT CAST(l_partkey AS STRING) AS product_id, l_suppkey AS ord,
   CASE i % 5
     WHEN 0 THEN 'https://m.media-amazon.com/images/I/61' || CAST(100000 + l_suppkey AS STRING) || 'Ab._SL' || CAST(400 + 100 * (i % 12) AS STRING) || '_.jpg'
     WHEN 1 THEN 'https://cdn.example.com/p/' || {_IMG_KIND} || '/item.0' || CAST(i % 9 AS STRING) || '.jpg?v=' || CAST(i % 3 AS STRING)
