@@ -485,9 +485,7 @@ def _record_columns() -> list[list[Column]]:
         ],
         F.col("_rows"),
     )
-    sane = F.when((F.col("_f_mrp") != "") & F.col("_corpus").contains("₹" + ""), F.col("_f_mrp"))
     s5 = [
-        F.initcap("_adapter").alias("_source_name"),
         *[
             blank_to_null(
                 F.when(adapter == "amazon", F.coalesce(phone, F.col("_f_consumer_care_phone"))).otherwise(
@@ -503,7 +501,6 @@ def _record_columns() -> list[list[Column]]:
         F.when(adapter == "generic", F.array_join(compliance_paragraphs(html), "\n")).alias("compliance_text"),
         F.col("_text").alias("page_text"),
     ]
-    _ = sane
     return [s0, s1, s2, s3, s4, s5]
 
 
@@ -517,17 +514,19 @@ def _routed_to(field: str):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Product record of every page: platform, source, the record fields, ``page_rows`` map,
 
-    ``feature_bullets``, ``compliance_text`` and ``page_text``.  Input needs ``page_id, url, html``.
+    ``feature_bullets``, ``compliance_text`` and ``page_text``.  Input needs ``page_id, url, html``;
+    further columns are carried along.
     """
     steps = _record_columns()
-    out = pages.select("page_id", "url", "html", U.detect_platform(F.col("url")).alias("platform"))
+    carry = [c for c in pages.columns if c not in ("page_id", "url", "html")]
+    out = pages.select("*", U.detect_platform(F.col("url")).alias("platform"))
     for step in steps[:-1]:
         out = out.select(*step)
     source = {"amazon": "Amazon", "flipkart": "Flipkart", "jiomart": "JioMart", "myntra": "Myntra", "meesho": "Meesho"}
     label = F.coalesce(*[F.when(F.col("_adapter") == a, F.lit(n)) for a, n in source.items()], F.lit("Generic"))
     return out.select(
         "page_id", "url", F.col("platform.platform").alias("platform"), F.col("platform.display_name").alias("display_name"),
-        label.alias("source"), *steps[-1][1:],
+        label.alias("source"), *steps[-1], *carry,
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("q_scan", "q_text", "q_pages", "q_images", "q_ocr")
+FAMILIES = ("q_scan", "q_text", "q_pages", "q_images", "q_ocr", "q_fusion")
 
 
 def all_queries() -> dict:

@@ -9,6 +9,7 @@ checking database both understand; ``{name}`` marks a base table.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,17 +320,20 @@ FROM {part} p"""
 
 def _named(text: str, name) -> str:
     for t in TABLES:
-        text = text.replace("{" + t + "}", name(t))
+        if "{" + t + "}" in text:
+            text = text.replace("{" + t + "}", name(t))
     return text
 
 
-def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Evaluate one corpus text in Spark."""
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:8]
+def frame(spark: SparkSession, sf_dir: str, text: str, **given: DataFrame) -> DataFrame:
+    """Evaluate one corpus text in Spark; ``given`` replaces base tables, for instance by a stream."""
+    names = {}
     for t in TABLES:
         if "{" + t + "}" in text:
-            table(spark, sf_dir, t).createOrReplaceTempView(f"corpus_{t}_{tag}")
-    return spark.sql(_named(text, lambda t: f"corpus_{t}_{tag}"))
+            tag = uuid.uuid4().hex if t in given else hashlib.sha1(sf_dir.encode()).hexdigest()[:8]
+            names[t] = f"corpus_{t}_{tag}"
+            (given[t] if t in given else table(spark, sf_dir, t)).createOrReplaceTempView(names[t])
+    return spark.sql(_named(text, names.get))
 
 
 def spread(df: DataFrame) -> DataFrame:
