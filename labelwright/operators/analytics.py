@@ -66,7 +66,7 @@ def trends(scans: DataFrame, now: Column, days: int = 30, fill_gaps: bool = Fals
     )
     if fill_gaps:
         span = daily.sparkSession.range(1).select(
-            F.explode(F.sequence(since.cast("date"), now.cast("date"))).cast("string").alias("date")
+            F.explode(F.transform(F.sequence(since.cast("date"), now.cast("date")), lambda d: d.cast("string"))).alias("date")
         )
         daily = span.join(daily, "date", "left").select(
             "date", F.coalesce("scans", F.lit(0)).alias("scans"), F.coalesce("avg_score", F.lit(0.0)).alias("avg_score")
