@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import (
+    bind,
     blank_to_null,
     format_general,
     lookup,
@@ -65,52 +66,57 @@ def _number(text: Column) -> Column:
 
 def label_price(raw: Column) -> Column:
     """``Rs. 85.00`` form of a detected price; text that is no number comes back trimmed."""
+
+    def build(amount: Column) -> Column:
+        shown = F.when(amount.isNotNull(), F.concat(F.lit("Rs. "), F.format_string("%.2f", amount)))
+        return F.coalesce(shown, strip(raw))
+
     amount = F.regexp_replace(raw, rx(r"[^\d.]", ""), "").try_cast("double")
-    return F.when(raw == "", None).otherwise(
-        F.coalesce(F.when(amount.isNotNull(), F.concat(F.lit("Rs. "), F.format_string("%.2f", amount))), strip(raw))
-    )
+    return F.when(raw != "", bind(amount, build))
 
 
 def label_quantity(raw: Column) -> Column:
     """``200 g`` form of a detected quantity; text without number and unit comes back trimmed."""
-    s = strip(raw)
     pattern = rx(r"^([\d,]+(?:\.\d+)?)\s*([a-zA-Z]+)")
-    unit = F.lower(F.regexp_extract(s, pattern, 2))
-    value = _number(F.regexp_extract(s, pattern, 1))
-    text = F.concat(format_general(value), F.lit(" "), lookup(unit, UNIT_ALIASES, unit))
-    return F.when(raw == "", None).otherwise(F.coalesce(F.when(unit != "", text), s))
+
+    def build(p: Column) -> Column:
+        text = F.concat(format_general(p["value"]), F.lit(" "), lookup(p["unit"], UNIT_ALIASES, p["unit"]))
+        return F.coalesce(F.when(p["unit"] != "", text), p["text"])
+
+    def parse(s: Column) -> Column:
+        return F.struct(
+            _number(F.regexp_extract(s, pattern, 1)).alias("value"),
+            F.lower(F.regexp_extract(s, pattern, 2)).alias("unit"),
+            s.alias("text"),
+        )
+
+    return F.when(raw != "", bind(bind(strip(raw), parse), build))
 
 
 def label_date(raw: Column) -> Column:
     """``MM/YYYY`` from a named month, M/YYYY, YYYY/MM or DD.MM.YYYY, tried in that order."""
-    s = strip(raw)
     named = rx(r"([A-Za-z]{3,9})\.?\s*(\d{4})", "")
-    month = lookup(F.lower(F.substring(F.regexp_extract(s, named, 1), 1, 3)), MONTHS)
     month_year = rx(r"(\d{1,2})[/\-](\d{4})", "")
     year_month = rx(r"(\d{4})[/\-](\d{2})", "")
     full = rx(r"(\d{2})[/\-.](\d{2})[/\-.](\d{4})", "")
-    return F.when(raw == "", None).otherwise(
-        F.coalesce(
-            F.concat(month, F.lit("/"), F.regexp_extract(s, named, 2)),
-            F.when(
-                s.rlike(month_year),
-                F.concat(
-                    F.lpad(F.regexp_extract(s, month_year, 1), 2, "0"),
-                    F.lit("/"),
-                    F.regexp_extract(s, month_year, 2),
-                ),
-            ),
+
+    def build(s: Column) -> Column:
+        word = F.lower(F.substring(F.regexp_extract(s, named, 1), 1, 3))
+        month = bind(word, lambda w: lookup(w, MONTHS))
+        two = F.lpad(F.regexp_extract(s, month_year, 1), 2, "0")
+        slash = F.lit("/")
+        return F.coalesce(
+            F.concat(month, slash, F.regexp_extract(s, named, 2)),
+            F.when(s.rlike(month_year), F.concat(two, slash, F.regexp_extract(s, month_year, 2))),
             F.when(
                 s.rlike(year_month),
-                F.concat(F.regexp_extract(s, year_month, 2), F.lit("/"), F.regexp_extract(s, year_month, 1)),
-            ),
-            F.when(
-                s.rlike(full),
-                F.concat(F.regexp_extract(s, full, 2), F.lit("/"), F.regexp_extract(s, full, 3)),
+                F.concat(F.regexp_extract(s, year_month, 2), slash, F.regexp_extract(s, year_month, 1)),
             ),
+            F.when(s.rlike(full), F.concat(F.regexp_extract(s, full, 2), slash, F.regexp_extract(s, full, 3))),
             s,
         )
-    )
+
+    return F.when(raw != "", bind(strip(raw), build))
 
 
 def label_value(field_id: str, raw: Column) -> Column:
@@ -126,25 +132,40 @@ def label_value(field_id: str, raw: Column) -> Column:
 
 def canonical_quantity(raw: Column) -> Column:
     """Struct ``raw, value, unit, canonical_value, canonical_unit, display, found``."""
-    value = _number(F.regexp_extract(raw, rx(QUANTITY), 1))
-    unit = F.when(value.isNotNull(), F.lower(F.regexp_extract(raw, rx(QUANTITY), 2)))
-    factor = lookup(unit, {k: m for k, (_, m) in CANONICAL_UNITS.items()}, F.when(unit.isNotNull(), F.lit(1.0)))
-    canonical_unit = lookup(unit, {k: u for k, (u, _) in CANONICAL_UNITS.items()}, unit)
-    canonical_value = value * factor
-    shown = F.concat(format_general(value), F.lit(" "), unit)
-    display = F.when(
-        factor != 1.0,
-        F.concat(shown, F.lit(" ("), format_general(canonical_value), F.lit(" "), canonical_unit, F.lit(")")),
-    ).otherwise(shown)
-    return F.struct(
-        raw.alias("raw"),
-        value.alias("value"),
-        unit.alias("unit"),
-        canonical_value.alias("canonical_value"),
-        canonical_unit.alias("canonical_unit"),
-        F.coalesce(display, blank_to_null(raw), F.lit("Not Found")).alias("display"),
-        value.isNotNull().alias("found"),
+    factors = {k: m for k, (_, m) in CANONICAL_UNITS.items()}
+    units = {k: u for k, (u, _) in CANONICAL_UNITS.items()}
+
+    def convert(p: Column) -> Column:
+        return F.struct(
+            p["value"].alias("value"),
+            p["unit"].alias("unit"),
+            F.when(p["value"].isNotNull(), lookup(p["unit"], factors, F.lit(1.0))).alias("factor"),
+            lookup(p["unit"], units, p["unit"]).alias("canonical_unit"),
+        )
+
+    def build(p: Column) -> Column:
+        total = p["value"] * p["factor"]
+        shown = F.concat(format_general(p["value"]), F.lit(" "), p["unit"])
+        both = F.concat(shown, F.lit(" ("), format_general(total), F.lit(" "), p["canonical_unit"], F.lit(")"))
+        return F.struct(
+            raw.alias("raw"),
+            p["value"].alias("value"),
+            F.when(p["value"].isNotNull(), p["unit"]).alias("unit"),
+            total.alias("canonical_value"),
+            F.when(p["value"].isNotNull(), p["canonical_unit"]).alias("canonical_unit"),
+            F.coalesce(
+                F.when(p["value"].isNotNull(), F.when(p["factor"] != 1.0, both).otherwise(shown)),
+                blank_to_null(raw),
+                F.lit("Not Found"),
+            ).alias("display"),
+            p["value"].isNotNull().alias("found"),
+        )
+
+    parsed = F.struct(
+        _number(F.regexp_extract(raw, rx(QUANTITY), 1)).alias("value"),
+        F.lower(F.regexp_extract(raw, rx(QUANTITY), 2)).alias("unit"),
     )
+    return bind(bind(parsed, convert), build)
 
 
 def canonical_price(raw: Column) -> Column:
@@ -153,17 +174,20 @@ def canonical_price(raw: Column) -> Column:
     number = F.when(raw.rlike(tagged), F.regexp_extract(raw, tagged, 1)).otherwise(
         F.regexp_extract(raw, rx(BARE_PRICE, ""), 1)
     )
-    value = _number(number)
-    return F.struct(
-        raw.alias("raw"),
-        value.alias("value"),
-        F.coalesce(
-            F.when(value.isNotNull(), F.concat(F.lit("₹"), F.format_string("%.2f", value))),
-            blank_to_null(raw),
-            F.lit("Not Found"),
-        ).alias("display"),
-        value.isNotNull().alias("found"),
-    )
+
+    def build(value: Column) -> Column:
+        return F.struct(
+            raw.alias("raw"),
+            value.alias("value"),
+            F.coalesce(
+                F.when(value.isNotNull(), F.concat(F.lit("₹"), F.format_string("%.2f", value))),
+                blank_to_null(raw),
+                F.lit("Not Found"),
+            ).alias("display"),
+            value.isNotNull().alias("found"),
+        )
+
+    return bind(_number(number), build)
 
 
 def compare_quantities(website: Column, package: Column, compat: bool = False) -> Column:
@@ -208,7 +232,7 @@ def clean_licence(raw: Column) -> Column:
     digits = F.translate(kept, "OIl", "011")
     digits = replace_all(digits, r"(?<=\d)S(?=\d)", "5", "")
     digits = replace_all(digits, r"[\s\-]", "", "")
-    return F.when((F.length(digits) == 14) & digits.rlike("^[1-9]"), digits)
+    return bind(digits, lambda d: F.when((F.length(d) == 14) & d.rlike("^[1-9]"), d))
 
 
 def collapse_newlines(c: Column) -> Column:

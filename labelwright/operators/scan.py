@@ -149,8 +149,9 @@ def _scan_columns(rules: RuleSet, text: str) -> list[list[Column]]:
         )
         if f.id == "F01":
             address = F.lit(False)
-            for p in f.address_patterns:
-                address = address | matches(t, p, "im")
+            for guard, p in f.guarded_addresses():
+                hit = matches(t, p, "im")
+                address = address | (hit if guard is None else matches(t, guard, "im") & hit)
             present = F.when(address, "PASS").otherwise("REVIEW")
         else:
             present = F.lit("PASS")

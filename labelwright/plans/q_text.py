@@ -22,7 +22,7 @@ ADDR = C.sql(C.ADDRESSES)
 
 
 def raw(spark, sf_dir):
-    return C.frame(spark, sf_dir, C.RAW_VALUES)
+    return C.spread(C.frame(spark, sf_dir, C.RAW_VALUES))
 
 
 def any_text(spark, sf_dir):
@@ -30,7 +30,7 @@ def any_text(spark, sf_dir):
 
 
 def addresses(spark, sf_dir):
-    return C.frame(spark, sf_dir, C.ADDRESSES)
+    return C.spread(C.frame(spark, sf_dir, C.ADDRESSES))
 
 
 @R.add(

@@ -22,6 +22,13 @@ DEFAULT_RULES = {
                 r"(?:[A-Za-z][^\n]{5,60}[-,\s]+(?:Maharashtra|Delhi|Gujarat|Karnataka|Tamil Nadu|Rajasthan|UP|MP|Punjab|Haryana|Telangana|West Bengal|Bihar|Odisha|Assam)[^\n]{0,50}\s*[-–]?\s*\d{6})",
                 r"(?:K-\d|Plot|Shed|Building|\d+)[,\s]+[A-Za-z][^\n]{10,120}\d{6}",
             ],
+            # cheap necessary conditions of the address patterns, in the same order
+            "address_guards": [
+                None,
+                None,
+                r"[-,\s](?:Maharashtra|Delhi|Gujarat|Karnataka|Tamil Nadu|Rajasthan|UP|MP|Punjab|Haryana|Telangana|West Bengal|Bihar|Odisha|Assam)[^\n]{0,50}\s*[-–]?\s*\d{6}",
+                r"\d{6}",
+            ],
             "description": "Full name and complete address of manufacturer or importer.",
         },
         {

@@ -27,8 +27,14 @@ class RuleField:
     severity: str
     patterns: tuple[str, ...]
     address_patterns: tuple[str, ...] = ()
+    address_guards: tuple[str | None, ...] = ()
     description: str = ""
 
+    def guarded_addresses(self) -> list[tuple[str | None, str]]:
+        """(guard, pattern) pairs; a guard is a cheaper pattern that must also match."""
+        guards = self.address_guards or (None,) * len(self.address_patterns)
+        return list(zip(guards, self.address_patterns))
+
     def value_group(self, i: int) -> int:
         """1 if pattern ``i`` (0-based) has a capture group, else the whole match."""
         return 1 if re.compile(self.patterns[i]).groups else 0
@@ -42,6 +48,11 @@ class RuleSet:
     @classmethod
     def from_document(cls, doc: dict) -> RuleSet:
         """Build from the JSON layout; patterns that do not compile are left out."""
+        def kept(f: dict) -> list[tuple[str, str | None]]:
+            patterns = f.get("address_patterns", ())
+            guards = f.get("address_guards") or [None] * len(patterns)
+            return [(p, g) for p, g in zip(patterns, guards) if _valid(p)]
+
         return cls(
             doc["rule_version"],
             tuple(
@@ -51,7 +62,8 @@ class RuleSet:
                     legal_ref=f["legal_ref"],
                     severity=f["severity"],
                     patterns=tuple(p for p in f.get("patterns", ()) if _valid(p)),
-                    address_patterns=tuple(p for p in f.get("address_patterns", ()) if _valid(p)),
+                    address_patterns=tuple(p for p, _ in kept(f)),
+                    address_guards=tuple(g for _, g in kept(f)),
                     description=f.get("description", ""),
                 )
                 for f in doc["fields"]
