@@ -18,19 +18,13 @@ CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 WARM_DIR = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
 HEADLINE = [
     "cmp_08_scan_labels",
-    "cmp_01_04_field_results",
     "agg_01_summary",
-    "agg_03_platforms",
     "agg_04_trends",
-    "srt_01_violation_page",
     "nrm_05_canonical_quantity",
     "geo_02_detect_country",
     "ent_00_attributes",
     "pge_04_table_rows",
-    "pge_11_amazon_record",
-    "img_08_url_score",
     "img_15_srt_04_total_score",
-    "img_11_13_select",
     "ocr_03_scan_passes",
     "fnt_03_verdicts",
     "jn_06_compare_records",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, capture, matches, replace_all, rx, strip
+from .text import bind, blank_to_null, capture, matches, replace_all, rx, strip
 
 # States, union territories and cities that place an address in India.
 INDIA_PLACES = (
@@ -170,11 +170,6 @@ def detect_country(text: Column) -> Column:
     return F.struct(country.alias("country"), confidence.alias("confidence"), signals.alias("signals"))
 
 
-def address_parts(raw: Column) -> Column:
-    """Trimmed non-empty pieces of an address between commas and line ends, role prefix removed."""
-    return F.filter(F.transform(F.split(address_text(raw), "[,\n]+"), strip), lambda p: p != "")
-
-
 def address_text(raw: Column) -> Column:
     return strip(replace_all(F.regexp_replace(strip(raw), "\\.+$", ""), ROLE_PREFIX, ""))
 
@@ -184,60 +179,72 @@ def parse_address(raw: Column) -> Column:
 
     Absent parts are NULL.
     """
-    text = address_text(raw)
-    parts = address_parts(raw)
-    by_suffix = F.array_position(
-        F.transform(parts, lambda p: p.rlike(rx(COMPANY_SUFFIX)) & (F.length(p) > 5)), True
-    )
-    first = F.get(parts, F.lit(0))
-    # 1-based position of the company piece, 0 if there is none
-    company_at = F.when(by_suffix > 0, by_suffix).when(
-        first.rlike("^[A-Z]") & (F.length(first) > 4), F.lit(1)
-    ).otherwise(F.lit(0))
-    company = F.get(parts, (company_at - 1).cast("int"))
-    pincode = capture(text, ADDRESS_PIN, flags="")
-    state = capture(text, address_state_pattern())
-    country = F.coalesce(
-        capture(text, ADDRESS_COUNTRY), F.when(state.isNotNull() | pincode.isNotNull(), F.lit("India"))
-    )
-    rest = F.filter(
-        F.transform(parts, lambda p, i: F.when(i + 1 != company_at, p)), lambda p: p.isNotNull()
-    )
-    pin_part = F.get(
-        F.filter(
-            rest,
-            lambda p: ~F.coalesce(F.lower(p).contains(F.lower(state)), F.lit(False))
-            & ~F.coalesce(F.lower(p).contains(F.lower(country)), F.lit(False))
-            & F.coalesce(p.contains(pincode), F.lit(False)),
+
+    def locate(p: Column) -> Column:
+        by_suffix = F.array_position(
+            F.transform(p["parts"], lambda x: x.rlike(rx(COMPANY_SUFFIX)) & (F.length(x) > 5)), True
+        )
+        first = F.get(p["parts"], F.lit(0))
+        leading = first.rlike("^[A-Z]") & (F.length(first) > 4)
+        return F.struct(
+            p["parts"].alias("parts"),
+            # 1-based position of the company piece, 0 if there is none
+            bind(by_suffix, lambda n: F.when(n > 0, n).when(leading, F.lit(1)).otherwise(F.lit(0))).alias("company_at"),
+            capture(p["text"], ADDRESS_PIN, flags="").alias("pincode"),
+            capture(p["text"], address_state_pattern()).alias("state"),
+            capture(p["text"], ADDRESS_COUNTRY).alias("named"),
+        )
+
+    def settle(p: Column) -> Column:
+        return F.struct(
+            F.get(p["parts"], (p["company_at"] - 1).cast("int")).alias("company"),
+            p["pincode"].alias("pincode"),
+            p["state"].alias("state"),
+            F.coalesce(p["named"], F.when(p["state"].isNotNull() | p["pincode"].isNotNull(), F.lit("India"))).alias("country"),
+            F.filter(
+                F.transform(p["parts"], lambda x, i: F.when(i + 1 != p["company_at"], x)), lambda x: x.isNotNull()
+            ).alias("rest"),
+        )
+
+    def place(p: Column) -> Column:
+        holds = lambda x, c: F.coalesce(F.lower(x).contains(F.lower(c)), F.lit(False))
+        same = lambda x, c: F.coalesce(F.lower(x) == F.lower(c), F.lit(False))
+        pin_part = F.get(
+            F.filter(
+                p["rest"],
+                lambda x: ~holds(x, p["state"]) & ~holds(x, p["country"]) & F.coalesce(x.contains(p["pincode"]), F.lit(False)),
+            ),
+            F.lit(0),
+        )
+        city = F.btrim(replace_all(pin_part, ADDRESS_PIN, "", ""), F.lit(" -"))
+        return F.struct(
+            *[p[c].alias(c) for c in ("company", "pincode", "state", "country")],
+            bind(city, lambda c: F.when(F.length(c) > 2, c)).alias("city"),
+            F.filter(p["rest"], lambda x: ~same(x, p["state"]) & ~same(x, p["country"])).alias("lines"),
+        )
+
+    def build(p: Column) -> Column:
+        score = F.lit(0)
+        for part, points in (("company", 25), ("pincode", 30), ("state", 25), ("country", 10), ("city", 10)):
+            score = score + F.when(p[part].isNotNull(), points).otherwise(0)
+        present = raw != ""
+        return F.struct(
+            F.when(present, p["company"]).alias("company"),
+            F.when(present, F.get(p["lines"], F.lit(0))).alias("address_line1"),
+            F.when(present, blank_to_null(F.array_join(F.slice(p["lines"], 2, 2), ", "))).alias("address_line2"),
+            *[F.when(present, p[c]).alias(c) for c in ("city", "state", "pincode", "country")],
+            F.when(present, strip(raw)).alias("full_address"),
+            F.when(present, score).otherwise(0).alias("confidence"),
+        )
+
+    pieces = bind(
+        address_text(raw),
+        lambda t: F.struct(
+            t.alias("text"),
+            F.filter(F.transform(F.split(t, "[,\n]+"), strip), lambda x: x != "").alias("parts"),
         ),
-        F.lit(0),
-    )
-    city_text = F.btrim(replace_all(pin_part, ADDRESS_PIN, "", ""), F.lit(" -"))
-    city = F.when(F.length(city_text) > 2, city_text)
-    lines = F.filter(
-        rest,
-        lambda p: ~F.coalesce(F.lower(p) == F.lower(state), F.lit(False))
-        & ~F.coalesce(F.lower(p) == F.lower(country), F.lit(False)),
-    )
-    score = (
-        F.when(company.isNotNull(), 25).otherwise(0)
-        + F.when(pincode.isNotNull(), 30).otherwise(0)
-        + F.when(state.isNotNull(), 25).otherwise(0)
-        + F.when(country.isNotNull(), 10).otherwise(0)
-        + F.when(city.isNotNull(), 10).otherwise(0)
-    )
-    present = raw != ""
-    return F.struct(
-        F.when(present, company).alias("company"),
-        F.when(present, F.get(lines, F.lit(0))).alias("address_line1"),
-        F.when(present, blank_to_null(F.array_join(F.slice(lines, 2, 2), ", "))).alias("address_line2"),
-        F.when(present, city).alias("city"),
-        F.when(present, state).alias("state"),
-        F.when(present, pincode).alias("pincode"),
-        F.when(present, country).alias("country"),
-        F.when(present, strip(raw)).alias("full_address"),
-        F.when(present, score).otherwise(0).alias("confidence"),
     )
+    return bind(bind(bind(bind(pieces, locate), settle), place), build)
 
 
 def classify_origin(manufacturer: Column, importer: Column, declared: Column) -> Column:

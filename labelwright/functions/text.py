@@ -47,7 +47,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def strip_to_null(c: Column) -> Column:
-    return blank_to_null(strip(c))
+    return bind(strip(c), blank_to_null)
 
 
 def first_nonblank(*cols: Column) -> Column:
@@ -61,7 +61,7 @@ def matches(c: Column, pattern: str, flags: str = "i") -> Column:
 
 def capture(c: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
     """Group of the first match; NULL where the pattern does not match (or the group is empty)."""
-    return blank_to_null(F.regexp_extract(c, rx(pattern, flags), group))
+    return bind(F.regexp_extract(c, rx(pattern, flags), group), blank_to_null)
 
 
 def first_match(c: Column, patterns: Sequence[tuple[str, str]], group: int = 1) -> Column:
