@@ -208,9 +208,16 @@ def collector_score(url: Column, alt: Column) -> Column:
 
 def url_score(url: Column, alt: Column, source: Column, collected: Column) -> Column:
     """Struct ``score, reasons`` from URL, alt text, source and the collector's score."""
-    u, a = F.lower(url), F.lower(F.coalesce(alt, F.lit("")))
-    size = _size(u, "i")
-    idx = F.regexp_extract(url, rx(INDEX_TOKEN, ""), 1).try_cast("int")
+    facts = F.struct(
+        F.lower(url).alias("u"),
+        F.lower(F.coalesce(alt, F.lit(""))).alias("a"),
+        _size(F.lower(url), "i").alias("size"),
+        F.regexp_extract(url, rx(INDEX_TOKEN, ""), 1).try_cast("int").alias("idx"),
+    )
+    return bind(facts, lambda p: _score_facts(p["u"], p["a"], p["size"], p["idx"], source, collected))
+
+
+def _score_facts(u: Column, a: Column, size: Column, idx: Column, source: Column, collected: Column) -> Column:
     two = F.lpad(idx.cast("string"), 2, "0")
     terms: list[tuple[Column, Column, Column]] = []
 
