@@ -19,18 +19,19 @@ import re
 from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from unicodedata import normalize
+from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import add_columns
-from .token_count import SPACE, byte_letters
+from .token_count import SPACE, Splitter, byte_letters
 
 # The words of the vocabulary's split rule.
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^{SPACE}LN]+"
 #: Chunks kept per Python worker before the memory of ids is emptied.
 MEMORY = 800_000
 #: Characters at which Python's own split and the vocabulary's white space differ.
@@ -64,7 +65,8 @@ class Codec:
         names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in added}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if added else None
-        self.words = regex.compile(WORDS).findall
+        self.words = Splitter(path, WORDS)
+        self.normal = Tokenizer.from_file(path).normalizer.normalize_str
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.chunks: dict[str, bytes] = {}  # ids as int32
 
@@ -125,8 +127,12 @@ class Codec:
             return [text]
         return [p for p in self.cut.split(text) if p]
 
-    @staticmethod
-    def lower(chunk: str) -> str:
+    def lower(self, chunk: str) -> str:
+        """NFC and lower case, letter by letter; the library is asked where this Python's Unicode is too old."""
+        if chunk.isascii():
+            return chunk.lower()
+        if any(category(c) == "Cn" for c in chunk):
+            return self.normal(chunk)
         chunk = normalize("NFC", chunk)
         return "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
 

@@ -14,20 +14,21 @@ column named like a result is replaced.
 from __future__ import annotations
 
 import json
+import sys
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from unicodedata import category
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import add_columns
 
 # The Unicode white space of the split pattern, and the pattern itself.
 SPACE = "\t-\r \x85\xa0  -     　"
-PIECES = (
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^{SPACE}LN]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries kept per Python worker before the memory of counts is emptied.
 MEMORY = 1_200_000
 
@@ -41,6 +42,45 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
+def runs(letters: list[str]) -> str:
+    """A character class body that matches just these characters."""
+    out, at = [], 0
+    while at < len(letters):
+        end = at
+        while end + 1 < len(letters) and ord(letters[end + 1]) == ord(letters[end]) + 1:
+            end += 1
+        out.append(f"{letters[at]}-{letters[end]}")
+        at = end + 1
+    return "".join(out)
+
+
+class Splitter:
+    """Finds the pieces of a text as the library's pattern does.
+
+    Pattern module and library may know different versions of Unicode.  For characters
+    that this Python does not know yet, but the pattern module does, the library is
+    asked whether it takes them for letters or numbers.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        asked = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        known = regex.compile(r"[\p{L}\p{N}]").match
+        new = [c for i in range(0x80, sys.maxunicode + 1) if category(c := chr(i)) == "Cn" and known(c)]
+        letters = [c for c in new if len(asked("a" + c)) == 1]
+        others = [c for c in new if len(asked("!" + c)) == 1]
+        numbers = sorted({*new} - {*letters} - {*others})
+        usual = pattern.replace("L", r"\p{L}").replace("N", r"\p{N}")
+        lacks, has = (runs(x) for x in (new, letters))
+        letter = rf"[\p{{L}}--[{lacks}]]" if new else r"\p{L}"
+        number = rf"[\p{{N}}--[{lacks}]]" if new else r"\p{N}"
+        rare = pattern.replace("L", letter + has).replace("N", number + runs(numbers))
+        self.usual, self.rare = regex.compile(usual).findall, regex.compile(rare, regex.V1).findall
+        self.new = regex.compile(f"[{lacks}]").search if new else lambda _: None
+
+    def __call__(self, text: str) -> list[str]:
+        return self.usual(text) if text.isascii() or not self.new(text) else self.rare(text)
+
+
 class Counter:
     """Counts tokens; remembers counts of pieces already seen."""
 
@@ -62,7 +102,7 @@ class Counter:
         added = [t["content"] for t in spec.get("added_tokens") or []]
         self.added = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.added_texts = added
-        self.pieces = regex.compile(PIECES).findall
+        self.pieces = Splitter(path, PIECES)
         self.two_spaces = regex.compile(rf"[{SPACE}]{{2}}").search
         self.counts: dict[str, int] = {}
 
