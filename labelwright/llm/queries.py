@@ -36,3 +36,10 @@ def bpe_digests(docs, path):
 def bpe_round_trip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@R.add("op2_simhash_groups")
+def simhash_groups(spark, sf_dir):
+    from .simhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
