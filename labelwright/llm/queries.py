@@ -59,3 +59,28 @@ def warc_index(spark, sf_dir):
     folder = new_folder(spark, "warc")
     index = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(index, folder)
+
+
+# Words of a text as SQL; whole windows are compared as joined words.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@R.add(
+    "op9_decontamination",
+    f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) x WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM b) x),
+dw AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM
+  (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b) ks WHERE len(w) >= k) x),
+m AS (SELECT rid, item_id, i, dw.k FROM dw JOIN bw ON dw.k = bw.k AND dw.s = bw.s),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM m) x GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM m) x GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""",
+)
+def decontamination(spark, sf_dir):
+    from .decontaminate import contamination
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("items", "text_hash")
