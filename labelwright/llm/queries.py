@@ -98,3 +98,17 @@ def nearest_vectors(spark, sf_dir):
     from .nearest import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@R.add("op8_toxicity")
+def toxicity_scores(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@R.add("op4_quality")
+def quality_scores(spark, sf_dir):
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
