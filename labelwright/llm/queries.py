@@ -112,3 +112,40 @@ def quality_scores(spark, sf_dir):
     from .quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@R.add("op5_personal_data")
+def personal_data(spark, sf_dir):
+    from .pii import KINDS, digest_text, personal_data
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *map(of, KINDS), F.sha2(digest_text(base).cast("binary"), 256).alias("base_sha256"), digest_text(F.col("spans")).alias("spans"))
+
+
+# Tool traffic derived from the turns: a user's turn calls a tool, and the assistant's next turn is the result.  Turns that end with a
+# question mark or hold a comma call "ask" and "note", others a tool that has no schema; every fifth call lacks a key, every seventh has a wrong type.
+_CALLS = """SELECT conv_id, turn, concat('c', turn) AS call_id,
+  CASE WHEN text LIKE '%,%' THEN 'note' WHEN length(text) > 40 THEN 'ask' ELSE 'other' END AS name,
+  CASE WHEN turn >= 2 THEN concat('c', turn - 2) END AS after,
+  turn % 10 = 2 AS lacks, turn % 14 = 4 AS odd, text FROM conversations WHERE role = 'user'"""
+_RESULTS = "SELECT conv_id, turn, concat('c', turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'"
+
+
+@R.add("op7_tool_calls")
+def tool_calls(spark, sf_dir):
+    from .tool_calls import format_calls
+
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("labelwright_conversations")
+    view = lambda q: spark.sql(q.replace("conversations", "labelwright_conversations"))
+    made = view(_CALLS)
+    size = F.length("text")
+    arguments = F.when(F.col("lacks"), F.to_json(F.struct(size.alias("size")))).when(
+        F.col("odd"), F.to_json(F.struct("text", size.cast("string").alias("size")))
+    ).otherwise(F.to_json(F.struct("text", size.alias("size"))))
+    calls = made.select("conv_id", "turn", "call_id", "name", arguments.alias("arguments"), "after")
+    schemas = spark.createDataFrame(
+        [(n, k, t, r) for n in ("ask", "note") for k, t, r in (("text", "string", True), ("size", "integer", False))], "name string, key string, type string, required boolean"
+    )
+    return format_calls(calls, view(_RESULTS), schemas)
