@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from labelwright.session import ensure_checkpoint_dir
 
@@ -36,7 +37,7 @@ def add_columns(
     handled in bounded steps.  Columns of ``df`` that clash with a new name are
     replaced by it.
     """
-    new = [part.strip().split()[0] for part in schema.split(",")]
+    new = StructType.fromDDL(schema).names
     keep = [f for f in df.schema.fields if f.name not in new]
     carried = [f.name for f in keep]
     narrow = df.select(*[df[c] for c in carried])

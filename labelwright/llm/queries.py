@@ -49,7 +49,7 @@ def simhash_groups(spark, sf_dir):
     "op3_warc_index",
     """SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN winner END AS refers_to
-FROM (SELECT page_id, CAST(octet_length(CAST(html AS BLOB)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS winner
+FROM (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS winner
   FROM (SELECT page_id, coalesce(html, '') AS html FROM pages) p) q""",
 )
 def warc_index(spark, sf_dir):

@@ -40,9 +40,9 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     earliest = given.groupBy("conv_id", "call_id").agg(F.min(F.struct("result_turn", "result_row")).alias("m")).select(F.col("m.result_row").alias("result_row"), F.lit(True).alias("kept"))
     given = given.join(earliest, "result_row", "left")
     # what can't be linked keeps its own key, so that it meets nothing
-    left = calls.withColumns({"k": F.when(F.col("first"), F.col("call_id"))})
-    right = given.withColumns({"k": F.when(F.col("kept"), F.col("call_id"))}).withColumnsRenamed({"conv_id": "result_conv", "call_id": "result_call"})
-    both = left.join(right.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("result_conv")) & (F.col("k") == F.col("result_call")) & F.col("kept"), "left")
+    left = calls.withColumn("k", F.when(F.col("first"), F.col("call_id")))
+    right = given.withColumnsRenamed({"conv_id": "result_conv", "call_id": "result_call"})
+    both = left.join(right.filter("kept").hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("result_conv")) & (F.col("k") == F.col("result_call")), "left")
     linked = both.filter("result_row is not null").select("result_row")
     orphans = right.join(linked, "result_row", "left_anti")
     status = F.when(F.col("call_id").isNull(), "unlinked").when(~F.col("first"), "duplicate").when(F.col("result_row").isNull(), "unanswered").otherwise("linked")

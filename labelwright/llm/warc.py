@@ -77,7 +77,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                     else:
                         store.create_dir(root, recursive=True)
                     path, offset = posixpath.join(root, f"{uuid.uuid4().hex}.warc.gz"), 0
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)  # members are packed one by one
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = packer.compress(_record(page_id, url, payload, digest, refers_to)) + packer.flush()
                 out.write(member)
