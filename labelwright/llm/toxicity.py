@@ -2,18 +2,18 @@
 
 The unit of comparison is a token of a sentence, folded to letters; a run of single
 characters counts as one token, and characters that are no letters hold a place as gaps.
-Two units are compared by their common subsequences of three symbols, each
+Two units are compared by their common subsequences of four symbols, each
 weighted by a decay to the power of its span; so "id-i-ot" stays close to "idiot".
 
 Training: sentences of clean documents are clean.  A sentence of a toxic document is taken for toxic if it holds a
-unit that toxic documents share and clean ones lack.  Landmarks drawn from both kinds span the feature space, a linear
-machine with squared hinge loss is fitted there, and clean units that score highest are
-added for a second fit.  A document scores like its worst sentence, and the margin is turned
-into a probability by a logistic fit over the training documents.
+unit that more toxic documents share than chance allows.  Landmarks drawn from both kinds span the feature space, a linear
+machine with squared hinge loss is fitted there, and clean units that score highest, and
+high-scoring ones that only toxic documents have, are added for further fits.  A document is described by the margins of its worst tokens, how many lie on the toxic side, and
+its length; a logistic fit over the training documents turns these into a probability.
 
 Scoring: the machine is a sum of kernels with the landmarks.  As each kernel is a product over common
-triples, the sum collapses to one weight per triple of symbols, and the score of a unit is the
-weighted sum over its own triples, divided by its norm.
+subsequences, the sum collapses to one weight per subsequence of four symbols, and the score of a unit is the
+weighted sum over its own subsequences, divided by its norm.
 
 Defined cases: a null or empty text, and one without letters, scores like the mildest document; repeated
 rows score alike; very long tokens are scored in overlapping windows; without usable labels of both
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nlargest
 from itertools import combinations
 from unicodedata import normalize
 
@@ -36,14 +37,22 @@ from pyspark.sql import functions as F
 from .common import add_columns, cut
 from .labelled import held_out, training_texts
 
-DECAY, LANDMARKS = 0.6, 160
-#: Symbols: 0 a gap, 1-26 letters, 27 and 28 the two ends of a unit, 29-31 other letters.
-SYMBOLS, OPEN, CLOSE = 32, 27, 28
-LONG, STRIDE = 40, 20
+DECAY, ORDER = 0.6, 4
+#: Landmarks of either kind.
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 200, 100
+#: Symbols: 0 a gap, 1-26 letters, 27 and 28 the two ends of a unit, from 29 on all other letters.
+SYMBOLS, OPEN, CLOSE = 40, 27, 28
+LONG, STRIDE = 24, 12
 #: Training documents of each class, and units of each kind, at most.
 DOCUMENTS = {1: 6_000, 0: 12_000}
 UNITS = 3_000
+#: Log-likelihood ratio from which a unit counts as shared by toxic documents.
+CHANCE = 20.0
+#: Least ratio of a unit's share of toxic documents to its share of clean ones.
+ODDS = 8.0
 MEMORY = 600_000
+#: Margin of tokens without letters, and least margin of any.
+FLOOR = -2.0
 # Digits and signs that are written in place of letters.
 STAND_INS = str.maketrans("013457@$", "oieastas")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -51,10 +60,9 @@ SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 @lru_cache(4096)
 def _symbol(c: str) -> int:
-    base = normalize("NFKD", c)[0]
-    if "a" <= base <= "z":
-        return ord(base) - 96
-    return 29 + ord(base) % 3 if base.isalpha() else 0
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    return 29 + ord(normalize("NFC", c)[0]) % (SYMBOLS - 29) if c.isalpha() else 0
 
 
 def codes(token: str) -> bytes:
@@ -73,10 +81,21 @@ def windows(unit: bytes) -> list[bytes]:
 
 
 @lru_cache(64)
-def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all triples among n symbols, and their weights."""
-    at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
-    return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
+def places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ways to choose four of n places, and their weights."""
+    at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0) if n else np.zeros(0)
+
+
+def subsequences(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the subsequences of each row of symbols, and their weights; one with a gap has number 0."""
+    at, weight = places(x.shape[1])
+    index = np.zeros((len(x), len(at)), np.int32)
+    whole = np.ones(index.shape, bool)
+    for column in at.T:
+        index = index * SYMBOLS + x[:, column]
+        whole &= x[:, column] > 0
+    return np.where(whole, index, 0), weight
 
 
 def self_kernel(x: np.ndarray) -> np.ndarray:
@@ -85,7 +104,7 @@ def self_kernel(x: np.ndarray) -> np.ndarray:
     same = (x[:, :, None] == x[:, None, :]) & (x[:, :, None] > 0)
     same = np.ascontiguousarray(same.transpose(1, 2, 0)) * DECAY**2
     before = np.ones((n + 1, n + 1, w))
-    for _ in range(2):
+    for _ in range(ORDER - 1):
         now = np.zeros((n + 1, n + 1, w))
         for a in range(1, n + 1):
             row = np.zeros(w)
@@ -97,38 +116,52 @@ def self_kernel(x: np.ndarray) -> np.ndarray:
     return (same * before[:n, :n]).sum(axis=(0, 1))
 
 
-def evaluate(units: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Normalised sums over the triples of each unit: (units, columns of ``weights``)."""
+def evaluate(units: list[bytes], weights: np.ndarray, column: np.ndarray | None = None) -> np.ndarray:
+    """Normalised weighted sums over the subsequences of each unit.
+
+    ``weights`` has a row per subsequence, or per entry of ``column``, which maps subsequences to rows.
+    """
     out = np.zeros((len(units), weights.shape[1]))
     by_size: dict[int, list[int]] = {}
     for i, u in enumerate(units):
         by_size.setdefault(len(u), []).append(i)
     for n, rows in by_size.items():
-        if n < 3:
+        if n < ORDER:
             continue
-        at, weight = triples(n)
-        step = max(1, 600_000 // (len(at) * weights.shape[1]))
-        for lo in range(0, len(rows), min(step, 4096)):
-            part = rows[lo : lo + min(step, 4096)]
+        step = min(2048, max(1, 4_000_000 // (len(places(n)[0]) * weights.shape[1])))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
             x = np.frombuffer(b"".join(units[i] for i in part), np.uint8).reshape(-1, n).astype(np.int32)
-            index = (x[:, at[:, 0]] * SYMBOLS + x[:, at[:, 1]]) * SYMBOLS + x[:, at[:, 2]]
+            index, weight = subsequences(x)
             norm = np.sqrt(np.maximum(self_kernel(x), 1e-12))
-            sums = weights[:, 0][index] @ weight if weights.shape[1] == 1 else np.einsum("wtm,t->wm", weights[index], weight)
-            out[part] = sums.reshape(len(part), -1) / norm[:, None]
+            if column is None:
+                sums = (weights[:, 0][index] @ weight)[:, None]
+            else:
+                sums = np.einsum("wtm,t->wm", weights[column[index]], weight, optimize=True)
+            out[part] = sums / norm[:, None]
     return out
 
 
-def expand(unit: bytes) -> np.ndarray:
-    """The unit as one normalised weight per triple of symbols; triples with a gap weigh nothing."""
-    x = np.frombuffer(unit, np.uint8).astype(np.int64)
-    at, weight = triples(len(x))
-    full = (x[at] > 0).all(axis=1)
-    index = (x[at[:, 0]] * SYMBOLS + x[at[:, 1]]) * SYMBOLS + x[at[:, 2]]
-    out = np.bincount(index[full], weight[full], SYMBOLS**3)
-    return out / max(np.linalg.norm(out), 1e-12)
-
-
-def fit_machine(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def span(landmarks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised subsequence weights of the landmarks, a row for each subsequence that any of them has, and the row of every subsequence."""
+    found = []
+    for z in landmarks:
+        index, weight = subsequences(np.frombuffer(z, np.uint8).astype(np.int32)[None])
+        keys, back = np.unique(index[0], return_inverse=True)
+        sums = np.bincount(back, weight)
+        sums[keys == 0] = 0
+        found.append((keys, sums / max(np.linalg.norm(sums), 1e-12)))
+    every = np.unique(np.concatenate([[0], *(k for k, _ in found)]))
+    column = np.zeros(SYMBOLS**ORDER, np.int32)
+    column[every] = np.arange(len(every))
+    rows = np.zeros((len(every), len(landmarks)), np.float32)
+    for j, (keys, sums) in enumerate(found):
+        rows[column[keys], j] = sums
+    rows[0] = 0
+    return rows, column
+
+
+def fit_machine(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     """Linear machine with squared hinge loss, by Newton steps on the units inside the margin; the last weight is the bias."""
     x = np.hstack([features, np.ones((len(features), 1))])
     sign, w = np.where(y > 0, 1.0, -1.0), np.zeros(x.shape[1])
@@ -149,25 +182,22 @@ def fit_machine(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge:
 
 
 def train_machine(toxic: list[bytes], strength: np.ndarray, clean: list[bytes]) -> tuple[np.ndarray, float]:
-    """Weight per triple of symbols and bias, from units of either kind."""
-    m = LANDMARKS // 2
-    chosen = [*toxic[:: max(1, len(toxic) // m)][:m], *clean[:: max(1, len(clean) // m)][:m]]
-    spans = np.array([expand(u) for u in chosen]).T
-    values, vectors = np.linalg.eigh(spans.T @ spans)
+    """Weight per subsequence of symbols and bias, from units of either kind; the first ones serve as landmarks."""
+    rows, column = span([*toxic[:TOXIC_LANDMARKS], *clean[:CLEAN_LANDMARKS]])
+    values, vectors = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # the inverse root of the landmarks' kernel
     units = [*toxic, *clean]
     y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
     weight = np.r_[0.5 * strength / strength.sum(), np.full(len(clean), 0.5 / len(clean))]
-    features = np.vstack([evaluate(units[i : i + 2000], spans) for i in range(0, len(units), 2000)]) @ root
-    w = fit_machine(features, y, weight)
-    return spans @ (root @ w[:-1]), float(w[-1])
+    w = fit_machine(evaluate(units, rows, column) @ root, y, weight)
+    return (rows @ (root @ w[:-1]))[column].astype(np.float32), float(w[-1])
 
 
 class Scorer:
     """Scores tokens and documents; remembers tokens already seen."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights.astype(np.float64).reshape(-1, 1), bias
+        self.weights, self.bias = weights.reshape(-1, 1), bias
         self.known: dict[str, float] = {}
 
     def units(self, units: list[bytes]) -> np.ndarray:
@@ -177,16 +207,25 @@ class Scorer:
         ends = np.cumsum([0, *map(len, cut_up)])
         return np.maximum.reduceat(flat, ends[:-1]) if len(units) else flat
 
-    def documents(self, texts: list[str | None]) -> list[float]:
+    def documents(self, texts: list[str | None]) -> np.ndarray:
+        """For each text: the four highest margins, the length, and three counts of tokens on or near the toxic side."""
         if len(self.known) > MEMORY:
             self.known.clear()
         known = self.known
         tokens = [tokens_of(t) for t in texts]
         fresh = [t for t in set().union(*tokens) if t not in known]
         coded = [(t, c) for t in fresh if (c := codes(t))]
-        known.update(dict.fromkeys(fresh, self.bias - 1.0))
-        known.update(zip((t for t, _ in coded), self.units([c for _, c in coded]).tolist(), strict=True))
-        return [max(map(known.__getitem__, ts), default=self.bias - 1.0) for ts in tokens]
+        known.update(dict.fromkeys(fresh, FLOOR))
+        known.update(zip((t for t, _ in coded), np.maximum(self.units([c for _, c in coded]), FLOOR).tolist(), strict=True))
+        out = np.full((len(texts), 8), FLOOR)
+        for row, ts in zip(out, tokens, strict=True):
+            near = sorted((m for t in ts if (m := known[t]) > -0.5), reverse=True)
+            if len(near) < 4:
+                near = nlargest(4, map(known.__getitem__, ts))
+            row[: min(4, len(near))] = near[:4]
+            hits = sum(m > 0 for m in near)
+            row[4:] = np.log1p(len(ts)), np.log1p(hits), np.log1p(sum(min(1.0, max(0.0, m + 0.5)) for m in near)), hits / np.sqrt(len(ts) + 1)
+        return out
 
 
 def tokens_of(text: str | None) -> set[str]:
@@ -217,8 +256,10 @@ def hash_unit(unit: bytes) -> int:
 
 
 def _scored_units(units: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    sent = units.sparkSession.sparkContext.broadcast((weights, bias))
+
     def make():
-        score = Scorer(weights, bias)
+        score = Scorer(*sent.value)
         return lambda u: [pa.array(score.units(u.to_pylist()))]
 
     return add_columns(units, ["unit"], "margin double", make)
@@ -232,57 +273,69 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | No
     n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     if not (n.get(1) and n.get(0)):
         return None
+    # log-likelihood ratio of a unit's share of toxic documents against their share of all
+    all_, part = F.col("pos") + F.col("neg"), n[1] / (n[0] + n[1])
+    ratio = 2 * (F.col("pos") * F.log(F.col("pos") / (all_ * part)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (all_ * (1 - part)))).otherwise(0.0))
     odds = (F.col("pos") + 0.1) / (n[1] + 1) / ((F.col("neg") + 0.1) / (n[0] + 1))
-    least = max(3, round(0.003 * n[1]))
-    seeds = units.filter((F.col("pos") >= least) & (odds > 8)).withColumn("weight", F.col("pos") * F.log(odds)).orderBy(F.desc("weight"), "unit").limit(UNITS).collect()
-    common = units.filter("neg > 0").orderBy(F.desc("neg"), "unit").limit(UNITS).select("unit").collect()
-    spread = units.filter("neg > 0").orderBy(F.xxhash64("unit"), "unit").limit(UNITS).select("unit").collect()
+    shared = units.withColumn("ratio", ratio).filter((odds > ODDS) & (F.col("ratio") > CHANCE))
+    seeds = shared.orderBy(F.desc("ratio"), "unit").limit(UNITS).collect()
+    common = units.filter("neg > 0").orderBy(F.desc("neg"), "unit").limit(UNITS).collect()
+    spread = units.filter("neg > 0").orderBy(F.xxhash64("unit"), "unit").limit(UNITS).collect()
     if not seeds or not common:
         return None
-    toxic, strength = [bytes(r.unit) for r in seeds], np.sqrt([r.pos for r in seeds])
-    clean = sorted({bytes(r.unit) for r in common + spread} - set(toxic), key=hash_unit)
-    for _ in range(2):
-        weights, bias = train_machine(toxic, strength, clean)
-        hard = _scored_units(units.filter("neg > 0").select("unit"), weights, bias).orderBy(F.desc("margin"), "unit").limit(UNITS).collect()
-        clean = sorted({*clean, *(bytes(r.unit) for r in hard)} - set(toxic), key=hash_unit)
-    weights, bias = train_machine(toxic, strength, clean)
-    margins = _margins(texts, weights, bias).select("margin", "y").toPandas()
-    return {"weights": weights, "bias": bias} | _logistic(margins["margin"].to_numpy(), margins["y"].to_numpy())
-
-
-def _logistic(margin: np.ndarray, y: np.ndarray) -> dict:
-    """Slope and offset of a logistic curve, with targets drawn in by the class sizes."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x, w = np.c_[margin, np.ones(len(margin))], np.array([1.0, 0.0])
+    toxic = {bytes(r["unit"]): float(np.sqrt(r["pos"])) for r in seeds}
+    clean = [u for u in dict.fromkeys(bytes(r["unit"]) for r in [*common[:CLEAN_LANDMARKS], *spread, *common]) if u not in toxic]
+    for more in (True, True, False):
+        weights, bias = train_machine([*toxic], np.array([*toxic.values()]), clean)
+        if more:
+            scored = _scored_units(units, weights, bias).filter("margin > -0.5")
+            hard = scored.filter("neg > 0").orderBy(F.desc("margin"), "unit").limit(UNITS).collect()
+            clean = [u for u in dict.fromkeys([*clean, *(bytes(r["unit"]) for r in hard)]) if u not in toxic]
+            alike = scored.filter("neg = 0 and margin > 0.5").orderBy(F.desc("margin"), "unit").limit(UNITS).collect()
+            toxic = {bytes(r["unit"]): 0.5 for r in alike} | toxic
+            toxic = dict(sorted(toxic.items(), key=lambda x: -x[1]))
+    found = _features(texts, weights, bias).select("features", "y").toArrow()  # bounded by the sample
+    x = np.asarray(found["features"].combine_chunks().values).reshape(-1, 8)
+    return {"weights": weights, "bias": bias, "curve": _logistic(x, found["y"].to_numpy())}
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic fit; the last is the offset."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z, w = np.c_[(x - mean) / spread, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target))
-        w = w - np.clip(step, -5, 5)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (p - y) + ridge * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return {"slope": max(float(w[0]), 1e-3), "offset": float(w[1])}
+    return np.r_[w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum()]
 
 
-def _margins(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
-    """Append ``margin``, that of the worst sentence of each text."""
-    sent = df.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # a weight per triple of symbols: 128 KiB
+def _features(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
+    """Append ``features``, the description of each text."""
+    sent = df.sparkSession.sparkContext.broadcast((weights, bias))  # a weight per subsequence: 10 MB, whatever the input
 
     def make():
         score = Scorer(*sent.value)
-        return lambda texts: [pa.array(score.documents(texts.to_pylist()), pa.float64())]
 
-    return add_columns(df, [text], "margin double", make)
+        def work(texts: pa.Array) -> list[pa.Array]:
+            rows = score.documents(texts.to_pylist())
+            return [pa.ListArray.from_arrays(np.arange(0, rows.size + 1, 8, dtype=np.int32), pa.array(rows.ravel()))]
+
+        return work
+
+    return add_columns(df, [text], "features array<double>", make)
 
 
 def score_toxicity(df: DataFrame, model: dict | None) -> DataFrame:
     """Append ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from 0.5 on) to every row."""
     if model is None:
         return df.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    scored = _margins(df, model["weights"], model["bias"])
-    score = 1 / (1 + F.exp(-F.greatest(F.least(F.col("margin") * model["slope"] + model["offset"], F.lit(35.0)), F.lit(-35.0))))
-    return scored.withColumn("score", score).drop("margin").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    described = _features(df, model["weights"], model["bias"])
+    sums = sum((F.element_at("features", i + 1) * float(w) for i, w in enumerate(model["curve"][:-1])), F.lit(float(model["curve"][-1])))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(sums, F.lit(35.0)), F.lit(-35.0))))
+    return described.withColumn("score", score).drop("features").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
