@@ -150,10 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Machine
     scored = add_columns(held.select("stats", "y"), ["stats"], "raw double", raw)
     place = F.floor(F.greatest(F.least(F.col("raw"), F.lit(1.5)), F.lit(-0.5)) * (BINS / 2))
     bins = scored.groupBy(place.alias("bin")).agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").toPandas()
-    # targets drawn in a little, as no bin is certain
-    part = n[1] / total
-    steps = pool((bins["y"] * bins["n"] + part).to_numpy() / (bins["n"] + 1).to_numpy(), bins["n"].to_numpy())
-    machine.curve = (bins["raw"].to_numpy(), steps)
+    machine.curve = (bins["raw"].to_numpy(), pool(bins["y"].to_numpy(), bins["n"].to_numpy()))
     return machine
 
 
