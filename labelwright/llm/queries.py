@@ -124,8 +124,8 @@ def personal_data(spark, sf_dir):
     return found.select("doc_id", *map(of, KINDS), F.sha2(digest_text(base).cast("binary"), 256).alias("base_sha256"), digest_text(F.col("spans")).alias("spans"))
 
 
-# Tool traffic derived from the turns: a user's turn calls a tool, and the assistant's next turn is the result.  Turns that end with a
-# question mark or hold a comma call "ask" and "note", others a tool that has no schema; every fifth call lacks a key, every seventh has a wrong type.
+# Tool traffic derived from the turns: a user's turn calls a tool, and the assistant's next turn is the result.  Turns with a comma
+# call "note", other long ones "ask", and the rest a tool that has no schema; some calls lack a key or give one with a wrong type.
 _CALLS = """SELECT conv_id, turn, concat('c', turn) AS call_id,
   CASE WHEN text LIKE '%,%' THEN 'note' WHEN length(text) > 40 THEN 'ask' ELSE 'other' END AS name,
   CASE WHEN turn >= 2 THEN concat('c', turn - 2) END AS after,
@@ -133,7 +133,19 @@ _CALLS = """SELECT conv_id, turn, concat('c', turn) AS call_id,
 _RESULTS = "SELECT conv_id, turn, concat('c', turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'"
 
 
-@R.add("op7_tool_calls")
+_TOOL_SQL = f"""WITH RECURSIVE c AS ({_CALLS}), r AS ({_RESULTS}),
+lv AS (SELECT conv_id, call_id, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+  UNION ALL SELECT c.conv_id, c.call_id, lv.level + 1 FROM c JOIN lv ON c.conv_id = lv.conv_id AND c.after = lv.call_id),
+a AS (SELECT c.conv_id, c.turn, c.call_id, c.name, lv.level, r.content, CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    CASE WHEN lacks THEN json_object('size', length(text)) WHEN odd THEN json_object('size', CAST(length(text) AS VARCHAR), 'text', text) ELSE json_object('size', length(text), 'text', text) END AS arguments,
+    CASE WHEN c.name = 'other' THEN 'unknown tool' WHEN lacks THEN 'missing text' WHEN odd THEN 'type of size' ELSE '' END AS problems
+  FROM c LEFT JOIN lv USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)
+  UNION ALL SELECT conv_id, turn, call_id, NULL, NULL, content, 'orphan', json_object(), '' FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id))
+SELECT conv_id, turn, call_id, level, status, problems = '' AND status <> 'orphan' AS valid, problems,
+  CAST(json_object('arguments', arguments, 'call_id', call_id, 'content', content, 'level', level, 'name', name, 'status', status, 'valid', problems = '' AND status <> 'orphan') AS VARCHAR) AS line FROM a"""
+
+
+@R.add("op7_tool_calls", _TOOL_SQL)
 def tool_calls(spark, sf_dir):
     from .tool_calls import format_calls
 

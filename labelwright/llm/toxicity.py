@@ -328,11 +328,11 @@ def _features(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text
     return add_columns(df, [text], "features array<double>", make)
 
 
-def score_toxicity(df: DataFrame, model: dict | None) -> DataFrame:
+def score_toxicity(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """Append ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from 0.5 on) to every row."""
     if model is None:
         return df.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    described = _features(df, model["weights"], model["bias"])
+    described = _features(df, model["weights"], model["bias"], text)
     sums = sum((F.element_at("features", i + 1) * float(w) for i, w in enumerate(model["curve"][:-1])), F.lit(float(model["curve"][-1])))
     score = 1 / (1 + F.exp(-F.greatest(F.least(sums, F.lit(35.0)), F.lit(-35.0))))
     return described.withColumn("score", score).drop("features").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
