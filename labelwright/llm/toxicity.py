@@ -181,14 +181,25 @@ def fit_machine(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge:
     return w
 
 
+def disguised(unit: bytes) -> list[bytes]:
+    """The unit with a gap, an inserted or a doubled letter in its middle, and with gaps between all letters."""
+    body, m = unit[1:-1], len(unit) // 2
+    other = bytes([1 + sum(unit) % 26])
+    spaced = b"\0".join(body[i : i + 1] for i in range(len(body)))
+    return [unit[:1] + b + unit[-1:] for b in (body[:m] + b"\0" + body[m:], body[:m] + other + body[m:], body[:m] + body[m - 1 :], spaced)]
+
+
 def train_machine(toxic: list[bytes], strength: np.ndarray, clean: list[bytes]) -> tuple[np.ndarray, float]:
-    """Weight per subsequence of symbols and bias, from units of either kind; the first ones serve as landmarks."""
+    """Weight per subsequence of symbols and bias, from units of either kind; the first ones serve as landmarks, and take part in disguise too."""
     rows, column = span([*toxic[:TOXIC_LANDMARKS], *clean[:CLEAN_LANDMARKS]])
     values, vectors = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # the inverse root of the landmarks' kernel
-    units = [*toxic, *clean]
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    weight = np.r_[0.5 * strength / strength.sum(), np.full(len(clean), 0.5 / len(clean))]
+    hidden = [d for u in toxic[:TOXIC_LANDMARKS] if len(u) > 5 for d in disguised(u) if len(d) <= LONG]
+    plain = [d for u in clean[:TOXIC_LANDMARKS] if len(u) > 5 for d in disguised(u) if len(d) <= LONG]
+    units = [*toxic, *hidden, *clean, *plain]
+    y = np.r_[np.ones(len(toxic) + len(hidden)), np.zeros(len(clean) + len(plain))]
+    strength = np.r_[strength, np.full(len(hidden), 0.25 * strength.mean())]
+    weight = np.r_[0.5 * strength / strength.sum(), np.full(len(clean) + len(plain), 0.5 / (len(clean) + len(plain)))]
     w = fit_machine(evaluate(units, rows, column) @ root, y, weight)
     return (rows @ (root @ w[:-1]))[column].astype(np.float32), float(w[-1])
 
