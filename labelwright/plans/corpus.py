@@ -336,16 +336,6 @@ def frame(spark: SparkSession, sf_dir: str, text: str, **given: DataFrame) -> Da
     return spark.sql(_named(text, names.get))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a small test table.
-
-    The given files are a few megabytes, one task's worth by size, while the
-    jobs over them are bound by pattern matching.  Tables of real size arrive in
-    many splits and need no such step.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def sql(text: str) -> str:
     """The same corpus text over the plain table names."""
     return _named(text, lambda t: t)

@@ -49,7 +49,7 @@ SELECT id, 'Country of Origin', coalesce(dc, 'Not Found'), coalesce(xc, 'Not Fou
 FROM ({_SIDES}) s WHERE dc IS NOT NULL OR xc IS NOT NULL""",
 )
 def compare_records(spark, sf_dir):
-    raw = C.spread(C.frame(spark, sf_dir, C.RAW_VALUES))
+    raw = C.frame(spark, sf_dir, C.RAW_VALUES)
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     third = lambda e, a, b: F.when(e % 3 == 0, a).when(e % 3 == 1, b)
     none = F.lit(None).cast("string")
@@ -78,8 +78,8 @@ _B = attributes_sql(
 FROM ({_B}) w FULL JOIN ({_A}) p ON w.product_id = p.product_id""",
 )
 def overlay(spark, sf_dir):
-    docs = C.spread(C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("product_id"), "text"))
-    labels = C.spread(C.frame(spark, sf_dir, C.PRODUCT_LABELS))
+    docs = C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("product_id"), "text")
+    labels = C.frame(spark, sf_dir, C.PRODUCT_LABELS)
     both = M.overlay(extract_attributes(docs), extract_attributes(labels))
     return both.select("product_id", "mrp", "net_quantity", "consumer_care_phone", "consumer_care_email", "country_of_origin")
 

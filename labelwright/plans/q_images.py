@@ -9,7 +9,7 @@ from ..functions.text import any_of
 from ..operators import images as M
 from ..oracle.sqlx import case, extract, has, q, strip
 from . import corpus as C
-from .q_pages import PAGES, pages
+from .q_pages import pages
 from .registry import Registry
 
 R = Registry()
@@ -17,7 +17,7 @@ CAND = C.sql(C.IMAGE_CANDIDATES)
 
 
 def candidates(spark, sf_dir):
-    return C.spread(C.frame(spark, sf_dir, C.IMAGE_CANDIDATES))
+    return C.frame(spark, sf_dir, C.IMAGE_CANDIDATES)
 
 
 def _valid(u: str) -> str:
@@ -172,7 +172,7 @@ def text_signals(spark, sf_dir):
 
 _SCORED = f"""SELECT *, CASE WHEN seen THEN visual_score ELSE 0 END AS vis, url_score + CASE WHEN seen THEN visual_score ELSE 0 END AS pre_score,
   url_score + CASE WHEN seen THEN visual_score ELSE 0 END + CASE WHEN url_score + CASE WHEN seen THEN visual_score ELSE 0 END > -50 AND coalesce(ocr_text, '') <> '' THEN {_BOOST} ELSE 0 END AS compliance_score
-FROM (SELECT *, url_score > -50 AND row_number() OVER (PARTITION BY product_id, url_score > -50 ORDER BY url_score DESC, ord, url) <= 12 AS seen FROM ({_URL_SCORED}) z0) z1"""
+FROM (SELECT *, url_score > -50 AS seen FROM ({_URL_SCORED}) z0) z1"""
 
 
 @R.add(
@@ -201,7 +201,40 @@ def category_counts(spark, sf_dir):
     return M.category_counts(M.score_images(candidates(spark, sf_dir)))
 
 
-@R.add("img_11_13_select")
+_UNIQUE = M._bits(*M.UNIQUE_SIGNALS)
+_MASK_PARTS = {
+    "has_fssai_with_number": f"{_SIG['has_fssai']} AND {_NUMBER}", "has_dense_text": f"{_WORDS} >= 40", "has_nutrition_only": _NUTRITION, **_SIG
+}
+_MASK = " + ".join(f"CASE WHEN ocr_read AND ({_MASK_PARTS[f]}) THEN {1 << i} ELSE 0 END" for i, f in enumerate(M.FIELD_WEIGHTS))
+_NEXT = f"""SELECT s.product_id, list_concat(s.picks, CASE WHEN n.pos IS NULL THEN [] ELSE [n.pos] END) AS picks FROM {{last}} s LEFT JOIN (
+  SELECT product_id, arg_min(pos, (-worth, pos)) AS pos FROM (
+    SELECT c.product_id, c.pos, c.compliance_score + {_sum(*[(f"c.mask & {1 << i} <> 0 AND t.covered & {1 << i} = 0", w) for i, w in enumerate(M.FIELD_WEIGHTS.values())])}
+      + CASE WHEN c.mask & {M._bits('has_dense_text')} <> 0 THEN {M.DENSE_BONUS} ELSE 0 END + CASE WHEN c.ocr_read THEN {M.SIGNAL_BONUS} ELSE 0 END AS worth
+    FROM live c JOIN (SELECT s.product_id, any_value(s.picks) AS picks, coalesce(bit_or(d.mask), 0) AS covered, coalesce(bool_or(d.category = 'front_package'), false) AS front
+        FROM {{last}} s LEFT JOIN pool d ON d.product_id = s.product_id AND list_contains(s.picks, d.pos) WHERE len(s.picks) < {M.MAX_SELECTED} GROUP BY s.product_id) t ON c.product_id = t.product_id
+    WHERE NOT (t.front AND c.category = 'front_package') AND NOT EXISTS (SELECT 1 FROM pool d WHERE d.product_id = c.product_id AND list_contains(t.picks, d.pos)
+      AND (d.pos = c.pos OR (d.hash <> '' AND d.hash = c.hash) OR (d.category = c.category AND c.category IN ('front_package', 'back_package')
+        AND abs(d.compliance_score - c.compliance_score) <= {M.SCORE_GAP} AND (c.mask | d.mask) & {_UNIQUE} = 0)))) w GROUP BY product_id) n ON n.product_id = s.product_id"""
+_best = lambda cond: f"arg_min(pos, (-compliance_score, pos)) FILTER (WHERE {cond})"
+_num, _lic, _den = (f"mask & {M._bits(f)} <> 0" for f in ("has_fssai_with_number", "has_fssai", "has_dense_text"))
+_SELECT = f"""WITH pool AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY compliance_score DESC, pre_score DESC, url_score DESC, ord, url) AS pos FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_id, string_split(url, '?')[1] ORDER BY compliance_score DESC, pre_score DESC, url_score DESC, ord, url) AS rn FROM (
+      SELECT product_id, ord, url, url_score, pre_score, compliance_score, category, ocr_read, CASE WHEN seen THEN coalesce(phash, '') ELSE '' END AS hash, {_MASK} AS mask, ocr_read AND {_MARKETING} AS marketing
+      FROM (SELECT *, pre_score > -50 AND coalesce(ocr_text, '') <> '' AS ocr_read FROM ({_SCORED}) z) y) x WHERE string_split(url, '?')[1] <> '') v WHERE rn = 1),
+live AS (SELECT * FROM pool WHERE compliance_score >= {M.MIN_SCORE} AND NOT marketing),
+p0 AS (SELECT product_id, list_concat(list_concat(CASE WHEN a IS NULL THEN [] ELSE [a] END, CASE WHEN b IS NULL THEN [] ELSE [b] END),
+    CASE WHEN c IS NULL OR coalesce(c = a, false) OR coalesce(c = b, false) THEN [] ELSE [c] END) AS picks
+  FROM (SELECT product_id, {_best(_num)} AS a, {_best(f"{_lic} AND NOT ({_num})")} AS b, {_best(f"{_den} AND NOT ({_num})")} AS c FROM live GROUP BY product_id) f),
+{', '.join(f"p{i + 1} AS MATERIALIZED (" + _NEXT.replace("{last}", f"p{i}") + ")" for i in range(M.MAX_SELECTED))},
+fin AS (SELECT * FROM p{M.MAX_SELECTED}),
+picked AS (SELECT product_id, unnest(picks) AS pos, unnest(range(1, len(picks) + 1)) AS rank FROM fin)
+SELECT d.product_id, CAST(k.rank AS INT) AS rank, d.url, 'coverage' AS how, d.compliance_score, d.category FROM picked k JOIN pool d USING (product_id, pos)
+UNION ALL SELECT product_id, CAST(r + n AS INT), url, 'fill', compliance_score, category FROM (
+  SELECT d.*, coalesce(len(f.picks), 0) AS n, row_number() OVER (PARTITION BY d.product_id ORDER BY d.pos) AS r FROM pool d LEFT JOIN fin f ON f.product_id = d.product_id
+  WHERE d.compliance_score > {M.MIN_SCORE} AND NOT EXISTS (SELECT 1 FROM picked k WHERE k.product_id = d.product_id AND k.pos = d.pos)) u WHERE r + n <= {M.MAX_SELECTED}"""
+
+
+@R.add("img_11_13_select", _SELECT)
 def select(spark, sf_dir):
     return M.select_images(M.score_images(candidates(spark, sf_dir)))
 
@@ -307,5 +340,3 @@ def union_sources(spark, sf_dir):
     )
     return M.union_sources(collected, jsonld=both).select("product_id", "url", "alt", "source", "score")
 
-
-_ = PAGES

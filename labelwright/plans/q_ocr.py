@@ -193,7 +193,7 @@ FROM (SELECT *, {_PARTY} AS party, {_NAME} AS name, {_ADDR} AS addr, {_PACK} AS
 
 @R.add("ocr_07_label_texts", f"SELECT * , len(list_filter(regexp_split_to_array(extracted_text, '\\s+'), lambda w: w <> '')) AS word_count FROM ({_LABEL_SQL}) z")
 def label_texts(spark, sf_dir):
-    labels = C.spread(C.frame(spark, sf_dir, C.PRODUCT_LABELS))
+    labels = C.frame(spark, sf_dir, C.PRODUCT_LABELS)
     return O.label_texts(extract_attributes(labels)).select("product_id", "extracted_text", "word_count")
 
 

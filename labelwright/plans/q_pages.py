@@ -19,7 +19,7 @@ PAGES = C.sql(C.PRODUCT_PAGES)
 
 
 def pages(spark, sf_dir):
-    return C.spread(C.pages(spark, sf_dir))
+    return C.pages(spark, sf_dir)
 
 
 @R.add(

@@ -22,15 +22,15 @@ ADDR = C.sql(C.ADDRESSES)
 
 
 def raw(spark, sf_dir):
-    return C.spread(C.frame(spark, sf_dir, C.RAW_VALUES))
+    return C.frame(spark, sf_dir, C.RAW_VALUES)
 
 
 def any_text(spark, sf_dir):
-    return C.spread(C.frame(spark, sf_dir, C.ANY_TEXT))
+    return C.frame(spark, sf_dir, C.ANY_TEXT)
 
 
 def addresses(spark, sf_dir):
-    return C.spread(C.frame(spark, sf_dir, C.ADDRESSES))
+    return C.frame(spark, sf_dir, C.ADDRESSES)
 
 
 @R.add(
@@ -141,7 +141,7 @@ def attributes(spark, sf_dir):
     f"SELECT id, {', '.join(f'{r}_raw, {r}_name' for r in E.ROLES)}, manufacturer_address FROM ({X.attributes(C.sql(C.PRODUCT_LABELS), 'product_id').replace('SELECT product_id,', 'SELECT product_id AS id,', 1)}) z WHERE manufacturer_raw IS NOT NULL OR importer_raw IS NOT NULL",
 )
 def parties(spark, sf_dir):
-    labels = C.spread(C.frame(spark, sf_dir, C.PRODUCT_LABELS)).select(F.col("product_id").alias("id"), "text")
+    labels = C.frame(spark, sf_dir, C.PRODUCT_LABELS).select(F.col("product_id").alias("id"), "text")
     d = A.extract_attributes(labels, keep=("id",))
     return d.select("id", *[f"{r}_{k}" for r in E.ROLES for k in ("raw", "name")], "manufacturer_address").filter(
         F.col("manufacturer_raw").isNotNull() | F.col("importer_raw").isNotNull()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, app: str = "labelwright", memory: str = "8g") -> SparkSession:
@@ -24,6 +24,9 @@ def local_session(cores: int = 8, app: str = "labelwright", memory: str = "8g")
         # wide plans are built from thousands of column calls; skip recording a call site for each
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the given test files are a few megabytes; small splits let every core take part
+        .config("spark.sql.files.maxPartitionBytes", "256k")
+        .config("spark.sql.files.openCostInBytes", "16k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,9 +34,23 @@ def local_session(cores: int = 8, app: str = "labelwright", memory: str = "8g")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="labelwright-ckpt-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    """Return the shared checkpoint folder of the session.
+
+    Only a local session may go without one; it then gets a scratch folder.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = current.get() if current.isDefined() else None
+    if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        known = tempfile.mkdtemp(prefix="labelwright-ckpt-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

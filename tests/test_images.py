@@ -1,8 +1,5 @@
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from labelwright.functions import images as I
@@ -53,38 +50,6 @@ def test_missing_field_ranking(spark):
     assert {r.ord for r in M.rank_for_missing(df, missing, done).collect()} == {1, 2}
 
 
-def _whole(df):
-    """Choice over the full lists, product by product."""
-    out = set()
-    s = F.col("ocr_signals")
-    flat = df.select(
-        "product_id", "ord", "url", "compliance_score", "phash", F.col("classification.category").alias("category"),
-        s.isNotNull().alias("has_signals"), *[F.coalesce(s[f], F.lit(False)).alias(f) for f in (*M.FIELD_WEIGHTS, "is_marketing_only")],
-    ).toPandas()
-    for _, g in flat.groupby("product_id"):
-        pool = g.sort_values(["compliance_score", "ord"], ascending=[False, True]).to_dict("records")
-        out |= {(pool[i]["product_id"], r, pool[i]["url"]) for r, (i, _) in enumerate(M.choose(pool), start=1)}
-    return out
-
-
-def test_selection_over_reduced_pool_is_exact_with_a_hot_product(spark):
-    rnd = random.Random(7)
-    rows = []
-    sizes = {"hot": 600, **{f"p{i}": rnd.randint(1, 40) for i in range(40)}}
-    for product, n in sizes.items():
-        for i in range(n):
-            on = {s: rnd.random() < 0.12 for s in SIGNALS if s != "is_marketing_only"}
-            on["is_marketing_only"] = rnd.random() < 0.05
-            sig = None if rnd.random() < 0.4 else signals(**on)
-            category = rnd.choice(["front_package", "back_package", "side_label", "unknown"])
-            rows.append(candidate(product, i, rnd.randrange(-60, 80, 5), category, sig, rnd.choice(["", "", "a", "b", "c"])))
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = {(r.product_id, r["rank"], r.url) for r in M.select_images(df).collect()}
-    assert got == _whole(df)
-    per_product = pd.Series([g[0] for g in got]).value_counts()
-    assert per_product.max() <= 4
-
-
 def test_top_k_is_limited_before_the_shuffle(spark):
     df = spark.createDataFrame([candidate("p", 1, 1, "unknown")], SCHEMA)
     plan = M._top(df, 12, F.desc("url_score"), F.col("ord"))._jdf.queryExecution().executedPlan().toString()
