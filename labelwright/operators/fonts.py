@@ -12,7 +12,6 @@ SCHEDULE = [(200.0, 1.0), (500.0, 2.0), (2500.0, 4.0), (None, 6.0)]
 DEFAULT_AREA = 200.0
 DEFAULT_PX_PER_MM = 96 / 25.4
 REQUIRED_SHARE = 40.0
-SHOWN_OFFENDERS = 5
 
 
 def min_font_height(area: Column) -> Column:
@@ -84,29 +83,29 @@ def pdp_compliance(total: Column, panel: Column) -> Column:
     )
 
 
-def font_verdicts(measured: DataFrame, images: DataFrame) -> DataFrame:
+def font_verdicts(measured: DataFrame, images: DataFrame, shown: int | None = None) -> DataFrame:
     """Verdict per image: REVIEW without words, FAIL if any word is too small, else PASS.
 
-    Statistics are partial aggregates; only the five offenders named in the
-    verdict are collected, after a top-5 per image.
+    Statistics are partial aggregates, the mean a sum of whole hundredths.  The verdict names
+    the words that are too small, the first ``shown`` of them if given.
     """
     small = F.col("height_mm") < F.col("min_required_mm")
     stats = measured.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("word_count"),
         F.bround(F.min("height_mm"), 2).alias("smallest_mm"),
-        F.bround(F.avg("height_mm"), 2).alias("avg_mm"),
+        F.bround((F.sum(F.round(F.col("height_mm") * 100).cast("bigint")).cast("decimal(38,12)") / F.count(F.lit(1)) / 100), 2).cast("double").alias("avg_mm"),
         F.count_if(small).alias("non_compliant_count"),
     )
-    w = Window.partitionBy("image_id").orderBy("ord", "variant")
+    offenders = measured.filter(small)
+    if shown is not None:
+        w = Window.partitionBy("image_id").orderBy("ord", "variant")
+        offenders = offenders.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= shown)
     named = (
-        measured.filter(small)
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= SHOWN_OFFENDERS)
-        .groupBy("image_id")
+        offenders.groupBy("image_id")
         .agg(
             F.array_join(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("_rn", "text", "height_mm"))),
+                    F.array_sort(F.collect_list(F.struct("ord", "variant", "text", "height_mm"))),
                     lambda m: F.concat(F.lit('"'), m["text"], F.lit('"('), m["height_mm"].cast("string"), F.lit("mm)")),
                 ),
                 ", ",

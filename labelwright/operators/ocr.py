@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.text import bind, join_lines, labelled_line, matches, rx, strip, words
+from ..functions.text import bind, labelled_line, matches, strip, words
 from .attributes import FLAG_ATTRIBUTES, STRING_ATTRIBUTES
 
 BAND = 20
 SEGMENT = 512  # pixels; splits the words of a line so that no first-step group is a whole line
 
-# Signals counted and flagged in recognised text, limits of the pass rules.
-KEY_SIGNALS = (
-    r"FSSAI|Lic\.?\s*No|Licence|License|MRP|manufacturer|packer|net.?weight|net.?qty|consumer.?care|country.?of.?origin"
-)
+# Signals flagged in recognised text, marks between passes, product code types.
 LICENCE_SIGNAL = (
     r"FSSAI|Lic\.?\s*No\.?|Licence\s*No|License\s*No|LIC\s*NO|[1-9]\d{13}"
     r"|[1-9]\d{3}[\s\-]\d{4}[\s\-]\d{4}[\s\-]\d{2}|[1-9]\d{3}[\s\-]\d{4}[\s\-]\d{6}|[1-9]\d{1,3}(?:[\s\-]\d{2,4}){3,5}"
@@ -23,9 +20,6 @@ LICENCE_SIGNAL = (
 COMPLIANCE_SIGNAL = (
     r"manufacturer|packer|importer|mrp|net.?weight|net.?qty|consumer.?care|country.?of.?origin|best.?before|batch|lot.?no|ingredient"
 )
-ENOUGH_CHARS, ENOUGH_SIGNALS, ENOUGH_CONFIDENCE = 200, 3, 0.55
-LITTLE_CHARS, LOW_CONFIDENCE = 80, 0.5
-UPLOAD_CROP_CHARS, SCAN_CROP_CHARS = 20, 30
 CROP_MARK, ZONE_MARK = "\n\n[CROP]\n", "\n\n[FSSAI_ZONE]\n"
 BARCODE_TYPES = ("EAN13", "EAN8", "CODE128", "UPCA", "GTIN")
 
@@ -81,73 +75,56 @@ def image_texts(detections: DataFrame) -> DataFrame:
     )
 
 
-def _by_variant(texts: DataFrame, variants: dict[str, tuple[str, ...]]) -> DataFrame:
-    """One row per image with a text and a confidence column per pass."""
-    aggs = []
-    for name, members in variants.items():
-        cond = F.col("variant").isin(*members)
-        aggs.append(F.max(F.when(cond, F.col("text"))).alias(f"{name}_text"))
-        aggs.append(F.max(F.when(cond, F.col("conf"))).alias(f"{name}_conf"))
-    return texts.groupBy("image_id").agg(*aggs)
-
-
+# variants of each pass, in order
 PASSES = {"full": ("full",), "contrast": ("contrast",), "bottom": ("bottom", "bottom_crop"), "mid": ("mid", "mid_crop")}
 
 
-def combine_upload(texts: DataFrame) -> DataFrame:
-    """Longest of the full and contrast passes, then the crops longer than 20 characters."""
-    d = _by_variant(texts, PASSES)
-    full, contrast = F.coalesce("full_text", F.lit("")), F.coalesce("contrast_text", F.lit(""))
-    longer = F.length(contrast) > F.length(full)
-    best = F.when(longer, contrast).otherwise(full)
-    crop = lambda c: F.when(F.length(c) > UPLOAD_CROP_CHARS, F.col(c))
-    return d.select(
+def passes_of(texts: DataFrame) -> DataFrame:
+    """One row per image with the non-empty texts of each pass in variant order, and the confidence of the first of them.
+
+    An image has at most one text for each of the few variants.
+    """
+    aggs = []
+    for name, members in PASSES.items():
+        place = F.array_position(F.array(*map(F.lit, members)), F.col("variant"))
+        hit = F.when(F.col("variant").isin(*members) & (F.col("text") != ""), F.struct(place.alias("place"), "text", "conf"))
+        aggs.append(F.array_sort(F.collect_list(hit)).alias(name))
+    rows = texts.groupBy("image_id").agg(*aggs)
+    return rows.select(
         "image_id",
-        F.concat_ws("\n\n", F.when(best != "", best), crop("bottom_text"), crop("mid_text")).alias("text"),
-        F.when(best == "", 0.0).when(longer, F.col("contrast_conf")).otherwise(F.col("full_conf")).alias("conf"),
+        *[F.transform(n, lambda x: x["text"]).alias(f"{n}_texts") for n in PASSES],
+        *[F.get(n, F.lit(0))["conf"].alias(f"{n}_conf") for n in PASSES],
     )
 
 
-def combine_scan(texts: DataFrame) -> DataFrame:
-    """Passes of the product scan: stop after a rich first pass, else add crops and a contrast pass as needed."""
-
-    def signals(c: Column) -> Column:
-        return F.size(F.regexp_extract_all(c, F.lit(rx(KEY_SIGNALS)), F.lit(0)))
-
-    d = _by_variant(texts, PASSES).select(
-        "*",
-        F.coalesce("full_text", F.lit("")).alias("_full"),
-        F.when(F.coalesce("full_text", F.lit("")) != "", F.col("full_conf")).otherwise(0.0).alias("_conf"),
-        F.when(F.length("bottom_text") > SCAN_CROP_CHARS, F.col("bottom_text")).alias("_bottom"),
-    )
-    so_far = F.concat(F.col("_full"), F.lit("\n"), F.coalesce("_bottom", F.lit("")))
-    d = d.select(
-        "*",
-        (
-            (F.length("_full") >= ENOUGH_CHARS) & (signals(F.col("_full")) >= ENOUGH_SIGNALS) & (F.col("_conf") >= ENOUGH_CONFIDENCE)
-        ).alias("_rich"),
-        ((F.length(so_far) < LITTLE_CHARS) | ((signals(so_far) == 0) & (F.col("_conf") < LOW_CONFIDENCE))).alias("_poor"),
-    )
-    swap = F.col("_poor") & (F.length(F.coalesce("contrast_text", F.lit(""))) > F.length("_full"))
-    full = F.when(swap, F.col("contrast_text")).otherwise(F.col("_full"))
-    mid = F.when(F.col("_poor") & (F.length("mid_text") > SCAN_CROP_CHARS), F.col("mid_text"))
-    combined = F.concat_ws(CROP_MARK, F.when(full != "", full), F.col("_bottom"), mid)
+def _combined(texts: DataFrame, mark: str) -> DataFrame:
+    """Longer of the full and the contrast pass, then every crop."""
+    d = passes_of(texts)
+    full, contrast = (F.coalesce(F.get(f"{n}_texts", F.lit(0)), F.lit("")) for n in ("full", "contrast"))
+    swap = F.length(contrast) > F.length(full)
+    best = F.when(swap, contrast).otherwise(full)
     used = F.concat_ws(
-        "+",
-        F.when(F.col("_full") != "", "full"),
-        F.when(F.col("_bottom").isNotNull(), "bottom_crop"),
-        F.when(swap, "contrast"),
-        F.when(mid.isNotNull(), "mid_crop"),
+        "+", F.when((full != "") & ~swap, "full"), F.when(swap, "contrast"),
+        F.when(F.size("bottom_texts") > 0, "bottom_crop"), F.when(F.size("mid_texts") > 0, "mid_crop"),
     )
-    rich = F.col("_rich")
     return d.select(
         "image_id",
-        F.when(rich, F.col("_full")).otherwise(combined).alias("text"),
-        F.when(rich | ~swap, F.col("_conf")).otherwise(F.col("contrast_conf")).alias("conf"),
-        F.when(rich, "full").otherwise(used).alias("used_variants"),
+        F.array_join(F.concat(F.filter(F.array(best), lambda t: t != ""), "bottom_texts", "mid_texts"), mark).alias("text"),
+        F.when(best == "", 0.0).when(swap, F.col("contrast_conf")).otherwise(F.col("full_conf")).alias("conf"),
+        used.alias("used_variants"),
     )
 
 
+def combine_upload(texts: DataFrame) -> DataFrame:
+    """All passes of an uploaded image, parted by blank lines."""
+    return _combined(texts, "\n\n").drop("used_variants")
+
+
+def combine_scan(texts: DataFrame) -> DataFrame:
+    """All passes of the product scan, parted by crop marks, with the passes used."""
+    return _combined(texts, CROP_MARK)
+
+
 def flag_signals(images: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Flag licence and declaration signals; text of the licence zone (image_id, zone_text) joins if it has one."""
     t = F.col("text")
@@ -156,26 +133,27 @@ def flag_signals(images: DataFrame, zones: DataFrame | None = None) -> DataFrame
     )
     if zones is None:
         return out
-    zone = F.col("zone_text")
-    joined = out.join(zones.groupBy("image_id").agg(F.max("zone_text").alias("zone_text")), "image_id", "left")
-    add = ~F.col("has_fssai_signal") & matches(zone, LICENCE_SIGNAL)
+    # zones in which a licence is seen; an image has few of them
+    seen = zones.filter(matches(F.col("zone_text"), LICENCE_SIGNAL)).groupBy("image_id").agg(F.sort_array(F.collect_set("zone_text")).alias("_zones"))
+    joined = out.join(seen, "image_id", "left")
+    add = ~F.col("has_fssai_signal") & F.col("_zones").isNotNull()
     return (
         joined.withColumn("_add", add)
-        .withColumn("text", F.when(F.col("_add"), F.concat(t, F.lit(ZONE_MARK), zone)).otherwise(t))
+        .withColumn("text", F.when(F.col("_add"), F.array_join(F.concat(F.array(t), "_zones"), ZONE_MARK)).otherwise(t))
         .withColumn("has_fssai_signal", F.col("has_fssai_signal") | F.col("_add"))
-        .drop("_add", "zone_text")
+        .drop("_add", "_zones")
     )
 
 
-def product_texts(images: DataFrame, max_images: int = 4) -> DataFrame:
-    """Texts of a product's first images joined, with confidence and licence position.
+def product_texts(images: DataFrame, max_images: int | None = None) -> DataFrame:
+    """Texts of a product's images joined in rank order, with confidence and licence position.
 
-    Input: ``product_id, rank, downloaded, text, conf, has_fssai_signal``.  The
-    top-k window keeps at most ``max_images`` rows per product before anything
-    is collected.
+    Input: ``product_id, rank, downloaded, text, conf, has_fssai_signal``, ranks from 0 on.  Only the
+    first ``max_images`` ranks take part if that is given.
     """
-    w = Window.partitionBy("product_id").orderBy("rank")
-    top = images.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_images)
+    top = images.withColumn("_rn", F.col("rank") + 1)
+    if max_images is not None:
+        top = top.filter(F.col("_rn") <= max_images)
     present = F.col("downloaded") & (F.col("text") != "")
     return top.groupBy("product_id").agg(
         F.array_join(
@@ -192,15 +170,14 @@ def product_texts(images: DataFrame, max_images: int = 4) -> DataFrame:
 
 
 def merge_barcodes(barcodes: DataFrame) -> DataFrame:
-    """First product barcode and first QR code (200 characters) of each product."""
+    """First product barcode and first QR code of each product."""
     code = F.col("type").isin(*BARCODE_TYPES)
     first = lambda cond: F.min(F.when(cond, F.struct("image_ord", "ord", "type", "value")))
     return (
         barcodes.groupBy("product_id")
         .agg(first(code).alias("b"), first(F.col("type") == "QRCODE").alias("q"))
         .select(
-            "product_id", F.col("b.value").alias("barcode"), F.col("b.type").alias("barcode_type"),
-            F.substring("q.value", 1, 200).alias("qr_code"),
+            "product_id", F.col("b.value").alias("barcode"), F.col("b.type").alias("barcode_type"), F.col("q.value").alias("qr_code"),
         )
     )
 
@@ -257,7 +234,7 @@ def label_texts(attributes: DataFrame, text: str = "text") -> DataFrame:
         labelled_line("Consumer Care Email", a("consumer_care_email")),
         labelled_line("Country of Origin", a("_coo")),
         F.concat(F.lit("FSSAI Licence No. "), a("fssai")),
-        labelled_line("Ingredients", F.substring("ingredients", 1, 600)),
+        labelled_line("Ingredients", a("ingredients")),
         labelled_line("Batch No.", a("batch_no")),
         F.when(
             F.size("_raw_lines") > 0, F.concat(F.lit("\n--- Extracted Text ---\n"), F.array_join("_raw_lines", "\n"))
@@ -275,5 +252,3 @@ def label_texts(attributes: DataFrame, text: str = "text") -> DataFrame:
     staged = prepared.select("*", lines.alias("extracted_text"), detected.alias("fields_detected"))
     return staged.withColumn("word_count", F.size(words(a("extracted_text")))).drop("_coo", "_raw_lines")
 
-
-_ = join_lines

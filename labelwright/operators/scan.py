@@ -47,7 +47,7 @@ FIELD_COLUMNS = (
 
 def infer_product_name(text: Column) -> Column:
     """Product name from a ``Product:``/``Brand:``/… line, NULL if there is none."""
-    return blank_to_null(F.substring(strip(F.regexp_extract(text, rx(PRODUCT_NAME), 1)), 1, 120))
+    return blank_to_null(strip(F.regexp_extract(text, rx(PRODUCT_NAME), 1)))
 
 
 def _pick(field: RuleField, index: Column, build) -> Column:
@@ -198,6 +198,9 @@ def scan_id(*parts: Column) -> Column:
 
 
 def with_scan_id(scans: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``scan_id``; ``record_id`` tells records with equal contents apart."""
+    if "record_id" not in scans.columns:
+        raise ValueError("a scan id needs record_id, the place of the record in its source")
     cols = [c for c in ("record_id", "source_type", "product_name", "category", "platform", text) if c in scans.columns]
     return scans.withColumn("scan_id", scan_id(*[F.col(c) for c in cols]))
 

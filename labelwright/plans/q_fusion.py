@@ -190,7 +190,7 @@ def write_scans(spark, sf_dir):
     from ..sources.sinks import write_scans as write
 
     path = _work_dir(spark)
-    write(order_scans(spark, sf_dir), path, mode="overwrite")
+    write(order_scans(spark, sf_dir), path, "orders")
     scans = spark.read.parquet(f"{path}/scans")
     fields = spark.read.parquet(f"{path}/field_results").groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
     return scans.join(fields, "scan_id").groupBy("status").agg(
@@ -205,14 +205,16 @@ def _order_stream(spark, sf_dir):
     return C.frame(spark, sf_dir, C.ORDER_LABELS, orders=stream)
 
 
-def _run(spark, df, mode: str):
-    name = f"labelwright_{uuid.uuid4().hex}"
-    query = (
-        df.writeStream.outputMode(mode).format("memory").queryName(name)
-        .option("checkpointLocation", _work_dir(spark)).trigger(availableNow=True).start()
-    )
+def _run(spark, df):
+    """Run a stream of complete results to its end; each batch replaces the table that is read back."""
+    path = _work_dir(spark)
+
+    def store(batch, _) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")
+
+    query = df.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
 @R.add(
@@ -223,7 +225,7 @@ def live_trends(spark, sf_dir):
     from ..streaming import live_trends as trends
 
     scanned = S.scan_labels(_order_stream(spark, sf_dir)).withColumn("scan_id", F.col("record_id"))
-    return _run(spark, trends(scanned), "complete")
+    return _run(spark, trends(scanned))
 
 
 @R.add(
@@ -235,7 +237,7 @@ def live_platforms(spark, sf_dir):
     from ..streaming import live_platforms as platforms
 
     scanned = S.scan_labels(_order_stream(spark, sf_dir)).withColumn("scan_id", F.col("record_id"))
-    return _run(spark, platforms(scanned), "complete")
+    return _run(spark, platforms(scanned))
 
 
 @R.add(

@@ -58,32 +58,23 @@ def image_text(spark, sf_dir):
     return texts(spark, sf_dir).withColumn("conf", F.round("conf", 6))
 
 
-_BEST = "CASE WHEN length(coalesce(contrast_text, '')) > length(coalesce(full_text, '')) THEN contrast_text ELSE coalesce(full_text, '') END"
+_SWAP = "length(coalesce(contrast_text, '')) > length(coalesce(full_text, ''))"
+_BEST = f"nullif(CASE WHEN {_SWAP} THEN contrast_text ELSE coalesce(full_text, '') END, '')"
 
 
-@R.add(
-    "ocr_02_upload_passes",
-    f"""SELECT image_id, concat_ws(chr(10) || chr(10), nullif({_BEST}, ''), CASE WHEN length(bottom_text) > 20 THEN bottom_text END,
-  CASE WHEN length(mid_text) > 20 THEN mid_text END) AS text,
-  round(CASE WHEN {_BEST} = '' THEN 0 WHEN length(coalesce(contrast_text, '')) > length(coalesce(full_text, '')) THEN contrast_conf ELSE full_conf END, 6) AS conf
-FROM ({_PIVOT}) p""",
-)
+def _passes(mark: str) -> str:
+    return f"""SELECT image_id, concat_ws({mark}, {_BEST}, nullif(bottom_text, ''), nullif(mid_text, '')) AS text,
+  CASE WHEN {_BEST} IS NULL THEN 0 WHEN {_SWAP} THEN contrast_conf ELSE full_conf END AS conf,
+  concat_ws('+', CASE WHEN coalesce(full_text, '') <> '' AND NOT ({_SWAP}) THEN 'full' END, CASE WHEN {_SWAP} THEN 'contrast' END,
+    CASE WHEN bottom_text <> '' THEN 'bottom_crop' END, CASE WHEN mid_text <> '' THEN 'mid_crop' END) AS used_variants FROM ({_PIVOT}) p"""
+
+
+@R.add("ocr_02_upload_passes", f"SELECT image_id, text, round(conf, 6) AS conf FROM ({_passes('chr(10) || chr(10)')}) z")
 def upload_passes(spark, sf_dir):
     return O.combine_upload(texts(spark, sf_dir)).withColumn("conf", F.round("conf", 6))
 
 
-_KS = q(re2(O.KEY_SIGNALS))
-_SCAN = f"""SELECT image_id, CASE WHEN rich THEN f ELSE concat_ws({q(O.CROP_MARK)}, nullif(CASE WHEN swap THEN contrast_text ELSE f END, ''), b,
-    CASE WHEN poor AND length(mid_text) > 30 THEN mid_text END) END AS text,
-  CASE WHEN rich OR NOT swap THEN fc ELSE contrast_conf END AS conf,
-  CASE WHEN rich THEN 'full' ELSE concat_ws('+', CASE WHEN f <> '' THEN 'full' END, CASE WHEN b IS NOT NULL THEN 'bottom_crop' END,
-    CASE WHEN swap THEN 'contrast' END, CASE WHEN poor AND length(mid_text) > 30 THEN 'mid_crop' END) END AS used_variants
-FROM (SELECT *, poor AND length(coalesce(contrast_text, '')) > length(f) AS swap FROM (
-  SELECT *, length(f) >= 200 AND len(regexp_extract_all(f, {_KS})) >= 3 AND fc >= 0.55 AS rich,
-    length(s) < 80 OR (len(regexp_extract_all(s, {_KS})) = 0 AND fc < 0.5) AS poor
-  FROM (SELECT *, f || chr(10) || coalesce(b, '') AS s FROM (
-    SELECT *, coalesce(full_text, '') AS f, CASE WHEN coalesce(full_text, '') <> '' THEN full_conf ELSE 0 END AS fc,
-      CASE WHEN length(bottom_text) > 30 THEN bottom_text END AS b FROM ({_PIVOT}) p) p1) p2) p3) p4"""
+_SCAN = _passes(q(O.CROP_MARK))
 
 
 @R.add("ocr_03_scan_passes", f"SELECT image_id, text, round(conf, 6) AS conf, used_variants FROM ({_SCAN}) z")
@@ -129,9 +120,8 @@ def product_images(spark, sf_dir):
     "ocr_05_product_texts",
     f"""SELECT product_id, coalesce(string_agg(CASE WHEN downloaded AND text <> '' THEN text END, chr(10) || chr(10) ORDER BY rank), '') AS combined_text,
   round(coalesce(avg(CASE WHEN downloaded AND text <> '' THEN conf END), 0), 3) AS avg_confidence, count(*) AS images_processed,
-  count(*) FILTER (WHERE downloaded) AS images_downloaded, min(CASE WHEN has_fssai_signal THEN rn - 1 END) AS fssai_found_in
-FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY rank) AS rn FROM (
-  SELECT *, {_PRODUCT}, CAST(image_id AS BIGINT) % 7 <> 3 AS downloaded FROM ({_FLAGGED}) f) g) h WHERE rn <= 4 GROUP BY product_id""",
+  count(*) FILTER (WHERE downloaded) AS images_downloaded, min(CASE WHEN has_fssai_signal THEN rank END) AS fssai_found_in
+FROM (SELECT *, {_PRODUCT}, CAST(image_id AS BIGINT) % 7 <> 3 AS downloaded FROM ({_FLAGGED}) f) h GROUP BY product_id""",
 )
 def product_texts(spark, sf_dir):
     return O.product_texts(product_images(spark, sf_dir))
@@ -139,7 +129,7 @@ def product_texts(spark, sf_dir):
 
 _CODES = """SELECT CAST(l_partkey AS STRING) AS product_id, l_linenumber AS image_ord, l_orderkey * 1000 + l_suppkey AS ord,
   CASE l_orderkey % 4 WHEN 0 THEN 'QRCODE' WHEN 1 THEN 'EAN13' WHEN 2 THEN 'CODE39' ELSE 'UPCA' END AS type,
-  CAST(8900000000000 + l_orderkey AS STRING) AS value FROM {lineitem} WHERE l_linenumber > 4"""
+  CAST(8900000000000 + l_orderkey AS STRING) AS value FROM {lineitem}"""
 
 
 @R.add(
@@ -185,7 +175,7 @@ _LABEL_SQL = f"""SELECT product_id, concat_ws(chr(10), {_line('Manufactured by',
   CASE WHEN pack <> name AND pack <> addr THEN {_line('Packed by', 'pack')} END, {_line('Imported by', 'imp')}, {_line('Net Quantity', 'net_quantity')},
   CASE WHEN num <> '' THEN 'MRP: Rs. ' || num END, {_line('Mfg. Date', 'mfg_date')}, {_line('Best Before', 'expiry_date')},
   {_line('Consumer Care', 'consumer_care_phone')}, {_line('Consumer Care Email', 'consumer_care_email')}, {_line('Country of Origin', 'coo')},
-  'FSSAI Licence No. ' || fssai, {_line('Ingredients', 'substr(ingredients, 1, 600)')}, {_line('Batch No.', 'batch_no')},
+  'FSSAI Licence No. ' || fssai, {_line('Ingredients', 'ingredients')}, {_line('Batch No.', 'batch_no')},
   CASE WHEN len(raw) > 0 THEN chr(10) || '--- Extracted Text ---' || chr(10) || array_to_string(raw, chr(10)) END) AS extracted_text
 FROM (SELECT *, {_PARTY} AS party, {_NAME} AS name, {_ADDR} AS addr, {_PACK} AS pack, {_IMP} AS imp, regexp_replace(mrp, '[^0-9.]', '', 'g') AS num,
   coalesce(country_of_origin, {infer_country(_KNOWN)}, {infer_country('text')}) AS coo, {_clean_sql('text', 4, '=-_*#|[]')} AS raw FROM ({_ATTR}) a0) a1"""
@@ -228,7 +218,7 @@ def schedule(spark, sf_dir):
     "fnt_03_verdicts",
     f"""SELECT i.image_id, coalesce(n, 0) AS word_count, coalesce(smallest, 0) AS smallest_mm, coalesce(average, 0) AS avg_mm, coalesce(bad, 0) AS non_compliant_count,
   CASE WHEN coalesce(n, 0) = 0 THEN 'REVIEW' WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS overall_status
-FROM ({IMAGES}) i LEFT JOIN (SELECT image_id, count(*) AS n, min(height_mm) AS smallest, {_dec('avg(height_mm)', 2)} AS average,
+FROM ({IMAGES}) i LEFT JOIN (SELECT image_id, count(*) AS n, min(height_mm) AS smallest, CAST(round_even(CAST(sum(CAST(round(height_mm * 100) AS BIGINT)) AS DECIMAL(38,12)) / count(*) / 100, 2) AS DOUBLE) AS average,
   count(*) FILTER (WHERE height_mm < min_required_mm) AS bad FROM ({_MEASURED}) m GROUP BY image_id) s ON i.image_id = s.image_id""",
 )
 def verdicts(spark, sf_dir):
@@ -238,7 +228,17 @@ def verdicts(spark, sf_dir):
     )
 
 
-@R.add("fnt_03_verdict_texts")
+_MM = lambda e: f"CAST(CAST({e} AS DOUBLE) AS STRING)"
+_VERDICT = f"""SELECT i.image_id, {_dec(f'CAST({_PXMM} AS DOUBLE)', 3)} AS px_per_mm,
+  CASE WHEN coalesce(n, 0) = 0 THEN 'No text detected in the image. Cannot assess font compliance.'
+    WHEN bad = 0 THEN 'All ' || n || ' detected text elements meet the minimum ' || {_MM(_MINMM)} || ' mm height required by Schedule II for a ' || {_MM('package_area_cm2')} || ' cm² package. Smallest detected: ' || {_MM('smallest')} || ' mm.'
+    ELSE bad || ' of ' || n || ' text elements are below the ' || {_MM(_MINMM)} || ' mm minimum (Schedule II). Smallest detected: ' || {_MM('smallest')} || ' mm. Non-compliant text: ' || named END AS verdict
+FROM ({IMAGES}) i LEFT JOIN (SELECT image_id, count(*) AS n, min(height_mm) AS smallest, count(*) FILTER (WHERE height_mm < min_required_mm) AS bad,
+  string_agg(CASE WHEN height_mm < min_required_mm THEN '"' || text || '"(' || {_MM('height_mm')} || 'mm)' END, ', ' ORDER BY ord, variant) AS named
+  FROM ({_MEASURED}) m GROUP BY image_id) s ON i.image_id = s.image_id"""
+
+
+@R.add("fnt_03_verdict_texts", _VERDICT)
 def verdict_texts(spark, sf_dir):
     i = images(spark, sf_dir)
     return T.font_verdicts(T.measure_words(detections(spark, sf_dir), i), i).select("image_id", "verdict", "px_per_mm")
@@ -252,10 +252,10 @@ _PCT = _dec("(pdp_area_cm2 / nullif(total_surface_cm2, 0) * 100)", 1)
     f"""SELECT image_id, CASE WHEN total_surface_cm2 > 0 THEN {_PCT} END AS pdp_percentage,
   CASE WHEN total_surface_cm2 > 0 THEN CASE WHEN {_PCT} >= 40 THEN 'PASS' ELSE 'FAIL' END END AS status,
   CASE WHEN total_surface_cm2 <= 0 THEN 'Total surface area must be > 0' END AS error
-FROM ({IMAGES}) i WHERE total_surface_cm2 IS NOT NULL""",
+FROM ({IMAGES}) i""",
 )
 def display_panel(spark, sf_dir):
-    d = images(spark, sf_dir).filter("total_surface_cm2 IS NOT NULL").select(
+    d = images(spark, sf_dir).select(
         "image_id", T.pdp_compliance(F.col("total_surface_cm2"), F.col("pdp_area_cm2")).alias("p")
     )
     return d.select("image_id", "p.pdp_percentage", "p.status", "p.error")

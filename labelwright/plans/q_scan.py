@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import scan as S
 from ..oracle import scan_sql as O
-from ..oracle.sqlx import cte, extract, has, nz, one_decimal, q, strip
+from ..oracle.sqlx import extract, has, nz, one_decimal, q, strip
 from ..rules import default_rules
+from ..session import ensure_checkpoint_dir
+from ..sources.sinks import write_scans
 from . import corpus as C
 from .registry import Registry
 
@@ -35,8 +39,21 @@ def order_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the scan tables that SNK-01 writes for the order labels; they are written once per session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{ensure_checkpoint_dir(spark)}/labelwright-scans-{uuid.uuid4().hex}"
+        write_scans(order_scans(spark, sf_dir), path, "orders")
+        _STORED[key] = path
+    return spark.read.parquet(f"{_STORED[key]}/{name}")
+
+
 def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.scan_rows(order_scans(spark, sf_dir))
+    return stored(spark, sf_dir, "scans").drop("batch")
 
 
 SCANS_SQL = f"""SELECT record_id AS scan_id, coalesce(product_name, 'Unknown') AS product_name,
@@ -96,7 +113,7 @@ def violations(spark, sf_dir):
 @R.add(
     "cmp_09_product_name",
     f"""SELECT record_id, coalesce({nz('product_name')},
-  {nz(f"substr({strip(extract('text', S.PRODUCT_NAME, 1))}, 1, 120)")}, 'Unknown') AS product_name FROM ({ORDERS}) z""",
+  {nz(strip(extract('text', S.PRODUCT_NAME, 1)))}, 'Unknown') AS product_name FROM ({ORDERS}) z""",
 )
 def product_name(spark, sf_dir):
     from ..sources.labels import label_records
@@ -215,8 +232,8 @@ def recent_scans(spark, sf_dir):
 
 
 def _joined(spark, sf_dir, severity=None, platform=None):
-    scans = order_scans(spark, sf_dir)
-    return A.violations_with_scans(S.violation_rows(scans), S.scan_rows(scans), severity, platform)
+    violations = stored(spark, sf_dir, "violations").drop("batch")
+    return A.violations_with_scans(violations, scan_table(spark, sf_dir).drop("scan_date"), severity, platform)
 
 
 @R.add(
@@ -288,11 +305,10 @@ def severity_of_results(spark, sf_dir):
 FROM (SELECT record_id AS scan_id, * FROM ({O.field_table(ORDERS)}) y) z GROUP BY scan_id""",
 )
 def nested(spark, sf_dir):
-    scans = order_scans(spark, sf_dir)
     full = S.nested_scans(
-        scans.select("scan_id"),
-        S.field_rows(scans).select("scan_id", "field_id", "status"),
-        S.violation_rows(scans).select("scan_id", "field_id", "severity"),
+        scan_table(spark, sf_dir).select("scan_id"),
+        stored(spark, sf_dir, "field_results").select("scan_id", "field_id", "status"),
+        stored(spark, sf_dir, "violations").select("scan_id", "field_id", "severity"),
     )
     return full.select(
         "scan_id",
@@ -308,5 +324,3 @@ def nested(spark, sf_dir):
 def batch_result(spark, sf_dir):
     return S.batch_result(scan_table(spark, sf_dir))
 
-
-_ = cte

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import field_rows, scan_rows, violation_rows, with_scan_id
@@ -10,19 +11,43 @@ from ..operators.scan import field_rows, scan_rows, violation_rows, with_scan_id
 TABLES = ("scans", "field_results", "violations")
 
 
-def write_scans(scanned: DataFrame, path: str, mode: str = "append", text: str = "text", part: str = "") -> None:
-    """Persist a scanned batch as three Parquet tables below ``path`` (in folder ``part`` of each, if given).
+def read_scans(spark: SparkSession, path: str, table: str = "scans") -> DataFrame | None:
+    """One of the scan tables below ``path``; None if nothing has been written yet."""
+    try:
+        return spark.read.parquet(f"{path}/{table}")
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
-    Ids are hashes of the record, so running a batch again gives the same rows.
-    ``scans`` is laid out by scan date, which the trend report prunes on.
+
+def unseen(records: DataFrame, path: str, batch: str) -> DataFrame:
+    """Records (scan_id, ...) that no other batch below ``path`` holds; each id once."""
+    fresh = records.dropDuplicates(["scan_id"])
+    known = read_scans(records.sparkSession, path)
+    if known is None:
+        return fresh
+    return fresh.join(known.filter(F.col("batch") != batch).select("scan_id"), "scan_id", "left_anti")
+
+
+def write_scans(scanned: DataFrame, path: str, batch: str, text: str = "text") -> None:
+    """Persist a scanned batch as Parquet tables below ``path``, each in a folder named after the batch.
+
+    The scan runs once, into the nested table; the three flat tables are derived from what was written and so
+    share its times.  Writing a batch again replaces its own rows only.  ``scans`` comes last, laid
+    out by scan date, which the trend report prunes on.
     """
+    spark = scanned.sparkSession
     out = scanned if "scan_id" in scanned.columns else with_scan_id(scanned, text)
     if "created_at" not in out.columns:
         out = out.withColumn("created_at", F.current_timestamp())
-    scans = scan_rows(out, text).withColumn("scan_date", F.to_date("created_at"))
-    scans.write.mode(mode).partitionBy("scan_date").parquet(f"{path}/scans{part}")
-    field_rows(out).write.mode(mode).parquet(f"{path}/field_results{part}")
-    violation_rows(out).write.mode(mode).parquet(f"{path}/violations{part}")
+    nested = f"{path}/nested_scans/batch={batch}"
+    out.write.mode("overwrite").parquet(nested)
+    kept = spark.read.schema(out.schema).parquet(nested)
+    field_rows(kept).write.mode("overwrite").parquet(f"{path}/field_results/batch={batch}")
+    violation_rows(kept).write.mode("overwrite").parquet(f"{path}/violations/batch={batch}")
+    scans = scan_rows(kept, text).withColumn("scan_date", F.to_date("created_at"))
+    scans.write.mode("overwrite").partitionBy("scan_date").parquet(f"{path}/scans/batch={batch}")
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "overwrite") -> None:

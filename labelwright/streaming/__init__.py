@@ -1,5 +1,5 @@
 """Continuous scanning and live trends."""
 
-from .jobs import dedupe_stream, live_platforms, live_trends, read_labels, scan_stream, write_scan_stream
+from .jobs import live_platforms, live_trends, read_labels, scan_stream, write_scan_stream
 
-__all__ = ["dedupe_stream", "live_platforms", "live_trends", "read_labels", "scan_stream", "write_scan_stream"]
+__all__ = ["live_platforms", "live_trends", "read_labels", "scan_stream", "write_scan_stream"]
