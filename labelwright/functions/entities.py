@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .normalize import clean_entity_text, clean_licence
-from .text import any_of, bind, first_match, matches, rx, strip
+from .text import bind, first_match, matches, rx, strip
 
 # Party headings with the roles each one announces, most specific first.  The block that
 # follows runs to a blank line (or to the end of the line for the four line-anchored headings).
@@ -49,7 +49,7 @@ _STOP = (
     r"(?=\n\n|\nALLERGEN|\nNUTRITION|\nSTORAGE|\nCALORIES?|\nENERGY\s*[:\-]?"
     r"|\nTOTAL\s+(?:FAT|CARB|PROTEIN)|\nAMOUNT\s+PER|$)"
 )
-_LIST = r"\s*[:\-.]?\s*(.{20,2000}?)" + _STOP
+_LIST = r"\s*[:\-.]?\s*(.{20,}?)" + _STOP
 PATTERNS = {
     "net_quantity": [
         (r"NET\s*(?:WEIGHT|WT\.?|QUANTITY|QTY\.?|CONTENT|VOL(?:UME)?)\s*[:\-]?\s*([\d.,]+\s*(?:kg|g|gm|gms|L|litre|liter|ml|oz|lb))", "i"),
@@ -104,12 +104,12 @@ PATTERNS = {
         (r"CONTAINS\s*[:\-]\s*([A-Za-z][A-Za-z\s,()%\d.]{39,}?)" + _STOP, "is"),
     ],
     "allergen_info": [
-        (r"ALLERGEN\s*(?:INFORMATION|INFO\.?)?\s*[:\-]?\s*(.{5,300}?)(?=\n\n|\nSTORAGE|\nNUTRITION|$)", "is"),
+        (r"ALLERGEN\s*(?:INFORMATION|INFO\.?)?\s*[:\-]?\s*(.{5,}?)(?=\n\n|\nSTORAGE|\nNUTRITION|$)", "is"),
         (r"(?:Contains|Allergy\s*Advice)\s*[:\-]\s*(.{5,200}?)(?:\.|$|\n)", "i"),
         (r"(?:May\s+Contain|Contains\s+traces?\s+of)\s*[:\-]?\s*(.{5,150}?)(?:\.|$|\n)", "i"),
     ],
     "storage_instructions": [
-        (r"STORAGE\s*(?:INSTRUCTIONS?|CONDITIONS?|INFO\.?)?\s*[:\-]?\s*(.{5,300}?)(?=\n\n|\nNUTRITION|\nALLERGEN|$)", "is"),
+        (r"STORAGE\s*(?:INSTRUCTIONS?|CONDITIONS?|INFO\.?)?\s*[:\-]?\s*(.{5,}?)(?=\n\n|\nNUTRITION|\nALLERGEN|$)", "is"),
         (r"(?:Store|Keep)\s+(?:in|at|away)\s+(.{5,150}?)(?:\.|$|\n)", "i"),
     ],
     "consumer_care_raw": [
@@ -124,9 +124,6 @@ NON_VEG = r"\bnon[\s\-]?vegetarian\b|\bnon[\s\-]?veg\b"
 VEG = r"\bvegetarian\b|\bpure\s*veg\b|\bveg\b"
 TRUNCATED = r"(?:,\s*$|\band\s*$|\(\s*$|\d+\.?\d*\s*%?\s*$|\d+\s*$)"
 
-# Attributes whose text is cut, and to how many characters.
-MAX_LENGTH = {"allergen_info": 300, "storage_instructions": 200}
-
 # Fall-back patterns over combined web or package text: (pattern, group, flags).
 FALLBACK_FIELDS = {
     "country_of_origin": (r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z\s]{3,30})(?:\n|$|\||\,)", 1, "i"),
@@ -146,7 +143,6 @@ DECLARATIONS = [
     r"(?:All\s+weights[^\n.]{5,100})",
     r"(?:Weigh\s+before\s+buying[^\n.]{0,60})",
 ]
-MAX_DECLARATIONS = 5
 
 # Presence patterns of the six critical fields, in report order.
 CRITICAL_PATTERNS = {
@@ -170,9 +166,7 @@ def party_block(text: Column, i: int) -> Column:
 
 def first_attribute(text: Column, name: str) -> Column:
     """Cleaned value of the first matching pattern of an attribute; NULL or blank if none."""
-    cleaned = clean_entity_text(first_match(text, PATTERNS[name]))
-    limit = MAX_LENGTH.get(name)
-    return clean_entity_text(cleaned, limit) if limit else cleaned
+    return clean_entity_text(first_match(text, PATTERNS[name]))
 
 
 def licence_number(text: Column) -> Column:
@@ -217,14 +211,12 @@ def ingredients_complete(text: Column) -> Column:
 
 
 def declarations(text: Column) -> Column:
-    """Legal declarations found in the text, in pattern order, at most five."""
+    """Legal declarations found in the text, in pattern order."""
     hits = F.array(*[strip(F.regexp_extract(text, rx(p), 0)) for p in DECLARATIONS])
-    return F.slice(F.filter(hits, lambda h: h != ""), 1, MAX_DECLARATIONS)
+    return F.filter(hits, lambda h: h != "")
 
 
 def fallback_field(text: Column, name: str) -> Column:
     pattern, group, flags = FALLBACK_FIELDS[name]
     return strip(F.regexp_extract(text, rx(pattern, flags), group))
 
-
-_ = any_of

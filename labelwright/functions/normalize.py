@@ -220,10 +220,10 @@ def compare_prices(website: Column, package: Column) -> Column:
     )
 
 
-def clean_entity_text(raw: Column, max_len: int = 400) -> Column:
-    """Squeeze white space and cut to the length an attribute may have."""
+def clean_entity_text(raw: Column) -> Column:
+    """Squeeze white space."""
     squeezed = replace_all(replace_all(strip(raw), r"\s{3,}", "\n", ""), r"[ \t]{2,}", " ", "")
-    return strip(F.substring(squeezed, 1, max_len))
+    return strip(squeezed)
 
 
 def clean_licence(raw: Column) -> Column:

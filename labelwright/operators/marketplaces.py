@@ -3,7 +3,7 @@
 A field is a list of sources tried in order.  Sources are plain tuples so that a
 deployment can extend a marketplace without touching the extraction job:
 
-``("rows", keys, cut)``        first of these table keys, cut to a length
+``("rows", keys)``             first of these table keys
 ``("licence_rows", keys)``     first of these keys that holds a 14-digit licence number
 ``("number_rows", keys)``      first number in the first of these keys
 ``("text", pattern, flags)``   group 1 in the page corpus
@@ -91,8 +91,6 @@ SPEC_CLASSES = (
 SECTION_WORDS = ["manufacturer", "fssai", "country of origin", "net quantity"]
 STATE_PREFIXES = r"(?:window\.__PRELOADED_STATE__|window\.pageDataV4|window\._fn)\s*=\s*(\{.*\})"
 CLEAN_TAGS = ["script", "style", "nav", "footer", "header", "aside", "noscript"]
-MAX_BULLETS = 8
-MAX_PARAGRAPHS = 20
 
 # Text patterns shared by the marketplaces.
 _COO_TAIL = r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\s{2,}|\||$|\n)"
@@ -113,18 +111,18 @@ _LICENCE_KEYS = ["FSSAI Lic. No", "FSSAI", "FSSAI Licence No", "FSSAI License No
 FIELDS: dict[str, dict[str, list[tuple]]] = {
     "amazon": {
         "product_name": [("column", "title")],
-        "brand": [("rows", ["Brand", "Item model number"], 100)],
-        "manufacturer_raw": [("rows", ["Manufacturer", "Manufacturer Contact Information", "Brand Contact"], 300),
+        "brand": [("rows", ["Brand", "Item model number"])],
+        "manufacturer_raw": [("rows", ["Manufacturer", "Manufacturer Contact Information", "Brand Contact"]),
                              ("column", "bullet_manufacturer")],
-        "packer_raw": [("rows", ["Packer Contact Information", "Packer", "Packer Contact"], 300), ("column", "bullet_packer")],
-        "importer_raw": [("rows", ["Importer", "Importer Contact Information"], 300)],
+        "packer_raw": [("rows", ["Packer Contact Information", "Packer", "Packer Contact"]), ("column", "bullet_packer")],
+        "importer_raw": [("rows", ["Importer", "Importer Contact Information"])],
         "country_of_origin": [
-            ("rows", ["Country of Origin", "Country Of Origin", "Origin", "Made in"], 50),
+            ("rows", ["Country of Origin", "Country Of Origin", "Origin", "Made in"]),
             ("text", r"Country\s+of\s+Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\s{2,}|\||$|\n)", "i"),
             ("column", "bullet_country"),
         ],
-        "net_quantity": [("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count"], 60)],
-        "best_before": [("rows", ["Best Before", "Shelf Life", "Expiry"], 80), ("text", _SHELF % 60, "i")],
+        "net_quantity": [("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count"])],
+        "best_before": [("rows", ["Best Before", "Shelf Life", "Expiry"]), ("text", _SHELF % 60, "i")],
         "fssai": [("licence_rows", ["FSSAI Lic. No", "FSSAI", "FSSAI Licence No", "Fssai Lic No"]),
                   ("text", _FSSAI_NEAR, "i"), ("text", _FSSAI_BARE, "")],
         "mrp": [("plain", r"M\.?R\.?P\.?\s*[:\s₹Rs.]*\s*([\d,]+\.?\d{0,2})", "i")],
@@ -137,18 +135,18 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "product_name": [("column", "title")],
         "manufacturer_raw": [
             ("rows", ["Manufacturer", "Marketed by", "Manufactured by", "Manufacturer Name", "Manufacturer Details",
-                      "Packer", "Packed by", "Importer"], 300),
+                      "Packer", "Packed by", "Importer"]),
             ("text", r"(?:Manufactured|Marketed|Packed|Imported)\s*(?:and\s+\w+\s*)?[Bb]y\s*[:\-]?\s*([^\n]{5,150})", ""),
         ],
-        "packer_raw": [("rows", ["Packer", "Packed by", "Packer Contact Information"], 300)],
-        "importer_raw": [("rows", ["Importer", "Imported by", "Importer Details"], 300)],
+        "packer_raw": [("rows", ["Packer", "Packed by", "Packer Contact Information"])],
+        "importer_raw": [("rows", ["Importer", "Imported by", "Importer Details"])],
         "net_quantity": [
-            ("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count", "Net Vol", "Net Volume"], 80),
+            ("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count", "Net Vol", "Net Volume"]),
             ("text", _QTY, "i"),
         ],
-        "country_of_origin": [("rows", ["Country of Origin", "Country Of Origin", "Origin", "Made In"], 50), ("text", _COO_TAIL, "i")],
+        "country_of_origin": [("rows", ["Country of Origin", "Country Of Origin", "Origin", "Made In"]), ("text", _COO_TAIL, "i")],
         "fssai": [("licence_rows", _LICENCE_KEYS), ("text", _FSSAI_NEAR, "i"), ("text", _FSSAI_BARE, "")],
-        "best_before": [("rows", ["Best Before", "Shelf Life", "Expiry", "Best Before (From Mfg Date)"], 80), ("text", _SHELF % 80, "i")],
+        "best_before": [("rows", ["Best Before", "Shelf Life", "Expiry", "Best Before (From Mfg Date)"]), ("text", _SHELF % 80, "i")],
         "mrp": [("plain", r"M\.?R\.?P\.?\s*[:\s]*(?:Rs\.?|INR)?\s*([\d,]+\.?\d{0,2})", "i")],
         "mfg_date": [("text", _MFG, "i")],
         "consumer_care_phone": [("whole", _PHONE, "")],
@@ -162,15 +160,15 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
             ("column", "named_manufacturer"),
             ("text", r"(?:Manufacturer(?:\s+Name)?|Manufactured\s+by|Marketed\s+by|Packed\s+by)\s*[:\-]?\s*([^\n]{5,150})", ""),
         ],
-        "packer_raw": [("rows", ["Packer", "Packed by", "Packer Name"], 300)],
-        "importer_raw": [("rows", ["Importer", "Imported by", "Importer Name"], 300)],
+        "packer_raw": [("rows", ["Packer", "Packed by", "Packer Name"])],
+        "importer_raw": [("rows", ["Importer", "Imported by", "Importer Name"])],
         "net_quantity": [
-            ("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count", "Net Vol", "Net Volume", "Qty"], 80),
+            ("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count", "Net Vol", "Net Volume", "Qty"]),
             ("text", _QTY, "i"),
         ],
-        "country_of_origin": [("rows", ["Country of Origin", "Country Of Origin", "Origin", "Made In"], 50), ("text", _COO_TAIL, "i")],
+        "country_of_origin": [("rows", ["Country of Origin", "Country Of Origin", "Origin", "Made In"]), ("text", _COO_TAIL, "i")],
         "fssai": [("licence_rows", _LICENCE_KEYS + ["FSSAI Lic No", "Licence No"]), ("text", _FSSAI_NEAR, "i"), ("text", _FSSAI_BARE, "")],
-        "best_before": [("rows", ["Best Before", "Shelf Life", "Expiry", "Best Before (From Mfg Date)", "Best Before Date"], 80),
+        "best_before": [("rows", ["Best Before", "Shelf Life", "Expiry", "Best Before (From Mfg Date)", "Best Before Date"]),
                         ("text", _SHELF % 80, "i")],
         "mrp": [
             ("number_rows", ["MRP", "Maximum Retail Price", "Price", "Selling Price"]),
@@ -209,11 +207,11 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "product_name": [("column", "title"), ("column", "next_name"), ("column", "ld_name")],
         "brand": [("column", "next_brand")],
         "manufacturer_raw": [
-            ("rows", ["Manufacturer", "Marketed by", "Manufactured by", "Packer", "Manufacturer Name"], 300),
+            ("rows", ["Manufacturer", "Marketed by", "Manufactured by", "Packer", "Manufacturer Name"]),
             ("text", r"(?:Manufactured|Marketed|Packed|Processed)\s*(?:and\s+\w+\s*)*[Bb]y\s*[:\-]?\s*([^\n\.]{5,120})", ""),
         ],
-        "net_quantity": [("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count"], 80), ("text", _QTY, "i")],
-        "country_of_origin": [("rows", ["Country of Origin", "Country Of Origin", "Made In"], 50),
+        "net_quantity": [("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count"]), ("text", _QTY, "i")],
+        "country_of_origin": [("rows", ["Country of Origin", "Country Of Origin", "Made In"]),
                               ("text", r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z\s]{3,30})(?:\n|$|\||,)", "i")],
         "mrp": [("plain", _MRP, "i"), ("column", "next_mrp"), ("column", "ld_price"), ("sane_price", _RUPEE)],
         "fssai": [("text", r"(?:fssai|lic(?:ence|ense)?\s*no)[^0-9]{0,30}([1-9]\d{13})", "i"), ("text", _FSSAI_BARE, "")],
@@ -236,7 +234,7 @@ DETAIL_ROUTES = [
     ("allergen_info", "allergen"), ("storage_instructions", "storage"),
     ("net_quantity", "net.*(?:weight|qty|quantity)|(?:weight|qty|quantity).*net"),
 ]
-PRODUCT_DETAILS = r'"productDetails"\s*:\s*(\[.{0,4000}?\])\s*,\s*"(?:styleId|productId|brand|name)"'
+PRODUCT_DETAILS = r'"productDetails"\s*:\s*(\[.*?\])\s*,\s*"(?:styleId|productId|brand|name)"'
 SIZE_QUANTITY = r"^(\d+(?:\.\d+)?)\s*(g|gm|gram|kg|ml|l|litre|liter|count|pc|tab)"
 BULLET_MANUFACTURER = ["mfg.", "manufactured by", "mkt. by", "marketed by"]
 BULLET_COUNTRY = r"(?:made in|country of origin)[:\s]+([A-Za-z]{3,30})"

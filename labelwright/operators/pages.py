@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.normalize import collapse_newlines
-from ..functions.text import any_of, bind, blank_to_null, matches, replace_all, rx, strip, strip_to_null
+from ..functions.text import any_of, bind, blank_to_null, replace_all, rx, strip, strip_to_null
 from . import marketplaces as M
 
 LICENCE = r"[1-9]\d{13}"
@@ -166,17 +166,19 @@ def state_text(html: Column) -> Column:
         body = strip(script)
         found = F.regexp_extract(body, rx(M.STATE_PREFIXES, "s"), 1)
         return (
-            F.when(F.length(body) < 100, "")
-            .when(found != "", found)
-            .when(body.startswith("{") & (F.length(body) > 200), body)
+            F.when(found != "", found)
+            .when(body.startswith("{"), body)
             .otherwise("")
         )
 
-    token = r'"([^"\\]*(?:\\.[^"\\]*)*)"|-?\d+(?:\.\d+)?'
+    # both escapes become one control character each, so that a string is a flat class of characters
+    token = r'"[^"]*"|-?\d+(?:\.\d+)?'
+    masked = lambda b: F.replace(F.replace(b, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    shown = lambda t: F.replace(F.replace(t, F.lit("\x01"), F.lit("\\\\")), F.lit("\x02"), F.lit('\\"'))
     scripts = F.regexp_extract_all(html, F.lit(rx(H.SCRIPT, "is")), F.lit(1))
     blobs = F.filter(F.transform(scripts, blob), lambda b: (b != "") & F.try_parse_json(b).isNotNull())
-    tokens = F.flatten(F.transform(blobs, lambda b: F.regexp_extract_all(b, F.lit(token), F.lit(0))))
-    return F.array_join(F.transform(tokens, lambda t: F.replace(F.btrim(t, F.lit('"')), F.lit("\\/"), F.lit("/"))), " ")
+    tokens = F.flatten(F.transform(blobs, lambda b: F.regexp_extract_all(masked(b), F.lit(token), F.lit(0))))
+    return F.array_join(F.transform(tokens, lambda t: F.replace(shown(F.btrim(t, F.lit('"'))), F.lit("\\/"), F.lit("/"))), " ")
 
 
 def spec_texts(html: Column) -> Column:
@@ -184,30 +186,26 @@ def spec_texts(html: Column) -> Column:
     block = rf"<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:{M.SPEC_CLASSES})[^\"']*[\"'][^>]*>(.*?)</div\s*>"
     sect = r"<(?:section|article)\b[^>]*>(.*?)</(?:section|article)\s*>"
 
-    def texts(pattern: str, words: list[str], cut: int) -> Column:
+    def texts(pattern: str, words: list[str]) -> Column:
         found = F.transform(
             F.regexp_extract_all(html, F.lit(rx(pattern, "is")), F.lit(1)), lambda b: H.node_text(b, "\n")
         )
-        return F.transform(F.filter(found, lambda t: F.lower(t).rlike(any_of(words))), lambda t: F.substring(t, 1, cut))
+        return F.transform(F.filter(found, lambda t: F.lower(t).rlike(any_of(words))), lambda t: t)
 
     return F.array_join(
-        F.concat(texts(block, M.COMPLIANCE_KEYS["flipkart"], 600), texts(sect, M.SECTION_WORDS, 800)), "\n"
+        F.concat(texts(block, M.COMPLIANCE_KEYS["flipkart"]), texts(sect, M.SECTION_WORDS)), "\n"
     )
 
 
 def compliance_paragraphs(html: Column) -> Column:
-    """Up to twenty short blocks that mention a declaration, in page order.
+    """Blocks that mention a declaration, in page order.
 
     Blocks end at the first closing tag, so of nested blocks the innermost text is seen once.
     """
     clean = H.without(html, M.CLEAN_TAGS)
     block = r"<(?:p|li|div|span)\b[^>]*>(.*?)</(?:p|li|div|span)\s*>"
     texts = F.transform(F.regexp_extract_all(clean, F.lit(rx(block, "is")), F.lit(1)), H.node_text_item)
-    relevant = F.filter(
-        texts,
-        lambda t: F.length(t).between(20, 600) & F.lower(t).rlike(any_of(M.COMPLIANCE_KEYS["generic"])),
-    )
-    return F.slice(relevant, 1, M.MAX_PARAGRAPHS)
+    return F.filter(texts, lambda t: F.lower(t).rlike(any_of(M.COMPLIANCE_KEYS["generic"])))
 
 
 def next_data(html: Column) -> Column:
@@ -291,16 +289,14 @@ def _typed_docs() -> Column:
 
 
 def _bullet_with(words: list[str]) -> Column:
-    return F.substring(
-        F.get(F.filter("_bullets", lambda b: F.lower(b).rlike(any_of(words))), F.lit(0)), 1, 300
-    )
+    return F.get(F.filter("_bullets", lambda b: F.lower(b).rlike(any_of(words))), F.lit(0))
 
 
 def _source(step: tuple) -> Column:
     kind = step[0]
     rows, corpus, html = F.col("_rows"), F.col("_corpus"), F.col("html")
     if kind == "rows":
-        return bind(rows, lambda r: strip_to_null(F.substring(strip(H.first_row_value(r, step[1])), 1, step[2])))
+        return bind(rows, lambda r: strip_to_null(strip(H.first_row_value(r, step[1]))))
     if kind == "licence_rows":
         return bind(
             rows,
@@ -356,7 +352,7 @@ def _record_columns() -> list[list[Column]]:
         F.when(adapter.isin("meesho", "generic"), next_data(html)).alias("_next"),
         F.when(
             adapter == "amazon",
-            F.slice(H.items(F.coalesce(H.section(html, "feature-bullets", "ul"), F.lit(""))), 1, M.MAX_BULLETS),
+            H.items(F.coalesce(H.section(html, "feature-bullets", "ul"), F.lit(""))),
         ).alias("_bullets"),
         F.when(
             adapter == "amazon",
@@ -412,7 +408,7 @@ def _record_columns() -> list[list[Column]]:
             own = shared if "Name" in k else F.coalesce(H.row_value(rows, f"{k} Address"), shared)
             extra = F.when(~val.contains(own), F.concat(F.lit(", "), own))
             arms.append(F.concat(val, F.coalesce(extra, F.lit(""))))
-        return F.substring(F.coalesce(*arms), 1, 300)
+        return F.coalesce(*arms)
 
     size = strip(F.regexp_extract(html, rx(r'"brandSize"\s*:\s*"([^"]{1,50})"', ""), 1))
     stated = F.regexp_extract(html, rx(r'"countryOfOrigin"\s*:\s*"([^"]{2,50})"', ""), 1)
@@ -421,14 +417,14 @@ def _record_columns() -> list[list[Column]]:
         F.coalesce(*[F.when(adapter == a, _title(a)) for a in M.ADAPTERS]).alias("_title"),
         F.when(adapter.isin("jiomart", "generic"), doc("$.name")).alias("_ld_name"),
         F.when(adapter == "jiomart", bind(_typed_docs(), lambda d: F.get(F.transform(d, _brand), F.lit(0)))).alias("_ld_brand"),
-        F.when(adapter == "jiomart", F.substring(doc("$.description"), 1, 400)).alias("_ld_description"),
+        F.when(adapter == "jiomart", doc("$.description")).alias("_ld_description"),
         F.when(adapter.isin("jiomart", "generic"), bind(F.col("_docs"), lambda d: _first_of(d, "$.offers.price"))).alias("_ld_price"),
         F.coalesce(
             next_value(r'"productName"\s*:\s*"([^"]+)"', "name"), next_value(r'"name"\s*:\s*"([^"]{6,})"', "name")
         ).alias("_next_name"),
         next_value(r'"brand"\s*:\s*"([^"]+)"', "brand", last=True).alias("_next_brand"),
         next_value(r'"mrp"\s*:\s*"?([^",}\]]+)', "mrp", last=True).alias("_next_mrp"),
-        F.when(adapter == "meesho", F.substring(next_value(r'"description"\s*:\s*"([^"]+)"', "description"), 1, 400)).alias("_next_description"),
+        F.when(adapter == "meesho", next_value(r'"description"\s*:\s*"([^"]+)"', "description")).alias("_next_description"),
         F.when(adapter == "amazon", _bullet_with(M.BULLET_MANUFACTURER)).alias("_bullet_manufacturer"),
         F.when(adapter == "amazon", _bullet_with(["packed by"])).alias("_bullet_packer"),
         F.when(
@@ -443,13 +439,11 @@ def _record_columns() -> list[list[Column]]:
         ).alias("_bullet_country"),
         F.when(
             adapter == "amazon",
-            F.substring(H.node_text(F.coalesce(H.section(html, "productDescription", "div"), F.lit("")), "\n"), 1, 600),
+            H.node_text(F.coalesce(H.section(html, "productDescription", "div"), F.lit("")), "\n"),
         ).alias("_description_block"),
         F.when(
             adapter == "amazon",
-            F.substring(
-                H.node_text(F.coalesce(*[H.section(html, i, "div") for i in M.PRICE_IDS], F.lit(""))), 1, 200
-            ),
+            H.node_text(F.coalesce(*[H.section(html, i, "div") for i in M.PRICE_IDS], F.lit(""))),
         ).alias("_price_block_text"),
         F.when(adapter == "jiomart", bind(F.col("_rows"), named_manufacturer)).alias("_named_manufacturer"),
         F.when(adapter == "myntra", titled_name(html)).alias("_titled_name"),
@@ -496,7 +490,7 @@ def _record_columns() -> list[list[Column]]:
             ).alias(f)
             for f in RECORD_ORDER
         ],
-        H.rows_to_map(F.transform(rows_of, lambda r: F.struct(r["key"].alias("key"), F.substring(r["value"], 1, 300).alias("value")))).alias("page_rows"),
+        H.rows_to_map(F.transform(rows_of, lambda r: F.struct(r["key"].alias("key"), r["value"].alias("value")))).alias("page_rows"),
         F.coalesce("_bullets", F.array().cast("array<string>")).alias("feature_bullets"),
         F.when(adapter == "generic", F.array_join(compliance_paragraphs(html), "\n")).alias("compliance_text"),
         F.col("_text").alias("page_text"),
@@ -571,13 +565,9 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
         .alias("_name"),
         F.when(
             amazon,
-            F.substring(
-                F.coalesce(
+            F.coalesce(
                     blank_to_null(H.node_text(price_id)), F.when(mrp != "", F.concat(F.lit("MRP: Rs. "), mrp))
                 ),
-                1,
-                200,
-            ),
         ).alias("_price"),
     )
     rows = bind(F.col("_all"), lambda r: F.map_entries(H.rows_to_map(r)))
@@ -593,7 +583,7 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
     lines = F.transform(
         F.filter(rows, lambda e: relevant(e["key"])),
         lambda e: F.concat(
-            e["key"], F.lit(": "), F.when(amazon, F.substring(e["value"], 1, 300)).otherwise(e["value"])
+            e["key"], F.lit(": "), F.when(amazon, e["value"]).otherwise(e["value"])
         ),
     )
     clean = H.without(html, M.CLEAN_TAGS[:6])
@@ -622,7 +612,7 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
     blank_free = lambda *parts: F.array_join(F.filter(F.concat(*parts), lambda p: p != ""), "\n\n")
     name = F.array(F.coalesce("_name", F.lit("")))
     body = (
-        F.when(amazon, F.when(F.length(listing) < 200, H.node_text(clean, "\n")).otherwise(listing))
+        F.when(amazon, F.when(F.col("_name").isNull() & (F.size(lines) == 0) & F.col("_price").isNull(), H.node_text(clean, "\n")).otherwise(listing))
         .when(flipkart, blank_free(name, lines, blocks))
         .otherwise(blank_free(name, lines, F.array(page_text)))
     )
@@ -636,4 +626,3 @@ __all__ = [
     "extract_pages", "structured_data", "listing_texts", "page_table", "is_relevant_key", "spec_pairs", "state_text",
     "spec_texts", "compliance_paragraphs", "next_data", "product_details", "titled_name",
 ]
-_ = matches

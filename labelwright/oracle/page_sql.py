@@ -121,7 +121,7 @@ def relevant(adapter_name: str, key: str) -> str:
 def source(step: tuple, named: dict[str, str]) -> str:
     kind = step[0]
     if kind == "rows":
-        return nz(strip(f"substr({strip('coalesce(' + ', '.join(row_value(k) for k in step[1]) + ')')}, 1, {step[2]})"))
+        return nz(strip('coalesce(' + ', '.join(row_value(k) for k in step[1]) + ')'))
     if kind == "licence_rows":
         return "coalesce(" + ", ".join(nz(extract(replace_all(row_value(k), r"\s", "", ""), r"[1-9]\d{13}", 0, "")) for k in step[1]) + ")"
     if kind == "number_rows":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.normalize import CANONICAL_UNITS, MONTHS, UNIT_ALIASES
 from ..operators import scan as S
 from ..rules import RuleSet, default_rules
-from .sqlx import case, extract, has, lookup, nz, one_decimal, q, re2, replace_all, strip
+from .sqlx import case, extract, has, lookup, nz, one_decimal, q, replace_all, strip
 
 
 def label_price(e: str) -> str:
@@ -153,10 +153,9 @@ def clean_licence(e: str) -> str:
     return f"CASE WHEN length({bare}) = 14 AND regexp_matches({bare}, '^[1-9]') THEN {bare} END"
 
 
-def clean_entity_text(e: str, n: int = 400) -> str:
+def clean_entity_text(e: str) -> str:
     squeezed = replace_all(replace_all(strip(e), r"\s{3,}", "\n", ""), r"[ \t]{2,}", " ", "")
-    return strip(f"substr({squeezed}, 1, {n})")
+    return strip(squeezed)
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
-_ = re2

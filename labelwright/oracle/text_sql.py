@@ -12,14 +12,11 @@ from .sqlx import case, extract, first_match, has, nz, q, replace_all, strip
 
 def _bounded(p: str) -> str:
     """Split repetitions beyond the 1000 limit."""
-    p = p.replace(".{20,2000}?", ".{20,1000}?.{0,1000}?")
     return re.sub(r"\{39,\}\?", "{39,1000}?", p)
 
 
 def first_attribute(name: str) -> str:
-    e = clean_entity_text(first_match("text", [(_bounded(p), f) for p, f in E.PATTERNS[name]]))
-    n = E.MAX_LENGTH.get(name)
-    return nz(clean_entity_text(e, n) if n else e)
+    return nz(clean_entity_text(first_match("text", [(_bounded(p), f) for p, f in E.PATTERNS[name]])))
 
 
 def licence_number(e: str = "text") -> str:

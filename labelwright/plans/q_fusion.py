@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import entities as E
 from ..operators import compare as K
 from ..operators import fusion as M
 from ..operators import ocr as O
@@ -25,7 +24,6 @@ from .registry import Registry
 R = Registry()
 RAW = C.sql(C.RAW_VALUES)
 
-_NZ = "nullif(qty_b, '')"
 _SIDES = f"""SELECT id, qty_a AS wq, nullif(qty_b, '') AS pq, price_a AS wm, nullif(price_b, '') AS pm,
   CASE length(id) % 3 WHEN 0 THEN 'India' WHEN 1 THEN 'Italy' END AS dc, CASE length(price_a) % 3 WHEN 0 THEN 'INDIA' WHEN 1 THEN 'China' END AS xc FROM ({RAW}) r"""
 _Q = f"SELECT id, wq, pq, {X.canonical_quantity_columns('wq', 'a_')}, {X.canonical_quantity_columns('pq', 'b_')} FROM ({_SIDES}) s"
@@ -253,6 +251,3 @@ def scan_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/out/scans").groupBy("status").agg(
         F.count(F.lit(1)).alias("scans"), F.sum("score").alias("score_sum")
     )
-
-
-_ = (E, _NZ)

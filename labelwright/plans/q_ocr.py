@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import fonts as T
 from ..operators import ocr as O
 from ..operators.attributes import extract_attributes
-from ..oracle.sqlx import has, q, re2, strip
+from ..oracle.sqlx import has, q, strip
 from ..oracle.text_sql import attributes as attributes_sql
 from ..oracle.text_sql import infer_country
 from . import corpus as C

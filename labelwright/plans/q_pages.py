@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.text import bind
 from ..operators import marketplaces as M
 from ..operators import pages as P
 from ..oracle import page_sql as O
-from ..oracle.sqlx import case, extract, has, nz, q, strip
+from ..oracle.sqlx import case, extract, nz, q, strip
 from . import corpus as C
 from .registry import Registry
 
@@ -191,7 +190,7 @@ _BLOCK = r"<(?:p|li|div|span)\b[^>]*>(.*?)</(?:p|li|div|span)\s*>"
 @R.add(
     "flt_12_compliance_paragraphs",
     f"""SELECT page_id, array_to_string(list_filter(list_transform({O.extract_all(_CLEAN, _BLOCK)}, lambda b: {O.node_text('b')}),
-  lambda t: length(t) BETWEEN 20 AND 600 AND regexp_matches(lower(t), {q(O.any_of(M.COMPLIANCE_KEYS['generic']))}))[1:20], chr(10)) AS compliance_text
+  lambda t: regexp_matches(lower(t), {q(O.any_of(M.COMPLIANCE_KEYS['generic']))})), chr(10)) AS compliance_text
 FROM ({PAGES}) p""",
 )
 def compliance_paragraphs(spark, sf_dir):
@@ -229,14 +228,14 @@ def _record(spark, sf_dir, source, fields):
     return d.filter(F.col("source") == source).select("page_id", *fields)
 
 
-_BULLETS = f"{O.items('coalesce(' + O.section('html', 'feature-bullets', 'ul') + ', ' + repr('') + ')')}[1:8]"
+_BULLETS = f"{O.items('coalesce(' + O.section('html', 'feature-bullets', 'ul') + ', ' + repr('') + ')')}"
 _AMAZON_NAMED = {
     "title": O.title("amazon"),
-    "bullet_manufacturer": f"substr(list_filter({_BULLETS}, lambda b: regexp_matches(lower(b), {q(O.any_of(M.BULLET_MANUFACTURER))}))[1], 1, 300)",
-    "bullet_packer": f"substr(list_filter({_BULLETS}, lambda b: contains(lower(b), 'packed by'))[1], 1, 300)",
+    "bullet_manufacturer": f"list_filter({_BULLETS}, lambda b: regexp_matches(lower(b), {q(O.any_of(M.BULLET_MANUFACTURER))}))[1]",
+    "bullet_packer": f"list_filter({_BULLETS}, lambda b: contains(lower(b), 'packed by'))[1]",
     "bullet_country": f"list_filter(list_transform({_BULLETS}, lambda b: {strip(extract('b', M.BULLET_COUNTRY, 1))}), lambda v: v <> '')[1]",
-    "description_block": nz("substr(" + O.node_text("coalesce(" + O.section("html", "productDescription", "div") + ", '')", "chr(10)") + ", 1, 600)"),
-    "price_block_text": nz("substr(" + O.node_text("coalesce(" + ", ".join(O.section("html", i, "div") for i in M.PRICE_IDS) + ", '')") + ", 1, 200)"),
+    "description_block": nz(O.node_text("coalesce(" + O.section("html", "productDescription", "div") + ", '')", "chr(10)")),
+    "price_block_text": nz(O.node_text("coalesce(" + ", ".join(O.section("html", i, "div") for i in M.PRICE_IDS) + ", '')")),
 }
 _AMAZON_FIELDS = [f for f in M.RECORD_FIELDS if f in M.FIELDS["amazon"] and f != "consumer_care_phone"]
 
@@ -258,7 +257,7 @@ def jiomart_record(spark, sf_dir):
 
 _SIZE = strip(extract("html", r'"brandSize"\s*:\s*"([^"]{1,50})"', 1, ""))
 _STATED = extract("html", r'"countryOfOrigin"\s*:\s*"([^"]{2,50})"', 1, "")
-_PD = M.PRODUCT_DETAILS.replace(".{0,4000}?", ".{0,1000}?.{0,1000}?.{0,1000}?.{0,1000}?")
+_PD = M.PRODUCT_DETAILS
 _ROUTE = case([(f"regexp_matches(lower(trim(i->>'$.title')), {q(p)})", q(f)) for f, p in M.DETAIL_ROUTES])
 _ITEMS = (
     f"list_filter(list_transform(flatten(list_transform({O.extract_all('html', _PD, 1, 's')}, lambda b: CAST(CAST(b AS JSON) AS JSON[]))), "
@@ -314,6 +313,3 @@ def generic_record(spark, sf_dir):
 @R.add("pge_17_listing_texts")
 def listing_texts(spark, sf_dir):
     return P.listing_texts(pages(spark, sf_dir))
-
-
-_ = (bind, has)

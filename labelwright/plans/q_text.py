@@ -164,7 +164,7 @@ def fallback_fields(spark, sf_dir):
 @R.add(
     "ent_16_declarations",
     "SELECT id, array_to_string(list_filter([" + ", ".join(strip(extract("text", p, 0)) for p in E.DECLARATIONS)
-    + f"], lambda h: h <> '')[1:5], ' | ') AS declarations FROM ({ANY}) z",
+    + f"], lambda h: h <> ''), ' | ') AS declarations FROM ({ANY}) z",
 )
 def declarations(spark, sf_dir):
     return any_text(spark, sf_dir).select(
