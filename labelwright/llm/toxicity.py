@@ -44,8 +44,8 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 200, 100
 SYMBOLS, OPEN, CLOSE = 40, 27, 28
 LONG, STRIDE = 24, 12
 #: Training documents of each class, and units of each kind, at most.
-DOCUMENTS = {1: 6_000, 0: 12_000}
-UNITS = 3_000
+DOCUMENTS = {1: 3_000, 0: 6_000}
+UNITS = 2_000
 #: Log-likelihood ratio from which a unit counts as shared by toxic documents.
 CHANCE = 20.0
 #: Least ratio of a unit's share of toxic documents to its share of clean ones.
@@ -55,6 +55,7 @@ MEMORY = 600_000
 FLOOR = -2.0
 # Digits and signs that are written in place of letters.
 STAND_INS = str.maketrans("013457@$", "oieastas")
+LONELY = re.compile(r"\s\S\s\S(?!\S)|\A\S\s\S(?!\S)")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -65,13 +66,17 @@ def _symbol(c: str) -> int:
     return 29 + ord(normalize("NFC", c)[0]) % (SYMBOLS - 29) if c.isalpha() else 0
 
 
+ASCII = bytes(_symbol(chr(i)) for i in range(128)) + bytes(128)
+EDGES = "0123456789!?.,;:|*#%&$@()[]{}\"'-_/\\"
+
+
 def codes(token: str) -> bytes:
     """Symbols of a token between its ends, without gaps at the ends; empty if it has no letters."""
     token = token.lower()
     if not token.isalpha():
-        core = token.strip("0123456789!?.,;:|*#%&$@()[]{}\"'-_/\\")
-        token = core.translate(STAND_INS) if any(map(str.isalpha, core)) else ""
-    body = bytes(map(_symbol, token)).strip(b"\0")
+        token = token.strip(EDGES)
+        token = token.translate(STAND_INS) if any(map(str.isalpha, token)) else ""
+    body = (token.encode().translate(ASCII) if token.isascii() else bytes(map(_symbol, token))).strip(b"\0")
     return bytes([OPEN]) + body + bytes([CLOSE]) if body else b""
 
 
@@ -81,39 +86,45 @@ def windows(unit: bytes) -> list[bytes]:
 
 
 @lru_cache(64)
-def places(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ways to choose four of n places, and their weights."""
-    at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
-    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0) if n else np.zeros(0)
+def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ways to choose four of n places, as two pairs of places; the pairs; and the weights."""
+    pairs = np.array(list(combinations(range(n), 2)), np.intp).reshape(-1, 2)
+    number = {tuple(p): i for i, p in enumerate(pairs.tolist())}
+    at = list(combinations(range(n), ORDER))
+    halves = np.array([(number[c[:2]], number[c[2:]]) for c in at], np.intp).reshape(-1, 2)
+    return pairs, halves, np.array([DECAY ** (c[-1] - c[0] + 1) for c in at], np.float32)
 
 
 def subsequences(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the subsequences of each row of symbols, and their weights; one with a gap has number 0."""
-    at, weight = places(x.shape[1])
-    index = np.zeros((len(x), len(at)), np.int32)
-    whole = np.ones(index.shape, bool)
-    for column in at.T:
-        index = index * SYMBOLS + x[:, column]
-        whole &= x[:, column] > 0
-    return np.where(whole, index, 0), weight
+    pairs, halves, weight = places(x.shape[1])
+    left, right = x[:, pairs[:, 0]], x[:, pairs[:, 1]]
+    pair = left * np.int32(SYMBOLS) + right
+    index = pair[:, halves[:, 0]]
+    index *= np.int32(SYMBOLS**2)
+    index += pair[:, halves[:, 1]]
+    if not x.all():
+        whole = (left > 0) & (right > 0)
+        index *= whole[:, halves[:, 0]] & whole[:, halves[:, 1]]
+    return index, weight
 
 
 def self_kernel(x: np.ndarray) -> np.ndarray:
     """Kernel of each row of symbols with itself, by dynamic programming over prefixes."""
     w, n = x.shape
-    same = (x[:, :, None] == x[:, None, :]) & (x[:, :, None] > 0)
-    same = np.ascontiguousarray(same.transpose(1, 2, 0)) * DECAY**2
-    before = np.ones((n + 1, n + 1, w))
+    t = np.ascontiguousarray(x.T)
+    same = ((t[:, None] == t[None]) & (t[:, None] > 0)) * np.float32(DECAY**2)
+    before = np.ones((n + 1, n + 1, w), np.float32)
     for _ in range(ORDER - 1):
-        now = np.zeros((n + 1, n + 1, w))
+        now = np.zeros((n + 1, n + 1, w), np.float32)
         for a in range(1, n + 1):
-            row = np.zeros(w)
+            row = np.zeros(w, np.float32)
             step = same[a - 1] * before[a - 1, :n]
             for b in range(1, n + 1):
                 row = DECAY * row + step[b - 1]
                 now[a, b] = DECAY * now[a - 1, b] + row
         before = now
-    return (same * before[:n, :n]).sum(axis=(0, 1))
+    return (same * before[:n, :n]).sum(axis=(0, 1), dtype=np.float64)
 
 
 def evaluate(units: list[bytes], weights: np.ndarray, column: np.ndarray | None = None) -> np.ndarray:
@@ -128,14 +139,14 @@ def evaluate(units: list[bytes], weights: np.ndarray, column: np.ndarray | None
     for n, rows in by_size.items():
         if n < ORDER:
             continue
-        step = min(2048, max(1, 4_000_000 // (len(places(n)[0]) * weights.shape[1])))
+        step = min(2048, max(1, 4_000_000 // (max(1, len(places(n)[1])) * weights.shape[1])))
         for lo in range(0, len(rows), step):
             part = rows[lo : lo + step]
             x = np.frombuffer(b"".join(units[i] for i in part), np.uint8).reshape(-1, n).astype(np.int32)
             index, weight = subsequences(x)
-            norm = np.sqrt(np.maximum(self_kernel(x), 1e-12))
+            norm = np.sqrt(np.maximum(self_kernel(x.astype(np.uint8)), 1e-12))
             if column is None:
-                sums = (weights[:, 0][index] @ weight)[:, None]
+                sums = (np.take(weights, index) @ weight)[:, None]
             else:
                 sums = np.einsum("wtm,t->wm", weights[column[index]], weight, optimize=True)
             out[part] = sums / norm[:, None]
@@ -224,10 +235,10 @@ class Scorer:
             self.known.clear()
         known = self.known
         tokens = [tokens_of(t) for t in texts]
-        fresh = [t for t in set().union(*tokens) if t not in known]
-        coded = [(t, c) for t in fresh if (c := codes(t))]
-        known.update(dict.fromkeys(fresh, FLOOR))
-        known.update(zip((t for t, _ in coded), np.maximum(self.units([c for _, c in coded]), FLOOR).tolist(), strict=True))
+        coded = {t: codes(t) for t in set().union(*tokens) if t not in known}
+        units = sorted({c for c in coded.values() if c})
+        margins = dict(zip(units, np.maximum(self.units(units), FLOOR).tolist(), strict=True)) | {b"": FLOOR}
+        known.update((t, margins[c]) for t, c in coded.items())
         out = np.full((len(texts), 8), FLOOR)
         for row, ts in zip(out, tokens, strict=True):
             near = sorted((m for t in ts if (m := known[t]) > -0.5), reverse=True)
@@ -240,10 +251,14 @@ class Scorer:
 
 
 def tokens_of(text: str | None) -> set[str]:
-    """Distinct tokens of a text; a run of single characters counts as one more."""
+    """Distinct tokens of a text, in lower case and without signs at the ends; a run of single characters counts as one more."""
     if not text:
         return set()
-    return {*text.split(), *("".join(m.split()) for m in SPELLED.findall(text))}
+    low = text.lower()
+    out = {t.strip(EDGES) for t in {*low.split()}}
+    if LONELY.search(low):
+        out.update("".join(m.split()) for m in SPELLED.findall(low))
+    return out
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
