@@ -324,6 +324,17 @@ def upgrade_urls(spark, sf_dir):
     )
 
 
+@R.add(
+    "img_03_best_of_srcset",
+    """SELECT page_id, CASE WHEN 100 + page_id % 5 * 150 > 100 + page_id % 7 * 100 THEN url || '/b.jpg' ELSE url || '/a.jpg' END AS best FROM pages""",
+)
+def best_of_srcset(spark, sf_dir):
+    widths = C.table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "concat(url, '/a.jpg ', 100 + page_id % 7 * 100, 'w, ', url, '/b.jpg ', 100 + page_id % 5 * 150, 'w') AS srcset"
+    )
+    return widths.select("page_id", I.best_of_srcset(F.col("srcset")).alias("best"))
+
+
 @R.add("img_03_04_state_images")
 def state_images(spark, sf_dir):
     return M.state_images(pages(spark, sf_dir))

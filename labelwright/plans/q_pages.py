@@ -199,7 +199,14 @@ def compliance_paragraphs(spark, sf_dir):
     )
 
 
-@R.add("pge_09_state_text")
+_BLOB = f"""CASE WHEN {extract(strip('s'), M.STATE_PREFIXES, 1, 's')} <> '' THEN {extract(strip('s'), M.STATE_PREFIXES, 1, 's')} WHEN starts_with({strip('s')}, '{{') THEN {strip('s')} ELSE '' END"""
+_MASKED = "replace(replace(b, '\\\\', chr(1)), '\\\"', chr(2))"
+_SHOWN = "replace(replace(replace(trim(t, '\"'), chr(1), '\\\\'), chr(2), '\\\"'), '\\/', '/')"
+_STATE = f"""SELECT page_id, array_to_string(list_transform(flatten(list_transform(list_filter(list_transform({O.extract_all('html', H.SCRIPT)}, lambda s: {_BLOB}),
+  lambda b: b <> '' AND json_valid(b)), lambda b: regexp_extract_all({_MASKED}, '"[^"]*"|-?[0-9]+(?:[.][0-9]+)?'))), lambda t: {_SHOWN}), ' ') AS state FROM ({PAGES}) p"""
+
+
+@R.add("pge_09_state_text", f"SELECT page_id, state FROM ({_STATE}) z WHERE state <> ''")
 def state_text(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", P.state_text(F.col("html")).alias("state")).filter("state <> ''")
 

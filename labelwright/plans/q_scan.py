@@ -13,6 +13,7 @@ from ..oracle import scan_sql as O
 from ..oracle.sqlx import extract, has, nz, one_decimal, q, strip
 from ..rules import default_rules
 from ..session import ensure_checkpoint_dir
+from ..sources.labels import read_label_csv
 from ..sources.sinks import write_scans
 from . import corpus as C
 from .registry import Registry
@@ -62,6 +63,19 @@ SCANS_SQL = f"""SELECT record_id AS scan_id, coalesce(product_name, 'Unknown') A
 VIOLATIONS_SQL = f"SELECT record_id AS scan_id, * EXCLUDE (record_id) FROM ({O.violation_table(ORDERS, 'record_id', CARRY)}) z"
 
 
+@R.add(
+    "src_01_label_csv",
+    f"""SELECT {strip('text')} AS text, coalesce(product_name, '') AS product_name, coalesce(category, '') AS category, coalesce(platform, '') AS platform, 'CSV' AS source_type
+FROM ({ORDERS}) z WHERE {strip('text')} <> ''""",
+)
+def label_csv(spark, sf_dir):
+    """The order labels written as CSV to the shared folder and read back as a batch upload."""
+    path = f"{ensure_checkpoint_dir(spark)}/labelwright-csv-{uuid.uuid4().hex}"
+    labels = order_labels(spark, sf_dir).select("text", "product_name", "category", "platform")
+    labels.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+    return read_label_csv(spark, path).drop("record_id")
+
+
 @R.add("cmp_08_scan_labels", f"SELECT record_id, 'PCR-2011-v2' AS rule_version, score, status FROM ({O.scan_table(ORDERS)}) z")
 def scan_labels(spark, sf_dir):
     return S.scan_labels(order_labels(spark, sf_dir)).select("record_id", "rule_version", "score", "status")
