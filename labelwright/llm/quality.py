@@ -24,6 +24,8 @@ from .common import add_columns, cut
 from .labelled import held_out, training_texts
 
 FEATURES, SEED, RIDGE, BINS = 320, 20, 0.3, 400
+#: Partitions of the training sample, each with its part of the normal equations.
+PARTS = 16
 #: Training documents of each class, at most.
 DOCUMENTS = {1: 16_000, 0: 8_000}
 MARKS = b"!|#$%&*.,;:?-'\""
@@ -126,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Machine
     texts = training_texts(docs, labels, label, DOCUMENTS)
     # a fifth of the sample, by a hash of the text, is kept for the calibration
     rows = with_statistics(texts.withColumn("later", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)).select("stats", "y", "later")
-    rows = cut(rows.repartition(16, F.xxhash64("stats")))
+    rows = cut(rows.repartition(PARTS, F.xxhash64("stats")))
     n = {r["y"]: r["count"] for r in rows.filter("not later").groupBy("y").count().collect()}
     if not (n.get(0) and n.get(1)):
         return None
@@ -137,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Machine
     weighted = rows.filter("not later").select("stats", F.col("y").cast("double").alias("y"), F.when(F.col("y") == 1, total / (2 * n[1])).otherwise(total / (2 * n[0])).alias("w"))
     size = NAMES + FEATURES + 1
     left, right = RIDGE * np.eye(size), np.zeros(size)
-    for row in weighted.mapInArrow(lambda b: _sums(b, machine), "left binary, right binary").collect():  # 16 rows of about a megabyte
+    sums = weighted.coalesce(PARTS).mapInArrow(lambda b: _sums(b, machine), "left binary, right binary")
+    for row in sums.toLocalIterator():  # at most PARTS rows of about a megabyte, one by one
         left += np.frombuffer(row["left"]).reshape(size, size)
         right += np.frombuffer(row["right"])
     machine.weights = np.linalg.solve(left, right)
