@@ -181,11 +181,13 @@ def state_text(html: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.replace(shown(F.btrim(t, F.lit('"'))), F.lit("\\/"), F.lit("/"))), " ")
 
 
+# where specifications stand in a page
+SPEC_BLOCK = rf"<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:{M.SPEC_CLASSES})[^\"']*[\"'][^>]*>(.*?)</div\s*>"
+SPEC_SECTION = r"<(?:section|article)\b[^>]*>(.*?)</(?:section|article)\s*>"
+
+
 def spec_texts(html: Column) -> Column:
     """Texts of specification blocks and sections that mention a declaration, one per line."""
-    block = rf"<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:{M.SPEC_CLASSES})[^\"']*[\"'][^>]*>(.*?)</div\s*>"
-    sect = r"<(?:section|article)\b[^>]*>(.*?)</(?:section|article)\s*>"
-
     def texts(pattern: str, words: list[str]) -> Column:
         found = F.transform(
             F.regexp_extract_all(html, F.lit(rx(pattern, "is")), F.lit(1)), lambda b: H.node_text(b, "\n")
@@ -193,7 +195,7 @@ def spec_texts(html: Column) -> Column:
         return F.transform(F.filter(found, lambda t: F.lower(t).rlike(any_of(words))), lambda t: t)
 
     return F.array_join(
-        F.concat(texts(block, M.COMPLIANCE_KEYS["flipkart"]), texts(sect, M.SECTION_WORDS)), "\n"
+        F.concat(texts(SPEC_BLOCK, M.COMPLIANCE_KEYS["flipkart"]), texts(SPEC_SECTION, M.SECTION_WORDS)), "\n"
     )
 
 

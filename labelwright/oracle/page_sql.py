@@ -147,16 +147,16 @@ def title(adapter_name: str) -> str:
     return "coalesce(" + ", ".join(nz(node_text(extract("html", p, 1, "is"))) for p in patterns) + ")"
 
 
-def record(pages: str, adapter_name: str, fields: list[str], named: dict[str, str], extra: str = "") -> str:
+def record(pages: str, adapter_name: str, fields: list[str], named: dict[str, str], extra: str = "", corpus: str | None = None, base_rows: str | None = None) -> str:
     """Record fields of one marketplace's pages; ``named`` gives the prepared columns used by the spec."""
     spec = M.FIELDS[adapter_name]
     cols = ", ".join(f"coalesce({', '.join(source(s, named) for s in spec[f] if s != ('column', 'party_phone'))}) AS {f}" for f in fields)
-    base_rows = rows("html") if adapter_name not in M.NO_ROWS else "[]"
+    base_rows = base_rows or (rows("html") if adapter_name not in M.NO_ROWS else "[]")
     if adapter_name == "amazon":
         details = "flatten([" + ", ".join(key_value_items(f"coalesce({section('html', i, 'ul|table')}, '')") for i in M.DETAIL_IDS) + "])"
         base_rows = (
             f"list_concat({base_rows}, list_reverse(list_filter({details}, lambda d: NOT list_contains(list_transform({rows('html')}, lambda r: r.key), d.key))))"
         )
     return f"""SELECT page_id, {cols}{extra} FROM (
-  SELECT page_id, url, html, {node_text('html')} AS corpus, {base_rows} AS rows
+  SELECT page_id, url, html, {corpus or node_text('html')} AS corpus, {base_rows} AS rows
   FROM ({pages}) p0 WHERE {adapter()} = {q(adapter_name)}) p1"""

@@ -252,9 +252,23 @@ def amazon_record(spark, sf_dir):
     return _record(spark, sf_dir, "Amazon", _AMAZON_FIELDS)
 
 
-@R.add("pge_12_flipkart_record")
+_STATE_OF = _STATE.split(" AS state FROM")[0].removeprefix("SELECT page_id, ")
+
+
+def _spec_blocks(pattern: str, words: list[str]) -> str:
+    return f"list_filter(list_transform({O.extract_all('html', pattern)}, lambda b: {O.node_text('b', 'chr(10)')}), lambda t: regexp_matches(lower(t), {q(O.any_of(words))}))"
+
+
+_SPECS = (
+    f"array_to_string(list_concat({_spec_blocks(P.SPEC_BLOCK, M.COMPLIANCE_KEYS['flipkart'])}, {_spec_blocks(P.SPEC_SECTION, M.SECTION_WORDS)}), chr(10))"
+)
+_FLIPKART_FIELDS = [f for f in M.RECORD_FIELDS if f in M.FIELDS["flipkart"]]
+_FLIPKART_CORPUS = f"concat_ws(chr(10), {O.node_text('html')}, ' ' || {_STATE_OF}, {_SPECS})"
+
+
+@R.add("pge_12_flipkart_record", O.record(PAGES, "flipkart", _FLIPKART_FIELDS, {"title": O.title("flipkart")}, corpus=_FLIPKART_CORPUS))
 def flipkart_record(spark, sf_dir):
-    return _record(spark, sf_dir, "Flipkart", [f for f in M.RECORD_FIELDS if f in M.FIELDS["flipkart"]])
+    return _record(spark, sf_dir, "Flipkart", _FLIPKART_FIELDS)
 
 
 @R.add("pge_13_jiomart_record")
