@@ -181,6 +181,8 @@ def state_text(html: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.replace(shown(F.btrim(t, F.lit('"'))), F.lit("\\/"), F.lit("/"))), " ")
 
 
+# Rows that name a maker, best first.
+MAKER_KEYS = ["Manufacturer Name", "Manufacturer", "Marketed by", "Manufactured by", "Manufacturer Details", "Packer", "Packed by", "Manufacturer Address"]
 # where specifications stand in a page
 SPEC_BLOCK = rf"<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:{M.SPEC_CLASSES})[^\"']*[\"'][^>]*>(.*?)</div\s*>"
 SPEC_SECTION = r"<(?:section|article)\b[^>]*>(.*?)</(?:section|article)\s*>"
@@ -401,11 +403,9 @@ def _record_columns() -> list[list[Column]]:
         return bind(F.when(adapter == "meesho", exact).otherwise(picked), strip_to_null)
 
     def named_manufacturer(rows: Column) -> Column:
-        keys = ["Manufacturer Name", "Manufacturer", "Marketed by", "Manufactured by", "Manufacturer Details",
-                "Packer", "Packed by", "Manufacturer Address"]
         shared = H.row_value(rows, "Manufacturer Address")
         arms = []
-        for k in keys:
+        for k in MAKER_KEYS:
             val = H.row_value(rows, k)
             own = shared if "Name" in k else F.coalesce(H.row_value(rows, f"{k} Address"), shared)
             extra = F.when(~val.contains(own), F.concat(F.lit(", "), own))

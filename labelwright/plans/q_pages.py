@@ -271,9 +271,40 @@ def flipkart_record(spark, sf_dir):
     return _record(spark, sf_dir, "Flipkart", _FLIPKART_FIELDS)
 
 
-@R.add("pge_13_jiomart_record")
+_LD_DOCS = f"list_filter(list_transform({O.extract_all('html', _LD)}, lambda b: {strip('b')}), lambda b: json_valid(b))"
+_LD_TYPED = f"list_filter({_LD_DOCS}, lambda d: coalesce(CAST(d AS JSON)->>'$.\"@type\"', '') IN ('Product', 'ItemPage', 'FoodProduct'))"
+
+
+def _ld_first(value: str) -> str:
+    return f"list_filter(list_transform({_LD_TYPED}, lambda d: {value}), lambda v: v IS NOT NULL)[1]"
+
+
+_PAIR_ROWS = f"list_filter(list_concat({_pairs_sql(_TWO, ': ')}, {_pairs_sql(_BOLD, ':')}), lambda r: r.key <> '' AND r.value <> '')"
+_JIOMART_ROWS = f"list_concat({O.rows('html')}, list_reverse({_PAIR_ROWS}))"
+_SHARED = O.row_value("Manufacturer Address")
+
+
+def _named_maker(key: str) -> str:
+    value = O.row_value(key)
+    own = _SHARED if "Name" in key else f"coalesce({O.row_value(key + ' Address')}, {_SHARED})"
+    return f"{value} || coalesce(CASE WHEN NOT contains({value}, {own}) THEN ', ' || {own} END, '')"
+
+
+_JIOMART_NAMED = {
+    "title": O.title("jiomart"),
+    "ld_name": _ld_first("CAST(d AS JSON)->>'$.name'"),
+    "ld_brand": f"list_transform({_LD_TYPED}, lambda d: CASE WHEN json_type(CAST(d AS JSON), '$.brand') = 'OBJECT' THEN CAST(d AS JSON)->>'$.brand.name' ELSE CAST(d AS JSON)->>'$.brand' END)[1]",
+    "ld_description": _ld_first("CAST(d AS JSON)->>'$.description'"),
+    "ld_price": f"list_filter(list_transform({_LD_DOCS}, lambda d: CAST(d AS JSON)->>'$.offers.price'), lambda v: v IS NOT NULL)[1]",
+    "named_manufacturer": "coalesce(" + ", ".join(map(_named_maker, P.MAKER_KEYS)) + ")",
+}
+_JIOMART_FIELDS = [f for f in M.RECORD_FIELDS if f in M.FIELDS["jiomart"]]
+_JIOMART_CORPUS = f"{O.node_text('html')} || chr(10) || ' ' || array_to_string({_LD_DOCS}, ' ')"
+
+
+@R.add("pge_13_jiomart_record", O.record(PAGES, "jiomart", _JIOMART_FIELDS, _JIOMART_NAMED, corpus=_JIOMART_CORPUS, base_rows=_JIOMART_ROWS))
 def jiomart_record(spark, sf_dir):
-    return _record(spark, sf_dir, "JioMart", [f for f in M.RECORD_FIELDS if f in M.FIELDS["jiomart"]])
+    return _record(spark, sf_dir, "JioMart", _JIOMART_FIELDS)
 
 
 _SIZE = strip(extract("html", r'"brandSize"\s*:\s*"([^"]{1,50})"', 1, ""))

@@ -24,9 +24,6 @@ def local_session(cores: int = 8, app: str = "labelwright", memory: str = "8g")
         # wide plans are built from thousands of column calls; skip recording a call site for each
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # the given test files are a few megabytes; small splits let every core take part
-        .config("spark.sql.files.maxPartitionBytes", "256k")
-        .config("spark.sql.files.openCostInBytes", "16k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
