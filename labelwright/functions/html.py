@@ -79,18 +79,17 @@ def first_row_value(rows: Column, keys: Sequence[str]) -> Column:
 
 
 def rows_to_map(rows: Column) -> Column:
-    """Map with one entry per key, in order of first appearance, holding the last value."""
-
-    def build(rs: Column) -> Column:
-        keys = F.array_distinct(F.transform(rs, lambda r: r["key"]))
-        return F.map_from_arrays(
-            keys,
-            F.transform(
-                keys, lambda k: F.try_element_at(F.filter(rs, lambda r: r["key"] == k), F.lit(-1))["value"]
-            ),
-        )
+    """Map with one entry per key, in order of first appearance, holding the last value; found by one sort."""
+
+    def build(sorted_rows: Column) -> Column:
+        other = lambda r, j: ~F.get(sorted_rows, j)["k"].eqNullSafe(r["k"])
+        first = F.filter(sorted_rows, lambda r, j: (j == 0) | other(r, j - 1))
+        last = F.filter(sorted_rows, lambda r, j: (j == F.size(sorted_rows) - 1) | other(r, j + 1))
+        entries = F.zip_with(first, last, lambda a, b: F.struct(a["i"].alias("i"), a["k"].alias("k"), b["v"].alias("v")))
+        return bind(F.array_sort(entries), lambda es: F.map_from_arrays(F.transform(es, lambda e: e["k"]), F.transform(es, lambda e: e["v"])))
 
-    return bind(rows, build)
+    placed = F.transform(rows, lambda r, i: F.struct(r["key"].alias("k"), i.alias("i"), r["value"].alias("v")))
+    return bind(F.array_sort(placed), build)
 
 
 def section(html: Column, element_id: str, close: str) -> Column:

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from labelwright.functions import entities as E
+from labelwright.functions.html import rows_to_map
 from labelwright.operators import pages as P
 from labelwright.operators.attributes import extract_attributes
 
@@ -51,3 +52,9 @@ def test_long_attributes(spark):
     assert "Item number 199" in row.ingredients and len(row.storage_instructions) > 400 and row.allergen_info.endswith("milk")
     text = "Statutory warning: smoking kills\nFSSAI licence 12345\nVegetarian\nCertified Organic food\nLic. No. 123456\nAll weights are approximate\nWeigh before buying"
     assert len(spark.range(1).select(E.declarations(F.lit(text)).alias("d")).first().d) == 7
+
+
+def test_ten_thousand_rows_to_a_map(spark):
+    rows = F.transform(F.sequence(F.lit(0), F.lit(20_000)), lambda i: F.struct(F.concat(F.lit("k"), (i % 10_000).cast("string")).alias("key"), i.cast("string").alias("value")))
+    row = spark.range(1).select(rows_to_map(rows).alias("m")).select(F.map_keys("m").alias("k"), F.map_values("m").alias("v")).first()
+    assert row.k == [f"k{i}" for i in range(10_000)] and row.v[0] == "20000" and row.v[5] == "10005"
