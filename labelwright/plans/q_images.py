@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import images as I
 from ..functions.text import any_of
 from ..operators import images as M
+from ..oracle.page_sql import extract_all
 from ..oracle.sqlx import case, extract, has, q, strip
 from . import corpus as C
-from .q_pages import pages
+from .q_pages import PAGES, pages
 from .registry import Registry
 
 R = Registry()
@@ -335,7 +336,18 @@ def best_of_srcset(spark, sf_dir):
     return widths.select("page_id", I.best_of_srcset(F.col("srcset")).alias("best"))
 
 
-@R.add("img_03_04_state_images")
+_USEFUL = (
+    f"coalesce(length(url) >= 15 AND regexp_matches(lower(url), '^https?:') AND NOT {has('url', I.USEFUL_SKIP)} "
+    f"AND ({has('url', I.USEFUL_EXTENSION)} OR {has('url', I.USEFUL_HOSTS)} OR contains(lower(url), 'image') OR contains(lower(url), 'img')), false)"
+)
+_STATE_IMAGES = f"""WITH k AS (SELECT DISTINCT page_id, url FROM (SELECT page_id, regexp_replace(u, '/[0-9]{{2,3}}/[0-9]{{2,3}}/', '/832/832/', 'g') AS url
+    FROM (SELECT page_id, unnest({extract_all('html', M.STATE_IMAGES, 1, 'i')}) AS u FROM ({PAGES}) p) x) y WHERE {_USEFUL}),
+b AS (SELECT DISTINCT page_id, url FROM (SELECT page_id, unnest({extract_all('html', M.BARE_IMAGES, 1, 'i')}) AS url FROM ({PAGES}) p) x
+  WHERE {_USEFUL} AND regexp_matches(url, {q(M.BARE_HOSTS)}) AND NOT EXISTS (SELECT 1 FROM k WHERE k.page_id = x.page_id AND k.url = x.url))
+SELECT page_id, url, 'product' AS alt, 'browser_state' AS source, 15 AS score FROM k UNION ALL SELECT page_id, url, 'product', 'browser_cdn', 18 FROM b"""
+
+
+@R.add("img_03_04_state_images", _STATE_IMAGES)
 def state_images(spark, sf_dir):
     return M.state_images(pages(spark, sf_dir))
 
