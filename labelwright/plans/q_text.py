@@ -138,14 +138,12 @@ def attributes(spark, sf_dir):
 
 @R.add(
     "ent_01_02_parties",
-    f"SELECT id, {', '.join(f'{r}_raw, {r}_name' for r in E.ROLES)}, manufacturer_address FROM ({X.attributes(C.sql(C.PRODUCT_LABELS), 'product_id').replace('SELECT product_id,', 'SELECT product_id AS id,', 1)}) z WHERE manufacturer_raw IS NOT NULL OR importer_raw IS NOT NULL",
+    f"SELECT id, {', '.join(f'{r}_raw, {r}_name' for r in E.ROLES)}, manufacturer_address FROM ({X.attributes(C.sql(C.PRODUCT_LABELS), 'product_id').replace('SELECT product_id,', 'SELECT product_id AS id,', 1)}) z",
 )
 def parties(spark, sf_dir):
     labels = C.frame(spark, sf_dir, C.PRODUCT_LABELS).select(F.col("product_id").alias("id"), "text")
     d = A.extract_attributes(labels, keep=("id",))
-    return d.select("id", *[f"{r}_{k}" for r in E.ROLES for k in ("raw", "name")], "manufacturer_address").filter(
-        F.col("manufacturer_raw").isNotNull() | F.col("importer_raw").isNotNull()
-    )
+    return d.select("id", *[f"{r}_{k}" for r in E.ROLES for k in ("raw", "name")], "manufacturer_address")
 
 
 @R.add(
