@@ -35,14 +35,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Only a local session may go without one; it then gets a scratch folder.
     """
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    set_already = current.get() if current.isDefined() else None
+    known = spark.conf.get("spark.checkpoint.dir", None) or set_already
     if not known:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = current.get() if current.isDefined() else None
-    if not known:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="labelwright-ckpt-")
+    if not set_already:
         spark.sparkContext.setCheckpointDir(known)
     return known
 
