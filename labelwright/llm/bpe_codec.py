@@ -32,7 +32,7 @@ from .token_count import SPACE, Splitter, byte_letters
 
 # The words of the vocabulary's split rule.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^{SPACE}LN]+"
-#: Chunks kept per Python worker before the memory of ids is emptied.
+#: Chunks kept per Python worker before the memory of ids is emptied, about 250 bytes each.
 MEMORY = 800_000
 #: Characters at which Python's own split and the vocabulary's white space differ.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -41,7 +41,8 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 class Codec:
     """Encodes and decodes with a word vocabulary; remembers the ids of chunks already seen."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.memory = memory
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -151,7 +152,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as int32."""
-        if len(self.chunks) > MEMORY:
+        if len(self.chunks) > self.memory:
             self.chunks.clear()
         cut = [[(p, None) if p in self.special else (p, self.split(p)) for p in self.parts(t)] if t else [] for t in texts]
         fresh: set[str] = set()
@@ -173,17 +174,17 @@ class Codec:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-@lru_cache(2)
-def codec(path: str) -> Codec:
-    """One codec per worker process and vocabulary; the process keeps it from task to task."""
-    return Codec(path)
+@lru_cache(1)
+def codec(path: str, memory: int = MEMORY) -> Codec:
+    """One codec per worker process; the process keeps it from task to task."""
+    return Codec(path, memory)
 
 
-def encode_texts(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """Append ``ids`` (array of int) to every row."""
+def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", memory: int = MEMORY) -> DataFrame:
+    """Append ``ids`` (array of int) to every row; ``memory`` bounds the chunks whose ids a worker remembers."""
 
     def make():
-        encode = codec(vocabulary).encode
+        encode = codec(vocabulary, memory).encode
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = encode(texts.to_pylist())
@@ -195,11 +196,11 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
     return add_columns(df, [text], "ids array<int>", make)
 
 
-def decode_ids(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
+def decode_ids(df: DataFrame, vocabulary: str, ids: str = "ids", memory: int = MEMORY) -> DataFrame:
     """Append ``decoded``, the text of the ids with special tokens kept; null ids give an empty text."""
 
     def make():
-        decode = codec(vocabulary).decode
+        decode = codec(vocabulary, memory).decode
 
         def work(arrays: pa.Array) -> list[pa.Array]:
             return [pa.array([decode(row) if row else "" for row in arrays.to_pylist()], pa.string())]

@@ -218,7 +218,8 @@ def train_machine(toxic: list[bytes], strength: np.ndarray, clean: list[bytes])
 class Scorer:
     """Scores tokens and documents; remembers tokens already seen."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
+    def __init__(self, weights: np.ndarray, bias: float, memory: int = MEMORY):
+        self.memory = memory
         self.weights, self.bias = weights.reshape(-1, 1), bias
         self.known: dict[str, float] = {}
 
@@ -231,7 +232,7 @@ class Scorer:
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """For each text: the four highest margins, the length, and three counts of tokens on or near the toxic side."""
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self.known.clear()
         known = self.known
         tokens = [tokens_of(t) for t in texts]
@@ -338,12 +339,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.r_[w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum()]
 
 
-def _features(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
+def _features(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text", memory: int = MEMORY) -> DataFrame:
     """Append ``features``, the description of each text."""
     sent = df.sparkSession.sparkContext.broadcast((weights, bias))  # a weight per subsequence: 10 MB, whatever the input
 
     def make():
-        score = Scorer(*sent.value)
+        score = Scorer(*sent.value, memory)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = score.documents(texts.to_pylist())
@@ -354,11 +355,11 @@ def _features(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text
     return add_columns(df, [text], "features array<double>", make)
 
 
-def score_toxicity(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """Append ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from 0.5 on) to every row."""
+def score_toxicity(df: DataFrame, model: dict | None, text: str = "text", memory: int = MEMORY) -> DataFrame:
+    """Append ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from 0.5 on) to every row; ``memory`` bounds the tokens a worker remembers."""
     if model is None:
         return df.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    described = _features(df, model["weights"], model["bias"], text)
+    described = _features(df, model["weights"], model["bias"], text, memory)
     sums = sum((F.element_at("features", i + 1) * float(w) for i, w in enumerate(model["curve"][:-1])), F.lit(float(model["curve"][-1])))
     score = 1 / (1 + F.exp(-F.greatest(F.least(sums, F.lit(35.0)), F.lit(-35.0))))
     return described.withColumn("score", score).drop("features").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
