@@ -105,15 +105,15 @@ PATTERNS = {
     ],
     "allergen_info": [
         (r"ALLERGEN\s*(?:INFORMATION|INFO\.?)?\s*[:\-]?\s*(.{5,}?)(?=\n\n|\nSTORAGE|\nNUTRITION|$)", "is"),
-        (r"(?:Contains|Allergy\s*Advice)\s*[:\-]\s*(.{5,200}?)(?:\.|$|\n)", "i"),
-        (r"(?:May\s+Contain|Contains\s+traces?\s+of)\s*[:\-]?\s*(.{5,150}?)(?:\.|$|\n)", "i"),
+        (r"(?:Contains|Allergy\s*Advice)\s*[:\-]\s*(.{5,}?)(?:\.|$|\n)", "i"),
+        (r"(?:May\s+Contain|Contains\s+traces?\s+of)\s*[:\-]?\s*(.{5,}?)(?:\.|$|\n)", "i"),
     ],
     "storage_instructions": [
         (r"STORAGE\s*(?:INSTRUCTIONS?|CONDITIONS?|INFO\.?)?\s*[:\-]?\s*(.{5,}?)(?=\n\n|\nNUTRITION|\nALLERGEN|$)", "is"),
-        (r"(?:Store|Keep)\s+(?:in|at|away)\s+(.{5,150}?)(?:\.|$|\n)", "i"),
+        (r"(?:Store|Keep)\s+(?:in|at|away)\s+(.{5,}?)(?:\.|$|\n)", "i"),
     ],
     "consumer_care_raw": [
-        (r"(?:Consumer\s*Care|Customer\s*Care|Helpline|Care\s*Line|Toll[\s\-]*Free)\s*[:\-]?\s*(.{5,120})", "is"),
+        (r"(?:Consumer\s*Care|Customer\s*Care|Helpline|Care\s*Line|Toll[\s\-]*Free)\s*[:\-]?\s*(.{5,})", "is"),
     ],
 }
 PHONE = r"(?:1800[\s\-]?[\d\s\-]{6,12}|\+91[\s\-]?\d{10}|0\d{10})"

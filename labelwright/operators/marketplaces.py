@@ -136,7 +136,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "manufacturer_raw": [
             ("rows", ["Manufacturer", "Marketed by", "Manufactured by", "Manufacturer Name", "Manufacturer Details",
                       "Packer", "Packed by", "Importer"]),
-            ("text", r"(?:Manufactured|Marketed|Packed|Imported)\s*(?:and\s+\w+\s*)?[Bb]y\s*[:\-]?\s*([^\n]{5,150})", ""),
+            ("text", r"(?:Manufactured|Marketed|Packed|Imported)\s*(?:and\s+\w+\s*)?[Bb]y\s*[:\-]?\s*([^\n]{5,})", ""),
         ],
         "packer_raw": [("rows", ["Packer", "Packed by", "Packer Contact Information"])],
         "importer_raw": [("rows", ["Importer", "Imported by", "Importer Details"])],
@@ -158,7 +158,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "description": [("column", "ld_description")],
         "manufacturer_raw": [
             ("column", "named_manufacturer"),
-            ("text", r"(?:Manufacturer(?:\s+Name)?|Manufactured\s+by|Marketed\s+by|Packed\s+by)\s*[:\-]?\s*([^\n]{5,150})", ""),
+            ("text", r"(?:Manufacturer(?:\s+Name)?|Manufactured\s+by|Marketed\s+by|Packed\s+by)\s*[:\-]?\s*([^\n]{5,})", ""),
         ],
         "packer_raw": [("rows", ["Packer", "Packed by", "Packer Name"])],
         "importer_raw": [("rows", ["Importer", "Imported by", "Importer Name"])],
@@ -179,7 +179,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "mfg_date": [("text", _MFG, "i")],
         "consumer_care_phone": [("whole", _PHONE, "")],
         "consumer_care_email": [("whole", _EMAIL, "")],
-        "ingredients": [("text", r"(?:^|\n)\s*(?:Ingredients?|Composition)\s*[:\-]\s*(.{20,600}?)(?:\n\n|\n[A-Z]|\z)", "is")],
+        "ingredients": [("text", r"(?:^|\n)\s*(?:Ingredients?|Composition)\s*[:\-]\s*(.{20,}?)(?:\n\n|\n[A-Z]|\z)", "is")],
     },
     "myntra": {
         "product_name": [("column", "titled_name"), ("column", "title")],
@@ -208,7 +208,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "brand": [("column", "next_brand")],
         "manufacturer_raw": [
             ("rows", ["Manufacturer", "Marketed by", "Manufactured by", "Packer", "Manufacturer Name"]),
-            ("text", r"(?:Manufactured|Marketed|Packed|Processed)\s*(?:and\s+\w+\s*)*[Bb]y\s*[:\-]?\s*([^\n\.]{5,120})", ""),
+            ("text", r"(?:Manufactured|Marketed|Packed|Processed)\s*(?:and\s+\w+\s*)*[Bb]y\s*[:\-]?\s*([^\n\.]{5,})", ""),
         ],
         "net_quantity": [("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count"]), ("text", _QTY, "i")],
         "country_of_origin": [("rows", ["Country of Origin", "Country Of Origin", "Made In"]),

@@ -58,3 +58,21 @@ def test_ten_thousand_rows_to_a_map(spark):
     rows = F.transform(F.sequence(F.lit(0), F.lit(20_000)), lambda i: F.struct(F.concat(F.lit("k"), (i % 10_000).cast("string")).alias("key"), i.cast("string").alias("value")))
     row = spark.range(1).select(rows_to_map(rows).alias("m")).select(F.map_keys("m").alias("k"), F.map_values("m").alias("v")).first()
     assert row.k == [f"k{i}" for i in range(10_000)] and row.v[0] == "20000" and row.v[5] == "10005"
+
+
+def test_long_record_values(spark):
+    listed = ", ".join(f"item {i}" for i in range(100))
+    maker = "Acme Foods " * 30
+    assert len(listed) > 850 and len(maker) > 300
+    for url, label in (("https://www.jiomart.com/p/1", "Manufactured by: "), ("https://www.flipkart.com/p/1", "Manufactured By: "), ("https://shop.example.com/p", "Manufactured By: ")):
+        row = P.extract_pages(page(spark, f"<div>Ingredients: {listed}</div><div>{label}{maker}</div>", url)).first()
+        assert len(row.manufacturer_raw) > 300
+        assert "jiomart" not in url or "item 99" in row.ingredients
+
+
+def test_long_allergens_storage_and_care(spark):
+    long = "nuts and " * 50 + "milk"
+    texts = {"a": f"Contains: {long}.", "b": f"May contain {long}.", "c": f"Store in {long}.", "d": f"Consumer care: {long}"}
+    rows = {r.id: r for r in extract_attributes(spark.createDataFrame(list(texts.items()), "id string, text string")).collect()}
+    assert rows["a"].allergen_info.endswith("milk") and rows["b"].allergen_info.endswith("milk")
+    assert rows["c"].storage_instructions.endswith("milk") and rows["d"].consumer_care_raw.endswith("milk")
