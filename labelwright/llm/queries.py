@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from labelwright.functions.text import bind
 from labelwright.plans.registry import Registry
 
 from .common import table
@@ -161,3 +162,51 @@ def tool_calls(spark, sf_dir):
         [(n, k, t, r) for n in ("ask", "note") for k, t, r in (("text", "string", True), ("size", "integer", False))], "name string, key string, type string, required boolean"
     )
     return format_calls(calls, view(_RESULTS), schemas)
+
+
+def with_planted_repeats(docs):
+    """Documents whose id has a crc32 divisible by ten go round in circles from some word on; the others stay as they are."""
+    h, g = F.crc32(F.col("doc_id").cast("string")), F.floor(F.crc32(F.col("doc_id").cast("string")) / 10)
+
+    def circling(words):
+        n = F.size(words).cast("bigint")
+        at = g % n
+        period = 1 + F.floor((n - at) / (3 + g % 8))
+        return F.transform(words, lambda w, i: F.when(i < at, w).otherwise(F.get(words, (at + (i - at) % period).cast("int"))))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return docs.withColumn("text", F.when(h % 10 == 0, F.array_join(bind(words, circling), " ")).otherwise(F.col("text")))
+
+
+# crc32 bit by bit over the digits; a pair of equal words six words long at a distance is extended by counting neighbouring pairs.
+_RUNS_SQL = r"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda r, c: list_reduce([0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda s, k: xor(s >> 1, (s & 1) * 3988292384), xor(r, c)), 4294967295), 4294967295) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+d AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w FROM g),
+s AS (SELECT rid, i, array_to_string(w[i + 1:i + 6], ' ') AS gram FROM (SELECT rid, w, unnest(range(0, n - 5)) AS i FROM d WHERE n > 5)),
+p AS (SELECT x.rid, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.rid = y.rid AND x.gram = y.gram AND x.i < y.i),
+e AS (SELECT rid, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM p) GROUP BY rid, q, island),
+r AS (SELECT rid, start, length, min(q) AS period FROM e WHERE length >= 2 * q AND length >= 12 GROUP BY rid, start, length),
+o AS (SELECT rid, count(*) AS n_runs, arg_min(struct_pack(start, length, period), [-length, start, period]) AS best,
+  string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs FROM r GROUP BY rid),
+z AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT d.rid, string_agg(d.word, ' ' ORDER BY d.i) AS kept FROM (SELECT rid, unnest(range(0, n)) AS i, unnest(w) AS word FROM d) d ANTI JOIN z ON z.rid = d.rid AND z.i = d.i GROUP BY d.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN o USING (rid) LEFT JOIN k USING (rid)"""
+
+
+@R.add("op11_periodic_runs", _RUNS_SQL)
+def periodic(spark, sf_dir):
+    from .periodic import periodic_runs
+
+    found = periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("least"), r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    found = found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), digest(F.array_join(lines, "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256")
+    )
+    exponent = F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
