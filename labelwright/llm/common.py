@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from labelwright.session import ensure_checkpoint_dir
@@ -55,3 +56,19 @@ def add_columns(
                 yield pa.RecordBatch.from_arrays([*batch.columns, *got], names=[*batch.schema.names, *new])
 
     return narrow.mapInArrow(run, out)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and the number of its ``rows`` in ``left``.
+
+    A key that holds over a thousandth of all rows would go to one task.  There are fewer than
+    a thousand such keys, whatever the data, so these are broadcast, and the rows of all other keys are
+    shuffled.  Rows whose key is null are left out.  ``rows`` is not kept.
+    """
+    others = [c for c in right.columns if c not in (key, rows)]
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = right.filter(F.col(rows) * 1000 > total).select(key, F.struct(*others).alias("hot_"))
+    marked = left.join(F.broadcast(hot), key, "left")
+    many = marked.filter("hot_ is not null").select(*left.columns, "hot_.*")
+    few = marked.filter("hot_ is null").select(*left.columns).join(right.select(key, *others), key)
+    return many.unionByName(few.select(*many.columns))

@@ -210,3 +210,13 @@ def periodic(spark, sf_dir):
     )
     exponent = F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli")
     return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+@R.add("op12_embedding_whitening")
+def embedding_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    white = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c")
+    rows = white.select("vec_id", "n", "deviation", "identity_error", each)
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
