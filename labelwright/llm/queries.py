@@ -220,3 +220,33 @@ def embedding_whitening(spark, sf_dir):
     each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c")
     rows = white.select("vec_id", "n", "deviation", "identity_error", each)
     return rows.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def _mix_sql() -> str:
+    from .mixing import SCHEDULES, integrated
+
+    def solved(pieces):
+        one = lambda a, s, r, m: f"{s!r}::DOUBLE + coalesce(2 * (u - {a!r}::DOUBLE) / nullif({r!r}::DOUBLE + sqrt(greatest({r!r}::DOUBLE * {r!r}::DOUBLE + 2 * {m!r}::DOUBLE * (u - {a!r}::DOUBLE), 0)), 0), 0)"
+        return "CASE " + " ".join(f"WHEN u >= {p[0]!r}::DOUBLE THEN {one(*p)}" for p in reversed(pieces)) + " END"
+
+    times = "CASE place % 3 " + " ".join(f"WHEN {i} THEN {solved(integrated(s))}" for i, s in enumerate(SCHEDULES)) + " END"
+    return rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS k, coalesce(md5('mix:' || CAST(doc_id AS VARCHAR)), '') AS draw FROM documents),
+s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(k)) - 1 AS place FROM d GROUP BY k),
+w AS (SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS gives FROM s),
+l AS (SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM s) * 1.5::DOUBLE - coalesce(sum(gives) OVER o, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY gives / weight, encode(k) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(gives, weight * (SELECT max(level) FROM l)) AS target FROM l),
+b AS (SELECT doc_id, size, source_size, target, place, CAST(floor(target + 0.5) AS BIGINT) AS due,
+  CAST(coalesce(sum(size) OVER (PARTITION BY d.k ORDER BY draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN t USING (k)),
+x AS (SELECT *, greatest(least(size, due - start), 0) AS first, greatest(least(size, due - source_size - start), 0) AS second, start / nullif(due, 0)::DOUBLE AS u FROM b)
+SELECT doc_id, size, source_size, target, CAST(first + second AS BIGINT) AS taken, CASE WHEN first > 0 THEN {times} END AS position FROM x"""
+
+
+@R.add("op13_curriculum_mix", _mix_sql())
+def curriculum_mix(spark, sf_dir):
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_min(F.transform("passes", lambda p: p["position"])).alias("position"))
+    return found.orderBy(F.asc_nulls_last("position"), "doc_id")
