@@ -28,6 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared checkpoint folder, and read from it: like ``cut``, but smaller for many rows."""
+    path = new_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let Arrow batches of this session hold so many bytes at most; the default bounds rows only, and so not the memory of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def add_columns(
     df: DataFrame, inputs: list[str], schema: str, make: Callable[[], Callable[..., list[pa.Array]]], clash: str = "drop"
 ) -> DataFrame:

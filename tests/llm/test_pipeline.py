@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from test_decontaminate import brute as brute_contamination
 from test_pii import brute as brute_spans
-from test_simhash import brute_groups
+from test_jaccard import brute_kept
 from tokenizers import Tokenizer
 
 SF = os.environ.get("LABELWRIGHT_TEST_SF", "/root/testdata/sf0.001")
@@ -47,7 +47,7 @@ def test_toxicity_keeps_what_it_does_not_reject(stages):
 def test_one_document_of_each_group(stages):
     before, after, _ = stages["near_duplicates"]
     rows = [(r.doc_id, r.text) for r in before]
-    keep = {d for d, _, c in brute_groups(rows) if d is not None and d == c}
+    keep = brute_kept([r for r in rows if r[0] is not None])
     want = {(d, t) for d, t in rows if d is None or d in keep}
     assert sorted(((r.doc_id, r.text) for r in after), key=str) == sorted(want, key=str)
     assert len(after) < len(before)
