@@ -1,8 +1,8 @@
 """Tag-level reading of HTML with regular expressions.
 
-There is no document tree here.  Nested elements of the same kind end at the
-first closing tag, and elements found by id end at the closing tag of the kind
-that holds their content; each function says what it approximates.
+There is no document tree here.  Elements found by id or class are whole: their
+closing tag is found by counting the tags of their kind (``element``, ``elements``).  Table
+rows, cells and list items end at the first closing tag of their kind.
 """
 
 from __future__ import annotations
@@ -92,15 +92,111 @@ def rows_to_map(rows: Column) -> Column:
     return bind(F.array_sort(placed), build)
 
 
-def section(html: Column, element_id: str, close: str) -> Column:
-    """Inner HTML from the element with this id to the first ``close`` tag after it; NULL if absent."""
-    pattern = rf"<[a-z0-9]+\b[^>]*\bid\s*=\s*[\"']{element_id}[\"'][^>]*>(.*?)</(?:{close})\s*>"
-    return F.nullif(F.regexp_extract(html, rx(pattern, "is"), 1), F.lit(""))
+def _tags_apart(html: Column, kind: str | Column) -> Column:
+    """``html`` cut before every tag of a kind; a blank leads, so the first piece starts with no such tag."""
+    name = kind if isinstance(kind, Column) else F.lit(kind)
+    return F.split(F.concat(F.lit(" "), html), F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])")))
 
 
-def first_element_text(html: Column, pattern: str) -> Column:
-    """Text of the first element whose opening tag and content ``pattern`` describes (group 1 = content)."""
-    return F.nullif(node_text(F.regexp_extract(html, rx(pattern, "is"), 1)), F.lit(""))
+def _step(piece: Column) -> Column:
+    """Change of depth at the tag that a piece starts with: 1, -1, or 0 for none and for a tag that closes itself."""
+    return (
+        F.when(piece.startswith("</"), -1).when(~piece.startswith("<"), 0).when(piece.rlike(r"^<[^>]*/>"), 0).otherwise(1)
+    )
+
+
+def visible(html: Column) -> Column:
+    """Without what may hold tags that are none: comments, scripts, styles, templates."""
+    return F.regexp_replace(html, rx(UNSEEN, "is"), "")
+
+
+def element(html: Column, opening: str) -> Column:
+    """Inner HTML of the first element whose opening tag is ``opening`` (group 1 = its kind); NULL if absent or empty.
+
+    The element is whole, whatever is nested in it: one pass over the tags of its kind counts
+    the depth.  One that is never closed ends with the page.
+    """
+
+    def inner(v: Column) -> Column:
+        kind = F.lower(F.regexp_extract(v, rx(opening, "is"), 1))
+        rest = F.try_element_at(F.split(v, rx(opening, "is"), 2), F.lit(2))
+        zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+
+        def walk(s: Column, p: Column) -> Column:
+            depth = s["depth"] + _step(p)
+            return F.struct(
+                depth.alias("depth"), (s["at"] + F.length(p)).alias("at"),
+                F.when((s["end"] < 0) & (depth == 0), s["at"]).otherwise(s["end"]).alias("end"),
+            )
+
+        def cut(r: Column) -> Column:
+            end = F.aggregate(_tags_apart(r, kind), zero, walk, lambda s: F.when(s["end"] < 0, s["at"]).otherwise(s["end"]))
+            return F.substring(r, F.lit(1), end - 1)
+
+        return bind(rest, cut)
+
+    return F.when(html.rlike(rx(opening, "is")), F.nullif(bind(visible(html), inner), F.lit("")))
+
+
+def elements(html: Column, kinds: Sequence[str], attributes: str = "") -> Column:
+    """Inner HTML of every element of these kinds whose opening tag holds ``attributes``, in page order, nested ones too.
+
+    For each kind one pass over its tags counts the depth and keeps the open elements that are
+    wanted; those never closed end with the page.
+    """
+    opening = rf"<(?:{'|'.join(kinds)})\b[^>]*{attributes}"
+
+    def spans(v: Column, kind: str) -> Column:
+        span = "array<struct<start:int,end:int>>"
+        wanted = rx(rf"^<{kind}\b[^>]*{attributes}[^>]*>", "is")
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.array().cast("array<struct<depth:int,start:int>>").alias("open"), F.array().cast(span).alias("found"))
+
+        def walk(s: Column, p: Column) -> Column:
+            step = _step(p)
+            inside = F.struct((s["depth"] + 1).alias("depth"), (s["at"] + F.length(F.regexp_extract(p, r"^<[^>]*>", 0))).alias("start"))
+            top = F.try_element_at(s["open"], F.lit(-1))
+            closes = (step == -1) & F.coalesce(top["depth"] == s["depth"], F.lit(False))
+            ended = F.struct(top["start"].alias("start"), s["at"].alias("end"))
+            return F.struct(
+                (s["at"] + F.length(p)).alias("at"),
+                # a closing tag too many opens nothing
+                F.greatest(s["depth"] + step, F.lit(0)).alias("depth"),
+                F.when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1))
+                .when((step == 1) & p.rlike(wanted), F.concat(s["open"], F.array(inside))).otherwise(s["open"]).alias("open"),
+                F.when(closes, F.concat(s["found"], F.array(ended))).otherwise(s["found"]).alias("found"),
+            )
+
+        def finish(s: Column) -> Column:
+            return F.concat(s["found"], F.transform(s["open"], lambda o: F.struct(o["start"].alias("start"), s["at"].alias("end"))))
+
+        return F.aggregate(_tags_apart(v, kind), zero, walk, finish)
+
+    def inner(v: Column) -> Column:
+        found = F.array_sort(F.concat(*[spans(v, k) for k in kinds]))
+        # positions count the blank that leads
+        return F.transform(found, lambda e: F.substring(v, e["start"], e["end"] - e["start"]))
+
+    return F.when(html.rlike(rx(opening, "is")), bind(visible(html), inner)).otherwise(F.array().cast("array<string>"))
+
+
+def by_id(element_id: str) -> str:
+    """Opening tag with this id."""
+    return rf"<([a-z0-9]+)\b[^>]*\sid\s*=\s*[\"']?{element_id}(?:[\"'\s/][^>]*)?>"
+
+
+def by_class(classes: str) -> str:
+    """Attribute of a tag of any of these classes (alternatives)."""
+    return rf"\sclass\s*=\s*(?:[\"'][^\"']*(?:{classes})[^\"']*[\"']|[^\s\"'>]*(?:{classes}))"
+
+
+def section(html: Column, element_id: str) -> Column:
+    """Inner HTML of the element with this id, whole; NULL if absent."""
+    return element(html, by_id(element_id))
+
+
+def element_text(html: Column, opening: str) -> Column:
+    """Text of the first element whose opening tag is ``opening`` (group 1 = its kind); NULL if it has none."""
+    return F.nullif(node_text(F.coalesce(element(html, opening), F.lit(""))), F.lit(""))
 
 
 def items(html: Column) -> Column:

@@ -58,22 +58,22 @@ SKIPPED_KEYS = {
 }
 NO_ROWS = ("meesho", "myntra")  # these read no table
 
-# Element names and ids that hold titles, details, bullets, description and price.
+# Opening tags, element names and ids that hold titles, details, bullets, description and price.
 TITLE = {
     "amazon": [
-        r"<span\b[^>]*\bid\s*=\s*[\"']productTitle[\"'][^>]*>(.*?)</span\s*>",
-        r"<h1\b[^>]*>(.*?)</h1\s*>",
-        r"<span\b[^>]*\bclass\s*=\s*[\"'][^\"']*\ba-size-large\b[^\"']*[\"'][^>]*>(.*?)</span\s*>",
+        r"<(span)\b[^>]*\bid\s*=\s*[\"']productTitle[\"'][^>]*>",
+        r"<(h1)\b[^>]*>",
+        r"<(span)\b[^>]*\bclass\s*=\s*[\"'][^\"']*\ba-size-large\b[^\"']*[\"'][^>]*>",
     ],
     "flipkart": [
-        r"<span\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:B_NuCI|yhB1nd|VU-ZEz|x-product-title)[^\"']*[\"'][^>]*>(.*?)</span\s*>",
-        r"<h1\b[^>]*>(.*?)</h1\s*>",
+        r"<(span)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:B_NuCI|yhB1nd|VU-ZEz|x-product-title)[^\"']*[\"'][^>]*>",
+        r"<(h1)\b[^>]*>",
     ],
     "jiomart": [
-        r"<h1\b[^>]*>(.*?)</h1\s*>",
-        r"<span\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:product.title|product.name|pdp.title)[^\"']*[\"'][^>]*>(.*?)</span\s*>",
+        r"<(h1)\b[^>]*>",
+        r"<(span)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:product.title|product.name|pdp.title)[^\"']*[\"'][^>]*>",
     ],
-    "generic": [r"<h1\b[^>]*>(.*?)</h1\s*>"],
+    "generic": [r"<(h1)\b[^>]*>"],
 }
 DETAIL_IDS = [
     "detailBullets_feature_div", "productDetails_detailBullets_sections1",

@@ -184,17 +184,15 @@ def state_text(html: Column) -> Column:
 # Rows that name a maker, best first.
 MAKER_KEYS = ["Manufacturer Name", "Manufacturer", "Marketed by", "Manufactured by", "Manufacturer Details", "Packer", "Packed by", "Manufacturer Address"]
 # where specifications stand in a page
-SPEC_BLOCK = rf"<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:{M.SPEC_CLASSES})[^\"']*[\"'][^>]*>(.*?)</div\s*>"
-SPEC_SECTION = r"<(?:section|article)\b[^>]*>(.*?)</(?:section|article)\s*>"
+SPEC_BLOCK = (["div"], H.by_class(M.SPEC_CLASSES))
+SPEC_SECTION = (["section", "article"], "")
 
 
 def spec_texts(html: Column) -> Column:
     """Texts of specification blocks and sections that mention a declaration, one per line."""
-    def texts(pattern: str, words: list[str]) -> Column:
-        found = F.transform(
-            F.regexp_extract_all(html, F.lit(rx(pattern, "is")), F.lit(1)), lambda b: H.node_text(b, "\n")
-        )
-        return F.transform(F.filter(found, lambda t: F.lower(t).rlike(any_of(words))), lambda t: t)
+    def texts(which: tuple, words: list[str]) -> Column:
+        found = F.transform(H.elements(html, *which), lambda b: H.node_text(b, "\n"))
+        return F.filter(found, lambda t: F.lower(t).rlike(any_of(words)))
 
     return F.array_join(
         F.concat(texts(SPEC_BLOCK, M.COMPLIANCE_KEYS["flipkart"]), texts(SPEC_SECTION, M.SECTION_WORDS)), "\n"
@@ -275,7 +273,7 @@ def titled_name(html: Column) -> Column:
 
 def _title(adapter: str) -> Column:
     patterns = M.TITLE.get(adapter, M.TITLE["generic"])
-    return F.coalesce(*[H.first_element_text(F.col("html"), p) for p in patterns])
+    return F.coalesce(*[H.element_text(F.col("html"), p) for p in patterns])
 
 
 def _by_adapter(choices: dict[str, Column]) -> Column:
@@ -356,14 +354,14 @@ def _record_columns() -> list[list[Column]]:
         F.when(adapter.isin("meesho", "generic"), next_data(html)).alias("_next"),
         F.when(
             adapter == "amazon",
-            H.items(F.coalesce(H.section(html, "feature-bullets", "ul"), F.lit(""))),
+            H.items(F.coalesce(H.section(html, "feature-bullets"), F.lit(""))),
         ).alias("_bullets"),
         F.when(
             adapter == "amazon",
             F.flatten(
                 F.array(
                     *[
-                        H.key_value_items(F.coalesce(H.section(html, i, "ul|table"), F.lit("")))
+                        H.key_value_items(F.coalesce(H.section(html, i), F.lit("")))
                         for i in M.DETAIL_IDS
                     ]
                 )
@@ -441,11 +439,11 @@ def _record_columns() -> list[list[Column]]:
         ).alias("_bullet_country"),
         F.when(
             adapter == "amazon",
-            H.node_text(F.coalesce(H.section(html, "productDescription", "div"), F.lit("")), "\n"),
+            H.node_text(F.coalesce(H.section(html, "productDescription"), F.lit("")), "\n"),
         ).alias("_description_block"),
         F.when(
             adapter == "amazon",
-            H.node_text(F.coalesce(*[H.section(html, i, "div") for i in M.PRICE_IDS], F.lit(""))),
+            H.node_text(F.coalesce(*[H.section(html, i) for i in M.PRICE_IDS], F.lit(""))),
         ).alias("_price_block_text"),
         F.when(adapter == "jiomart", bind(F.col("_rows"), named_manufacturer)).alias("_named_manufacturer"),
         F.when(adapter == "myntra", titled_name(html)).alias("_titled_name"),
@@ -542,7 +540,7 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
     amazon, flipkart = F.col("marketplace") == "Amazon", F.col("marketplace") == "Flipkart"
     text = F.col("_text")
     pairs = F.flatten(
-        F.array(*[H.key_value_items(F.coalesce(H.section(html, i, "ul|table"), F.lit(""))) for i in M.DETAIL_IDS[:3]])
+        F.array(*[H.key_value_items(F.coalesce(H.section(html, i), F.lit(""))) for i in M.DETAIL_IDS[:3]])
     )
 
     def found(key: str, pattern: str, group: int = 1, flags: str = "i") -> Column:
@@ -557,13 +555,13 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
             found("Mfg Date", r"(?:Mfg\.?\s*Date|Date\s*of\s*Manufacture|Manufacturing\s*Date)[:\s]+([^\n\|]{4,30})"),
         )
     )
-    price_id = F.coalesce(*[H.section(html, i, "div") for i in M.LISTING_PRICE_IDS])
+    price_id = F.coalesce(*[H.section(html, i) for i in M.LISTING_PRICE_IDS])
     mrp = F.regexp_extract(text, rx(r"M\.?R\.?P\.?\s*[:\s₹Rs.]*\s*([\d,]+\.?\d{0,2})"), 1)
     staged = base.select(
         "*",
         F.when(amazon, F.concat("_table", pairs, scanned)).otherwise(F.col("_table")).alias("_all"),
-        F.when(amazon, F.coalesce(*[H.first_element_text(html, p) for p in M.TITLE["amazon"]]))
-        .otherwise(H.first_element_text(html, M.TITLE["generic"][0]))
+        F.when(amazon, F.coalesce(*[H.element_text(html, p) for p in M.TITLE["amazon"]]))
+        .otherwise(H.element_text(html, M.TITLE["generic"][0]))
         .alias("_name"),
         F.when(
             amazon,
@@ -596,13 +594,7 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
     page_text = H.node_text(main, "\n")
     if max_text is not None:
         page_text = F.substring(page_text, 1, max_text)
-    classes = "|".join(M.LISTING_CLASSES)
-    blocks = F.transform(
-        F.regexp_extract_all(
-            html, F.lit(rx(rf"<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:{classes})[^\"']*[\"'][^>]*>(.*?)</div\s*>", "is")), F.lit(1)
-        ),
-        lambda b: H.node_text(b, "\n"),
-    )
+    blocks = F.transform(H.elements(html, ["div"], H.by_class("|".join(M.LISTING_CLASSES))), lambda b: H.node_text(b, "\n"))
     listing = F.concat_ws(
         "\n",
         F.concat(F.lit("Product: "), F.col("_name")),

@@ -38,8 +38,53 @@ def row_value(key: str, rows_col: str = "rows") -> str:
     return f"list_filter({rows_col}, lambda s: s.key = {q(key)})[-1].value"
 
 
-def section(e: str, element_id: str, close: str) -> str:
-    return nz(extract(e, rf"<[a-z0-9]+\b[^>]*\bid\s*=\s*[\"']{element_id}[\"'][^>]*>(.*?)</(?:{close})\s*>", 1, "is"))
+def visible(e: str) -> str:
+    return replace_all(e, H.UNSEEN, "", "is")
+
+
+def _apart(e: str, kind: str) -> str:
+    """Pieces that start at the tags of a kind; the first starts with none."""
+    return f"string_split(regexp_replace({e}, '(</?' || {kind} || '[\\s/>])', chr(2) || '\\1', 'gi'), chr(2))"
+
+
+def _steps(parts: str) -> str:
+    """Change of depth at each piece but the first."""
+    return (
+        f"list_transform(list_zip({parts}, range(1, len({parts}) + 1)), lambda z: CASE WHEN z[2] = 1 THEN 0 WHEN starts_with(z[1], '</') THEN -1 "
+        "WHEN regexp_matches(z[1], '^<[^>]*/>') THEN 0 ELSE 1 END)"
+    )
+
+
+def element(e: str, opening: str) -> str:
+    """Inner HTML of the first element with this opening tag: to the piece at which the steps sum to -1."""
+    tag, kind = extract("v", opening, 0, "is"), f"lower({extract('v', opening, 1, 'is')})"
+    rest = f"v[instr(v, {tag}) + length({tag}):]"
+    end = "list_filter(range(2, len(x.p) + 1), lambda i: list_sum(x.s[2:i]) = -1)[1]"
+    parts = f"list_transform([{_apart(rest, kind)}], lambda p: {{'p': p, 's': {_steps('p')}}})"
+    inner = f"list_transform({parts}, lambda x: array_to_string(x.p[1:coalesce({end} - 1, len(x.p))], ''))[1]"
+    return f"list_transform([{visible(e)}], lambda v: CASE WHEN {tag} <> '' THEN {nz(inner)} END)[1]"
+
+
+def elements(e: str, kinds: list[str], attributes: str = "") -> str:
+    """Inner HTML of all elements with this opening tag, by place."""
+    each = []
+    for k in kinds:
+        parts = f"list_transform([{_apart('v', q(k))}], lambda p: {{'p': p, 's': {_steps('p')}}})"
+        depth = "list_sum(x.s[1:{0}])"
+        end = f"list_filter(range(i + 1, len(x.p) + 1), lambda j: {depth.format('j')} = {depth.format('i')} - 1)[1]"
+        wanted = has("x.p[i]", rf"^<{k}\b[^>]*{attributes}[^>]*>", "is")
+        inner = f"regexp_replace(x.p[i], '^<[^>]*>', '') || array_to_string(x.p[i + 1:coalesce({end} - 1, len(x.p))], '')"
+        place = "length(array_to_string(x.p[1:i], ''))"
+        each.append(
+            f"list_transform({parts}, lambda x: list_transform(list_filter(range(2, len(x.p) + 1), lambda i: x.s[i] = 1 AND {wanted}), "
+            f"lambda i: {{'at': {place}, 'h': {inner}}}))[1]"
+        )
+    found = each[0] if len(each) == 1 else "list_concat(" + ", ".join(each) + ")"
+    return f"list_transform([{visible(e)}], lambda v: list_transform(list_sort({found}), lambda f: f.h))[1]"
+
+
+def section(e: str, element_id: str) -> str:
+    return element(e, H.by_id(element_id))
 
 
 def items(e: str) -> str:
@@ -144,7 +189,7 @@ def next_script() -> str:
 
 def title(adapter_name: str) -> str:
     patterns = M.TITLE.get(adapter_name, M.TITLE["generic"])
-    return "coalesce(" + ", ".join(nz(node_text(extract("html", p, 1, "is"))) for p in patterns) + ")"
+    return "coalesce(" + ", ".join(nz(node_text(f"coalesce({element('html', p)}, '')")) for p in patterns) + ")"
 
 
 def record(pages: str, adapter_name: str, fields: list[str], named: dict[str, str], extra: str = "", corpus: str | None = None, base_rows: str | None = None) -> str:
@@ -153,7 +198,7 @@ def record(pages: str, adapter_name: str, fields: list[str], named: dict[str, st
     cols = ", ".join(f"coalesce({', '.join(source(s, named) for s in spec[f] if s != ('column', 'party_phone'))}) AS {f}" for f in fields)
     base_rows = base_rows or (rows("html") if adapter_name not in M.NO_ROWS else "[]")
     if adapter_name == "amazon":
-        details = "flatten([" + ", ".join(key_value_items(f"coalesce({section('html', i, 'ul|table')}, '')") for i in M.DETAIL_IDS) + "])"
+        details = "flatten([" + ", ".join(key_value_items(f"coalesce({section('html', i)}, '')") for i in M.DETAIL_IDS) + "])"
         base_rows = (
             f"list_concat({base_rows}, list_reverse(list_filter({details}, lambda d: NOT list_contains(list_transform({rows('html')}, lambda r: r.key), d.key))))"
         )

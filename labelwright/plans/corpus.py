@@ -235,7 +235,7 @@ _HTML = f"""concat(
       3: "'<script type=\"application/ld+json\">{broken json</script>'",
       4: "''"})},
   '<style>p {{ margin: 0 }}</style></head><body><nav><a href="/">Home</a></nav><main id="product-main">',
-  '<span id="productTitle"> ', p_name, ' &amp; Co </span><h1>', p_name, '&nbsp;Pack</h1>',
+  '<span id="productTitle"> ', p_name, ' <span>&amp;</span> Co </span><h1>', p_name, '&nbsp;Pack</h1>',
   {_case("k", 4, {0: "'<div id=\"corePriceDisplay_desktop_feature_div\"><span>M.R.P.: ₹' || " + _PRICE + " || '</span></div>'",
                   1: "'<p>M.R.P. Rs. ' || " + _PRICE + " || '</p>'", 2: "'<p>₹' || " + _PRICE + " || '</p>'", 3: "''"})},
   '<table>',
@@ -254,13 +254,13 @@ _HTML = f"""concat(
                   5: "'<tr><td>Colour</td><td>Red</td><td>x</td></tr><tr><td>solo</td></tr>'", 6: "''"})},
   '</table>',
   {_case("k", 3, {0: "'<div id=\"detailBullets_feature_div\"><ul><li><span>Brand Contact : ' || " + _COMPANY + " || '</span></li><li>Country of Origin: Nepal</li><li>no pair</li></ul></div>'", 1: "''", 2: "''"})},
-  {_case("k", 4, {0: "'<div id=\"feature-bullets\"><ul><li>Mfg. by ' || " + _COMPANY + " || ' Works</li><li>Made in India</li><li>Packed by hand</li></ul></div>'", 1: "''", 2: "''", 3: "''"})},
-  '<div id="productDescription"><p>Tasty ', p_name, '</p><p>for all</p></div>',
+  {_case("k", 4, {0: "'<div id=\"feature-bullets\"><div><ul><li>None</li></ul></div><ul><li>Mfg. by ' || " + _COMPANY + " || ' Works</li><li>Made in India</li><li>Packed by hand</li></ul></div>'", 1: "''", 2: "''", 3: "''"})},
+  '<div id="productDescription"><div><p>Tasty ', p_name, '</p></div><!-- </div> --><div><div/><p>for all</p></div>and more</div>',
   '<section><p>', replace({_TEXT_BLOCKS}, chr(10), '</p><p>'), '</p></section>',
   {_case("k", 3, {0: "'<p><strong>Net Weight:</strong> ' || CAST(p_size AS STRING) || ' g</p><dl><dt>Licence No</dt><dd>' || " + _LICENCE + " || '</dd></dl>'", 1: "''", 2: "''"})},
   {_case("k", 8, {
       0: "'<script>var d = {\"colorImages\": {\"initial\": [{\"hiRes\":\"https://m.media-amazon.com/images/I/' || " + _IMG_ID + " || '._SL1200_.jpg\",\"large\":\"https://m.media-amazon.com/images/I/' || " + _IMG_ID + " || '._AC_.jpg\"},{\"hiRes\":\"https://m.media-amazon.com/images/I/71backLabel' || CAST(k AS STRING) || '._AC_SL500_.jpg\"}]}};</script><div id=\"altImages\"><ul><li><img src=\"https://m.media-amazon.com/images/I/' || " + _IMG_ID + " || '._SS40_.jpg\" alt=\"\"></li><li><img alt=\"video\" src=\"https://m.media-amazon.com/images/I/71videoThumb._SS40_PKmb-play-button-overlay_.jpg\"></li></ul></div><img id=\"landingImage\" alt=\"main\" data-old-hires=\"https://m.media-amazon.com/images/I/81landing' || CAST(k AS STRING) || '._SL1500_.jpg\"><div id=\"reviews\"><img src=\"https://m.media-amazon.com/images/I/91reviewPic._SL1500_.jpg\"></div>'",
-      1: "'<script>window.__PRELOADED_STATE__ = {\"product\":{\"Manufactured By\":\"State Foods\",\"mrp\":\"Net Quantity: 250 g\",\"code\":' || CAST(k AS STRING) || ',\"img\":\"https://rukminim2.flixcart.com/image/128/128/x/back-label-' || CAST(k AS STRING) || '.jpeg\"},\"filler\":\"0123456789012345678901234567890123456789\"};</script><div class=\"_2RngUh\">Country of Origin India</div><img src=\"https://rukminim1.flixcart.com/image/312/312/x/front-' || CAST(k AS STRING) || '.jpeg\">'",
+      1: "'<script>window.__PRELOADED_STATE__ = {\"product\":{\"Manufactured By\":\"State Foods\",\"mrp\":\"Net Quantity: 250 g\",\"code\":' || CAST(k AS STRING) || ',\"img\":\"https://rukminim2.flixcart.com/image/128/128/x/back-label-' || CAST(k AS STRING) || '.jpeg\"},\"filler\":\"0123456789012345678901234567890123456789\"};</script><div class=\"_2RngUh\"><div class=\"_1UhVsV\">Specifications</div><div>Country of Origin India</div>in the box</div><img src=\"https://rukminim1.flixcart.com/image/312/312/x/front-' || CAST(k AS STRING) || '.jpeg\">'",
       2: "'<img src=\"https://cdn1.jiomartjcp.com/images/product/t.resize(w:330)/back-' || CAST(k AS STRING) || '.jpg\"><img src=\"https://cdn1.jiomartjcp.com/theme/assets/logo.png\">'",
       3: "'<script>{\"brandName\":\"MynBrand\",\"mrp\":\"' || CAST(p_size * 10 AS STRING) || '\",\"brandSize\":\"' || CAST(p_size AS STRING) || ' g\",\"countryOfOrigin\":\"India\",\"seller\":\"MynSeller\",\"productDetails\":[{\"title\":\"Manufacturer Details\",\"content\":\"Myn Foods Ltd\"},{\"title\":\"Ingredient List\",\"content\":\"Oats, Salt\"},{\"title\":\"Packer\",\"content\":\"N/A\"}],\"styleId\":1}</script><img src=\"https://assets.myntassets.com/assets/images/2024/JUNE/7/abc' || CAST(k AS STRING) || '_1.jpg\"><img src=\"https://assets.myntassets.com/assets/images/retaillabs/x.png\">'",
       4: "'<script id=\"__NEXT_DATA__\" type=\"application/json\">{\"props\":{\"pageProps\":{\"product\":{\"name\":\"Mee ' || p_name || '\",\"brand\":\"MeeBrand\",\"mrp\":' || CAST(p_size AS STRING) || ',\"description\":\"Mee text\"}}}}</script><img src=\"https://media.meesho.com/images/products/' || CAST(k AS STRING) || '/256/256/a.jpg\">'",

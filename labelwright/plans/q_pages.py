@@ -87,7 +87,7 @@ def table_rows(spark, sf_dir):
 
 
 _DETAILS = "flatten([" + ", ".join(
-    O.key_value_items(f"coalesce({O.section('html', i, 'ul|table')}, '')") for i in M.DETAIL_IDS
+    O.key_value_items(f"coalesce({O.section('html', i)}, '')") for i in M.DETAIL_IDS
 ) + "])"
 
 
@@ -98,7 +98,7 @@ _DETAILS = "flatten([" + ", ".join(
 def detail_bullets(spark, sf_dir):
     html = F.col("html")
     found = F.flatten(
-        F.array(*[H.key_value_items(F.coalesce(H.section(html, i, "ul|table"), F.lit(""))) for i in M.DETAIL_IDS])
+        F.array(*[H.key_value_items(F.coalesce(H.section(html, i), F.lit(""))) for i in M.DETAIL_IDS])
     )
     return pages(spark, sf_dir).select("page_id", F.inline_outer(found)).filter("key IS NOT NULL")
 
@@ -235,14 +235,14 @@ def _record(spark, sf_dir, source, fields):
     return d.filter(F.col("source") == source).select("page_id", *fields)
 
 
-_BULLETS = f"{O.items('coalesce(' + O.section('html', 'feature-bullets', 'ul') + ', ' + repr('') + ')')}"
+_BULLETS = f"{O.items('coalesce(' + O.section('html', 'feature-bullets') + ', ' + repr('') + ')')}"
 _AMAZON_NAMED = {
     "title": O.title("amazon"),
     "bullet_manufacturer": f"list_filter({_BULLETS}, lambda b: regexp_matches(lower(b), {q(O.any_of(M.BULLET_MANUFACTURER))}))[1]",
     "bullet_packer": f"list_filter({_BULLETS}, lambda b: contains(lower(b), 'packed by'))[1]",
     "bullet_country": f"list_filter(list_transform({_BULLETS}, lambda b: {strip(extract('b', M.BULLET_COUNTRY, 1))}), lambda v: v <> '')[1]",
-    "description_block": nz(O.node_text("coalesce(" + O.section("html", "productDescription", "div") + ", '')", "chr(10)")),
-    "price_block_text": nz(O.node_text("coalesce(" + ", ".join(O.section("html", i, "div") for i in M.PRICE_IDS) + ", '')")),
+    "description_block": nz(O.node_text("coalesce(" + O.section("html", "productDescription") + ", '')", "chr(10)")),
+    "price_block_text": nz(O.node_text("coalesce(" + ", ".join(O.section("html", i) for i in M.PRICE_IDS) + ", '')")),
 }
 _AMAZON_FIELDS = [f for f in M.RECORD_FIELDS if f in M.FIELDS["amazon"] and f != "consumer_care_phone"]
 
@@ -255,8 +255,8 @@ def amazon_record(spark, sf_dir):
 _STATE_OF = _STATE.split(" AS state FROM")[0].removeprefix("SELECT page_id, ")
 
 
-def _spec_blocks(pattern: str, words: list[str]) -> str:
-    return f"list_filter(list_transform({O.extract_all('html', pattern)}, lambda b: {O.node_text('b', 'chr(10)')}), lambda t: regexp_matches(lower(t), {q(O.any_of(words))}))"
+def _spec_blocks(which: tuple, words: list[str]) -> str:
+    return f"list_filter(list_transform({O.elements('html', *which)}, lambda b: {O.node_text('b', 'chr(10)')}), lambda t: regexp_matches(lower(t), {q(O.any_of(words))}))"
 
 
 _SPECS = (
