@@ -83,6 +83,13 @@ def pdp_compliance(total: Column, panel: Column) -> Column:
     )
 
 
+def _mean(total: Column, n: Column) -> Column:
+    """Whole-number mean of whole numbers of 0 or more; a half goes to the even neighbour, exactly."""
+    rest = total % n
+    whole = ((total - rest) / n).cast("bigint")
+    return whole + F.when((2 * rest > n) | ((2 * rest == n) & (whole % 2 == 1)), 1).otherwise(0)
+
+
 def font_verdicts(measured: DataFrame, images: DataFrame, shown: int | None = None) -> DataFrame:
     """Verdict per image: REVIEW without words, FAIL if any word is too small, else PASS.
 
@@ -93,7 +100,7 @@ def font_verdicts(measured: DataFrame, images: DataFrame, shown: int | None = No
     stats = measured.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("word_count"),
         F.bround(F.min("height_mm"), 2).alias("smallest_mm"),
-        F.bround((F.sum(F.round(F.col("height_mm") * 100).cast("bigint")).cast("decimal(38,12)") / F.count(F.lit(1)) / 100), 2).cast("double").alias("avg_mm"),
+        (_mean(F.sum(F.round(F.col("height_mm") * 100).cast("bigint")), F.count(F.lit(1))) / 100).alias("avg_mm"),
         F.count_if(small).alias("non_compliant_count"),
     )
     offenders = measured.filter(small)

@@ -216,9 +216,9 @@ def schedule(spark, sf_dir):
 
 @R.add(
     "fnt_03_verdicts",
-    f"""SELECT i.image_id, coalesce(n, 0) AS word_count, coalesce(smallest, 0) AS smallest_mm, coalesce(average, 0) AS avg_mm, coalesce(bad, 0) AS non_compliant_count,
+    f"""SELECT i.image_id, coalesce(n, 0) AS word_count, coalesce(smallest, 0) AS smallest_mm, coalesce((total // n + CASE WHEN 2 * (total % n) > n OR (2 * (total % n) = n AND (total // n) % 2 = 1) THEN 1 ELSE 0 END) / 100, 0) AS avg_mm, coalesce(bad, 0) AS non_compliant_count,
   CASE WHEN coalesce(n, 0) = 0 THEN 'REVIEW' WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS overall_status
-FROM ({IMAGES}) i LEFT JOIN (SELECT image_id, count(*) AS n, min(height_mm) AS smallest, CAST(round_even(CAST(sum(CAST(round(height_mm * 100) AS BIGINT)) AS DECIMAL(38,12)) / count(*) / 100, 2) AS DOUBLE) AS average,
+FROM ({IMAGES}) i LEFT JOIN (SELECT image_id, count(*) AS n, min(height_mm) AS smallest, CAST(sum(CAST(round(height_mm * 100) AS BIGINT)) AS BIGINT) AS total,
   count(*) FILTER (WHERE height_mm < min_required_mm) AS bad FROM ({_MEASURED}) m GROUP BY image_id) s ON i.image_id = s.image_id""",
 )
 def verdicts(spark, sf_dir):
