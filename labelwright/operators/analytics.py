@@ -11,10 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _one_decimal(c: Column) -> Column:
+def one_decimal(c: Column) -> Column:
     return F.bround(F.coalesce(c, F.lit(0.0)), 1)
 
 
+def month_of(when: Column) -> Column:
+    """Year and month as a number; scans are stored in folders of it."""
+    return F.year(when) * 100 + F.month(when)
+
+
+def recent(scans: DataFrame, since: Column) -> DataFrame:
+    """Scans from a time on; of scans in monthly folders, earlier months are not read."""
+    found = scans.filter(F.col("created_at") >= since)
+    return found.filter(F.col("scan_month") >= month_of(since)) if "scan_month" in scans.columns else found
+
+
 def summary(scans: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     passed = F.count_if(F.col("status") == "PASS")
@@ -23,15 +34,15 @@ def summary(scans: DataFrame) -> DataFrame:
         passed.alias("pass_count"),
         F.count_if(F.col("status") == "FAIL").alias("fail_count"),
         F.count_if(F.col("status") == "PARTIAL").alias("partial_count"),
-        _one_decimal(F.avg("score")).alias("avg_score"),
-        _one_decimal(F.try_divide(passed, total) * 100).alias("compliance_rate"),
+        one_decimal(F.avg("score")).alias("avg_score"),
+        one_decimal(F.try_divide(passed, total) * 100).alias("compliance_rate"),
     )
 
 
 def by_category(scans: DataFrame) -> DataFrame:
     return (
         scans.groupBy("category")
-        .agg(F.count(F.lit(1)).alias("count"), _one_decimal(F.avg("score")).alias("avg_score"))
+        .agg(F.count(F.lit(1)).alias("count"), one_decimal(F.avg("score")).alias("avg_score"))
         .orderBy(F.desc("count"), "category")
     )
 
@@ -43,7 +54,7 @@ def by_platform(scans: DataFrame, top: int | None = None) -> DataFrame:
         scans.groupBy("platform")
         .agg(
             n.alias("count"),
-            _one_decimal(F.try_divide(F.count_if(F.col("status") == "FAIL"), n) * 100).alias("fail_rate"),
+            one_decimal(F.try_divide(F.count_if(F.col("status") == "FAIL"), n) * 100).alias("fail_rate"),
         )
         .orderBy(F.desc("count"), "platform")
     )
@@ -60,9 +71,9 @@ def trends(scans: DataFrame, now: Column, days: int = 30, fill_gaps: bool = Fals
         raise ValueError("days must lie between 7 and 365")
     since = now - F.expr(f"INTERVAL {days} DAYS")
     daily = (
-        scans.filter(F.col("created_at") >= since)
+        recent(scans, since)
         .groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("date"))
-        .agg(F.count(F.lit(1)).alias("scans"), _one_decimal(F.avg("score")).alias("avg_score"))
+        .agg(F.count(F.lit(1)).alias("scans"), one_decimal(F.avg("score")).alias("avg_score"))
     )
     if fill_gaps:
         span = daily.sparkSession.range(1).select(

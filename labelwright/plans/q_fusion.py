@@ -10,6 +10,7 @@ from ..operators import compare as K
 from ..operators import fusion as M
 from ..operators import ocr as O
 from ..operators import reports as T
+from ..operators import rollups
 from ..operators import scan as S
 from ..operators.attributes import extract_attributes
 from ..oracle import scan_sql as X
@@ -203,16 +204,13 @@ def _order_stream(spark, sf_dir):
     return C.frame(spark, sf_dir, C.ORDER_LABELS, orders=stream)
 
 
-def _run(spark, df):
-    """Run a stream of complete results to its end; each batch replaces the table that is read back."""
-    path = _work_dir(spark)
-
-    def store(batch, _) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out")
+def _streamed(spark, sf_dir) -> str:
+    """Folder of the tables that the continuous scan of the order stream has written."""
+    from ..streaming import write_scan_stream
 
-    query = df.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/out")
+    path = _work_dir(spark)
+    write_scan_stream(_order_stream(spark, sf_dir), f"{path}/out", f"{path}/ckpt").awaitTermination()
+    return f"{path}/out"
 
 
 @R.add(
@@ -220,10 +218,8 @@ def _run(spark, df):
     f"SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS scans, {one_decimal('avg(score)')} AS avg_score FROM ({SCANS_SQL}) s GROUP BY 1",
 )
 def live_trends(spark, sf_dir):
-    from ..streaming import live_trends as trends
-
-    scanned = S.scan_labels(_order_stream(spark, sf_dir)).withColumn("scan_id", F.col("record_id"))
-    return _run(spark, trends(scanned))
+    """Daily trend of the stream, from the rollups of its micro-batches."""
+    return rollups.daily(rollups.read_rollups(spark, _streamed(spark, sf_dir)))
 
 
 @R.add(
@@ -232,10 +228,7 @@ def live_trends(spark, sf_dir):
   {one_decimal("count(*) FILTER (WHERE status = 'FAIL') / count(*) * 100")} AS fail_rate FROM ({SCANS_SQL}) s GROUP BY 1, 2""",
 )
 def live_platforms(spark, sf_dir):
-    from ..streaming import live_platforms as platforms
-
-    scanned = S.scan_labels(_order_stream(spark, sf_dir)).withColumn("scan_id", F.col("record_id"))
-    return _run(spark, platforms(scanned))
+    return rollups.daily_platforms(rollups.read_rollups(spark, _streamed(spark, sf_dir)))
 
 
 @R.add(
@@ -244,10 +237,6 @@ def live_platforms(spark, sf_dir):
 )
 def scan_stream(spark, sf_dir):
     """Continuous scan into tables, de-duplicated by id, then a report over the written scans."""
-    from ..streaming import write_scan_stream
-
-    path = _work_dir(spark)
-    write_scan_stream(_order_stream(spark, sf_dir), f"{path}/out", f"{path}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{path}/out/scans").groupBy("status").agg(
+    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/scans").groupBy("status").agg(
         F.count(F.lit(1)).alias("scans"), F.sum("score").alias("score_sum")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import rollups
 from ..operators import scan as S
 from ..oracle import scan_sql as O
 from ..oracle.sqlx import extract, has, nz, one_decimal, q, strip
@@ -40,23 +41,33 @@ def order_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the scan tables that SNK-01 writes for the order labels; they are written once per session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """One of the scan tables that SNK-01 writes for the order labels; they are written once per session and state of the input."""
+    return spark.read.parquet(f"{_stored_path(spark, sf_dir)}/{name}")
+
+
+def _stored_path(spark: SparkSession, sf_dir: str) -> str:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(sf_dir)
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _STORED:
         path = f"{ensure_checkpoint_dir(spark)}/labelwright-scans-{uuid.uuid4().hex}"
-        write_scans(order_scans(spark, sf_dir), path, "orders")
+        write_scans(order_scans(spark, sf_dir), path, "orders", track_ids=False)
         _STORED[key] = path
-    return spark.read.parquet(f"{_STORED[key]}/{name}")
+    return _STORED[key]
 
 
 def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "scans").drop("batch")
 
 
+def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.read_rollups(spark, _stored_path(spark, sf_dir))
+
+
 SCANS_SQL = f"""SELECT record_id AS scan_id, coalesce(product_name, 'Unknown') AS product_name,
   coalesce(category, 'General Packaged Commodities') AS category, coalesce(platform, 'Unknown') AS platform,
   source_type, created_at, score, status FROM ({O.scan_table(ORDERS, "record_id", CARRY)}) z"""
@@ -196,7 +207,7 @@ def rule_hits(spark, sf_dir):
 
 @R.add("agg_01_summary", O.summary(SCANS_SQL))
 def agg_summary(spark, sf_dir):
-    return A.summary(scan_table(spark, sf_dir))
+    return rollups.summary(rolled(spark, sf_dir))
 
 
 @R.add(
@@ -204,7 +215,7 @@ def agg_summary(spark, sf_dir):
     f"SELECT category, count(*) AS count, {one_decimal('avg(score)')} AS avg_score FROM ({SCANS_SQL}) s GROUP BY category ORDER BY count DESC, category",
 )
 def agg_categories(spark, sf_dir):
-    return A.by_category(scan_table(spark, sf_dir))
+    return rollups.by_category(rolled(spark, sf_dir))
 
 
 _PLATFORMS = f"""SELECT platform, count(*) AS count,
@@ -214,12 +225,12 @@ FROM ({SCANS_SQL}) s GROUP BY platform ORDER BY count DESC, platform"""
 
 @R.add("agg_03_platforms", _PLATFORMS)
 def agg_platforms(spark, sf_dir):
-    return A.by_platform(scan_table(spark, sf_dir))
+    return rollups.by_platform(rolled(spark, sf_dir))
 
 
 @R.add("srt_03_top_platforms", _PLATFORMS + " LIMIT 8")
 def top_platforms(spark, sf_dir):
-    return A.by_platform(scan_table(spark, sf_dir), top=8)
+    return rollups.by_platform(rolled(spark, sf_dir), top=8)
 
 
 def _now(spark, sf_dir):
@@ -233,7 +244,7 @@ def _now(spark, sf_dir):
 FROM ({SCANS_SQL}) s WHERE created_at >= {NOW} - INTERVAL 365 DAY GROUP BY 1 ORDER BY 1""",
 )
 def agg_trends(spark, sf_dir):
-    return A.trends(scan_table(spark, sf_dir), _now(spark, sf_dir), days=365)
+    return rollups.trends(rolled(spark, sf_dir), scan_table(spark, sf_dir), _now(spark, sf_dir), days=365)
 
 
 @R.add(
@@ -242,12 +253,12 @@ def agg_trends(spark, sf_dir):
 )
 def recent_scans(spark, sf_dir):
     since = _now(spark, sf_dir) - F.expr("INTERVAL 30 DAYS")
-    return scan_table(spark, sf_dir).filter(F.col("created_at") >= since).select("scan_id", "score")
+    return A.recent(scan_table(spark, sf_dir), since).select("scan_id", "score")
 
 
 def _joined(spark, sf_dir, severity=None, platform=None):
     violations = stored(spark, sf_dir, "violations").drop("batch")
-    return A.violations_with_scans(violations, scan_table(spark, sf_dir).drop("scan_date"), severity, platform)
+    return A.violations_with_scans(violations, scan_table(spark, sf_dir).drop("scan_date", "scan_month"), severity, platform)
 
 
 @R.add(

@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.analytics import month_of
+from ..operators.rollups import rollup_rows
 from ..operators.scan import field_rows, scan_rows, violation_rows, with_scan_id
+from .seen import FILE_BYTES, read_table, remember
 
 TABLES = ("scans", "field_results", "violations")
 
 
 def read_scans(spark: SparkSession, path: str, table: str = "scans") -> DataFrame | None:
     """One of the scan tables below ``path``; None if nothing has been written yet."""
-    try:
-        return spark.read.parquet(f"{path}/{table}")
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    return read_table(spark, f"{path}/{table}")
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the Parquet files below a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
-def unseen(records: DataFrame, path: str, batch: str) -> DataFrame:
-    """Records (scan_id, ...) that no other batch below ``path`` holds; each id once."""
-    fresh = records.dropDuplicates(["scan_id"])
-    known = read_scans(records.sparkSession, path)
-    if known is None:
-        return fresh
-    return fresh.join(known.filter(F.col("batch") != batch).select("scan_id"), "scan_id", "left_anti")
+def write_by_date(scans: DataFrame, path: str, size: int, file_bytes: int = FILE_BYTES) -> None:
+    """Write scans in monthly folders, ordered by date, in files of about ``file_bytes`` out of ``size`` bytes.
+
+    Rows are dealt by ranges of (date, hash of the id): a day of many scans is split, days of few share a file.
+    Besides these files there is at most one more a month, where a range begins in one month and ends in the next.
+    Reports prune on the month, and within files on the statistics of ``scan_date``.
+    """
+    dated = scans.withColumns({"scan_date": F.to_date("created_at"), "scan_month": month_of(F.col("created_at"))})
+    ranges = dated.repartitionByRange(max(1, ceil(size / file_bytes)), "scan_date", F.xxhash64("scan_id"))
+    ranges.sortWithinPartitions("scan_month", "scan_date", "scan_id").write.mode("overwrite").partitionBy("scan_month").parquet(path)
 
 
-def write_scans(scanned: DataFrame, path: str, batch: str, text: str = "text") -> None:
+def write_scans(scanned: DataFrame, path: str, batch: str, text: str = "text", track_ids: bool = True) -> None:
     """Persist a scanned batch as Parquet tables below ``path``, each in a folder named after the batch.
 
-    The scan runs once, into the nested table; the three flat tables are derived from what was written and so
-    share its times.  Writing a batch again replaces its own rows only.  ``scans`` comes last, laid
-    out by scan date, which the trend report prunes on.
+    The scan runs once, into the nested table; the three flat tables and the daily rollups are derived from what was written and so
+    share its times.  Writing a batch again replaces its own rows only.  ``scans`` is laid
+    out by month and date, which the trend report prunes on.  With ``track_ids`` the ids are
+    remembered, so that a stream into the same tables leaves them out.
     """
     spark = scanned.sparkSession
     out = scanned if "scan_id" in scanned.columns else with_scan_id(scanned, text)
@@ -46,8 +55,10 @@ def write_scans(scanned: DataFrame, path: str, batch: str, text: str = "text") -
     kept = spark.read.schema(out.schema).parquet(nested)
     field_rows(kept).write.mode("overwrite").parquet(f"{path}/field_results/batch={batch}")
     violation_rows(kept).write.mode("overwrite").parquet(f"{path}/violations/batch={batch}")
-    scans = scan_rows(kept, text).withColumn("scan_date", F.to_date("created_at"))
-    scans.write.mode("overwrite").partitionBy("scan_date").parquet(f"{path}/scans/batch={batch}")
+    rollup_rows(scan_rows(kept, text)).write.mode("overwrite").parquet(f"{path}/rollups/batch={batch}")
+    write_by_date(scan_rows(kept, text), f"{path}/scans/batch={batch}", stored_bytes(spark, nested))
+    if track_ids:
+        remember(kept.select("scan_id"), path, batch)
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "overwrite") -> None:
