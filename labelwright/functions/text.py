@@ -79,11 +79,16 @@ def first_match(c: Column, patterns: Sequence[tuple[str, str]], group: int = 1)
     )
 
 
-def matched_index(c: Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    """1-based position of the first matching pattern, 0 if none matches."""
+def matched_index(c: Column, patterns: Sequence[tuple[str, str]], worth: Sequence[Column | None] = ()) -> Column:
+    """1-based position of the first matching pattern, 0 if none matches.
+
+    ``worth`` gives for each pattern a cheaper condition that must hold where it matches, or None.
+    """
     chain = None
     for i, (p, f) in enumerate(patterns, start=1):
         cond = c.rlike(rx(p, f))
+        if worth and worth[i - 1] is not None:
+            cond = worth[i - 1] & cond
         chain = F.when(cond, F.lit(i)) if chain is None else chain.when(cond, F.lit(i))
     return F.lit(0) if chain is None else F.coalesce(chain.otherwise(F.lit(0)), F.lit(0))
 

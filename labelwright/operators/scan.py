@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import label_value
 from ..functions.text import bind, blank_to_null, matched_index, matches, rx, strip
 from ..rules import RuleField, RuleSet, default_rules
+from ..rules.literals import folded, may_match
 
 # Marker of an online listing, fields printed on the pack only, verdict weights and
 # limits, wording of the reasons.
@@ -113,8 +114,15 @@ def _violation_struct(field: RuleField) -> Column:
     )
 
 
-def _matcher(field: RuleField):
-    return lambda text: matched_index(text, [(p, "im") for p in field.patterns])
+def _matcher(field: RuleField, low: Column):
+    worth = [may_match(low, p) for p in field.patterns]
+    return lambda text: matched_index(text, [(p, "im") for p in field.patterns], worth)
+
+
+def _found(text: Column, low: Column, pattern: str, flags: str) -> Column:
+    """``matches``, run only where the text holds a literal that the pattern needs."""
+    worth, hit = may_match(low, pattern), matches(text, pattern, flags)
+    return hit if worth is None else F.coalesce(worth, F.lit(False)) & hit
 
 
 def _capturer(field: RuleField, text: Column):
@@ -131,18 +139,20 @@ def _witness(field: RuleField, text: Column):
 def _scan_columns(rules: RuleSet, text: str) -> list[list[Column]]:
     """The projections of a scan, one list per step; built once per rule set.
 
-    1. which pattern of each field matches first
+    0. the text in the form in which literals are looked for
+    1. which pattern of each field matches first; a pattern runs only if the text holds a literal that it needs
     2. the value it captured (a blank capture still ends the search: not detected)
     3. status and evidence
     4. score
     5. verdict, nested fields and violations
     """
-    t = F.col(text)
-    index = [F.col("*"), matches(t, ONLINE_LISTING).alias("_listing")]
+    t, low = F.col(text), F.col("_low")
+    form = [F.col("*"), folded(t).alias("_low")]
+    index = [F.col("*"), _found(t, low, ONLINE_LISTING, "i").alias("_listing")]
     values, judged = [F.col("*")], [F.col("*")]
     for f in rules.fields:
         k, v = F.col(f"_k_{f.id}"), F.col(f"_v_{f.id}")
-        index.append(bind(t, _matcher(f)).alias(f"_k_{f.id}"))
+        index.append(bind(t, _matcher(f, low)).alias(f"_k_{f.id}"))
         values.append(bind(bind(k, _capturer(f, t)), blank_to_null).alias(f"_v_{f.id}"))
         missing = (
             F.when(F.col("_listing"), "REVIEW").otherwise("FAIL") if f.id in PACK_ONLY_FIELDS else F.lit("FAIL")
@@ -150,8 +160,8 @@ def _scan_columns(rules: RuleSet, text: str) -> list[list[Column]]:
         if f.id == "F01":
             address = F.lit(False)
             for guard, p in f.guarded_addresses():
-                hit = matches(t, p, "im")
-                address = address | (hit if guard is None else matches(t, guard, "im") & hit)
+                hit = _found(t, low, p, "im")
+                address = address | (hit if guard is None else _found(t, low, guard, "im") & hit)
             present = F.when(address, "PASS").otherwise("REVIEW")
         else:
             present = F.lit("PASS")
@@ -177,7 +187,7 @@ def _scan_columns(rules: RuleSet, text: str) -> list[list[Column]]:
         F.array(*[_field_struct(f) for f in rules.fields]).alias("fields"),
         F.array_compact(F.array(*[_violation_struct(f) for f in rules.fields])).alias("violations"),
     ]
-    return [index, values, judged, [F.col("*"), score.alias("score"), high_fails.alias("_high_fails")], result]
+    return [form, index, values, judged, [F.col("*"), score.alias("score"), high_fails.alias("_high_fails")], result]
 
 
 def scan_labels(labels: DataFrame, rules: RuleSet | None = None, text: str = "text") -> DataFrame:
