@@ -208,3 +208,20 @@ def decode_ids(df: DataFrame, vocabulary: str, ids: str = "ids", memory: int = M
         return work
 
     return add_columns(df, [ids], "decoded string", make)
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", memory: int = MEMORY) -> DataFrame:
+    """Append ``ids`` and ``decoded``, the text of these ids, as ``encode_texts`` and ``decode_ids`` do, in one pass of a worker."""
+
+    def make():
+        own = codec(vocabulary, memory)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            rows = [np.frombuffer(r, np.int32) for r in own.encode(texts.to_pylist())]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            ids = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
+            return [pa.ListArray.from_arrays(pa.array(ends), ids), pa.array([own.decode(r.tolist()) for r in rows], pa.string())]
+
+        return work
+
+    return add_columns(df, [text], "ids array<int>, decoded string", make)

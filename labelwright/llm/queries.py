@@ -22,9 +22,9 @@ def token_counts(spark, sf_dir):
 
 
 def bpe_digests(docs, path):
-    from .bpe_codec import decode_ids, encode_texts
+    from .bpe_codec import round_trip
 
-    coded = decode_ids(encode_texts(docs, path).drop("text"), path)
+    coded = round_trip(docs, path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

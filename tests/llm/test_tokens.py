@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from labelwright.llm.bpe_codec import Codec, decode_ids, encode_texts
+from labelwright.llm.bpe_codec import Codec, decode_ids, encode_texts, round_trip
 from labelwright.llm.token_count import Counter, count_tokens
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -47,8 +47,10 @@ def test_counts_survive_a_full_memory(monkeypatch, expected):
 def test_round_trip_equals_the_library(spark, docs):
     rows = [*enumerate(texts()), (None, None), (7, "again"), (7, "again")]
     lib = Tokenizer.from_file(WORDS)
-    got = decode_ids(encode_texts(docs(rows, ["ids", "decoded"]), WORDS), WORDS).collect()
-    assert len(got) == len(rows)
+    df = docs(rows, ["ids", "decoded"])
+    got = decode_ids(encode_texts(df, WORDS), WORDS).collect()
+    assert len(got) == len(rows) and sorted(round_trip(df, WORDS).select(*got[0].__fields__).collect(), key=str) == sorted(got, key=str)
+    assert round_trip(docs([]), WORDS).count() == 0
     for r in got:
         ids = lib.encode(r.text or "", add_special_tokens=False).ids
         assert list(r.ids) == ids and r.decoded == lib.decode(ids, skip_special_tokens=False)
