@@ -84,15 +84,15 @@ PATTERNS = {
         (r"(?:Use\s*Before|Consume\s*Before)\s*[:\-]?\s*(" + _DATE + ")", "i"),
     ],
     "batch_no": [
-        (r"(?:Batch\s*(?:No\.?|Code)?|Lot\s*(?:No\.?|#)?|Batch/Lot|B\.?\s*No\.?)\s*[:\-#]?\s*([A-Z0-9/\-]{3,25})", "i"),
+        (r"(?:Batch\s*(?:No\.?|Code)?|Lot\s*(?:No\.?|#)?|Batch/Lot|B\.?\s*No\.?)\s*[:\-#]?\s*([A-Z0-9/\-]{3,})", "i"),
     ],
     "country_of_origin": [
-        (r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,29}?)(?:\n|$|\||,|\s{2,})", "i"),
-        (r"Country\s*of\s*Origin\s*[:\-]?\s*\n\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\n|$|\||,)", "i"),
-        (r"\bOrigin\s*[:\-]\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\n|$|\||,|\s{2,})", "i"),
-        (r"Made\s+in\s+([A-Za-z][A-Za-z\s]{2,25}?)(?:\n|$|\||\.|\,|\s{2,})", "i"),
-        (r"Product\s+of\s+([A-Za-z][A-Za-z\s]{2,25}?)(?:\n|$|\||\.|\,)", "i"),
-        (r"Produce\s+of\s+([A-Za-z][A-Za-z\s]{2,25}?)(?:\n|$|\||\.|\,)", "i"),
+        (r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,}?)(?:\n|$|\||,|\s{2,})", "i"),
+        (r"Country\s*of\s*Origin\s*[:\-]?\s*\n\s*([A-Za-z][A-Za-z\s]{2,}?)(?:\n|$|\||,)", "i"),
+        (r"\bOrigin\s*[:\-]\s*([A-Za-z][A-Za-z\s]{2,}?)(?:\n|$|\||,|\s{2,})", "i"),
+        (r"Made\s+in\s+([A-Za-z][A-Za-z\s]{2,}?)(?:\n|$|\||\.|\,|\s{2,})", "i"),
+        (r"Product\s+of\s+([A-Za-z][A-Za-z\s]{2,}?)(?:\n|$|\||\.|\,)", "i"),
+        (r"Produce\s+of\s+([A-Za-z][A-Za-z\s]{2,}?)(?:\n|$|\||\.|\,)", "i"),
     ],
     # The sixth pattern is a flat class: the nested repetition it stands for backtracks without bound.
     "ingredients": [
@@ -119,29 +119,30 @@ PATTERNS = {
 PHONE = r"(?:1800[\s\-]?[\d\s\-]{6,12}|\+91[\s\-]?\d{10}|0\d{10})"
 EMAIL = r"[\w.+\-]+@[\w\-]+\.[\w.]+"
 BARCODE = r"\b(\d{8}|\d{12}|\d{13}|\d{14})\b"
-BRAND = r"\bBrand\s*[:\-]\s*([A-Za-z][A-Za-z\s&]{2,40}?)(?:\n|$|\|)"
+BRAND = r"\bBrand\s*[:\-]\s*([A-Za-z][A-Za-z\s&]{2,}?)(?:\n|$|\|)"
 NON_VEG = r"\bnon[\s\-]?vegetarian\b|\bnon[\s\-]?veg\b"
 VEG = r"\bvegetarian\b|\bpure\s*veg\b|\bveg\b"
 TRUNCATED = r"(?:,\s*$|\band\s*$|\(\s*$|\d+\.?\d*\s*%?\s*$|\d+\s*$)"
 
 # Fall-back patterns over combined web or package text: (pattern, group, flags).
+# A value longer than usual goes on to the end of its line (a country) or sentence.
 FALLBACK_FIELDS = {
-    "country_of_origin": (r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z\s]{3,30})(?:\n|$|\||\,)", 1, "i"),
+    "country_of_origin": (r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z\s]{3,30}|[A-Za-z ]{31,})(?:\n|$|\||\,)", 1, "i"),
     "fssai": (r"\b([1-9]\d{13})\b", 1, ""),
     "brand": (BRAND, 1, "i"),
     "consumer_care_phone": (r"(?:1800[\s\-]?[\d\s\-]{7,12}|\+91[\s\-]?\d{10})", 0, ""),
     "consumer_care_email": (EMAIL, 0, ""),
-    "best_before": (r"(?:best\s*before|shelf\s*life|expiry)[:\s]*([^\n|]{4,60})", 1, "i"),
-    "mfg_date": (r"(?:Mfg\.?\s*Date?|Date\s*of\s*Manufacture?|Manufactured\s*On)\s*[:\-]?\s*([^\n|]{4,30})", 1, "i"),
+    "best_before": (r"(?:best\s*before|shelf\s*life|expiry)[:\s]*([^\n|]{4,60}[^\n|.;]*)", 1, "i"),
+    "mfg_date": (r"(?:Mfg\.?\s*Date?|Date\s*of\s*Manufacture?|Manufactured\s*On)\s*[:\-]?\s*([^\n|]{4,30}[^\n|.;]*)", 1, "i"),
 }
 DECLARATIONS = [
-    r"(?:Statutory\s+warning[^\n.]{5,100})",
-    r"(?:FSSAI[^\n.]{5,80})",
-    r"(?:Vegetarian|Non[\s\-]?Vegetarian)[^\n.]{0,60}",
-    r"(?:Certified\s+Organic[^\n.]{0,60})",
-    r"(?:Lic\.?\s*No\.[^\n.]{5,40})",
-    r"(?:All\s+weights[^\n.]{5,100})",
-    r"(?:Weigh\s+before\s+buying[^\n.]{0,60})",
+    r"(?:Statutory\s+warning[^\n.]{5,})",
+    r"(?:FSSAI[^\n.]{5,})",
+    r"(?:Vegetarian|Non[\s\-]?Vegetarian)[^\n.]*",
+    r"(?:Certified\s+Organic[^\n.]*)",
+    r"(?:Lic\.?\s*No\.[^\n.]{5,})",
+    r"(?:All\s+weights[^\n.]{5,})",
+    r"(?:Weigh\s+before\s+buying[^\n.]*)",
 ]
 
 # Presence patterns of the six critical fields, in report order.

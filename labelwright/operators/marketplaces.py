@@ -92,14 +92,15 @@ SECTION_WORDS = ["manufacturer", "fssai", "country of origin", "net quantity"]
 STATE_PREFIXES = r"(?:window\.__PRELOADED_STATE__|window\.pageDataV4|window\._fn)\s*=\s*(\{.*\})"
 CLEAN_TAGS = ["script", "style", "nav", "footer", "header", "aside", "noscript"]
 
-# Text patterns shared by the marketplaces.
-_COO_TAIL = r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\s{2,}|\||$|\n)"
-_COO_LINE = r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z\s]{3,30})(?:\n|$|\|)"
+# Text patterns shared by the marketplaces.  A value longer than usual goes on to the end
+# of its line (a country, a seller) or sentence.
+_COO_TAIL = r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,}?)(?:\s{2,}|\||$|\n)"
+_COO_LINE = r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z\s]{3,30}|[A-Za-z ]{31,})(?:\n|$|\|)"
 _FSSAI_NEAR = r"(?:fssai|lic(?:ence|ense)?\s*no|lic\.\s*no)[^0-9]{0,30}([1-9]\d{13})"
 _FSSAI_BARE = r"\b([1-9]\d{13})\b"
-_SHELF = r"(?:shelf\s*life|best\s*before|expiry)[:\s]*([^\n|]{4,%d})"
-_QTY = r"Net\s*(?:Quantity|Weight|Content|Vol(?:ume)?)\s*[:\-]?\s*([\d.,]+\s*(?:kg|g|ml|l(?:iter|itre)?|gm|gms)\b[^,\n]{0,30})"
-_MFG = r"(?:Mfg\.?\s*Date?|Date\s*of\s*Manufacture?|Manufactured\s*On)\s*[:\-]?\s*([^\n|]{4,30})"
+_SHELF = r"(?:shelf\s*life|best\s*before|expiry)[:\s]*([^\n|]{4,%d}[^\n|.;]*)"
+_QTY = r"Net\s*(?:Quantity|Weight|Content|Vol(?:ume)?)\s*[:\-]?\s*([\d.,]+\s*(?:kg|g|ml|l(?:iter|itre)?|gm|gms)\b[^,\n]{0,30}[^,\n.;]*)"
+_MFG = r"(?:Mfg\.?\s*Date?|Date\s*of\s*Manufacture?|Manufactured\s*On)\s*[:\-]?\s*([^\n|]{4,30}[^\n|.;]*)"
 _PHONE = r"(1800[\s\-]?[\d\s\-]{7,12}|\+91[\s\-]?\d{10}|0\d{9,10})"
 _EMAIL = r"[\w.+\-]+@[\w\-]+\.[\w.]+"
 _MRP = r"M\.?R\.?P\.?\s*[:\s₹Rs.]*\s*([\d,]+\.?\d{0,2})"
@@ -118,7 +119,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "importer_raw": [("rows", ["Importer", "Importer Contact Information"])],
         "country_of_origin": [
             ("rows", ["Country of Origin", "Country Of Origin", "Origin", "Made in"]),
-            ("text", r"Country\s+of\s+Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\s{2,}|\||$|\n)", "i"),
+            ("text", r"Country\s+of\s+Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,}?)(?:\s{2,}|\||$|\n)", "i"),
             ("column", "bullet_country"),
         ],
         "net_quantity": [("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count"])],
@@ -126,7 +127,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "fssai": [("licence_rows", ["FSSAI Lic. No", "FSSAI", "FSSAI Licence No", "Fssai Lic No"]),
                   ("text", _FSSAI_NEAR, "i"), ("text", _FSSAI_BARE, "")],
         "mrp": [("plain", r"M\.?R\.?P\.?\s*[:\s₹Rs.]*\s*([\d,]+\.?\d{0,2})", "i")],
-        "mfg_date": [("text", r"(?:Mfg\.?\s*Date|Date\s*of\s*Manufacture)[:\s]+([^\n|]{4,30})", "i")],
+        "mfg_date": [("text", r"(?:Mfg\.?\s*Date|Date\s*of\s*Manufacture)[:\s]+([^\n|]{4,30}[^\n|.;]*)", "i")],
         "consumer_care_phone": [("column", "party_phone"), ("whole", AMAZON_PHONE, "")],
         "description": [("column", "description_block")],
         "price_block": [("column", "price_block_text")],
@@ -183,7 +184,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
     },
     "myntra": {
         "product_name": [("column", "titled_name"), ("column", "title")],
-        "brand": [("html", r'"brandName"\s*:\s*"([^"]{2,100})"', "")],
+        "brand": [("html", r'"brandName"\s*:\s*"([^"]{2,})"', "")],
         "net_quantity": [("column", "size_quantity"), ("column", "detail_net_quantity")],
         "country_of_origin": [("column", "stated_country"), ("column", "detail_country_of_origin"), ("text", _COO_LINE, "i")],
         "manufacturer_raw": [("column", "detail_manufacturer_raw")],
@@ -193,7 +194,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         "allergen_info": [("column", "detail_allergen_info")],
         "storage_instructions": [("column", "detail_storage_instructions")],
         "fssai": [("column", "detail_fssai"), ("html", _FSSAI_BARE, "")],
-        "seller": [("html", r'"seller"\s*:\s*"([^"]{3,100})"', ""), ("html", r"Seller\s*:\s*([A-Z][A-Za-z\s&]{2,60})(?:$|\n|Add)", "")],
+        "seller": [("html", r'"seller"\s*:\s*"([^"]{3,})"', ""), ("html", r"Seller\s*:\s*([A-Z](?:[A-Za-z\s&]{2,60}|[A-Za-z &]{61,}))(?:$|\n|Add)", "")],
         "mrp": [("html", r'"mrp"\s*:\s*"?(\d+)"?', ""), ("plain", r"MRP\s*[₹Rs.]*\s*(\d[\d,]*\.?\d{0,2})", "i")],
     },
     "meesho": {
@@ -212,7 +213,7 @@ FIELDS: dict[str, dict[str, list[tuple]]] = {
         ],
         "net_quantity": [("rows", ["Net Quantity", "Net Weight", "Net Content", "Item Weight", "Unit Count"]), ("text", _QTY, "i")],
         "country_of_origin": [("rows", ["Country of Origin", "Country Of Origin", "Made In"]),
-                              ("text", r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z\s]{3,30})(?:\n|$|\||,)", "i")],
+                              ("text", r"Country\s*of\s*Origin\s*[:\-]?\s*([A-Za-z\s]{3,30}|[A-Za-z ]{31,})(?:\n|$|\||,)", "i")],
         "mrp": [("plain", _MRP, "i"), ("column", "next_mrp"), ("column", "ld_price"), ("sane_price", _RUPEE)],
         "fssai": [("text", r"(?:fssai|lic(?:ence|ense)?\s*no)[^0-9]{0,30}([1-9]\d{13})", "i"), ("text", _FSSAI_BARE, "")],
         "best_before": [("text", _SHELF % 60, "i")],
@@ -237,7 +238,7 @@ DETAIL_ROUTES = [
 PRODUCT_DETAILS = r'"productDetails"\s*:\s*(\[.*?\])\s*,\s*"(?:styleId|productId|brand|name)"'
 SIZE_QUANTITY = r"^(\d+(?:\.\d+)?)\s*(g|gm|gram|kg|ml|l|litre|liter|count|pc|tab)"
 BULLET_MANUFACTURER = ["mfg.", "manufactured by", "mkt. by", "marketed by"]
-BULLET_COUNTRY = r"(?:made in|country of origin)[:\s]+([A-Za-z]{3,30})"
+BULLET_COUNTRY = r"(?:made in|country of origin)[:\s]+([A-Za-z]{3,})"
 LISTING_SOURCE = "Source: Amazon.in e-commerce listing (online marketplace)"
 LISTING_NOTE = (
     "Note: Manufacturing date, expiry, and FSSAI number may only appear on physical packaging — "

@@ -98,7 +98,7 @@ def passes_of(texts: DataFrame) -> DataFrame:
 
 
 def _combined(texts: DataFrame, mark: str) -> DataFrame:
-    """Longer of the full and the contrast pass, then every crop."""
+    """Longer of the full and the contrast pass, then every crop; the other of the two is ``other_text``."""
     d = passes_of(texts)
     full, contrast = (F.coalesce(F.get(f"{n}_texts", F.lit(0)), F.lit("")) for n in ("full", "contrast"))
     swap = F.length(contrast) > F.length(full)
@@ -111,7 +111,7 @@ def _combined(texts: DataFrame, mark: str) -> DataFrame:
         "image_id",
         F.array_join(F.concat(F.filter(F.array(best), lambda t: t != ""), "bottom_texts", "mid_texts"), mark).alias("text"),
         F.when(best == "", 0.0).when(swap, F.col("contrast_conf")).otherwise(F.col("full_conf")).alias("conf"),
-        used.alias("used_variants"),
+        F.when(swap, full).otherwise(contrast).alias("other_text"), used.alias("used_variants"),
     )
 
 
@@ -126,8 +126,14 @@ def combine_scan(texts: DataFrame) -> DataFrame:
 
 
 def flag_signals(images: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    """Flag licence and declaration signals; text of the licence zone (image_id, zone_text) joins if it has one."""
+    """Flag licence and declaration signals; text of the licence zone (image_id, zone_text) joins if it has one.
+
+    Where the chosen text shows no licence and the pass that was not chosen (``other_text``) does, that pass joins too.
+    """
     t = F.col("text")
+    if "other_text" in images.columns:
+        more = ~matches(t, LICENCE_SIGNAL) & matches(F.col("other_text"), LICENCE_SIGNAL)
+        images = images.withColumn("text", F.when(more, F.concat(t, F.lit(ZONE_MARK), "other_text")).otherwise(t))
     out = images.withColumn("has_fssai_signal", matches(t, LICENCE_SIGNAL)).withColumn(
         "has_compliance_signal", matches(t, COMPLIANCE_SIGNAL)
     )

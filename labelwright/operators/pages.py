@@ -142,7 +142,7 @@ def spec_pairs(html: Column) -> Column:
     Blocks whose children are themselves nested are not seen.
     """
     two = r"<(?:div|li|p)\b[^>]*>\s*<[a-z0-9]+\b[^>]*>([^<]+)</[a-z0-9]+>\s*<[a-z0-9]+\b[^>]*>([^<]+)</[a-z0-9]+>\s*</(?:div|li|p)>"
-    bold = r"<(?:strong|b|span|dt)\b[^>]*>([^<]{1,60})</(?:strong|b|span|dt)\s*>\s*(?:<[a-z][^>]*>\s*)?([^<]+)"
+    bold = r"<(?:strong|b|span|dt)\b[^>]*>([^<]+)</(?:strong|b|span|dt)\s*>\s*(?:<[a-z][^>]*>\s*)?([^<]+)"
 
     def pairs(pattern: str, chars: str) -> Column:
         return F.transform(
@@ -410,8 +410,8 @@ def _record_columns() -> list[list[Column]]:
             arms.append(F.concat(val, F.coalesce(extra, F.lit(""))))
         return F.coalesce(*arms)
 
-    size = strip(F.regexp_extract(html, rx(r'"brandSize"\s*:\s*"([^"]{1,50})"', ""), 1))
-    stated = F.regexp_extract(html, rx(r'"countryOfOrigin"\s*:\s*"([^"]{2,50})"', ""), 1)
+    size = strip(F.regexp_extract(html, rx(r'"brandSize"\s*:\s*"([^"]+)"', ""), 1))
+    stated = F.regexp_extract(html, rx(r'"countryOfOrigin"\s*:\s*"([^"]{2,})"', ""), 1)
     s3 = [
         star,
         F.coalesce(*[F.when(adapter == a, _title(a)) for a in M.ADAPTERS]).alias("_title"),
@@ -549,10 +549,10 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
 
     scanned = F.array_compact(
         F.array(
-            found("Country of Origin", r"Country\s+of\s+Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,25}?)(?:\s*\n|\s{2,}|$|\|)"),
+            found("Country of Origin", r"Country\s+of\s+Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,}?)(?:\s*\n|\s{2,}|$|\|)"),
             found("FSSAI Lic No", r"\b([1-9]\d{13})\b", flags=""),
-            found("Best Before", r"(?:shelf\s*life|best\s*before|expiry)[:\s]*([^\n\|]{4,60})"),
-            found("Mfg Date", r"(?:Mfg\.?\s*Date|Date\s*of\s*Manufacture|Manufacturing\s*Date)[:\s]+([^\n\|]{4,30})"),
+            found("Best Before", r"(?:shelf\s*life|best\s*before|expiry)[:\s]*([^\n\|]{4,60}[^\n|.;]*)"),
+            found("Mfg Date", r"(?:Mfg\.?\s*Date|Date\s*of\s*Manufacture|Manufacturing\s*Date)[:\s]+([^\n\|]{4,30}[^\n|.;]*)"),
         )
     )
     price_id = F.coalesce(*[H.section(html, i) for i in M.LISTING_PRICE_IDS])

@@ -66,10 +66,11 @@ def _passes(mark: str) -> str:
     return f"""SELECT image_id, concat_ws({mark}, {_BEST}, nullif(bottom_text, ''), nullif(mid_text, '')) AS text,
   CASE WHEN {_BEST} IS NULL THEN 0 WHEN {_SWAP} THEN contrast_conf ELSE full_conf END AS conf,
   concat_ws('+', CASE WHEN coalesce(full_text, '') <> '' AND NOT ({_SWAP}) THEN 'full' END, CASE WHEN {_SWAP} THEN 'contrast' END,
-    CASE WHEN bottom_text <> '' THEN 'bottom_crop' END, CASE WHEN mid_text <> '' THEN 'mid_crop' END) AS used_variants FROM ({_PIVOT}) p"""
+    CASE WHEN bottom_text <> '' THEN 'bottom_crop' END, CASE WHEN mid_text <> '' THEN 'mid_crop' END) AS used_variants,
+  CASE WHEN {_SWAP} THEN coalesce(full_text, '') ELSE coalesce(contrast_text, '') END AS other_text FROM ({_PIVOT}) p"""
 
 
-@R.add("ocr_02_upload_passes", f"SELECT image_id, text, round(conf, 6) AS conf FROM ({_passes('chr(10) || chr(10)')}) z")
+@R.add("ocr_02_upload_passes", f"SELECT image_id, text, round(conf, 6) AS conf, other_text FROM ({_passes('chr(10) || chr(10)')}) z")
 def upload_passes(spark, sf_dir):
     return O.combine_upload(texts(spark, sf_dir)).withColumn("conf", F.round("conf", 6))
 
@@ -77,12 +78,13 @@ def upload_passes(spark, sf_dir):
 _SCAN = _passes(q(O.CROP_MARK))
 
 
-@R.add("ocr_03_scan_passes", f"SELECT image_id, text, round(conf, 6) AS conf, used_variants FROM ({_SCAN}) z")
+@R.add("ocr_03_scan_passes", f"SELECT image_id, text, round(conf, 6) AS conf, other_text, used_variants FROM ({_SCAN}) z")
 def scan_passes(spark, sf_dir):
     return O.combine_scan(texts(spark, sf_dir)).withColumn("conf", F.round("conf", 6))
 
 
-_FLAGGED = f"SELECT *, {has('text', O.LICENCE_SIGNAL)} AS has_fssai_signal, {has('text', O.COMPLIANCE_SIGNAL)} AS has_compliance_signal FROM ({_SCAN}) z"
+_JOINED = f"SELECT * REPLACE (CASE WHEN NOT {has('text', O.LICENCE_SIGNAL)} AND {has('other_text', O.LICENCE_SIGNAL)} THEN text || {q(O.ZONE_MARK)} || other_text ELSE text END AS text) FROM ({_SCAN}) z"
+_FLAGGED = f"SELECT *, {has('text', O.LICENCE_SIGNAL)} AS has_fssai_signal, {has('text', O.COMPLIANCE_SIGNAL)} AS has_compliance_signal FROM ({_JOINED}) z"
 # the licence zone of an image is the bottom pass of the image before it
 _ZONES = f"SELECT CAST(CAST(image_id AS BIGINT) + 1 AS STRING) AS image_id, text AS zone_text FROM ({_TEXTS}) t WHERE variant = 'bottom'"
 

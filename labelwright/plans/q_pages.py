@@ -104,7 +104,7 @@ def detail_bullets(spark, sf_dir):
 
 
 _TWO = r"<(?:div|li|p)\b[^>]*>\s*<[a-z0-9]+\b[^>]*>([^<]+)</[a-z0-9]+>\s*<[a-z0-9]+\b[^>]*>([^<]+)</[a-z0-9]+>\s*</(?:div|li|p)>"
-_BOLD = r"<(?:strong|b|span|dt)\b[^>]*>([^<]{1,60})</(?:strong|b|span|dt)\s*>\s*(?:<[a-z][^>]*>\s*)?([^<]+)"
+_BOLD = r"<(?:strong|b|span|dt)\b[^>]*>([^<]+)</(?:strong|b|span|dt)\s*>\s*(?:<[a-z][^>]*>\s*)?([^<]+)"
 
 
 def _pairs_sql(pattern: str, chars: str) -> str:
@@ -307,8 +307,8 @@ def jiomart_record(spark, sf_dir):
     return _record(spark, sf_dir, "JioMart", _JIOMART_FIELDS)
 
 
-_SIZE = strip(extract("html", r'"brandSize"\s*:\s*"([^"]{1,50})"', 1, ""))
-_STATED = extract("html", r'"countryOfOrigin"\s*:\s*"([^"]{2,50})"', 1, "")
+_SIZE = strip(extract("html", r'"brandSize"\s*:\s*"([^"]+)"', 1, ""))
+_STATED = extract("html", r'"countryOfOrigin"\s*:\s*"([^"]{2,})"', 1, "")
 _PD = M.PRODUCT_DETAILS
 _ROUTE = case([(f"regexp_matches(lower(trim(i->>'$.title')), {q(p)})", q(f)) for f, p in M.DETAIL_ROUTES])
 _ITEMS = (

@@ -76,3 +76,64 @@ def test_long_allergens_storage_and_care(spark):
     rows = {r.id: r for r in extract_attributes(spark.createDataFrame(list(texts.items()), "id string, text string")).collect()}
     assert rows["a"].allergen_info.endswith("milk") and rows["b"].allergen_info.endswith("milk")
     assert rows["c"].storage_instructions.endswith("milk") and rows["d"].consumer_care_raw.endswith("milk")
+
+
+LONG_COUNTRY = "United Kingdom of Great Britain and Northern Ireland"
+SENTENCE = "see the printed code on the bottom of the pack for the day on which it was packed 12/2024"
+
+
+def test_long_countries_brands_and_batches(spark):
+    lines = [f"Country of Origin: {LONG_COUNTRY}\nx", f"Origin - {LONG_COUNTRY}\nx", f"Made in {LONG_COUNTRY}.", f"Product of {LONG_COUNTRY},", f"Produce of {LONG_COUNTRY}|"]
+    rows = [(str(i), t) for i, t in enumerate(lines)] + [("b", "Brand: " + "Acme and " * 10 + "Sons\nBatch No: " + "AB12" * 12)]
+    got = {r.id: r for r in extract_attributes(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert all(got[str(i)].country_of_origin == LONG_COUNTRY for i in range(5))
+    assert got["b"].brand.endswith("Sons") and got["b"].batch_no == "AB12" * 12
+
+
+def test_long_fallbacks_and_declarations(spark):
+    text = F.lit(f"Country of Origin: {LONG_COUNTRY}\nBrand: {'Acme ' * 12}\nShelf life: {SENTENCE}\nMfg Date: {SENTENCE}\n")
+    names = ("country_of_origin", "brand", "best_before", "mfg_date")
+    row = spark.range(1).select(*[E.fallback_field(text, n).alias(n) for n in names]).first()
+    assert row.country_of_origin == LONG_COUNTRY and len(row.brand) == 59 and row.best_before == row.mfg_date == SENTENCE
+    kept = "Statutory warning: " + "smoke " * 40 + "kills\nLic. No. " + "1234567890" * 8 + "\nWeigh before buying " + "each " * 30 + "time"
+    found = spark.range(1).select(E.declarations(F.lit(kept)).alias("d")).first().d
+    assert found[0].endswith("kills") and found[1].endswith("1234567890") and len(found[1]) > 80 and found[2].endswith("time")
+
+
+def test_long_values_of_every_marketplace(spark):
+    body = f"<div>Country of Origin: {LONG_COUNTRY}|</div><div>Shelf Life: {SENTENCE}|</div><div>Mfg Date: {SENTENCE}|</div>"
+    for url in ("https://www.amazon.in/dp/B000000001", "https://www.flipkart.com/p/1", "https://www.jiomart.com/p/1", "https://www.meesho.com/p/1", "https://shop.example.com/p"):
+        row = P.extract_pages(page(spark, body, url)).first()
+        assert row.country_of_origin == LONG_COUNTRY, url
+        assert "meesho" in url or row.best_before == SENTENCE
+        assert "meesho" in url or "example" in url or row.mfg_date == SENTENCE
+    listing = P.listing_texts(page(spark, body, "https://www.amazon.in/dp/B000000001")).first().extracted_text
+    assert LONG_COUNTRY in listing and listing.count(SENTENCE) == 2
+    bullet = page(spark, '<div id="feature-bullets"><ul><li>Country of origin: ' + "Abcdefghij" * 4 + "</li></ul></div>", "https://www.amazon.in/dp/B000000001")
+    assert P.extract_pages(bullet).first().country_of_origin == "Abcdefghij" * 4
+
+
+def test_long_myntra_values(spark):
+    html = json.dumps({"brandName": "B" * 150, "seller": "S" * 150, "brandSize": "500 g " + "x" * 60, "countryOfOrigin": LONG_COUNTRY * 2})
+    row = P.extract_pages(page(spark, f"<script>{html}</script>", "https://www.myntra.com/p/1")).first()
+    assert row.brand == "B" * 150 and row.seller == "S" * 150 and row.net_quantity == "500 g" and row.country_of_origin == LONG_COUNTRY * 2
+    text = "<p>Seller: " + "Acme Trading " * 8 + "Address: Pune</p>"
+    assert P.extract_pages(page(spark, text, "https://www.myntra.com/p/1")).first().seller == ("Acme Trading " * 8).strip()
+
+
+def test_long_keys_and_quantities(spark):
+    key = "Net quantity of the contents of this pack, without the weight of the wrapper"
+    pairs = page(spark, f"<p><b>{key}:</b> 500 g</p>").select(P.spec_pairs(F.col("html")).alias("p")).first().p
+    assert [(r.key, r.value) for r in pairs] == [(key, "500 g")]
+    row = P.extract_pages(page(spark, "<p>Net Weight: 500 g when packed in the works at Pune under normal air|</p>", "https://www.flipkart.com/p/1")).first()
+    assert row.net_quantity.endswith("under normal air|")
+
+
+def test_the_shorter_pass_is_kept(spark):
+    from labelwright.operators import ocr as O
+
+    rows = [("i", "full", "MRP Rs. 5 and a long text about nothing at all", 0.9), ("i", "contrast", "FSSAI Lic No 10014022002711", 0.8)]
+    both = O.combine_scan(spark.createDataFrame(rows, "image_id string, variant string, text string, conf double"))
+    assert both.first().other_text == rows[1][2]
+    flagged = O.flag_signals(both).first()
+    assert flagged.has_fssai_signal and rows[0][2] in flagged.text and rows[1][2] in flagged.text
