@@ -248,30 +248,45 @@ def meta_values(ms: Column, *props: str) -> Column:
 # ---- JSON-LD
 
 
-def _json_items(text: Column) -> Column:
-    """Elements of a JSON array, each as JSON text."""
-    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-
-
 def is_product(node: Column) -> Column:
     return F.coalesce(F.lower(F.get_json_object(node, "$.@type")).contains("product"), F.lit(False))
 
 
-def _expand(node: Column) -> Column:
-    """A product stays; a list and an ``@graph`` give their members; anything else goes."""
-    return (
-        F.when(node.startswith("["), _json_items(node))
-        .when(is_product(node), F.array(node))
-        .otherwise(
-            bind(
-                F.get_json_object(node, "$.@graph"),
-                lambda g: F.when(g.startswith("["), _json_items(g))
-                .when(g.isNotNull(), F.array(g))
-                .otherwise(F.array().cast("array<string>")),
-            )
-        )
+# a text in quotes, one sign of structure, or anything else; escapes are masked before
+_JSON_TOKEN = r'"[^"]*"|[{}\[\],:]|[^"{}\[\],:]+'
+
+
+def _graph_objects(document: Column) -> Column:
+    """Objects of a JSON text that lists and ``@graph`` lead to from its root, in order, as JSON texts.
+
+    One pass over the tokens with the open brackets as a stack, so any depth is reached.
+    """
+    # each mask is as long as what it hides, so places stay
+    masked = F.replace(F.replace(document, F.lit("\\\\"), F.lit("\u0001\u0001")), F.lit('\\"'), F.lit("\u0002\u0002"))
+    tokens = F.regexp_extract_all(masked, F.lit(_JSON_TOKEN), F.lit(0))
+    zero = F.struct(
+        F.lit(1).alias("at"), F.lit("").alias("last"), F.lit("").alias("key"),
+        F.array().cast("array<struct<start:int,list:boolean,reached:boolean>>").alias("open"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("found"),
     )
 
+    def walk(s: Column, t: Column) -> Column:
+        top = F.try_element_at(s["open"], F.lit(-1))
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        reached = F.coalesce(top["reached"] & (top["list"] | (s["key"] == '"@graph"')), F.lit(True))
+        frame = F.struct(s["at"].alias("start"), (t == "[").alias("list"), reached.alias("reached"))
+        whole = F.struct(top["start"].alias("start"), (s["at"] + 1).alias("end"))
+        return F.struct(
+            (s["at"] + F.length(t)).alias("at"),
+            F.when(t.startswith('"'), t).otherwise(s["last"]).alias("last"),
+            F.when(t == ":", s["last"]).when(opens | (t == ","), F.lit("")).otherwise(s["key"]).alias("key"),
+            F.when(opens, F.concat(s["open"], F.array(frame))).when(closes & top.isNotNull(), F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"]).alias("open"),
+            F.when((t == "}") & F.coalesce(top["reached"], F.lit(False)), F.concat(s["found"], F.array(whole))).otherwise(s["found"]).alias("found"),
+        )
+
+    found = F.aggregate(tokens, zero, walk, lambda s: F.array_sort(s["found"]))
+    return F.transform(found, lambda o: F.substring(document, o["start"], o["end"] - o["start"]))
+
 
 def ld_documents(html: Column) -> Column:
     """JSON-LD script bodies that parse, as text."""
@@ -279,13 +294,10 @@ def ld_documents(html: Column) -> Column:
     return F.filter(bodies, lambda b: F.try_parse_json(b).isNotNull())
 
 
-def ld_products(documents: Column, depth: int = 5) -> Column:
-    """First product node of each JSON-LD document, found through lists and ``@graph`` to a fixed depth."""
+def ld_products(documents: Column) -> Column:
+    """First product node of each JSON-LD document, found through lists and ``@graph`` at any depth."""
 
     def first_product(doc: Column) -> Column:
-        nodes = F.array(doc)
-        for _ in range(depth):
-            nodes = F.flatten(F.transform(nodes, _expand))
-        return F.get(F.filter(nodes, is_product), F.lit(0))
+        return F.when(is_product(doc), doc).otherwise(F.get(F.filter(_graph_objects(doc), is_product), F.lit(0)))
 
     return F.filter(F.transform(documents, first_product), lambda n: n.isNotNull())

@@ -233,7 +233,7 @@ _HTML = f"""concat(
       1: "'<script type=\"application/ld+json\">[{\"@type\":\"BreadcrumbList\"},{\"@type\":[\"Thing\",\"FoodProduct\"],\"name\":\"List ' || p_name || '\",\"mpn\":\"M1\",\"brand\":\"PlainBrand\",\"offers\":[{\"price\":\"55.50\",\"availability\":\"InStock\"}],\"image\":\"https://cdn.example.com/i/one.png\"}]</script>'",
       2: "'<script type=\"application/ld+json\">{\"@graph\":[{\"@type\":\"WebSite\",\"name\":\"no\"},{\"@type\":\"Product\",\"name\":\"Graph ' || p_name || '\",\"description\":\"Graph text\",\"image\":{\"url\":\"https://cdn.example.com/i/g.webp\"}}]}</script>'",
       3: "'<script type=\"application/ld+json\">{broken json</script>'",
-      4: "''"})},
+      4: "'<script type=\"application/ld+json\">' || repeat('{\"@graph\":[{\"@type\":\"WebSite\",\"name\":\"a ] b }\"},[', 8) || '{\"@type\":\"Product\",\"name\":\"Deep ' || p_name || '\",\"sku\":\"D1\",\"brand\":\"DeepBrand\",\"related\":{\"@type\":\"Product\"}}' || repeat(']]}', 8) || '</script>'"})},
   '<style>p {{ margin: 0 }}</style></head><body><nav><a href="/">Home</a></nav><main id="product-main">',
   '<span id="productTitle"> ', p_name, ' <span>&amp;</span> Co </span><h1>', p_name, '&nbsp;Pack</h1>',
   {_case("k", 4, {0: "'<div id=\"corePriceDisplay_desktop_feature_div\"><span>M.R.P.: ₹' || " + _PRICE + " || '</span></div>'",

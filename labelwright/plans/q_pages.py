@@ -126,19 +126,22 @@ def spec_pairs(spark, sf_dir):
 _LD = r"<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"
 
 
+_LD_PRODUCT = """coalesce(contains(lower(CAST(node->'$."@type"' AS VARCHAR)), 'product'), false)"""
+# the places of a node among the members that lists and @graph lead to, from the root, are its path
+_LD_MEMBERS = f"""CASE WHEN json_type(node) = 'ARRAY' THEN CAST(node AS JSON[]) WHEN {_LD_PRODUCT} THEN CAST([] AS JSON[]) WHEN json_type(node, '$."@graph"') = 'ARRAY' THEN CAST(node->'$."@graph"' AS JSON[])
+  WHEN json_type(node, '$."@graph"') = 'OBJECT' THEN [node->'$."@graph"'] ELSE CAST([] AS JSON[]) END"""
+
+
 @R.add(
     "pge_07_json_ld",
-    f"""SELECT page_id, node->>'$.name' AS name, node->>'$.sku' AS sku, coalesce(node->>'$.gtin13', node->>'$.mpn') AS gtin,
+    f"""WITH RECURSIVE n AS (SELECT page_id, body, [0::BIGINT] AS path, CAST(body AS JSON) AS node FROM (SELECT page_id, unnest({O.extract_all('html', _LD)}) AS body FROM ({PAGES}) p) b0 WHERE json_valid(body)
+  UNION ALL SELECT page_id, body, list_append(path, i), members[i] FROM (SELECT page_id, body, path, {_LD_MEMBERS} AS members, unnest(range(1, len({_LD_MEMBERS}) + 1)) AS i FROM n) m)
+SELECT page_id, node->>'$.name' AS name, node->>'$.sku' AS sku, coalesce(node->>'$.gtin13', node->>'$.mpn') AS gtin,
   CASE WHEN json_type(node, '$.brand') = 'OBJECT' THEN node->>'$.brand.name' ELSE node->>'$.brand' END AS brand,
   CASE json_type(node, '$.image') WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(node->'$.image' AS JSON[]), lambda i: i->>'$'), ' ')
        WHEN 'OBJECT' THEN node->>'$.image.url' WHEN 'VARCHAR' THEN node->>'$.image' ELSE '' END AS images
-FROM (SELECT page_id, CASE
-    WHEN json_type(doc) = 'ARRAY' THEN list_filter(CAST(doc AS JSON[]), lambda n: contains(lower(CAST(n->'$."@type"' AS VARCHAR)), 'product'))[1]
-    WHEN contains(lower(CAST(doc->'$."@type"' AS VARCHAR)), 'product') THEN doc
-    WHEN json_type(doc, '$."@graph"') = 'ARRAY' THEN list_filter(CAST(doc->'$."@graph"' AS JSON[]), lambda n: contains(lower(CAST(n->'$."@type"' AS VARCHAR)), 'product'))[1]
-  END AS node
-  FROM (SELECT page_id, CAST(body AS JSON) AS doc FROM (SELECT page_id, unnest({O.extract_all('html', _LD)}) AS body FROM ({PAGES}) p) b0 WHERE json_valid(body)) b1) b2
-WHERE node IS NOT NULL""",
+FROM (SELECT page_id, arg_min(node, path) AS node FROM n WHERE {_LD_PRODUCT} GROUP BY page_id, body)
+""",
 )
 def json_ld(spark, sf_dir):
     d = P.structured_data(pages(spark, sf_dir))

@@ -82,3 +82,35 @@ def test_a_page_of_many_tags(spark):
     start = time.perf_counter()
     one, all_ = df.select(H.section(F.col("h"), "big"), H.elements(F.col("h"), ["div"], H.by_class("X3BRps"))).first()
     assert one == inner and all_ == [inner] and time.perf_counter() - start < 60
+
+
+def nested(depth, inner):
+    return '{"@context":"x","@graph":[{"@type":"WebSite","name":"a ] \\"} b"},[' * depth + inner + "]]}" * depth
+
+
+@pytest.mark.parametrize(
+    "doc, want",
+    [
+        ('{"@type":"Product","name":"p"}', "p"),
+        ('[{"@type":"Thing"},[{"@type":["Food","FoodProduct"],"name":"p"}],{"@type":"Product","name":"q"}]', "p"),
+        ('{"@graph":{"@type":"Product","name":"p"}}', "p"),
+        ('{"@graph":[{"name":"x","offers":{"@type":"Product","name":"no"}},{"@type":"Product","name":"p"}]}', "p"),
+        ('{"mainEntity":{"@type":"Product","name":"no"}}', None),
+        ('{"a":"@graph","b":[{"@type":"Product"}]}', None),
+        ('{"@graph":[1,null,"@graph",{"@graph":["{",{"@type":"Product","name":"p"}]}]}', "p"),
+        (nested(6, '{"@type":"Product","name":"p"}'), "p"),
+        (nested(50, '{"@type":"Product","name":"p \\\\"}'), "p \\"),
+        ("[]", None),
+        ('"Product"', None),
+    ],
+)
+def test_products_at_any_depth(spark, doc, want):
+    df = spark.createDataFrame([(f'<script type="application/ld+json">{doc}</script>',)], "h string")
+    got = df.select(F.transform(H.ld_products(H.ld_documents(F.col("h"))), lambda n: F.get_json_object(n, "$.name"))).first()[0]
+    assert got == ([] if want is None else [want])
+
+
+def test_a_long_graph(spark):
+    doc = '{"@graph":[' + ",".join(f'{{"@type":"Thing","n":{i}}}' for i in range(5000)) + ',{"@type":"Product","name":"last"}]}'
+    df = spark.createDataFrame([(doc,)], "d string")
+    assert df.select(F.get_json_object(H.ld_products(F.array("d"))[0], "$.name")).first()[0] == "last"
