@@ -218,10 +218,11 @@ _NEXT = f"""SELECT s.product_id, list_concat(s.picks, CASE WHEN n.pos IS NULL TH
         AND abs(d.compliance_score - c.compliance_score) <= {M.SCORE_GAP} AND (c.mask | d.mask) & {_UNIQUE} = 0)))) w GROUP BY product_id) n ON n.product_id = s.product_id"""
 _best = lambda cond: f"arg_min(pos, (-compliance_score, pos)) FILTER (WHERE {cond})"
 _num, _lic, _den = (f"mask & {M._bits(f)} <> 0" for f in ("has_fssai_with_number", "has_fssai", "has_dense_text"))
-_SELECT = f"""WITH pool AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY compliance_score DESC, pre_score DESC, url_score DESC, ord, url) AS pos FROM (
+_POOL = f"""pool AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY compliance_score DESC, pre_score DESC, url_score DESC, ord, url) AS pos FROM (
     SELECT *, row_number() OVER (PARTITION BY product_id, string_split(url, '?')[1] ORDER BY compliance_score DESC, pre_score DESC, url_score DESC, ord, url) AS rn FROM (
       SELECT product_id, ord, url, url_score, pre_score, compliance_score, category, ocr_read, CASE WHEN seen THEN coalesce(phash, '') ELSE '' END AS hash, {_MASK} AS mask, ocr_read AND {_MARKETING} AS marketing
-      FROM (SELECT *, pre_score > -50 AND coalesce(ocr_text, '') <> '' AS ocr_read FROM ({_SCORED}) z) y) x WHERE string_split(url, '?')[1] <> '') v WHERE rn = 1),
+      FROM (SELECT *, pre_score > -50 AND coalesce(ocr_text, '') <> '' AS ocr_read FROM ({_SCORED}) z) y) x WHERE string_split(url, '?')[1] <> '') v WHERE rn = 1)"""
+_SELECT = f"""WITH {_POOL},
 live AS (SELECT * FROM pool WHERE compliance_score >= {M.MIN_SCORE} AND NOT marketing),
 p0 AS (SELECT product_id, list_concat(list_concat(CASE WHEN a IS NULL THEN [] ELSE [a] END, CASE WHEN b IS NULL THEN [] ELSE [b] END),
     CASE WHEN c IS NULL OR coalesce(c = a, false) OR coalesce(c = b, false) THEN [] ELSE [c] END) AS picks
@@ -240,6 +241,31 @@ def select(spark, sf_dir):
     return M.select_images(M.score_images(candidates(spark, sf_dir)))
 
 
+_CELL = f"category IN ('front_package', 'back_package') AND mask & {_UNIQUE} = 0"
+_TWINS = f"""WITH {_POOL},
+near AS (SELECT p.product_id, p.pos, count(*) AS n FROM pool p JOIN pool d ON d.product_id = p.product_id AND d.pos <> p.pos AND ((p.hash <> '' AND d.hash = p.hash) OR (d.category = p.category
+  AND p.category IN ('front_package', 'back_package') AND abs(d.compliance_score - p.compliance_score) <= {M.SCORE_GAP} AND (p.mask | d.mask) & {_UNIQUE} = 0)) GROUP BY p.product_id, p.pos)
+SELECT product_id, url, CASE WHEN hash <> '' THEN first_value(url) OVER (PARTITION BY product_id, hash ORDER BY pos) END AS hash_class,
+  CASE WHEN {_CELL} THEN first_value(url) OVER (PARTITION BY product_id, {_CELL}, category, compliance_score ORDER BY pos) END AS cell_class, coalesce(n, 0) AS n_near
+FROM pool LEFT JOIN near USING (product_id, pos)"""
+
+
+@R.add("img_12_near_duplicates", _TWINS)
+def near_duplicates(spark, sf_dir):
+    return M.near_duplicates(M.score_images(candidates(spark, sf_dir)))
+
+
+@R.add(
+    "img_12_near_cells",
+    f"""WITH {_POOL},
+cells AS (SELECT product_id, category, compliance_score AS score, arg_min(url, pos) AS url, count(*) AS n FROM pool WHERE {_CELL} GROUP BY 1, 2, 3)
+SELECT product_id, a.category, a.url AS a_url, a.score AS a_score, a.n AS a_images, b.url AS b_url, b.score AS b_score, b.n AS b_images
+FROM cells a JOIN cells b USING (product_id) WHERE a.category = b.category AND a.score > b.score AND a.score - b.score <= {M.SCORE_GAP}""",
+)
+def near_cells(spark, sf_dir):
+    return M.near_cells(M.score_images(candidates(spark, sf_dir)))
+
+
 _MISSING = f"SELECT DISTINCT product_id, CASE ord % 4 WHEN 0 THEN 'fssai' WHEN 1 THEN 'ingredients' WHEN 2 THEN 'manufacturer' ELSE 'mrp' END AS field FROM ({CAND}) c"
 
 
