@@ -10,7 +10,7 @@ written in another form; those spans are added.  Pattern spans are observed and
 Each occurrence of a value is linked to the one before it and to the first recognised one, not to all
 others, so a text's graph grows in proportion to its tokens.
 
-Weights are learnt from the patterns' own findings in a bounded sample of texts: shape features that do not give away a
+Weights are learnt from the patterns' own findings in all texts: shape features that do not give away a
 pattern, transitions along the chain, and how often linked recognised tokens agree.
 
 Defined cases: a null or empty text has no spans; repeated rows are treated alike; very long texts are read
@@ -34,8 +34,8 @@ from .common import add_columns
 
 #: Kinds in the order of the results; label 0 stands for none of them.
 KINDS = ("email", "ip", "card", "phone")
-#: Texts in the training sample, at most, and belief from which a span is added.
-SAMPLE, SURE = 20_000, 0.9
+#: Belief from which a span is added.
+SURE = 0.9
 ROUNDS, DAMP = 30, 0.3
 # The patterns. The local part of an address is read backwards from its sign, so a long run
 # of its characters is read once; a number's first digit has none before it, which finds the same spans.
@@ -213,9 +213,9 @@ def all_spans(text: str | None, field: Field) -> list[tuple[str, int, int, bool]
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts for training: (what, key, label, n), summed over each batch."""
+    """Counts for training: (what, key, label, n), summed over each task."""
+    seen: dict[tuple[str, str, int], int] = defaultdict(int)
     for batch in batches:
-        seen: dict[tuple[str, str, int], int] = defaultdict(int)
         for text in batch.column(0).to_pylist():
             base = base_spans(text) if text else []
             nodes = tokens(text, base) if text else []
@@ -231,16 +231,13 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in edges:
                 if nodes[a].label and nodes[b].label:
                     seen["skip", "", int(nodes[a].label == nodes[b].label)] += 1
-        columns = [*zip(*((*k, v) for k, v in seen.items()), strict=True)] or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["what", "key", "label", "n"])
+    columns = [*zip(*((*k, v) for k, v in seen.items()), strict=True)] or [[], [], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["what", "key", "label", "n"])
 
 
 def train(docs: DataFrame, text: str = "text") -> Field:
-    """A field from what the patterns find in a sample of about ``SAMPLE`` texts, chosen by a hash of the text."""
-    rows = docs.count()
-    share = min(1.0, SAMPLE / max(1, rows))
-    sample = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
-    counted = sample.mapInArrow(_evidence, "what string, key string, label int, n bigint").groupBy("what", "key", "label").agg(F.sum("n").alias("n"))
+    """A field from what the patterns find in all texts; the counts are summed by task before they are shuffled."""
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(_evidence, "what string, key string, label int, n bigint").groupBy("what", "key", "label").agg(F.sum("n").alias("n"))
     labels = len(KINDS) + 1
     by: dict[str, dict[str, np.ndarray]] = defaultdict(lambda: defaultdict(lambda: np.ones(labels)))
     for what, key, label, n in counted.collect():  # shapes are few: sizes, points, sums, brackets
@@ -268,6 +265,20 @@ def find_spans(df: DataFrame, field: Field, text: str = "text") -> DataFrame:
     return add_columns(df, [text], f"spans {SPAN}", make)
 
 
+def find_and_mask(df: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """Append ``masked``, the text with its spans replaced as ``mask`` does; spans are found and replaced in one pass of a worker."""
+
+    def make():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            held = texts.to_pylist()
+            found = ([{"kind": k, "start": s, "end": e} for k, s, e, _ in all_spans(t, field)] for t in held)
+            return [pa.array([masked(t, s) for t, s in zip(held, found, strict=True)], pa.string())]
+
+        return work
+
+    return add_columns(df, [text], "masked string", make)
+
+
 def digest_text(spans: Column) -> Column:
     """kind:start:end of the spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import product
+
+import numpy as np
 
 from labelwright.llm import pii
 
@@ -58,5 +61,46 @@ def test_columns_and_masks(spark, docs):
     got = pii.mask(pii.find_spans(docs(rows, ["spans", "kind"]), f), "text", "spans")
     by = sorted(((r.doc_id, r.masked, r.kind) for r in got.collect()), key=str)
     assert by == sorted([(None, None, "x"), (1, "", "x"), (2, "x é <EMAIL>, <PHONE>", "x"), (2, "x é <EMAIL>, <PHONE>", "x"), (3, "<CARD>", "x")], key=str)
-    assert pii.personal_data(docs([])).count() == 0
+    whole = pii.find_and_mask(docs(rows, ["masked"]), f).collect()
+    assert sorted(((r.doc_id, r.masked) for r in whole), key=str) == sorted(((d, m) for d, m, _ in by), key=str)
+    assert pii.personal_data(docs([])).count() == 0 and pii.find_and_mask(docs([]), f).count() == 0
     assert pii.masked("abcdef", [{"kind": "ip", "start": 1, "end": 4}, {"kind": "card", "start": 2, "end": 5}]) == "a<IP>f"
+
+
+def enumerated(field, nodes):
+    """Marginals by the sum over all labellings."""
+    labels = len(pii.KINDS) + 1
+    unary = [field.unary(t) for t in nodes]
+    edges = [(i, i + 1, field.chain) for i in range(len(nodes) - 1)] + [(a, b, field.skip * np.eye(labels)) for a, b in pii.skips(nodes)]
+    out = np.zeros((len(nodes), labels))
+    for ys in product(range(labels), repeat=len(nodes)):
+        weight = np.exp(sum(u[y] for u, y in zip(unary, ys, strict=True)) + sum(t[ys[a], ys[b]] for a, b, t in edges))
+        for i, y in enumerate(ys):
+            out[i, y] += weight
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_beliefs_equal_enumeration(spark, docs):
+    f = field(spark, docs)
+    nodes = lambda t: pii.tokens(t, pii.base_spans(t))
+    chains = ["1234567 and 12.34.568 or 98765432", "+1 (756) 555-9792, 1234567, 7654321", "4111 1111 1111 1111 x 1234567890123", "a.b@c.de 1234567"]
+    for text in chains:  # no two tokens share a value: a tree, for which message passing is exact
+        assert len(nodes(text)) > 1 and not pii.skips(nodes(text))
+        assert np.allclose(f.beliefs(nodes(text)), enumerated(f, nodes(text)), atol=1e-3)
+    for text in ("+1 (756) 555-9792, 1234567, 7565559792", "7565559792 1234567 7565559792 1234567"):  # loops
+        want = enumerated(f, nodes(text))
+        assert pii.skips(nodes(text)) and np.abs(f.beliefs(nodes(text)) - want).max() < 0.15
+        assert (f.beliefs(nodes(text)).argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_evidence_of_all_texts(spark, docs):
+    """Counts are those of a plain loop over every row, repeats included."""
+    rows = [(i, t) for i in range(7) for t in [*PLAIN, None, "", "+1 (756) 555-9792, 1234567"]]
+    f = pii.train(docs(rows).repartition(5))
+    count = np.ones(len(pii.KINDS) + 1)
+    for _, t in rows:
+        nodes = pii.tokens(t, pii.base_spans(t)) if t else []
+        unsure = {i for e in pii.skips(nodes) for i in e if not nodes[i].label}
+        for i, n in enumerate(nodes):
+            count[n.label] += i not in unsure
+    assert np.allclose(f.prior, np.log(count / count.sum()))
