@@ -87,7 +87,7 @@ def test_beliefs_equal_enumeration(spark, docs):
     for text in chains:  # no two tokens share a value: a tree, for which message passing is exact
         assert len(nodes(text)) > 1 and not pii.skips(nodes(text))
         assert np.allclose(f.beliefs(nodes(text)), enumerated(f, nodes(text)), atol=1e-3)
-    for text in ("+1 (756) 555-9792, 1234567, 7565559792", "7565559792 1234567 7565559792 1234567"):  # loops
+    for text in ("+1 (756) 555-9792, 1234567, 7565559792", "7565559792, 1234567, 7565559792, 1234567"):  # loops
         want = enumerated(f, nodes(text))
         assert pii.skips(nodes(text)) and np.abs(f.beliefs(nodes(text)) - want).max() < 0.15
         assert (f.beliefs(nodes(text)).argmax(axis=1) == want.argmax(axis=1)).all()
