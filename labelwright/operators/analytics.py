@@ -7,6 +7,8 @@ task in the shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +119,35 @@ def violation_page(joined: DataFrame, skip: int = 0, limit: int = 50) -> DataFra
             "severity", "reason", "created_at",
         )
     )
+
+
+def _months(table: DataFrame) -> list[int]:
+    """Months of a table in monthly folders, newest first, from the names of its files."""
+    return sorted({int(m) for f in table.inputFiles() for m in re.findall(r"scan_month=(\d+)", f)}, reverse=True)
+
+
+def violation_page_after(
+    violations: DataFrame, scans: DataFrame, cursor: tuple | None = None, limit: int = 50, severity: str | None = None, platform: str | None = None
+) -> DataFrame:
+    """The page, newest first, that follows the row (created_at, scan_id, field_id) of ``cursor``; the first page without one.
+
+    Both tables are in monthly folders.  Only months up to the cursor's are read, newest first, twice as many each time until
+    the page is full, so a page far back costs what the first one costs.  Rows carry ``field_id``, for the next cursor.
+    """
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must lie between 1 and 200")
+    months = _months(violations)
+    if cursor is not None:
+        at, scan, field = cursor
+        months = [m for m in months if m <= at.year * 100 + at.month]
+    take, page = 1, None
+    while page is None or (len(page.take(limit)) < limit and take < 2 * len(months)):
+        chosen = months[:take]
+        v = violations.filter(F.col("scan_month").isin(chosen))
+        if cursor is not None:
+            later = (F.col("created_at") == F.lit(at)) & ((F.col("scan_id") > scan) | ((F.col("scan_id") == scan) & (F.col("field_id") > field)))
+            v = v.filter((F.col("created_at") <= F.lit(at)) & ((F.col("created_at") < F.lit(at)) | later))
+        s = scans.filter(F.col("scan_month").isin(chosen)).drop("scan_date", "scan_month")
+        page = violations_with_scans(v, s, severity, platform).orderBy(F.desc("created_at"), "scan_id", "field_id").limit(limit)
+        take *= 2
+    return page

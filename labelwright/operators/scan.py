@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import label_value
 from ..functions.text import bind, blank_to_null, matched_index, matches, rx, strip
-from ..rules import RuleField, RuleSet, default_rules
+from ..rules import RuleField, RuleHistory, RuleSet, default_rules
 from ..rules.literals import folded, may_match
 
 # Marker of an online listing, fields printed on the pack only, verdict weights and
@@ -202,6 +202,24 @@ def scan_labels(labels: DataFrame, rules: RuleSet | None = None, text: str = "te
     return out.select(*labels.columns, *steps[-1])
 
 
+def scan_as_of(labels: DataFrame, history: RuleHistory, text: str = "text", time: str = "created_at") -> DataFrame:
+    """Scan every row with the rules in force at its time; a row without a time gets the rules in force last.
+
+    Each version is compiled once and scans the rows of its span; spans are ranges of the time column, so stored
+    labels are pruned to them.
+    """
+    at, out = F.col(time), None
+    for start, end, rules in history.spans():
+        within = F.lit(True)
+        if start is not None:
+            within = within & (at >= F.lit(start))
+        if end is not None:
+            within = within & (at < F.lit(end))
+        part = scan_labels(labels.filter(within if end is not None else within | at.isNull()), rules, text)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def scan_id(*parts: Column) -> Column:
     """Deterministic id, so that scanning the same record again does not add a scan."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)

@@ -87,7 +87,7 @@ FROM (SELECT *, CASE WHEN v IS NOT NULL THEN {present} ELSE {missing} END AS sta
     return "\nUNION ALL\n".join(parts)
 
 
-def scan_table(source: str, key: str = "record_id", carry: tuple[str, ...] = ()) -> str:
+def scan_table(source: str, key: str = "record_id", carry: tuple[str, ...] = (), rules: RuleSet | None = None) -> str:
     """One row per record with score and verdict."""
     extra = "".join(f", {c}" for c in carry)
     return f"""SELECT {key}{extra}, CAST(score AS INT) AS score,
@@ -95,7 +95,7 @@ def scan_table(source: str, key: str = "record_id", carry: tuple[str, ...] = ())
 FROM (SELECT {key}{extra},
   round_even(sum(CASE status WHEN 'PASS' THEN 1.0 WHEN 'REVIEW' THEN 0.5 ELSE 0.0 END) / count(*) * 100, 0) AS score,
   count(*) FILTER (WHERE status = 'FAIL' AND severity = 'high') AS high_fails
-  FROM ({field_table(source, key, carry)}) f GROUP BY {key}{extra}) g"""
+  FROM ({field_table(source, key, carry, rules)}) f GROUP BY {key}{extra}) g"""
 
 
 def violation_table(source: str, key: str = "record_id", carry: tuple[str, ...] = ()) -> str:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +12,12 @@ from pyspark.sql import functions as F
 from ..operators import analytics as A
 from ..operators import rollups
 from ..operators import scan as S
+from ..operators.joins import as_of_join
 from ..oracle import scan_sql as O
 from ..oracle.sqlx import extract, has, nz, one_decimal, q, strip
-from ..rules import default_rules
+from ..rules import RuleHistory, RuleSet, default_rules
 from ..session import ensure_checkpoint_dir
-from ..sources.labels import read_label_csv
+from ..sources.labels import read_label_csv, tagged_label_csv, write_outcomes
 from ..sources.sinks import write_scans
 from . import corpus as C
 from .registry import Registry
@@ -87,6 +90,27 @@ def label_csv(spark, sf_dir):
     return read_label_csv(spark, path).drop("record_id")
 
 
+_NOTES = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '  ' WHEN 1 THEN substr(trim(text), 1, 7) WHEN 2 THEN NULL ELSE text END AS text,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS platform FROM {documents}"""
+
+
+@R.add(
+    "src_01_label_outcomes",
+    f"""SELECT reason, count(*) AS rows, count(DISTINCT platform) AS platforms FROM (SELECT CASE WHEN coalesce({strip('text')}, '') = '' THEN 'blank text' WHEN length({strip('text')}) < 10 THEN 'text too short' ELSE 'accepted' END AS reason,
+  coalesce(platform, '') AS platform FROM ({C.sql(_NOTES)}) n) z GROUP BY reason""",
+)
+def label_outcomes(spark, sf_dir):
+    """Notes as a batch upload, accepted or rejected with a reason, written in one pass and counted from what was written."""
+    path = f"{ensure_checkpoint_dir(spark)}/labelwright-outcomes-{uuid.uuid4().hex}"
+    notes = C.frame(spark, sf_dir, _NOTES).select("text", "platform")
+    notes.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(f"{path}/in")
+    counts = write_outcomes(tagged_label_csv(spark, f"{path}/in"), f"{path}/out")
+    written = spark.read.parquet(f"{path}/out")
+    if sum(counts.values()) != written.count():
+        raise RuntimeError("rows observed and rows written differ")
+    return written.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("platform").alias("platforms"))
+
+
 @R.add("cmp_08_scan_labels", f"SELECT record_id, 'PCR-2011-v2' AS rule_version, score, status FROM ({O.scan_table(ORDERS)}) z")
 def scan_labels(spark, sf_dir):
     return S.scan_labels(order_labels(spark, sf_dir)).select("record_id", "rule_version", "score", "status")
@@ -205,6 +229,45 @@ def rule_hits(spark, sf_dir):
     )
 
 
+def _older_rules() -> list[tuple[str, RuleSet]]:
+    """Two earlier versions of the rules: without country and licence, then with fewer spellings of the price."""
+    fields = default_rules().fields
+    first = RuleSet("PCR-2011-v0", tuple(f for f in fields if f.id not in ("F07", "F08")))
+    second = RuleSet("PCR-2011-v1", tuple(replace(f, patterns=f.patterns[:1]) if f.id == "F05" else replace(f, severity="medium") if f.id == "F07" else f for f in fields))
+    return [("1992-01-01 00:00:00", first), ("1994-03-15 00:00:00", second), ("1996-08-01 12:00:00", default_rules())]
+
+
+_IN_FORCE = "SELECT * FROM (VALUES " + ", ".join(f"(TIMESTAMP '{at}', {q(r.rule_version)})" for at, r in _older_rules()) + ") v(valid_from, rule_version)"
+
+
+def _history() -> RuleHistory:
+    return RuleHistory.of(*[(datetime.fromisoformat(at), r) for at, r in _older_rules()])
+
+
+@R.add(
+    "src_06_scans_as_of",
+    " UNION ALL ".join(
+        f"SELECT record_id, {q(r.rule_version)} AS rule_version, score, status FROM ({O.scan_table(f'SELECT * FROM ({ORDERS}) o WHERE ' + where, rules=r)}) z"
+        for (at, r), where in zip(
+            _older_rules(),
+            ("created_at < TIMESTAMP '1994-03-15'", "created_at >= TIMESTAMP '1994-03-15' AND created_at < TIMESTAMP '1996-08-01 12:00:00'", "created_at >= TIMESTAMP '1996-08-01 12:00:00'"),
+            strict=True,
+        )
+    ),
+)
+def scans_as_of(spark, sf_dir):
+    """Every label scanned with the rules of its day."""
+    return S.scan_as_of(order_labels(spark, sf_dir), _history()).select("record_id", "rule_version", "score", "status")
+
+
+@R.add("src_06_rules_in_force", f"SELECT record_id, created_at, rule_version FROM ({ORDERS}) o ASOF JOIN ({_IN_FORCE}) v ON o.created_at >= v.valid_from")
+def rules_in_force(spark, sf_dir):
+    """The rule version of every record, by an as-of join with the table of versions."""
+    records = order_labels(spark, sf_dir).select("record_id", "created_at")
+    versions = _history().to_frame(spark).select("rule_version", "valid_from")
+    return as_of_join(records, versions, "created_at", "valid_from").select("record_id", "created_at", "rule_version")
+
+
 @R.add("agg_01_summary", O.summary(SCANS_SQL))
 def agg_summary(spark, sf_dir):
     return rollups.summary(rolled(spark, sf_dir))
@@ -295,6 +358,20 @@ def violation_page(spark, sf_dir):
     return page.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+@R.add(
+    "srt_01_seek_page",
+    f"""SELECT scan_id, field_id, coalesce(product_name, 'Unknown') AS product_name, coalesce(platform, 'Unknown') AS platform, severity, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+FROM ({VIOLATIONS_SQL}) v WHERE severity = 'high' ORDER BY v.created_at DESC, scan_id, field_id LIMIT 50 OFFSET 150""",
+)
+def seek_page(spark, sf_dir):
+    """The page after the 150th violation, found from the last row before it."""
+    tables = stored(spark, sf_dir, "violations").drop("batch"), scan_table(spark, sf_dir)
+    before = A.violation_page_after(*tables, limit=150, severity="high").collect()
+    last = before[-1]
+    page = A.violation_page_after(*tables, (last.created_at, last.scan_id, last.field_id), 50, severity="high")
+    return page.select("scan_id", "field_id", "product_name", "platform", "severity", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
 @R.add(
     "agg_06_field_counts",
     f"""SELECT record_id, count(*) FILTER (WHERE status = 'PASS') AS pass_fields, count(*) FILTER (WHERE status = 'FAIL') AS fail_fields,

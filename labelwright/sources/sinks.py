@@ -27,7 +27,7 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 
 
 def write_by_date(scans: DataFrame, path: str, size: int, file_bytes: int = FILE_BYTES) -> None:
-    """Write scans in monthly folders, ordered by date, in files of about ``file_bytes`` out of ``size`` bytes.
+    """Write scans (or rows of scans) in monthly folders, ordered by date, in files of about ``file_bytes`` out of ``size`` bytes.
 
     Rows are dealt by ranges of (date, hash of the id): a day of many scans is split, days of few share a file.
     Besides these files there is at most one more a month, where a range begins in one month and ends in the next.
@@ -42,8 +42,8 @@ def write_scans(scanned: DataFrame, path: str, batch: str, text: str = "text", t
     """Persist a scanned batch as Parquet tables below ``path``, each in a folder named after the batch.
 
     The scan runs once, into the nested table; the three flat tables and the daily rollups are derived from what was written and so
-    share its times.  Writing a batch again replaces its own rows only.  ``scans`` is laid
-    out by month and date, which the trend report prunes on.  With ``track_ids`` the ids are
+    share its times.  Writing a batch again replaces its own rows only.  ``scans`` and ``violations`` are laid
+    out by month and date, which trends and pages prune on.  With ``track_ids`` the ids are
     remembered, so that a stream into the same tables leaves them out.
     """
     spark = scanned.sparkSession
@@ -54,9 +54,10 @@ def write_scans(scanned: DataFrame, path: str, batch: str, text: str = "text", t
     out.write.mode("overwrite").parquet(nested)
     kept = spark.read.schema(out.schema).parquet(nested)
     field_rows(kept).write.mode("overwrite").parquet(f"{path}/field_results/batch={batch}")
-    violation_rows(kept).write.mode("overwrite").parquet(f"{path}/violations/batch={batch}")
     rollup_rows(scan_rows(kept, text)).write.mode("overwrite").parquet(f"{path}/rollups/batch={batch}")
-    write_by_date(scan_rows(kept, text), f"{path}/scans/batch={batch}", stored_bytes(spark, nested))
+    size = stored_bytes(spark, nested)
+    write_by_date(violation_rows(kept), f"{path}/violations/batch={batch}", size)
+    write_by_date(scan_rows(kept, text), f"{path}/scans/batch={batch}", size)
     if track_ids:
         remember(kept.select("scan_id"), path, batch)
 
