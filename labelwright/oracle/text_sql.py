@@ -105,3 +105,51 @@ def detect_country(e: str) -> tuple[str, str, str]:
         f"'Indian PIN code: ' || {pin}, CASE WHEN {phone} THEN 'Indian phone number detected' END)"
     )
     return country, confidence, signals
+
+
+def parsed_addresses(source: str) -> str:
+    """Parts of the addresses of ``source`` (id, address)."""
+    t = strip(replace_all(f"regexp_replace({strip('address')}, '\\.+$', '')", G.ROLE_PREFIX, ""))
+    parts = f"list_filter(list_transform(regexp_split_to_array(t, '[,\\n]+'), lambda p: {strip('p')}), lambda p: p <> '')"
+    suffix = f"coalesce(list_position(list_transform(parts, lambda p: {has('p', G.COMPANY_SUFFIX)} AND length(p) > 5), true), 0)"
+    return f"""
+SELECT id, company, address_line1, address_line2, city, state, pincode, country, full_address,
+  CASE WHEN company IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN pincode IS NOT NULL THEN 30 ELSE 0 END
+  + CASE WHEN state IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN country IS NOT NULL THEN 10 ELSE 0 END
+  + CASE WHEN city IS NOT NULL THEN 10 ELSE 0 END AS confidence
+FROM (SELECT *, CASE WHEN length(c0) > 2 THEN c0 END AS city, lines[1] AS address_line1,
+        nullif(array_to_string(lines[2:3], ', '), '') AS address_line2
+  FROM (SELECT *,
+      trim(regexp_replace(list_filter(rest, lambda p: NOT coalesce(contains(lower(p), lower(state)), false)
+        AND NOT coalesce(contains(lower(p), lower(country)), false) AND coalesce(contains(p, pincode), false))[1], '\\b([1-9][0-9]{{5}})\\b', '', 'g'), ' -') AS c0,
+      list_filter(rest, lambda p: NOT coalesce(lower(p) = lower(state), false) AND NOT coalesce(lower(p) = lower(country), false)) AS lines
+    FROM (SELECT *, parts[pos] AS company, list_filter(list_transform(parts, lambda p, i: CASE WHEN i <> pos THEN p END), lambda p: p IS NOT NULL) AS rest,
+        coalesce(nullif(regexp_extract(t, {q('(?i)' + G.ADDRESS_COUNTRY)}, 1), ''), CASE WHEN state IS NOT NULL OR pincode IS NOT NULL THEN 'India' END) AS country
+      FROM (SELECT *, CASE WHEN {suffix} > 0 THEN {suffix} WHEN regexp_matches(parts[1], '^[A-Z]') AND length(parts[1]) > 4 THEN 1 ELSE 0 END AS pos,
+          nullif({extract('t', G.ADDRESS_PIN, 1, '')}, '') AS pincode, nullif({extract('t', G.address_state_pattern(), 1)}, '') AS state
+        FROM (SELECT *, {parts} AS parts FROM (SELECT id, nullif({strip('address')}, '') AS full_address, {t} AS t FROM ({source}) a0) a1) a2) a3) a4) a5) a6"""
+
+
+def classified_origin(manufacturer: str, importer: str, declared: str) -> tuple[str, str]:
+    """(classification, notes) by the countries of the parties and the declared one."""
+    m, i, d = (f"coalesce({c}, '')" for c in (manufacturer, importer, declared))
+    cases = [
+        (f"lower({m}) = 'india' AND {i} = ''", "'Domestic Product'", "'Manufactured in India'"),
+        (f"lower({i}) = 'india' AND {m} <> '' AND lower({m}) <> 'india'", "'Imported Product'", f"'Manufactured in ' || {m} || ', Imported to India'"),
+        (f"{d} <> '' AND lower({d}) <> 'india'", "'Imported Product'", f"'Declared Country of Origin: ' || {d}"),
+        (f"lower({m}) = 'india' OR lower({d}) = 'india'", "'Domestic Product'", "'Manufactured/Originated in India'"),
+    ]
+    return case([(c, k) for c, k, _ in cases], "'Unknown'"), case([(c, n) for c, _, n in cases], "'Insufficient data to classify'")
+
+
+def missing_fields(e: str, present: dict[str, str] | None = None, address: str = "''") -> str:
+    """List of the critical fields that neither the text nor the conditions ``present`` supply."""
+    present, parts = present or {}, []
+    for n, p in E.CRITICAL_PATTERNS.items():
+        found = has(e, p)
+        if n in present:
+            found = f"({found} OR {present[n]})"
+        if n == "country":
+            found = f"({found} OR {infer_country(address)} IS NOT NULL OR {infer_country(e)} IS NOT NULL)"
+        parts.append(f"CASE WHEN NOT {found} THEN '{n}' END")
+    return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"

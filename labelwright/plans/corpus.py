@@ -276,6 +276,32 @@ FROM ({_PRODUCTS}) b
 UNION ALL
 SELECT 'W' || CAST(page_id AS STRING) AS page_id, url, html FROM {{pages}} w"""
 
+# web records of products, their pack texts and codes: what extraction from pages and images gives, stated directly
+WEB_RECORDS = f"""
+SELECT 'P' || CAST(k AS STRING) AS page_id, {_HOST} AS url, {_case("k", 8, {0: "'amazon'", 1: "'flipkart'", 2: "'jiomart'", 3: "'myntra'", 4: "'meesho'", 5: "'bigbasket'", 6: "'generic'", 7: "'generic'"})} AS platform,
+  {_case("k", 8, {0: "'Amazon'", 1: "'Flipkart'", 2: "'JioMart'", 3: "'Myntra'", 4: "'Meesho'", 5: "'BigBasket'", 6: "'Generic'", 7: "'Generic'"})} AS display_name,
+  {_case("k", 7, {0: "'Amazon'", 1: "'Flipkart'", 2: "'JioMart'", 3: "'Generic'"})} AS source,
+  {_case("k", 6, {0: "CAST(p_size AS STRING) || ' Count'", 1: "''"})} AS row_count, {_case("k", 5, {0: "CAST(p_size AS STRING) || ' Grams'", 2: "' '"})} AS row_weight,
+  {_case("k", 3, {0: "'Red'", 1: "'made in Nepal.'"})} AS row_other,
+  {_case("k", 5, {0: "'Packed by hand|Mfg. by ' || " + _COMPANY + " || ' Works|Manufactured with care ', ", 1: "'Tasty|Marketed by ' || " + _COMPANY, 2: "'plain'"}).replace("care ', ", "care '")} AS bullets,
+  {_case("k", 4, {0: "p_name", 1: "'  '"})} AS product_name, {_case("k", 5, {0: "replace(p_brand, '#', ' ')", 1: "''", 2: "'WebBrand'"})} AS brand,
+  {_case("k", 7, {0: _COMPANY + " || ' Foods Private Limited, Plot 12, Pune - ' || " + _PIN + " || ', Maharashtra'", 1: _COMPANY + " || ' Wellness'", 2: _COMPANY + " || chr(10) || 'Via Roma 5' || chr(10) || 'Milano, Italy'", 3: "' '"})} AS manufacturer_raw,
+  {_case("k", 5, {0: _COMPANY + " || ' Packers, MG Road, Bengaluru ' || " + _PIN, 1: _COMPANY + " || ' Wellness'"})} AS packer_raw,
+  {_case("k", 6, {0: _COMPANY + " || ' Traders, Delhi, 1800 2027 080'", 1: "'Shenzhen Imports, Shenzhen, China'"})} AS importer_raw,
+  {_case("k", 5, {0: "'India'", 1: "'Sri Lanka'", 2: "''"})} AS country_of_origin, {_case("k", 4, {0: "CAST(p_size AS STRING) || ' g'", 1: "'1.5 kg'"})} AS net_quantity,
+  {_case("k", 5, {0: "'12 Months'", 1: "'Best before use'"})} AS best_before, {_case("k", 3, {0: _LICENCE})} AS fssai, {_case("k", 4, {0: _PRICE, 1: "'99'", 2: "'free'"})} AS mrp,
+  {_case("k", 6, {0: "'Jan 2024'", 1: "'soon'"})} AS mfg_date, {_case("k", 5, {0: "'1800 425 1000'"})} AS consumer_care_phone, {_case("k", 7, {0: "'care@web.example.com'"})} AS consumer_care_email,
+  {_case("k", 4, {0: "'MySeller'"})} AS seller, {_case("k", 3, {0: "'A fine ' || p_name"})} AS description, {_case("k", 5, {0: "'Oats, Salt and'", 1: "'Rice, Sugar'"})} AS ingredients,
+  {_case("k", 6, {0: "'Contains nuts'"})} AS allergen_info, {_case("k", 6, {1: "'Keep cool'"})} AS storage_instructions, {_case("k", 7, {2: "'M.R.P.: Rs 45'"})} AS price_block,
+  {_case("k", 9, {0: "'Lic. No. 1234567 and Vegetarian food'"})} AS compliance_text, CASE WHEN k % 2 = 0 THEN {_TEXT_BLOCKS} ELSE 'Welcome to the shop' END AS page_text,
+  {_case("k", 5, {1: "'Ld ' || p_name"})} AS s_name, {_case("k", 5, {2: "'Ld text'"})} AS s_description, {_case("k", 3, {1: "'SKU' || CAST(k AS STRING)"})} AS s_sku, {_case("k", 9, {1: "'8901234567890'"})} AS s_gtin,
+  {_case("k", 4, {1: "'LdBrand'"})} AS s_brand, {_case("k", 4, {1: "'55.50'", 2: "'1,200'"})} AS s_price, {_case("k", 4, {1: "'INR'"})} AS s_currency, {_case("k", 8, {1: "'InStock'"})} AS s_availability,
+  {_case("k", 6, {1: "'LdSeller'"})} AS s_seller, {_case("k", 3, {2: "'Og ' || p_name"})} AS s_og_title, {_case("k", 4, {3: "'Og text, Country of Origin: Nepal'"})} AS s_og_description, {_case("k", 5, {0: "'https://shop.example.com/c'"})} AS s_canonical_url
+FROM ({_PRODUCTS}) b WHERE k % 11 <> 5"""
+PACK_TEXTS = f"SELECT 'P' || product_id AS product_id, text FROM ({PRODUCT_LABELS}) l WHERE CAST(product_id AS BIGINT) % 7 <> 3"
+PACK_CODES = f"""SELECT 'P' || CAST(k AS STRING) AS product_id, {_case("k", 4, {0: "CAST(8900000000000 + k AS STRING)", 1: "' '"})} AS barcode,
+  {_case("k", 4, {0: "'EAN13'"})} AS barcode_type, {_case("k", 6, {0: "'https://qr.example.com/' || CAST(k AS STRING)"})} AS qr_code FROM ({_PRODUCTS}) b WHERE k % 3 <> 1"""
+
 _IMG_KIND = _case("i", 12, {
     0: "'front-view'", 1: "'back-view'", 2: "'ingredients'", 3: "'nutrition-label'", 4: "'side-label'",
     5: "'lifestyle'", 6: "'zoom'", 7: "'barcode'", 8: "'pack_icon_small'", 9: "'spec'", 10: "'main'", 11: "'plain'"})

@@ -13,6 +13,7 @@ from ..operators import reports as T
 from ..operators import rollups
 from ..operators import scan as S
 from ..operators.attributes import extract_attributes
+from ..oracle import fusion_sql as Z
 from ..oracle import scan_sql as X
 from ..oracle.sqlx import one_decimal, q
 from ..oracle.text_sql import attributes as attributes_sql
@@ -90,7 +91,7 @@ def package_texts(spark, sf_dir):
 
 
 def model(spark, sf_dir):
-    return M.fuse_products(M.web_products(pages(spark, sf_dir)), package_texts(spark, sf_dir))
+    return M.fuse_products(M.web_products(pages(spark, sf_dir)), package_texts(spark, sf_dir), C.frame(spark, sf_dir, C.PACK_CODES))
 
 
 @R.add("jn_07_fuse_products")
@@ -146,6 +147,105 @@ def product_report(spark, sf_dir):
     return T.product_report(M.completeness(M.product_comparisons(model(spark, sf_dir))))
 
 
+# ---- the same steps over stated records, so that a checking statement can follow them column by column
+
+_WEB, _PACK, _CODES = (C.sql(t) for t in (C.WEB_RECORDS, C.PACK_TEXTS, C.PACK_CODES))
+
+
+def web_records(spark, sf_dir):
+    """Stated web records in the form in which pages are extracted."""
+    raw = C.frame(spark, sf_dir, C.WEB_RECORDS)
+    named = F.map_from_arrays(F.array(F.lit("Unit Count"), F.lit("Item Weight"), F.lit("Colour")), F.array("row_count", "row_weight", "row_other"))
+    none = F.lit(None).cast("array<string>")
+    return raw.select(
+        "*", F.map_filter(named, lambda _, v: v.isNotNull()).alias("page_rows"), F.split("bullets", "\\|").alias("feature_bullets"), none.alias("s_image_urls"), none.alias("s_og_images")
+    )
+
+
+def stated_model(spark, sf_dir):
+    return M.fuse_products(web_records(spark, sf_dir), C.frame(spark, sf_dir, C.PACK_TEXTS), C.frame(spark, sf_dir, C.PACK_CODES))
+
+
+def _over(last: str) -> str:
+    return Z.model(_WEB, _PACK, _CODES, last)
+
+
+@R.add(
+    "pge_18_stated_corpus",
+    _over("SELECT w.page_id, corpus, a.net_quantity, a.mrp, a.fssai, a.country_of_origin, a.consumer_care_phone FROM site w JOIN aw a ON a.product_id = w.page_id"),
+)
+def stated_corpus(spark, sf_dir):
+    web = web_records(spark, sf_dir)
+    return extract_attributes(web.select("page_id", M.web_corpus().alias("corpus")), "corpus").select(
+        "page_id", "corpus", "net_quantity", "mrp", "fssai", "country_of_origin", "consumer_care_phone"
+    )
+
+
+_PARTY = "{r}_name AS {r}, {r}_text, {r}_structured, {r}_country, CAST({r}_sure AS INT) AS {r}_sure, {r}_source"
+
+
+@R.add(
+    "jn_07_stated_products",
+    _over(
+        f"""SELECT product_id, name, brand, description, platform, seller, mrp_raw, CASE WHEN mrp_raw IS NOT NULL THEN m_display END AS mrp, {", ".join(_PARTY.format(r=r) for r in M.ENTITY_ROLES)},
+  declared, detected, website_qty, package_qty, CASE WHEN qty IS NOT NULL THEN n_display END AS quantity, mfg_date, expiry_date, care_raw, care_phone, care_email, fssai, code AS barcode, barcode_type, qr_code, batch_no,
+  array_to_string(declarations, ' | ') AS declarations, ingredients, e_ingredient_complete AS ingredient_complete, allergen_info, storage_instructions, package_mrp, classification FROM model"""
+    ),
+)
+def stated_products(spark, sf_dir):
+    parties = [
+        F.col(f"{r}.{c}").alias(n)
+        for r in M.ENTITY_ROLES
+        for c, n in (("name", r), ("address_raw", f"{r}_text"), ("address_structured", f"{r}_structured"), ("country", f"{r}_country"), ("country_confidence", f"{r}_sure"), ("source", f"{r}_source"))
+    ]
+    return stated_model(spark, sf_dir).select(
+        "product_id", "product.name", "product.brand", "product.description", "commerce.platform", "commerce.seller", "commerce.mrp_raw", F.col("commerce.mrp_normalized.display").alias("mrp"), *parties,
+        F.col("origin.declared_country").alias("declared"), F.col("origin.detected_country").alias("detected"), F.col("quantity.website_raw").alias("website_qty"),
+        F.col("quantity.package_raw").alias("package_qty"), F.col("quantity.normalized.display").alias("quantity"), "dates.mfg_date", "dates.expiry_date", F.col("consumer_care.raw").alias("care_raw"),
+        F.col("consumer_care.phone").alias("care_phone"), F.col("consumer_care.email").alias("care_email"), "regulatory.fssai", "regulatory.barcode", "regulatory.barcode_type", "regulatory.qr_code",
+        "regulatory.batch_no", F.array_join("regulatory.declarations", " | ").alias("declarations"), "ingredients", "ingredient_complete", "allergen_info", "storage_instructions", "package_mrp",
+        "product_classification.classification",
+    )
+
+
+@R.add("jn_06_stated_comparisons", _over(Z.compared()))
+def stated_comparisons(spark, sf_dir):
+    d = M.product_comparisons(stated_model(spark, sf_dir))
+    return d.select("product_id", F.inline_outer("comparisons")).filter("field IS NOT NULL")
+
+
+_TEXTS_STEP = Z.compliance_step()
+
+
+@R.add(
+    "txt_01_agg_08_stated_texts",
+    _over(f"""SELECT product_id, compliance_text, lm_coverage, CASE WHEN lm_coverage >= {M.COVERAGE_GOOD} THEN 'good' WHEN lm_coverage >= {M.COVERAGE_FAIR} THEN 'fair' ELSE 'poor' END AS lm_band, category, missing FROM ({_TEXTS_STEP}) t"""),
+)
+def stated_texts(spark, sf_dir):
+    return M.compliance_texts(stated_model(spark, sf_dir)).select(
+        "product_id", "compliance_text", "lm_coverage", "lm_band", "category", F.array_join("missing_fields", ",").alias("missing")
+    )
+
+
+@R.add("txt_01_stated_scans", _over(f"SELECT product_id, score, status FROM ({X.scan_table(f'SELECT product_id, compliance_text AS text FROM ({_TEXTS_STEP}) t', 'product_id')}) z"))
+def stated_scans(spark, sf_dir):
+    texts = M.compliance_texts(stated_model(spark, sf_dir)).select("product_id", F.col("compliance_text").alias("text"))
+    return S.scan_labels(texts).select("product_id", "score", "status")
+
+
+_HELD, _LACKED = Z.critical()
+
+
+@R.add(
+    "agg_09_stated_completeness",
+    _over(f"""SELECT product_id, array_to_string({_HELD}, ',') AS found, array_to_string({_LACKED}, ',') AS missing, CAST(floor(100 * len({_HELD}) / 7) AS INT) AS critical_percent FROM model"""),
+)
+def stated_completeness(spark, sf_dir):
+    return M.completeness(stated_model(spark, sf_dir)).select(
+        "product_id", F.array_join("critical_found", ",").alias("found"), F.array_join("critical_missing", ",").alias("missing"), "critical_percent"
+    )
+
+
 _FIELDS = X.field_table(ORDERS)
 _DETAIL = f"""'  [' || rpad(status, 6, ' ') || '] ' || field_id || ' — ' || field_label
   || coalesce(chr(10) || '           Value     : ' || detected_value, '') || coalesce(chr(10) || '           Normalised: ' || normalized_value, '')

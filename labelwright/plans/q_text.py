@@ -170,21 +170,11 @@ def declarations(spark, sf_dir):
     )
 
 
-def _missing_sql(e: str) -> str:
-    parts = []
-    for n, p in E.CRITICAL_PATTERNS.items():
-        cond = has(e, p)
-        if n == "country":
-            cond = f"({cond} OR {X.infer_country(e)} IS NOT NULL)"
-        parts.append(f"CASE WHEN NOT {cond} THEN '{n}' END")
-    return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
-
-
 @R.add(
     "ent_17_agg_07_missing_fields",
     f"""SELECT id, array_to_string(m, ',') AS missing, CAST(floor(100 * (6 - len(m)) / 6) AS INT) AS coverage,
   array_to_string(list_filter(['manufacturer', 'net_qty', 'mrp', 'fssai', 'country', 'ingredients'], lambda x: NOT list_contains(m, x)), ',') AS found
-FROM (SELECT id, {_missing_sql('text')} AS m FROM ({ANY}) z) y""",
+FROM (SELECT id, {X.missing_fields('text')} AS m FROM ({ANY}) z) y""",
 )
 def missing_fields(spark, sf_dir):
     d = any_text(spark, sf_dir).select("id", A.missing_critical(F.col("text")).alias("m"))
@@ -213,50 +203,16 @@ def detect_country(spark, sf_dir):
     return d.select("id", "c.country", "c.confidence", F.array_join("c.signals", "; ").alias("signals"))
 
 
-_T = strip(replace_all(f"regexp_replace({strip('address')}, '\\.+$', '')", G.ROLE_PREFIX, ""))
-_PARTS = f"list_filter(list_transform(regexp_split_to_array(t, '[,\\n]+'), lambda p: {strip('p')}), lambda p: p <> '')"
-_SUFFIX = f"coalesce(list_position(list_transform(parts, lambda p: {has('p', G.COMPANY_SUFFIX)} AND length(p) > 5), true), 0)"
-_ADDRESS_SQL = f"""
-SELECT id, company, address_line1, address_line2, city, state, pincode, country, full_address,
-  CASE WHEN company IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN pincode IS NOT NULL THEN 30 ELSE 0 END
-  + CASE WHEN state IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN country IS NOT NULL THEN 10 ELSE 0 END
-  + CASE WHEN city IS NOT NULL THEN 10 ELSE 0 END AS confidence
-FROM (SELECT *, CASE WHEN length(c0) > 2 THEN c0 END AS city, lines[1] AS address_line1,
-        nullif(array_to_string(lines[2:3], ', '), '') AS address_line2
-  FROM (SELECT *,
-      trim(regexp_replace(list_filter(rest, lambda p: NOT coalesce(contains(lower(p), lower(state)), false)
-        AND NOT coalesce(contains(lower(p), lower(country)), false) AND coalesce(contains(p, pincode), false))[1], '\\b([1-9][0-9]{{5}})\\b', '', 'g'), ' -') AS c0,
-      list_filter(rest, lambda p: NOT coalesce(lower(p) = lower(state), false) AND NOT coalesce(lower(p) = lower(country), false)) AS lines
-    FROM (SELECT *, parts[pos] AS company, list_filter(list_transform(parts, lambda p, i: CASE WHEN i <> pos THEN p END), lambda p: p IS NOT NULL) AS rest,
-        coalesce(nullif(regexp_extract(t, {q('(?i)' + G.ADDRESS_COUNTRY)}, 1), ''), CASE WHEN state IS NOT NULL OR pincode IS NOT NULL THEN 'India' END) AS country
-      FROM (SELECT *, CASE WHEN {_SUFFIX} > 0 THEN {_SUFFIX} WHEN regexp_matches(parts[1], '^[A-Z]') AND length(parts[1]) > 4 THEN 1 ELSE 0 END AS pos,
-          nullif({extract('t', G.ADDRESS_PIN, 1, '')}, '') AS pincode, nullif({extract('t', G.address_state_pattern(), 1)}, '') AS state
-        FROM (SELECT *, {_PARTS} AS parts FROM (SELECT id, nullif({strip('address')}, '') AS full_address, {_T} AS t FROM ({ADDR}) a0) a1) a2) a3) a4) a5) a6"""
-
-
-@R.add("geo_03_parse_address", _ADDRESS_SQL)
+@R.add("geo_03_parse_address", X.parsed_addresses(ADDR))
 def parse_address(spark, sf_dir):
     d = addresses(spark, sf_dir).select("id", bind(F.col("address"), G.parse_address).alias("a"))
     return d.select("id", "a.*")
 
 
-_M, _I, _D = (f"coalesce({c}, '')" for c in ("mfr_country", "imp_country", "declared_country"))
+_CLASS, _NOTES = X.classified_origin("mfr_country", "imp_country", "declared_country")
 
 
-@R.add(
-    "geo_04_classify_origin",
-    f"""SELECT id, {case([
-        (f"lower({_M}) = 'india' AND {_I} = ''", "'Domestic Product'"),
-        (f"lower({_I}) = 'india' AND {_M} <> '' AND lower({_M}) <> 'india'", "'Imported Product'"),
-        (f"{_D} <> '' AND lower({_D}) <> 'india'", "'Imported Product'"),
-        (f"lower({_M}) = 'india' OR lower({_D}) = 'india'", "'Domestic Product'")], "'Unknown'")} AS classification,
-  {case([
-        (f"lower({_M}) = 'india' AND {_I} = ''", "'Manufactured in India'"),
-        (f"lower({_I}) = 'india' AND {_M} <> '' AND lower({_M}) <> 'india'", f"'Manufactured in ' || {_M} || ', Imported to India'"),
-        (f"{_D} <> '' AND lower({_D}) <> 'india'", f"'Declared Country of Origin: ' || {_D}"),
-        (f"lower({_M}) = 'india' OR lower({_D}) = 'india'", "'Manufactured/Originated in India'")], "'Insufficient data to classify'")} AS notes
-FROM ({ADDR}) z""",
-)
+@R.add("geo_04_classify_origin", f"SELECT id, {_CLASS} AS classification, {_NOTES} AS notes FROM ({ADDR}) z")
 def classify_origin(spark, sf_dir):
     d = addresses(spark, sf_dir).select(
         "id", G.classify_origin(F.col("mfr_country"), F.col("imp_country"), F.col("declared_country")).alias("o")
