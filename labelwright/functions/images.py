@@ -409,6 +409,39 @@ def upgrade_meesho(url: Column) -> Column:
     return F.regexp_replace(url, r"/\d+/\d+", "/1080/1080")
 
 
+# Addresses of product images inside the pages of three marketplaces, and what marks other images.
+RECORD_IMAGES = {
+    "flipkart": r"https?://rukminim\d*\.flixcart\.com/image/[^\s\"'<>\\]+\.(?:jpg|jpeg|png|webp)",
+    "jiomart": r"https?://(?:cdn\d*\.jiomartjcp\.com|cdn\.jiomart\.com|jiostatic\.com)/[^\s\"'<>\\]+\.(?:jpg|jpeg|png|webp)",
+    "myntra": r"https?://(?:assets\.myntassets\.com|assets\.myntra\.com)/assets/images/(\d{4}/\w+/\d+/[A-Za-z0-9_]+\.(?:jpg|jpeg|png|webp))",
+}
+RECORD_SIZE = r"/\d{2,4}/\d{2,4}/"
+THEME_IMAGES = ("/theme/assets/", "/icons/", "/logo")
+MYNTRA_FULL = "https://assets.myntassets.com/h_1440,q_75,w_1080/v1/assets/images/"
+
+
+def record_images(adapter: Column, html: Column, state: Column) -> Column:
+    """Product images that a marketplace's page names, full size, each once in page order; empty for other pages.
+
+    ``state`` is the text of the embedded state, read where the page itself names none.
+    """
+
+    def named(text: Column, site: str, group: int = 0) -> Column:
+        return F.regexp_extract_all(text, F.lit(rx(RECORD_IMAGES[site])), F.lit(group))
+
+    def theme(u: Column) -> Column:
+        return u.contains(THEME_IMAGES[0]) | u.contains(THEME_IMAGES[1]) | F.lower(u).contains(THEME_IMAGES[2])
+
+    flipkart = bind(named(html, "flipkart"), lambda us: F.when(F.size(us) > 0, us).otherwise(named(F.coalesce(state, F.lit("")), "flipkart")))
+    found = (
+        F.when(adapter == "flipkart", F.transform(flipkart, lambda u: F.regexp_replace(u, RECORD_SIZE, "/832/832/")))
+        .when(adapter == "jiomart", F.transform(F.filter(named(html, "jiomart"), lambda u: ~theme(u)), upgrade_jiomart))
+        .when(adapter == "myntra", F.transform(named(html, "myntra", 1), lambda p: F.concat(F.lit(MYNTRA_FULL), p)))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return F.array_distinct(found)
+
+
 def absolute_url(url: Column, base: Column) -> Column:
     """Resolve protocol-relative and host-relative addresses against the page address."""
     u = strip(url)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import images as I
 from ..functions import urls as U
 from ..functions.normalize import collapse_newlines
 from ..functions.text import any_of, bind, blank_to_null, replace_all, rx, strip, strip_to_null
@@ -494,6 +495,7 @@ def _record_columns() -> list[list[Column]]:
         F.coalesce("_bullets", F.array().cast("array<string>")).alias("feature_bullets"),
         F.when(adapter == "generic", F.array_join(compliance_paragraphs(html), "\n")).alias("compliance_text"),
         F.col("_text").alias("page_text"),
+        I.record_images(adapter, html, state_text(html)).alias("product_image_urls"),
     ]
     return [s0, s1, s2, s3, s4, s5]
 
@@ -508,7 +510,7 @@ def _routed_to(field: str):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Product record of every page: platform, source, the record fields, ``page_rows`` map,
 
-    ``feature_bullets``, ``compliance_text`` and ``page_text``.  Input needs ``page_id, url, html``;
+    ``feature_bullets``, ``compliance_text``, ``page_text`` and ``product_image_urls``.  Input needs ``page_id, url, html``;
     further columns are carried along.
     """
     steps = _record_columns()

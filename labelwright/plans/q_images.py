@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import images as I
 from ..functions.text import any_of
 from ..operators import images as M
-from ..oracle.page_sql import extract_all
+from ..oracle.page_sql import extract_all, metas
 from ..oracle.sqlx import case, extract, has, q, strip
 from . import corpus as C
-from .q_pages import PAGES, pages
+from .q_pages import PAGES, pages, record_images_sql
 from .registry import Registry
 
 R = Registry()
@@ -380,12 +380,44 @@ def state_images(spark, sf_dir):
 
 @R.add("img_06_union_sources")
 def union_sources(spark, sf_dir):
-    from ..operators.pages import structured_data
+    """All sources of a page's images: collected, structured data, its record, and the record of the rendered page."""
+    from ..operators.pages import extract_pages, structured_data
 
     p = pages(spark, sf_dir)
     collected = M.collect_images(p).withColumnRenamed("page_id", "product_id")
     both = structured_data(p).select(
         F.col("page_id").alias("product_id"), F.posexplode(F.concat("image_urls", "og_images")).alias("ord", "url")
     )
-    return M.union_sources(collected, jsonld=both).select("product_id", "url", "alt", "source", "score")
+    own, rendered = (M.record_candidates(extract_pages(d)) for d in (p, _rendered(p)))
+    return M.union_sources(collected, jsonld=both, adapter=own, browser_adapter=rendered).select("product_id", "url", "alt", "source", "score")
 
+
+def _rendered(p):
+    """The pages as a browser might show them: the same, but for one image that only scripts add."""
+    return p.withColumn("html", F.replace("html", F.lit("back-"), F.lit("side-")))
+
+
+_RENDERED = f"SELECT page_id, url, replace(html, 'back-', 'side-') AS html FROM ({PAGES}) r"
+_OGS = f"list_transform(list_filter({metas('html')}, lambda s: s.prop = 'og:image'), lambda s: s.content)"
+_POOL_SOURCES = f"""SELECT 'P' || product_id AS product_id, 0 AS rank, ord, url, alt, source, score FROM ({CAND}) c
+UNION ALL SELECT page_id, 1, 0, unnest({_OGS}), '', 'jsonld', 5 FROM ({PAGES}) p
+UNION ALL SELECT page_id, 2, 0, unnest(images), 'product', 'adapter', 12 FROM ({record_images_sql(PAGES)}) r
+UNION ALL SELECT page_id, 3, 0, unnest(images), 'product', 'browser_adapter', 18 FROM ({record_images_sql(_RENDERED)}) r"""
+
+
+@R.add(
+    "img_06_stated_union",
+    f"""SELECT product_id, url, best.alt AS alt, best.source AS source, best.score + CASE WHEN best.source = 'adapter' THEN {M.ADAPTER_BOOST} ELSE 0 END AS score FROM (
+  SELECT product_id, url, arg_min(struct_pack(alt, source, score), (rank, ord, source, coalesce(alt, ''), score)) AS best FROM ({_POOL_SOURCES}) s WHERE url <> '' GROUP BY product_id, url) b""",
+)
+def stated_union(spark, sf_dir):
+    """The union of stated candidates with the images that pages and their records name."""
+    from ..functions.html import meta_values
+    from ..functions.html import metas as read_metas
+    from ..operators.pages import extract_pages
+
+    p = pages(spark, sf_dir)
+    stated = candidates(spark, sf_dir).withColumn("product_id", F.concat(F.lit("P"), "product_id"))
+    og = p.select(F.col("page_id").alias("product_id"), F.posexplode(meta_values(read_metas(F.col("html")), "og:image")).alias("ord", "url"))
+    own, rendered = (M.record_candidates(extract_pages(d)) for d in (p, _rendered(p)))
+    return M.union_sources(stated, jsonld=og, adapter=own, browser_adapter=rendered).select("product_id", "url", "alt", "source", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import images as I
 from ..functions import urls as U
 from ..operators import marketplaces as M
 from ..operators import pages as P
@@ -368,3 +369,22 @@ def generic_record(spark, sf_dir):
 @R.add("pge_17_listing_texts")
 def listing_texts(spark, sf_dir):
     return P.listing_texts(pages(spark, sf_dir))
+
+
+def record_images_sql(pages: str) -> str:
+    """page_id and the list of product images of its record."""
+    names = lambda e, site, group=0: O.extract_all(e, I.RECORD_IMAGES[site], group, "i")
+    own = names("html", "flipkart")
+    flipkart = f"list_transform(CASE WHEN len({own}) > 0 THEN {own} ELSE {names(f'coalesce({_STATE_OF}, {chr(39) * 2})', 'flipkart')} END, lambda u: regexp_replace(u, '/[0-9]{{2,4}}/[0-9]{{2,4}}/', '/832/832/', 'g'))"
+    theme = " OR ".join([f"contains(u, {q(t)})" for t in I.THEME_IMAGES[:2]] + [f"contains(lower(u), {q(I.THEME_IMAGES[2])})"])
+    full = "regexp_replace(regexp_replace(u, '/t\\.[a-zA-Z0-9_]+\\([^)]*\\)/', '/original/', 'g'), '\\?.*$', '')"
+    jiomart = f"list_transform(list_filter({names('html', 'jiomart')}, lambda u: NOT ({theme})), lambda u: {full})"
+    myntra = f"list_transform({names('html', 'myntra', 1)}, lambda p: {q(I.MYNTRA_FULL)} || p)"
+    return f"""SELECT page_id, list_filter(us, lambda u, i: list_position(us, u) = i) AS images FROM (
+  SELECT page_id, CASE {O.adapter()} WHEN 'flipkart' THEN {flipkart} WHEN 'jiomart' THEN {jiomart} WHEN 'myntra' THEN {myntra} ELSE [] END AS us FROM ({pages}) p) z"""
+
+
+@R.add("pge_12_14_record_images", f"SELECT page_id, array_to_string(images, ' ') AS images FROM ({record_images_sql(PAGES)}) r WHERE len(images) > 0")
+def record_images(spark, sf_dir):
+    d = P.extract_pages(pages(spark, sf_dir)).select("page_id", "product_image_urls")
+    return d.filter(F.size("product_image_urls") > 0).select("page_id", F.array_join("product_image_urls", " ").alias("images"))

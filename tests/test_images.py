@@ -71,3 +71,22 @@ def test_collect_amazon_gallery(spark):
 def test_srcset(spark):
     df = spark.createDataFrame([("a.jpg 300w, b.jpg 900w, c.jpg 900w",), ("x.jpg, y.jpg",), ("s.jpg 1x, t.jpg 2x",)], "s string")
     assert [r.v for r in df.select(I.best_of_srcset(F.col("s")).alias("v")).collect()] == ["b.jpg", "x.jpg", "t.jpg"]
+
+
+def test_record_images_of_three_marketplaces(spark):
+    from labelwright.operators.pages import extract_pages
+
+    flip = "https://rukminim2.flixcart.com/image/128/128/x/a.jpeg"
+    rows = [
+        ("f", "https://www.flipkart.com/p", f'<img src="{flip}"><img src="{flip}"><a href="https://rukminim1.flixcart.com/image/40/40/b.png">'),
+        ("s", "https://www.flipkart.com/p", '<script>window.__PRELOADED_STATE__ = {"u":"' + flip.replace("/", "\\/") + '"}</script>'),
+        ("j", "https://www.jiomart.com/p", "".join(f'<img src="https://cdn1.jiomartjcp.com/{u}">' for u in ("images/t.resize(w:330)/a.jpg", "theme/assets/b.jpg", "icons/c.png", "x/Logo1.png"))),
+        ("m", "https://www.myntra.com/p", '"https://assets.myntassets.com/assets/images/2024/JAN/5/ab_1.jpg" "https://assets.myntassets.com/assets/images/retaillabs/2024/1/x.png"'),
+        ("g", "https://shop.example.com/p", f'<img src="{flip}">'),
+        ("n", "https://www.flipkart.com/p", "".join(f'<img src="https://rukminim2.flixcart.com/image/1/i{i}.jpg">' for i in range(60))),
+    ]
+    got = {r.page_id: r.product_image_urls for r in extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    full = flip.replace("128/128", "832/832")
+    assert got["f"] == [full, "https://rukminim1.flixcart.com/image/832/832/b.png"] and got["s"] == [full] and got["g"] == [] and len(got["n"]) == 60
+    assert got["j"] == ["https://cdn1.jiomartjcp.com/images/original/a.jpg"]
+    assert got["m"] == ["https://assets.myntassets.com/h_1440,q_75,w_1080/v1/assets/images/2024/JAN/5/ab_1.jpg"]
