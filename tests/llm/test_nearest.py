@@ -41,18 +41,37 @@ def result(spark, table, k=20):
 
 
 def test_equals_brute_force(spark):
-    table = [r for r in rows() if r != (20, [0.1] * 8)]
+    table = rows()  # the id 20 has two vectors
     assert result(spark, table) == brute(table)
     assert result(spark, table, 3) == brute(table, 3)
 
 
+def test_repeated_query_rows(spark):
+    table = rows() + [rows()[20], rows()[20], rows()[40], rows()[41]]
+    got = result(spark, table)
+    assert got == brute(table)
+    for q in (20, 40):  # every list is whole: as many of each rank as there are rows of the id
+        ranks = [r for i, r, _, _ in got if i == q]
+        assert ranks == sorted([*range(1, 21)] * sum(i == q for i, _ in table))
+
+
 def test_query_blocks_and_tiles(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK_BYTES", 1000)
     monkeypatch.setattr(nearest, "TILE", 700)
-    table = [r for r in rows() if r != (20, [0.1] * 8)]
+    monkeypatch.setattr(nearest, "CANDIDATE_BYTES", 9000)
+    table = rows() + [rows()[60]]
     assert result(spark, table) == brute(table)
 
 
+def test_rows_are_read_once_by_many_blocks(spark, monkeypatch):
+    table = spark.createDataFrame(rows(), "vec_id bigint, embedding array<double>")
+    plans = []
+    for size in (2000, 200):
+        monkeypatch.setattr(nearest, "BLOCK_BYTES", size)
+        plans.append(search(table, F.col("vec_id") % 20 == 0)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+    assert plans[0] == plans[1]
+
+
 def test_few_or_no_rows(spark):
     assert result(spark, []) == []
     assert result(spark, [(0, [1.0, 1.0]), (3, [1.0, 0.0])]) == [(0, 1, 3, 1.0)]
