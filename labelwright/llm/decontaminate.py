@@ -8,13 +8,17 @@
 4. Postings meet the anchors of the items on the term, and the lists are intersected offset by
    offset, outwards from the rarest term.  A run of 13 equal offsets (or the whole shorter item) holds
    exactly the windows through this anchor; every window has an anchor, so none is missed.
+5. Around the same anchors, item words are also counted that stand within ``SHIFT`` places of their offset, so
+   that words put in, left out or swapped do not end the count.  If all but one word in six of a window are
+   found so, the place is a proximity match, reported beside the phrases.  A place whose anchors are themselves altered is not seen.
 
 Terms are broadcast in blocks of at most ``BLOCK_BYTES``; a larger set takes more passes,
 each over the whole corpus.
 
 Defined cases: a null text, or one without words, has no words and is not contaminated; items
 that are null or without words match nothing; repeated documents each get the same result, and
-items with equal text are all reported; other columns are not carried.
+items with equal text are all reported; texts of any length are read whole; of equally rare terms the first in
+order is the anchor; an empty corpus gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ WINDOW = 13
 #: Words lie between runs of these characters, once A-Z are lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK_BYTES = 16 << 20
+#: Places by which a word may stand off its offset in a proximity match.
+SHIFT = 2
 DOC = ["doc_id", "text_hash"]
 
 
@@ -103,20 +109,30 @@ def _run(equal: Column) -> Column:
     return F.when(first == 0, F.size(equal)).otherwise(first - 1).cast("int")
 
 
-def matches(found: DataFrame, entries: DataFrame) -> DataFrame:
+def _near(ours: str, theirs: str, shift: int) -> Column:
+    """Number of their words that ours has within ``shift`` places of the same offset."""
+
+    def around(place: Column) -> Column:
+        low = F.greatest(place - shift, F.lit(1))
+        return F.coalesce(F.array_contains(F.slice(ours, low, place + shift + 1 - low), F.get(theirs, place - 1)), F.lit(False))
+
+    return F.when(F.size(theirs) > 0, F.size(F.filter(F.sequence(F.lit(1), F.size(theirs)), around))).otherwise(0)
+
+
+def matches(found: DataFrame, entries: DataFrame, shift: int = SHIFT) -> DataFrame:
     """Phrase and proximity figures where a posting of ``found`` meets an anchor of ``entries``.
 
     ``first`` and ``last`` bound the run of equal words around the anchor, ``exact`` says that it holds a
-    window, and ``near`` is the number of item words around the anchor that stand at their offset,
-    in a run or not.
+    window, ``near`` is the number of item words around the anchor that stand within ``shift`` places of their
+    offset, and ``close`` says that these make a proximity match.
     """
     met = found.join(entries, "term").select(
-        *DOC, "entry", "pos", "need", _equal("before", "item_before").alias("left"), _equal("after", "item_after").alias("right")
+        *DOC, "entry", "pos", "need", _run(_equal("before", "item_before")).alias("l"), _run(_equal("after", "item_after")).alias("r"),
+        (1 + _near("before", "item_before", shift) + _near("after", "item_after", shift)).alias("near"),
     )
-    count = lambda c: F.size(F.filter(c, lambda x: x))
-    sized = met.select(*DOC, "entry", "pos", "need", _run(F.col("left")).alias("l"), _run(F.col("right")).alias("r"), (1 + count("left") + count("right")).alias("near"))
-    return sized.select(
-        *DOC, "entry", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("r")).alias("last"), (F.col("l") + F.col("r") + 1 >= F.col("need")).alias("exact"), "near"
+    return met.select(
+        *DOC, "entry", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("r")).alias("last"), (F.col("l") + F.col("r") + 1 >= F.col("need")).alias("exact"),
+        "pos", "need", "near", (F.col("near") >= F.col("need") - F.floor(F.col("need") / 6)).alias("close"),
     )
 
 
@@ -134,7 +150,8 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256 and contaminated, against ``items`` (item_id, text).
 
-    A document is contaminated if at least one word in twenty is hit.
+    A document is contaminated if at least one word in twenty is hit.  ``near_items`` are the items with a proximity
+    match, those with a phrase included; they do not count as hits.
     """
     terms = cut(items.select(F.explode(words_of(F.col("text"))).alias("term")).distinct())
     counts = cut(term_counts(docs, terms).groupBy("term").agg(F.sum("n").alias("counts")))
@@ -143,16 +160,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     entries = cut(named.select(*keys).distinct().withColumn("entry", F.monotonically_increasing_id()))
     of_item = named.join(entries, keys).select("entry", "item_id").distinct()
     index = cut(postings(docs, entries.select("term").distinct(), window - 1))
-    hits = cut(matches(index.filter("term <> ''"), entries).filter("exact").select(*DOC, "entry", "first", "last").distinct())
+    met = cut(matches(index.filter("term <> ''"), entries).filter("exact or close").select(*DOC, "entry", "first", "last", "exact").distinct())
+    hits = met.filter("exact").drop("exact")
     spans = hits.groupBy(*DOC).agg(_covered(F.array_sort(F.collect_set(F.struct("first", "last")))).alias("n_hit"))
-    per_item = hits.select(*DOC, "entry").distinct().join(of_item, "entry").select(*DOC, "item_id").distinct()
-    listed = per_item.groupBy(*DOC).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    per_item = met.groupBy(*DOC, "entry").agg(F.max("exact").alias("exact")).join(of_item, "entry").groupBy(*DOC, "item_id").agg(F.max("exact").alias("exact"))
+    name = F.col("item_id").cast("string")
+    lists = [F.sort_array(F.collect_set(F.when(F.col("exact"), name))).alias("items"), F.sort_array(F.collect_set(name)).alias("near_items")]
+    listed = per_item.groupBy(*DOC).agg(*lists)
     same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.text_hash == b.text_hash)
-    hit = spans.join(listed, same(spans, listed)).select(spans.doc_id, spans.text_hash, "n_hit", "items")
+    hit = listed.join(spans, same(listed, spans), "left").select(listed.doc_id, listed.text_hash, "n_hit", "items", "near_items")
     every = index.filter("term = ''").select(*DOC, F.col("pos").cast("bigint").alias("n_words"))
-    joined = every.join(hit, same(every, hit), "left").select(every.doc_id, every.text_hash, "n_words", "n_hit", "items")
-    n_hit, items_ = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.array().cast("array<string>"))
+    joined = every.join(hit, same(every, hit), "left").select(every.doc_id, every.text_hash, "n_words", "n_hit", "items", "near_items")
+    none = F.array().cast("array<string>")
+    n_hit, items_, near = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", none), F.coalesce("near_items", none)
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"), items_.alias("items"),
         F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "text_hash",
+        F.size(near).cast("bigint").alias("n_near_items"), near.alias("near_items"),
     )

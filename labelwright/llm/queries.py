@@ -75,16 +75,25 @@ dw AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM
   (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b) ks WHERE len(w) >= k) x),
 m AS (SELECT rid, item_id, i, dw.k FROM dw JOIN bw ON dw.k = bw.k AND dw.s = bw.s),
 h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM m) x GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM m) x GROUP BY rid)
+t AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM m) x GROUP BY rid),
+c AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) x GROUP BY term),
+bt AS (SELECT b.item_id, b.w AS v, k, p, b.w[p] AS term FROM (SELECT item_id, w, k, unnest(range(1, len(w) + 1)) AS p FROM b) b),
+ba AS (SELECT DISTINCT item_id, v, k, a FROM (SELECT x.item_id, x.v, x.k, arg_min(y.p, (coalesce(c.n, 0), y.term, y.p)) AS a FROM bt x JOIN bt y ON y.item_id = x.item_id AND y.v = x.v AND y.p BETWEEN x.p AND x.p + 12
+  LEFT JOIN c ON c.term = y.term WHERE x.p <= greatest(len(x.v) - 12, 1) GROUP BY x.item_id, x.v, x.k, x.p) g),
+dp AS (SELECT rid, w, p, w[p] AS term FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d) x WHERE w[p] IN (SELECT v[a] FROM ba)),
+pr AS (SELECT rid, item_id, k, len(list_filter(range(greatest(1, a - 12), least(len(v), a + 12) + 1), lambda i: i = a
+    OR (i < a AND list_contains(w[greatest(1, p - least(12, a - i + 2)):greatest(p - greatest(1, a - i - 2), 0)], v[i]))
+    OR (i > a AND list_contains(w[p + greatest(1, i - a - 2):p + least(12, i - a + 2)], v[i])))) AS near FROM dp JOIN ba ON ba.v[ba.a] = dp.term),
+n AS (SELECT rid, count(DISTINCT item_id) AS n_near FROM (SELECT rid, item_id FROM pr WHERE near >= k - k // 6 UNION ALL SELECT rid, item_id FROM m) x GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""",
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN n USING (rid)""",
 )
 def decontamination(spark, sf_dir):
     from .decontaminate import contamination
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("items", "text_hash")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("items", "near_items", "text_hash")
 
 
 @R.add(

@@ -82,3 +82,36 @@ def test_proximity(spark, docs):
     entries = decontaminate.anchors(items, counts.filter("term <> 'one'").withColumnRenamed("n", "counts").union(spark.createDataFrame([("seven", 5)], "term string, counts bigint"))).withColumn("entry", decontaminate.F.lit(0))
     found = decontaminate.matches(decontaminate.postings(near, entries.select("term")).filter("term <> ''"), entries).collect()
     assert [(r.exact, r.near) for r in found] == [(False, 12)]
+
+
+PASSAGE = [f"w{i}" for i in range(13)]
+
+
+def near_items(spark, docs, texts, items=None):
+    table = spark.createDataFrame(items or [(1, " ".join(PASSAGE))], "item_id bigint, text string")
+    return {r.doc_id: (r.n_items, r.near_items, r.contaminated) for r in contamination(docs(texts), table).collect()}
+
+
+def test_proximity_allows_shifts(spark, docs):
+    put = lambda at, w: " ".join([*PASSAGE[:at], w, *PASSAGE[at:]])
+    swapped = [*PASSAGE]
+    swapped[3:5] = swapped[4:2:-1]
+    rows = [
+        (1, " ".join(PASSAGE)), (2, put(6, "extra")), (3, put(6, "two more")), (4, " ".join(PASSAGE[:4] + PASSAGE[5:])), (5, " ".join(swapped)), (6, " ".join(PASSAGE[::-1])),
+        (7, " ".join(PASSAGE[:6])), (8, " x ".join(PASSAGE)), (9, "none of it"), (10, None), (11, "w0 " * 13),
+    ]
+    got = near_items(spark, docs, rows)
+    assert got[1] == (1, ["1"], True)
+    assert all(got[k] == (0, ["1"], False) for k in (2, 3, 4, 5))
+    assert all(got[k] == (0, [], False) for k in (6, 7, 8, 9, 10, 11))
+    short = near_items(spark, docs, [(1, "a b c"), (2, "a c b"), (3, "a b x")], [(5, "a b c"), (6, "a b c"), (7, None)])
+    # a word that changes sides with the anchor does not count
+    assert short[1] == (2, ["5", "6"], True) and short[2] == (0, [], False) and short[3] == (0, [], False)
+
+
+def test_a_very_long_document(spark, docs):
+    random.seed(1)
+    words_ = [random.choice(["the", "of", "a", "and", f"x{random.randrange(4000)}"]) for _ in range(120_000)]
+    words_[70_000:70_000] = PASSAGE
+    got = near_items(spark, docs, [(1, " ".join(words_)), (2, " ".join(words_[:500]))])
+    assert got[1] == (1, ["1"], False) and got[2] == (0, [], False)
