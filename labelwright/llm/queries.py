@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -134,43 +136,57 @@ def personal_data(spark, sf_dir):
     return found.select("doc_id", *map(of, KINDS), F.sha2(digest_text(base).cast("binary"), 256).alias("base_sha256"), digest_text(F.col("spans")).alias("spans"))
 
 
-# Tool traffic derived from the turns: a user's turn calls a tool, and the assistant's next turn is the result.  Turns with a comma
-# call "note", other long ones "ask", and the rest a tool that has no schema; some calls lack a key or give one with a wrong type.
-_CALLS = """SELECT conv_id, turn, concat('c', turn) AS call_id,
-  CASE WHEN text LIKE '%,%' THEN 'note' WHEN length(text) > 40 THEN 'ask' ELSE 'other' END AS name,
-  CASE WHEN turn >= 2 THEN concat('c', turn - 2) END AS after,
-  turn % 10 = 2 AS lacks, turn % 14 = 4 AS odd, text FROM conversations WHERE role = 'user'"""
-_RESULTS = "SELECT conv_id, turn, concat('c', turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'"
-
-
-_TOOL_SQL = f"""WITH RECURSIVE c AS ({_CALLS}), r AS ({_RESULTS}),
-lv AS (SELECT conv_id, call_id, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
-  UNION ALL SELECT c.conv_id, c.call_id, lv.level + 1 FROM c JOIN lv ON c.conv_id = lv.conv_id AND c.after = lv.call_id),
-a AS (SELECT c.conv_id, c.turn, c.call_id, c.name, lv.level, r.content, CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-    CASE WHEN lacks THEN json_object('size', length(text)) WHEN odd THEN json_object('size', CAST(length(text) AS VARCHAR), 'text', text) ELSE json_object('size', length(text), 'text', text) END AS arguments,
-    CASE WHEN c.name = 'other' THEN 'unknown tool' WHEN lacks THEN 'missing text' WHEN odd THEN 'type of size' ELSE '' END AS problems
-  FROM c LEFT JOIN lv USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)
-  UNION ALL SELECT conv_id, turn, call_id, NULL, NULL, content, 'orphan', json_object(), '' FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id))
+# Tool traffic derived from the turns.  A user's turn calls a tool, and the assistant's next turn is the result; a system turn is a call
+# without an identifier.  Turns with a comma call "note", other long ones "ask", and the rest a tool that has no schema.  In some
+# conversations an identifier comes again, calls wait for each other or for themselves; some arguments lack a key, state one twice
+# or with a wrong type, or hold nested values in a form that is not canonical.
+_CALLS = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN concat('c', CASE WHEN conv_id % 3 = 0 AND turn = 4 THEN 2 ELSE turn END) END AS call_id,
+  CASE WHEN text LIKE '%,%' OR role = 'system' THEN 'note' WHEN length(text) > 40 THEN 'ask' ELSE 'other' END AS name,
+  CASE WHEN conv_id % 5 = 1 AND turn IN (0, 2) THEN concat('c', 2 - turn) WHEN conv_id % 7 = 3 AND turn = 4 THEN 'c4' WHEN turn >= 2 THEN concat('c', turn - 2) END AS after,
+  turn % 10 = 2 AS lacks, turn % 14 = 4 AS odd, length(text) % 9 = 5 AS twice, length(text) % 4 = 0 AS deep, text FROM {conversations} WHERE role IN ('user', 'system')"""
+_RESULTS = "SELECT conv_id, turn, concat('c', turn - 1) AS call_id, text AS content FROM {conversations} WHERE role = 'assistant'"
+_DEEP = '{"n" : [1.50, 1e2, -0, 12345678901234567890123456789012345678901234],"k":{ "b":true,"a":null},"\\ud83d\\ude00":2 ,"\\ufb01":"\\u00e9\\/"}'
+_FLAT = '{"k":{"a":null,"b":true},"n":[1.5,100,0,12345678901234567890123456789012345678901234],"\ufb01":"\u00e9/","\U0001f600":2}'
+
+
+def _over_conversations(query: str, name: str = "conversations") -> str:
+    return query.replace("{conversations}", name)
+
+
+_TOOL_SQL = f"""WITH RECURSIVE c0 AS ({_over_conversations(_CALLS)}), c AS (SELECT *, call_id IS NOT NULL AND turn = min(turn) OVER (PARTITION BY conv_id, call_id) AS first FROM c0), r AS ({_over_conversations(_RESULTS)}),
+lv AS (SELECT conv_id, turn, call_id, first, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+  UNION ALL SELECT c.conv_id, c.turn, c.call_id, c.first, lv.level + 1 FROM c JOIN lv ON c.conv_id = lv.conv_id AND c.after = lv.call_id AND lv.first),
+a AS (SELECT c.conv_id, c.turn, c.call_id, c.name, lv.level, r.content,
+    CASE WHEN c.call_id IS NULL THEN 'unlinked' WHEN NOT c.first THEN 'duplicate' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    concat('{{', CASE WHEN deep THEN concat('"opts":', '{_FLAT}', ',') END, '"size":', CASE WHEN odd AND NOT lacks THEN concat('"', length(text), '"') ELSE CAST(length(text) AS VARCHAR) END,
+      CASE WHEN NOT lacks THEN concat(',"text":', CAST(to_json(text) AS VARCHAR)) END, '}}') AS arguments,
+    array_to_string(list_filter([CASE WHEN lacks AND c.name <> 'other' THEN 'missing text' END, CASE WHEN twice THEN 'repeated size' END, CASE WHEN odd AND NOT lacks AND c.name <> 'other' THEN 'type of size' END,
+      CASE WHEN c.name = 'other' THEN 'unknown tool' END], lambda p: p IS NOT NULL), '; ') AS problems
+  FROM c LEFT JOIN lv USING (conv_id, turn) LEFT JOIN r ON c.first AND r.conv_id = c.conv_id AND r.call_id = c.call_id
+  UNION ALL SELECT conv_id, turn, call_id, NULL, NULL, content, 'orphan', '{{}}', '' FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id))
 SELECT conv_id, turn, call_id, level, status, problems = '' AND status <> 'orphan' AS valid, problems,
-  CAST(json_object('arguments', arguments, 'call_id', call_id, 'content', content, 'level', level, 'name', name, 'status', status, 'valid', problems = '' AND status <> 'orphan') AS VARCHAR) AS line FROM a"""
+  concat('{{"arguments":', arguments, ',', substr(CAST(json_object('call_id', call_id, 'content', content, 'level', level, 'name', name, 'status', status, 'valid', problems = '' AND status <> 'orphan') AS VARCHAR), 2)) AS line FROM a"""
 
 
 @R.add("op7_tool_calls", _TOOL_SQL)
 def tool_calls(spark, sf_dir):
     from .tool_calls import format_calls
 
-    table(spark, sf_dir, "conversations").createOrReplaceTempView("labelwright_conversations")
-    view = lambda q: spark.sql(q.replace("conversations", "labelwright_conversations"))
-    made = view(_CALLS)
-    size = F.length("text")
-    arguments = F.when(F.col("lacks"), F.to_json(F.struct(size.alias("size")))).when(
-        F.col("odd"), F.to_json(F.struct("text", size.cast("string").alias("size")))
-    ).otherwise(F.to_json(F.struct("text", size.alias("size"))))
+    view = f"conversations_{uuid4().hex}"
+    table(spark, sf_dir, "conversations").createOrReplaceTempView(view)
+    made, results = (spark.sql(_over_conversations(q, view)) for q in (_CALLS, _RESULTS))
+    spark.catalog.dropTempView(view)
+    quoted = F.regexp_extract(F.to_json(F.struct("text")), r"(?s)^\{.text.:(.*)\}$", 1)
+    size = F.length("text").cast("string")
+    arguments = F.concat(
+        F.lit("{"), F.when(~F.col("lacks"), F.concat(F.lit('"text": '), quoted, F.lit(","))).otherwise(""), F.when(F.col("twice"), F.lit('"size":[0],')).otherwise(""),
+        F.when(F.col("deep"), F.lit(f'"opts": {_DEEP},')).otherwise(""), F.lit('"size" : '), F.when(F.col("odd") & ~F.col("lacks"), F.concat(F.lit('"'), size, F.lit('"'))).otherwise(size), F.lit("}"),
+    )
     calls = made.select("conv_id", "turn", "call_id", "name", arguments.alias("arguments"), "after")
     schemas = spark.createDataFrame(
-        [(n, k, t, r) for n in ("ask", "note") for k, t, r in (("text", "string", True), ("size", "integer", False))], "name string, key string, type string, required boolean"
+        [(n, k, t, r) for n in ("ask", "note") for k, t, r in (("text", "string", True), ("size", "integer", False), ("opts", "object", False))], "name string, key string, type string, required boolean"
     )
-    return format_calls(calls, view(_RESULTS), schemas)
+    return format_calls(calls, results, schemas)
 
 
 def with_planted_repeats(docs):

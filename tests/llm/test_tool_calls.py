@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import json
 
-from labelwright.llm.tool_calls import format_calls
+from pyspark.sql import functions as F
+
+from labelwright.llm.tool_calls import canonical, format_calls
 
 SCHEMAS = [("f", "n", "integer", True), ("f", "s", "string", False), ("g", "x", "number", False), ("g", "o", "object", False)]
 CALLS = [
@@ -44,3 +46,36 @@ def test_empty(spark):
     assert run(spark, calls=[], results=[]) == []
     assert [r.status for r in run(spark, calls=[])] == ["orphan"] * len(RESULTS)
     assert {r.problems for r in run(spark, schemas=[], results=[])} == {"unknown tool"}
+
+
+def test_canonical_json(spark):
+    cases = {
+        '{"\\ud83d\\ude00":1,"\\ufb01":2,"a":"x\\u00e9\\/\\\\\\"\\n"}': '{"a":"xé/\\\\\\"\\n","ﬁ":2,"😀":1}',
+        '{"b":1,"a":[1, 2.50,1e2,-0,0.0,1E-7,-12.340e1,1e401,0.00001,100]}': '{"a":[1,2.5,100,0,0,1e-7,-123.4,1e401,0.00001,100],"b":1}',
+        "[12345678901234567890123456789012345678901234]": "[12345678901234567890123456789012345678901234]",
+        '{"k":{"b":true,"a":null,"b":false},"k2":[{"z":{},"y":[[]]}]}': '{"k":{"a":null,"b":false},"k2":[{"y":[[]],"z":{}}]}',
+        '{"a":1,"a":2}': '{"a":2}', '{"a" : "{[,:]}" , "e":[ ] }': '{"a":"{[,:]}","e":[]}', " 5 ": "5", '"x"': '"x"', "{bad": None, "": None, None: None,
+        "[" * 60 + "]" * 60: "[" * 60 + "]" * 60,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "j string")
+    got = {r.j: r.c for r in df.select("j", canonical(F.col("j")).alias("c")).collect()}
+    assert got == cases
+    assert all(json.loads(k) == json.loads(v) for k, v in cases.items() if v is not None and "e401" not in v)
+
+
+def test_repeated_and_very_large_arguments(spark):
+    calls = [
+        (1, 0, "a", "f", '{"n":"x","n":3}', None), (1, 1, "b", "f", '{"n":12345678901234567890123456789012345678901234}', None), (1, 2, "c", "f", '{"n":1e2}', None), (1, 3, "d", "f", '{"n":1.5}', None),
+        (1, 4, "e", "f", json.dumps({"s": "x" * 200_000, "n": 1}), None),
+    ]
+    rows = {r.call_id: r for r in run(spark, calls, [])}
+    assert rows["a"].problems == "repeated n" and json.loads(rows["a"].line)["arguments"] == {"n": 3} and not rows["a"].valid
+    assert rows["b"].valid and "12345678901234567890123456789012345678901234" in rows["b"].line
+    assert rows["d"].problems == "type of n" and len(json.loads(rows["e"].line)["arguments"]["s"]) == 200_000
+
+
+def test_repeated_rows_and_ties(spark):
+    calls = [(1, 0, "a", "f", '{"n":1}', None)] * 3 + [(1, 1, "b", "f", '{"n":1}', "a")] * 2
+    rows = run(spark, calls, [(1, 5, "a", "r"), (1, 5, "a", "r")])
+    assert sorted(r.status for r in rows) == ["duplicate", "duplicate", "duplicate", "linked", "orphan", "unanswered"]
+    assert {r.level for r in rows if r.call_id == "b"} == {1}
