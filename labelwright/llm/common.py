@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,7 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared checkpoint folder, and read from it: like ``cut``, but smaller for many rows."""
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
+    gc.collect()  # lets Spark drop finished plans and their shuffle files
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state:
             break
         state = seen
+        gc.collect()  # a long loop: lets Spark drop the plans and shuffle files of earlier rounds
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

@@ -1,12 +1,15 @@
 """Toxicity scores from a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-The unit of comparison is a token of a sentence, folded to letters; a run of single
+The units of comparison are taken along each text, folded to letters: every token, and windows across blanks, which are up
+to three neighbouring tokens with a gap for each blank between them.  A run of single
 characters counts as one token, and characters that are no letters hold a place as gaps.
+A window across blanks is a unit if the letters on its blanks hold as many four-letter pieces of a toxic landmark as two
+tokens that a blank has split would; all other windows have next to no subsequence in common with one.
 Two units are compared by their common subsequences of four symbols, each
 weighted by a decay to the power of its span; so "id-i-ot" stays close to "idiot".
 
-Training: sentences of clean documents are clean.  A sentence of a toxic document is taken for toxic if it holds a
-unit that more toxic documents share than chance allows.  Landmarks drawn from both kinds span the feature space, a linear
+Training: a unit of a toxic document is taken for toxic if more toxic documents share it than chance allows; pairs of
+neighbouring tokens are such units too, so an insult may be made of two plain words.  Units of clean documents are clean.  Landmarks drawn from both kinds span the feature space, a linear
 machine with squared hinge loss is fitted there, and clean units that score highest, and
 high-scoring ones that only toxic documents have, are added for further fits.  A document is described by the margins of its worst tokens, how many lie on the toxic side, and
 its length; a logistic fit over the training documents turns these into a probability.
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 from heapq import nlargest
 from itertools import combinations
 from unicodedata import normalize
@@ -44,8 +48,8 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 200, 100
 SYMBOLS, OPEN, CLOSE = 40, 27, 28
 LONG, STRIDE = 24, 12
 #: Training documents of each class, and units of each kind, at most.
-DOCUMENTS = {1: 3_000, 0: 6_000}
-UNITS = 2_000
+DOCUMENTS = {1: 6_000, 0: 12_000}
+UNITS = 3_000
 #: Log-likelihood ratio from which a unit counts as shared by toxic documents.
 CHANCE = 20.0
 #: Least ratio of a unit's share of toxic documents to its share of clean ones.
@@ -215,13 +219,75 @@ def train_machine(toxic: list[bytes], strength: np.ndarray, clean: list[bytes])
     return (rows @ (root @ w[:-1]))[column].astype(np.float32), float(w[-1])
 
 
+def body_of(token: str) -> bytes:
+    """Symbols of a token without its ends; a very long token counts as none here."""
+    return c[1:-1] if (c := codes(token)) and len(c) <= LONG else b""
+
+
+def piece_table(units: list[bytes]) -> np.ndarray:
+    """Numbers of the pieces of four letters that the units hold, gaps left out, ascending."""
+    bodies = (u[1:-1].replace(b"\0", b"") for u in units)
+    found = {b[i : i + ORDER] for b in bodies for i in range(len(b) - ORDER + 1)}
+    return np.array(sorted(_piece_number(np.frombuffer(p, np.uint8))[0] for p in found), np.int32)
+
+
+def _piece_number(x: np.ndarray) -> np.ndarray:
+    n, x = len(x) - ORDER + 1, x.astype(np.int32)
+    return ((x[:n] * SYMBOLS + x[1 : n + 1]) * SYMBOLS + x[2 : n + 2]) * SYMBOLS + x[3 : n + 3]
+
+
+def across(bodies: list[bytes], marked: np.ndarray) -> set[bytes]:
+    """Units of up to three neighbouring tokens whose letters across the blanks hold marked pieces: two, or all if fewer cross."""
+    bodies = [b for b in bodies if b]
+    sizes = np.fromiter(map(len, bodies), np.int32, len(bodies))
+    x = np.frombuffer(b"".join(bodies), np.uint8)
+    if len(x) < ORDER:
+        return set()
+    token = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes)
+    first, last = token[: 1 - ORDER], token[ORDER - 1 :]
+    cross = np.flatnonzero((last > first) & (last - first <= 2))
+    hit = cross[marked[_piece_number(x)[cross]]] if len(cross) else cross
+    held: dict[tuple[int, int], int] = {}
+    for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True):
+        held[a, b] = held.get((a, b), 0) + 1
+    out = set()
+    for (a, b), n in held.items():
+        shortest = min(sizes[a], sizes[b])
+        if n >= min(2, shortest) and sum(sizes[a : b + 1]) >= 5:
+            out.add(bytes([OPEN]) + b"\0".join(bodies[a : b + 1]) + bytes([CLOSE]))
+    return {w for u in out for w in windows(u)}
+
+
+@lru_cache(1)
+def _marked(pieces: bytes) -> np.ndarray:
+    table = np.zeros(SYMBOLS**ORDER, bool)
+    table[np.frombuffer(pieces, np.int32)] = True
+    return table
+
+
+_SCORERS: dict[tuple, Scorer] = {}
+
+
+def scorer(weights: np.ndarray, bias: float, pieces: np.ndarray, memory: int) -> Scorer:
+    """The scorer of a model; a worker process keeps the last one from task to task, with the units that it remembers."""
+    key = (crc32(weights.tobytes()), bias, pieces.tobytes(), memory)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(weights, bias, memory, pieces)
+    return _SCORERS[key]
+
+
 class Scorer:
-    """Scores tokens and documents; remembers tokens already seen."""
+    """Scores units and documents; remembers units already seen."""
 
-    def __init__(self, weights: np.ndarray, bias: float, memory: int = MEMORY):
+    def __init__(self, weights: np.ndarray, bias: float, memory: int = MEMORY, pieces: np.ndarray | None = None):
         self.memory = memory
         self.weights, self.bias = weights.reshape(-1, 1), bias
         self.known: dict[str, float] = {}
+        self.bodies: dict[str, bytes] = {}
+        self.joined: dict[bytes, float] = {}
+        self.parts: dict[bytes, float] = {}
+        self.marked = _marked((np.zeros(0, np.int32) if pieces is None else pieces).tobytes())
 
     def units(self, units: list[bytes]) -> np.ndarray:
         """Margins; a very long unit scores like its worst window."""
@@ -234,23 +300,48 @@ class Scorer:
         """For each text: the four highest margins, the length, and three counts of tokens on or near the toxic side."""
         if len(self.known) > self.memory:
             self.known.clear()
-        known = self.known
+            self.bodies.clear()
+            self.parts.clear()
+        if len(self.joined) > self.memory:
+            self.joined.clear()
+        known, joined = self.known, self.joined
         tokens = [tokens_of(t) for t in texts]
+        wide = [self.across(t) for t in texts]
+        new = sorted({u for us in wide for u in us if u not in joined})
+        joined.update(zip(new, np.maximum(self.units(new), FLOOR).tolist(), strict=True))
         coded = {t: codes(t) for t in set().union(*tokens) if t not in known}
         units = sorted({c for c in coded.values() if c})
         margins = dict(zip(units, np.maximum(self.units(units), FLOOR).tolist(), strict=True)) | {b"": FLOOR}
         known.update((t, margins[c]) for t, c in coded.items())
+        parts = self.parts
+        parts.update((u[1:-1], m) for u, m in margins.items() if u)
+        # a window is counted if none of its tokens is clearly toxic by itself
+        alone = lambda u: all(parts.get(p, FLOOR) <= 0.5 for p in u[1:-1].split(b"\0"))
         out = np.full((len(texts), 8), FLOOR)
-        for row, ts in zip(out, tokens, strict=True):
-            near = sorted((m for t in ts if (m := known[t]) > -0.5), reverse=True)
+        for row, ts, us in zip(out, tokens, wide, strict=True):
+            across_ = [m for u in us if (m := joined[u]) > -0.5 and alone(u)]
+            near = sorted([m for t in ts if (m := known[t]) > -0.5] + across_, reverse=True)
             if len(near) < 4:
-                near = nlargest(4, map(known.__getitem__, ts))
+                near = nlargest(4, [*map(known.__getitem__, ts), *across_])
             row[: min(4, len(near))] = near[:4]
             hits = sum(m > 0 for m in near)
             row[4:] = np.log1p(len(ts)), np.log1p(hits), np.log1p(sum(min(1.0, max(0.0, m + 0.5)) for m in near)), hits / np.sqrt(len(ts) + 1)
         return out
 
 
+    def across(self, text: str | None) -> set[bytes]:
+        """Units across the blanks of a text."""
+        if not text:
+            return set()
+        bodies, out = self.bodies, []
+        for t in text.lower().split():
+            b = bodies.get(t)
+            if b is None:
+                b = bodies[t] = body_of(t)
+            out.append(b)
+        return across(out, self.marked)
+
+
 def tokens_of(text: str | None) -> set[str]:
     """Distinct tokens of a text, in lower case and without signs at the ends; a run of single characters counts as one more."""
     if not text:
@@ -277,11 +368,66 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hash_unit(unit: bytes) -> int:
-    from zlib import crc32
-
     return crc32(unit[::-1])
 
 
+def _pair_rows(only: set[bytes] | None = None):
+    """(unit, y, copy) for each distinct pair of neighbouring tokens of each text; of ``only`` these if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                part = whole.slice(at, 128)
+                rows: list[tuple[bytes, int, int]] = []
+                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    bodies = [b for t in (text or "").lower().split() if (b := body_of(t))]
+                    units = {bytes([OPEN]) + a + b"\0" + b + bytes([CLOSE]) for a, b in zip(bodies, bodies[1:], strict=False) if len(a) + len(b) + 3 <= LONG}
+                    copy = min((hash_unit(u) for u in units), default=0)
+                    rows.extend((u, y, copy) for u in (units if only is None else units & only))
+                columns = [*zip(*rows, strict=True)] or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["unit", "y", "copy"])
+
+    return run
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(unit, pos, neg): toxic and clean documents that hold a unit, near copies once."""
+    return rows.distinct().groupBy("unit").agg(F.sum("y").cast("int").alias("pos"), F.sum(1 - F.col("y")).cast("int").alias("neg"))
+
+
+def _shared(units: DataFrame, n: dict[int, int]) -> DataFrame:
+    """Units that more toxic documents share than chance allows, with ``ratio``, the log-likelihood ratio of their share."""
+    all_, part = F.col("pos") + F.col("neg"), n[1] / (n[0] + n[1])
+    ratio = 2 * (F.col("pos") * F.log(F.col("pos") / (all_ * part)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (all_ * (1 - part)))).otherwise(0.0))
+    odds = (F.col("pos") + 0.1) / (n[1] + 1) / ((F.col("neg") + 0.1) / (n[0] + 1))
+    return units.filter("pos > 0").withColumn("ratio", ratio).filter((odds > ODDS) & (F.col("ratio") > CHANCE))
+
+
+def _pair_seeds(texts: DataFrame, n: dict[int, int], seeds: set[bytes]) -> list:
+    """Pairs of tokens, neither of them a seed, that toxic documents share."""
+    schema = "unit binary, y int, copy bigint"
+    often = texts.filter("y = 1").mapInArrow(_pair_rows(), schema).distinct().groupBy("unit").count().filter("count > 4")
+    found = {bytes(r["unit"]) for r in often.orderBy(F.desc("count"), "unit").limit(4 * UNITS).collect()}
+    bodies = {s[1:-1] for s in seeds}
+    found = {u for u in found if not any(b in bodies for b in u[1:-1].split(b"\0"))}
+    if not found:
+        return []
+    return _shared(_counted(texts.mapInArrow(_pair_rows(found), schema)), n).orderBy(F.desc("ratio"), "unit").limit(UNITS).collect()
+
+
+def _across_rows(pieces: np.ndarray):
+    """(unit, y, copy) for each unit across the blanks of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(np.zeros(1), 0.0, pieces=pieces)
+        for whole in batches:
+            rows = [(u, y, crc32((text or "").encode())) for text, y in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True) for u in own.across(text)]
+            columns = [*zip(*rows, strict=True)] or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["unit", "y", "copy"])
+
+    return run
+
+
 def _scored_units(units: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     sent = units.sparkSession.sparkContext.broadcast((weights, bias))
 
@@ -296,21 +442,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | No
     """Weights, bias and the logistic fit; None if a class has no usable unit."""
     texts = cut(training_texts(docs, labels, label, DOCUMENTS))
     found = texts.mapInArrow(_unit_rows, "unit binary, y int, copy bigint").distinct()
-    units = cut(found.groupBy("unit").agg(F.sum("y").cast("int").alias("pos"), F.sum(1 - F.col("y")).cast("int").alias("neg")))
+    units = cut(_counted(found))
     n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     if not (n.get(1) and n.get(0)):
         return None
-    # log-likelihood ratio of a unit's share of toxic documents against their share of all
-    all_, part = F.col("pos") + F.col("neg"), n[1] / (n[0] + n[1])
-    ratio = 2 * (F.col("pos") * F.log(F.col("pos") / (all_ * part)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (all_ * (1 - part)))).otherwise(0.0))
-    odds = (F.col("pos") + 0.1) / (n[1] + 1) / ((F.col("neg") + 0.1) / (n[0] + 1))
-    shared = units.withColumn("ratio", ratio).filter((odds > ODDS) & (F.col("ratio") > CHANCE))
-    seeds = shared.orderBy(F.desc("ratio"), "unit").limit(UNITS).collect()
+    seeds = _shared(units, n).orderBy(F.desc("ratio"), "unit").limit(UNITS).collect()
+    seeds += _pair_seeds(texts, n, {bytes(r["unit"]) for r in seeds})
     common = units.filter("neg > 0").orderBy(F.desc("neg"), "unit").limit(UNITS).collect()
     spread = units.filter("neg > 0").orderBy(F.xxhash64("unit"), "unit").limit(UNITS).collect()
     if not seeds or not common:
         return None
+    seeds.sort(key=lambda r: -r["ratio"])
     toxic = {bytes(r["unit"]): float(np.sqrt(r["pos"])) for r in seeds}
+    pieces = piece_table([*toxic][:TOXIC_LANDMARKS])
+    wide = _counted(texts.mapInArrow(_across_rows(pieces), "unit binary, y int, copy bigint"))
+    units = cut(units.unionByName(wide.join(units.select("unit"), "unit", "left_anti")))
     clean = [u for u in dict.fromkeys(bytes(r["unit"]) for r in [*common[:CLEAN_LANDMARKS], *spread, *common]) if u not in toxic]
     for more in (True, True, False):
         weights, bias = train_machine([*toxic], np.array([*toxic.values()]), clean)
@@ -321,9 +467,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | No
             alike = scored.filter("neg = 0 and margin > 0.5").orderBy(F.desc("margin"), "unit").limit(UNITS).collect()
             toxic = {bytes(r["unit"]): 0.5 for r in alike} | toxic
             toxic = dict(sorted(toxic.items(), key=lambda x: -x[1]))
-    found = _features(texts, weights, bias).select("features", "y").toArrow()  # bounded by the sample
+    found = _features(texts, weights, bias, pieces).select("features", "y").toArrow()  # bounded by the sample
     x = np.asarray(found["features"].combine_chunks().values).reshape(-1, 8)
-    return {"weights": weights, "bias": bias, "curve": _logistic(x, found["y"].to_numpy())}
+    return {"weights": weights, "bias": bias, "pieces": pieces, "curve": _logistic(x, found["y"].to_numpy())}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -339,12 +485,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.r_[w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum()]
 
 
-def _features(df: DataFrame, weights: np.ndarray, bias: float, text: str = "text", memory: int = MEMORY) -> DataFrame:
+def _features(df: DataFrame, weights: np.ndarray, bias: float, pieces: np.ndarray, text: str = "text", memory: int = MEMORY) -> DataFrame:
     """Append ``features``, the description of each text."""
-    sent = df.sparkSession.sparkContext.broadcast((weights, bias))  # a weight per subsequence: 10 MB, whatever the input
+    sent = df.sparkSession.sparkContext.broadcast((weights, bias, pieces))  # a weight per subsequence: 10 MB, whatever the input
 
     def make():
-        score = Scorer(*sent.value, memory)
+        score = scorer(*sent.value, memory)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = score.documents(texts.to_pylist())
@@ -359,7 +505,7 @@ def score_toxicity(df: DataFrame, model: dict | None, text: str = "text", memory
     """Append ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from 0.5 on) to every row; ``memory`` bounds the tokens a worker remembers."""
     if model is None:
         return df.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    described = _features(df, model["weights"], model["bias"], text, memory)
+    described = _features(df, model["weights"], model["bias"], model["pieces"], text, memory)
     sums = sum((F.element_at("features", i + 1) * float(w) for i, w in enumerate(model["curve"][:-1])), F.lit(float(model["curve"][-1])))
     score = 1 / (1 + F.exp(-F.greatest(F.least(sums, F.lit(35.0)), F.lit(-35.0))))
     return described.withColumn("score", score).drop("features").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

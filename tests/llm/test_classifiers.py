@@ -105,3 +105,60 @@ def test_quality_of_odd_rows(spark, docs):
 
 def test_pooling():
     assert quality.pool(np.array([1.0, 3.0, 2.0, 2.0, 5.0]), np.array([1.0, 1.0, 1.0, 2.0, 1.0])).tolist() == [1.0, 2.25, 2.25, 2.25, 5.0]
+
+
+def test_insults_across_blanks(spark, docs):
+    """Insults split by blanks, and insults of two plain words, are found in texts of the held-out fold."""
+    random.seed(12)
+    syllables = ["ra", "to", "mi", "len", "sor", "ka", "ve", "pi", "nd", "é"]
+    say = lambda k: ["".join(random.choices(syllables, k=random.randint(2, 4))) for _ in range(k)]
+    rows, labels = [], []
+    for i in range(900):
+        words = say(random.randint(10, 60))
+        kind = i % 6
+        if kind == 0:
+            words[2:2] = [random.choice(INSULTS)]
+        elif kind == 1:  # two plain words side by side
+            words[3:3] = ["gubbet", "savitro"]
+        elif kind < 4:  # the same two, apart
+            words[1:1], words[6:6] = ["savitro"], ["gubbet"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(kind < 2)))
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    split = ["blorg face", "snark wit", "mug drip", "bl orgface", "blorgf ace", "snar kwit"]
+    odd = [(5000 + i, " ".join([*say(8), s, *say(8)])) for i, s in enumerate(split)]
+    clean = [(6000 + i, " ".join(say(25))) for i in range(60)]
+    model = toxicity.train(docs(rows), table)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs(rows + odd + clean), model).collect()}
+    missed = [s for i, s in enumerate(split) if not got[5000 + i].predicted]
+    assert not missed
+    assert sum(got[6000 + i].predicted for i in range(60)) <= 1
+    import zlib
+
+    held = [(i, y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    wrong = [(i % 6, y) for i, y in held if got[i].predicted != y]
+    assert len(wrong) <= 0.03 * len(held), wrong
+    assert toxicity.Scorer(model["weights"], model["bias"], pieces=model["pieces"]).across("ka blorg face vo")
+
+
+def test_score_of_the_machine_against_landmark_kernels():
+    """The collapsed weights give the sum over landmarks of kernel times weight."""
+    toxic, clean = ([toxicity.codes(w) for w in ws] for ws in (INSULTS, ["ratomi", "lensor", "kavepi", "banana"]))
+    rows, column = toxicity.span([*toxic, *clean])
+    values, vectors = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))
+    w = np.linspace(-1, 1, len(root) + 1)
+    weights = (rows @ (root @ w[:-1]))[column].astype(np.float32)
+    units = [toxicity.codes(t) for t in ("blorg-face", "snarkwitt", "kavepii", "mugdrip")]
+    kernels = toxicity.evaluate(units, rows, column)
+    want = kernels @ root @ w[:-1] + w[-1]
+    assert np.allclose(toxicity.Scorer(weights, w[-1]).units(units), want, atol=1e-4)
+
+
+def test_repeated_ids_count_once(spark, docs):
+    from labelwright.llm.labelled import training_texts
+
+    rows = [(i, f"text {i}") for i in range(200)] + [(7, "a text"), (7, None)] * 50
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    got = training_texts(docs(rows), labels, "toxic", {0: 1000, 1: 1000}).collect()
+    assert 120 < len(got) < 200 and sum(r.text == "a text" for r in got) <= 1 and len({r.text for r in got}) == len(got)
