@@ -8,8 +8,8 @@ pairs are updated.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text;
 repeated rows are encoded each; the string of an added token inside a text is
-that token; other columns are passed through, and a column named like a result
-is replaced.
+that token; texts of any length are encoded whole; an empty table gives an empty one; other columns
+are passed through, and a column named like a result is replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ Weights are learnt from the patterns' own findings in all texts: shape features
 pattern, transitions along the chain, and how often linked recognised tokens agree.
 
 Defined cases: a null or empty text has no spans; repeated rows are treated alike; very long texts are read
-whole, in time proportional to their length; other columns are passed through, and one named ``spans`` is replaced.
+whole, in time proportional to their length; an empty table gives an empty one, and a field without evidence; other columns are passed through, and one named ``spans`` is replaced.
 """
 
 from __future__ import annotations

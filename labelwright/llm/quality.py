@@ -7,8 +7,9 @@ ridge weights.  A part of the training fold that the weights did not see is scor
 pooled into a rising step curve that turns the raw value into a probability.
 
 Defined cases: null and empty texts have zero statistics and are scored like any other;
-repeated rows score alike; without labels of both classes every score is 0.5;
-other columns are passed through.
+repeated rows score alike, and a labelled id that repeats is one training row; texts of any length are read whole;
+without labels of both classes every score is 0.5; an empty table gives an empty one; other columns are passed
+through.  Beside the cosines the machine holds the standardised statistics themselves, so the fit is a kernel's plus a plane.
 """
 
 from __future__ import annotations

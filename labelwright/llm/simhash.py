@@ -13,7 +13,8 @@ brings its probes.  A unit returns a spanning forest of its links, never all pai
 
 Defined cases: a null text, or one without words, has fingerprint zero and is
 linked like any other; repeated rows get the same result; rows without an id take
-part, and a component in which no row has an id has a null component id; other
+part, and a component in which no row has an id has a null component id; a bit that exactly half of the
+hashes set is 0; texts of any length are read whole; an empty table gives an empty one; other
 columns of the input are not carried.
 """
 

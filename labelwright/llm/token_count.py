@@ -7,8 +7,8 @@ minus the number of merges, so no identifiers are made.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; repeated rows are
 counted each; the string of an added token inside a text counts as one token,
-as the library treats it by default; other columns are passed through, and a
-column named like a result is replaced.
+as the library treats it by default; texts of any length are counted whole; an empty table gives an
+empty one; other columns are passed through, and a column named like a result is replaced.
 """
 
 from __future__ import annotations

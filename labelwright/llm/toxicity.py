@@ -19,8 +19,9 @@ subsequences, the sum collapses to one weight per subsequence of four symbols, a
 weighted sum over its own subsequences, divided by its norm.
 
 Defined cases: a null or empty text, and one without letters, scores like the mildest document; repeated
-rows score alike; very long tokens are scored in overlapping windows; without usable labels of both
-classes nothing is taken for toxic and all scores are 0; other columns are passed through.
+rows score alike, and a labelled id that repeats is one training text; very long tokens are scored in overlapping windows; without usable
+labels of both classes nothing is taken for toxic and all scores are 0; texts of any length are read
+whole; an empty table gives an empty one; other columns are passed through.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ and held against the digest of its index row.
 Defined cases: a null page has an empty payload; of repeated rows with the largest id of
 their payload all are responses; a page without an id refers to the response if its payload
 has one with an id, and is a response otherwise; a null address is written empty; control characters
-and blanks in addresses are percent-encoded; other columns are not carried.
+and blanks in addresses are percent-encoded; pages of any length are written whole; an empty table gives no
+archives and an empty index; other columns are not carried.
 """
 
 from __future__ import annotations

@@ -162,3 +162,31 @@ def test_repeated_ids_count_once(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
     got = training_texts(docs(rows), labels, "toxic", {0: 1000, 1: 1000}).collect()
     assert 120 < len(got) < 200 and sum(r.text == "a text" for r in got) <= 1 and len({r.text for r in got}) == len(got)
+
+
+def test_quality_sums_and_scores_against_plain_algebra(spark, docs):
+    from pyspark.sql import functions as F
+
+    random.seed(4)
+    good = [(i, " ".join(random.choices(["some", "plain", "words", "of", "text."], k=random.randint(5, 60)))) for i in range(150)]
+    poor = [(200 + i, random.choice(["BUY!! ", "a a ", "x1x2 "]) * random.randint(1, 50)) for i in range(170)]
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i, _ in good + poor], "doc_id bigint, quality int, toxic int")
+    machine = quality.train(docs(good + poor), labels)
+    texts = quality.training_texts(docs(good + poor), labels, "quality", quality.DOCUMENTS)
+    rows = texts.withColumn("later", F.pmod(F.xxhash64("text"), F.lit(5)) == 0).collect()
+    x, y = np.array([quality.statistics(r.text) for r in rows if not r.later]), np.array([r.y for r in rows if not r.later])
+    assert np.allclose(machine.mean, x.mean(axis=0)) and np.allclose(machine.spread, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0))
+    w = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == 0).sum()))
+    z = machine.features(x)
+    want = np.linalg.solve((z * w[:, None]).T @ z + quality.RIDGE * np.eye(z.shape[1]), (z * w[:, None]).T @ y)
+    assert np.allclose(z @ machine.weights, z @ want, atol=1e-6)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs(good + poor), machine).collect()}
+    for i, t in good + poor:
+        raw = machine.features(np.array([quality.statistics(t)])) @ want
+        assert abs(got[i] - np.clip(np.interp(raw, *machine.curve), 0, 1)[0]) < 1e-6
+    # the cosines approximate a Gaussian kernel of the standardised statistics
+    waves = z[:, : quality.FEATURES]
+    s = np.clip((x - machine.mean) / machine.spread, -6, 6)
+    used = max(1, int((x.std(axis=0) > 1e-9).sum()))
+    kernel = np.exp(-((s[:, None] - s[None]) ** 2).sum(axis=2) / (2 * 1.5 * used))
+    assert np.abs(waves @ waves.T - kernel).mean() < 0.08
