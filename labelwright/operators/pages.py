@@ -529,6 +529,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 # ---- listing texts (the older, text-only reading of a page)
 
 
+# Facts looked for in the text of a listing (key, pattern, flags), its price, and where a page's main part is.
+LISTING_SCAN = [
+    ("Country of Origin", r"Country\s+of\s+Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,}?)(?:\s*\n|\s{2,}|$|\|)", "i"),
+    ("FSSAI Lic No", r"\b([1-9]\d{13})\b", ""),
+    ("Best Before", r"(?:shelf\s*life|best\s*before|expiry)[:\s]*([^\n\|]{4,60}[^\n|.;]*)", "i"),
+    ("Mfg Date", r"(?:Mfg\.?\s*Date|Date\s*of\s*Manufacture|Manufacturing\s*Date)[:\s]+([^\n\|]{4,30}[^\n|.;]*)", "i"),
+]
+LISTING_MRP = r"M\.?R\.?P\.?\s*[:\s₹Rs.]*\s*([\d,]+\.?\d{0,2})"
+LISTING_MAIN = (r"<main\b[^>]*>(.*)</main\s*>", r"<article\b[^>]*>(.*?)</article\s*>", r"<body\b[^>]*>(.*)</body\s*>")
+
+
 def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
     """``product_name`` and compliance text of each page, built per marketplace.
 
@@ -545,20 +556,13 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
         F.array(*[H.key_value_items(F.coalesce(H.section(html, i), F.lit(""))) for i in M.DETAIL_IDS[:3]])
     )
 
-    def found(key: str, pattern: str, group: int = 1, flags: str = "i") -> Column:
-        value = strip(F.regexp_extract(text, rx(pattern, flags), group))
+    def found(key: str, pattern: str, flags: str) -> Column:
+        value = strip(F.regexp_extract(text, rx(pattern, flags), 1))
         return F.when(value != "", F.struct(F.lit(key).alias("key"), value.alias("value")))
 
-    scanned = F.array_compact(
-        F.array(
-            found("Country of Origin", r"Country\s+of\s+Origin\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{2,}?)(?:\s*\n|\s{2,}|$|\|)"),
-            found("FSSAI Lic No", r"\b([1-9]\d{13})\b", flags=""),
-            found("Best Before", r"(?:shelf\s*life|best\s*before|expiry)[:\s]*([^\n\|]{4,60}[^\n|.;]*)"),
-            found("Mfg Date", r"(?:Mfg\.?\s*Date|Date\s*of\s*Manufacture|Manufacturing\s*Date)[:\s]+([^\n\|]{4,30}[^\n|.;]*)"),
-        )
-    )
+    scanned = F.array_compact(F.array(*[found(*s) for s in LISTING_SCAN]))
     price_id = F.coalesce(*[H.section(html, i) for i in M.LISTING_PRICE_IDS])
-    mrp = F.regexp_extract(text, rx(r"M\.?R\.?P\.?\s*[:\s₹Rs.]*\s*([\d,]+\.?\d{0,2})"), 1)
+    mrp = F.regexp_extract(text, rx(LISTING_MRP), 1)
     staged = base.select(
         "*",
         F.when(amazon, F.concat("_table", pairs, scanned)).otherwise(F.col("_table")).alias("_all"),
@@ -573,7 +577,7 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
         ).alias("_price"),
     )
     rows = bind(F.col("_all"), lambda r: F.map_entries(H.rows_to_map(r)))
-    always = ("Country of Origin", "FSSAI Lic No", "Best Before", "Mfg Date")
+    always = [key for key, _, _ in LISTING_SCAN]
 
     def relevant(k: Column) -> Column:
         low = F.lower(k)
@@ -590,7 +594,7 @@ def listing_texts(pages: DataFrame, max_text: int | None = None) -> DataFrame:
     )
     clean = H.without(html, M.CLEAN_TAGS[:6])
     main = F.coalesce(
-        *[F.nullif(F.regexp_extract(clean, rx(p, "is"), 1), F.lit("")) for p in (r"<main\b[^>]*>(.*)</main\s*>", r"<article\b[^>]*>(.*?)</article\s*>", r"<body\b[^>]*>(.*)</body\s*>")],
+        *[F.nullif(F.regexp_extract(clean, rx(p, "is"), 1), F.lit("")) for p in LISTING_MAIN],
         clean,
     )
     page_text = H.node_text(main, "\n")

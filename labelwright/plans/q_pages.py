@@ -366,7 +366,38 @@ def generic_record(spark, sf_dir):
     return _record(spark, sf_dir, "Generic", _GENERIC_FIELDS)
 
 
-@R.add("pge_17_listing_texts")
+_LST_SCAN = "list_filter([" + ", ".join(
+    f"CASE WHEN {strip(extract('txt', p, 1, f))} <> '' THEN {{'key': {q(k)}, 'value': {strip(extract('txt', p, 1, f))}}} END" for k, p, f in P.LISTING_SCAN
+) + "], lambda e: e IS NOT NULL)"
+_LST_PAIRS = "flatten([" + ", ".join(O.key_value_items(f"coalesce({O.section('html', i)}, '')") for i in M.DETAIL_IDS[:3]) + "])"
+_LST_CLEAN = f"regexp_replace(html, {q('(?is)' + H.block_pattern(M.CLEAN_TAGS[:6]))}, chr(1), 'g')"
+_LST_KEEP = f"regexp_matches(lower(e.key), {q(O.any_of(M.COMPLIANCE_KEYS['listing_text']))})"
+_LST_SKIP = f"regexp_matches(lower(e.key), {q(O.any_of(M.SKIPPED_KEYS['listing_text']))})"
+_LST_ALWAYS = ", ".join(q(k) for k, _, _ in P.LISTING_SCAN)
+_LST_MAIN = "coalesce(" + ", ".join(nz(extract("clean", p, 1, "is")) for p in P.LISTING_MAIN) + ", clean)"
+_LST_BLOCKS = f"list_transform({O.elements('html', ['div'], H.by_class('|'.join(M.LISTING_CLASSES)))}, lambda b: {O.node_text('b', 'chr(10)')})"
+# keys in order of first appearance, each with its last value
+_LST_ROWS = "list_transform(list_filter(facts, lambda e, i: list_position(list_transform(facts, lambda f: f.key), e.key) = i), lambda e: {'key': e.key, 'value': list_filter(facts, lambda f: f.key = e.key)[-1].value})"
+
+
+def _joined_parts(last: str) -> str:
+    """Name, lines and a list of further parts, without blank ones, a blank line between."""
+    return f"array_to_string(list_filter(list_concat(list_concat([coalesce(name, '')], lines), {last}), lambda p: p <> ''), chr(10) || chr(10))"
+
+
+_LISTING = f"""WITH p AS (SELECT *, {O.first_contained('lower(url)', U.MARKETPLACES, "'Unknown'")} AS marketplace, {O.node_text('html')} AS txt, {O.rows('html')} AS tab, {_LST_CLEAN} AS clean FROM ({PAGES}) p0),
+f AS (SELECT *, CASE WHEN marketplace = 'Amazon' THEN list_concat(list_concat(tab, {_LST_PAIRS}), {_LST_SCAN}) ELSE tab END AS facts,
+  CASE WHEN marketplace = 'Amazon' THEN {O.title('amazon')} ELSE {nz(O.node_text(f"coalesce({O.element('html', M.TITLE['generic'][0])}, '')"))} END AS name,
+  CASE WHEN marketplace = 'Amazon' THEN coalesce({nz(O.node_text("coalesce(" + ", ".join(O.section('html', i) for i in M.LISTING_PRICE_IDS) + ")"))}, 'MRP: Rs. ' || {nz(extract('txt', P.LISTING_MRP, 1))}) END AS price,
+  {O.node_text(_LST_MAIN, 'chr(10)')} AS main_text, {_LST_BLOCKS} AS blocks FROM p),
+l AS (SELECT *, list_transform(list_filter({_LST_ROWS}, lambda e: CASE WHEN marketplace = 'Amazon' THEN ({_LST_KEEP} OR e.key IN ({_LST_ALWAYS})) AND NOT {_LST_SKIP} ELSE {_LST_KEEP} END), lambda e: e.key || ': ' || e.value) AS lines FROM f),
+b AS (SELECT *, CASE WHEN marketplace = 'Amazon' THEN CASE WHEN name IS NULL AND len(lines) = 0 AND price IS NULL THEN {O.node_text('clean', 'chr(10)')}
+    ELSE concat_ws(chr(10), 'Product: ' || name, array_to_string(lines, chr(10)), chr(10) || 'MRP: ' || price, chr(10) || {q(M.LISTING_SOURCE)}, {q(M.LISTING_NOTE)}) END
+  WHEN marketplace = 'Flipkart' THEN {_joined_parts('blocks')} ELSE {_joined_parts('[main_text]')} END AS body FROM l)
+SELECT page_id, marketplace, name AS product_name, {strip(r"regexp_replace(body, '\n{3,}', chr(10) || chr(10), 'g')")} AS extracted_text, length(html) AS raw_html_length FROM b"""
+
+
+@R.add("pge_17_listing_texts", _LISTING)
 def listing_texts(spark, sf_dir):
     return P.listing_texts(pages(spark, sf_dir))
 
