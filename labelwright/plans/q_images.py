@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import images as I
 from ..functions.text import any_of
 from ..operators import images as M
-from ..oracle.page_sql import extract_all, metas
-from ..oracle.sqlx import case, extract, has, q, strip
+from ..oracle.page_sql import attribute, elements, extract_all, metas, section
+from ..oracle.sqlx import case, extract, has, q, re2, strip
 from . import corpus as C
 from .q_pages import PAGES, pages, record_images_sql
 from .registry import Registry
@@ -323,11 +324,6 @@ def unknown_requests(spark, sf_dir):
     return M.unknown_requests(requests, c)
 
 
-@R.add("img_01_collect_images")
-def collect(spark, sf_dir):
-    return M.collect_images(pages(spark, sf_dir))
-
-
 def _upgrade_sql() -> str:
     p = I.AMAZON_TRANSFORM
     t = extract("url", p, 2)
@@ -421,3 +417,108 @@ def stated_union(spark, sf_dir):
     og = p.select(F.col("page_id").alias("product_id"), F.posexplode(meta_values(read_metas(F.col("html")), "og:image")).alias("ord", "url"))
     own, rendered = (M.record_candidates(extract_pages(d)) for d in (p, _rendered(p)))
     return M.union_sources(stated, jsonld=og, adapter=own, browser_adapter=rendered).select("product_id", "url", "alt", "source", "score")
+
+
+def _given(urls: str, source: str, alt: str = "''") -> str:
+    return f"list_transform({urls}, lambda u: {{'url': u, 'alt': {alt}, 'source': {q(source)}}})"
+
+
+def _tag_images(html: str, source: str, *names: str) -> str:
+    url = "coalesce(" + ", ".join(f"nullif({attribute('g', n)}, '')" for n in names) + ")"
+    tags = extract_all(html, r"<img\b[^>]*>", 0)
+    return f"list_filter(list_transform({tags}, lambda g: {{'url': {url}, 'alt': {attribute('g', 'alt')}, 'source': {q(source)}}}), lambda c: c.url IS NOT NULL)"
+
+
+def _og_images(source: str, alt: str, *props: str) -> str:
+    return f"list_transform(list_filter({metas('html')}, lambda s: s.prop IN ({', '.join(map(q, props))})), lambda s: {{'url': s.content, 'alt': {alt}, 'source': {q(source)}}})"
+
+
+def _ld_of(source: str, alt: str, typed: bool) -> str:
+    images = "CASE json_type(CAST(d AS JSON), '$.image') WHEN 'ARRAY' THEN list_transform(CAST(CAST(d AS JSON)->'$.image' AS JSON[]), lambda i: i->>'$') WHEN 'OBJECT' THEN [CAST(d AS JSON)->>'$.image.url'] WHEN 'VARCHAR' THEN [CAST(d AS JSON)->>'$.image'] ELSE [] END"
+    docs = f"list_filter(list_transform({extract_all('html', H.LD_SCRIPT)}, lambda b: {strip('b')}), lambda b: json_valid(b))"
+    if typed:
+        docs = f"list_filter({docs}, lambda d: coalesce(CAST(d AS JSON)->>'$.\"@type\"', '') IN ('Product', 'ItemPage'))"
+    return _given(f"list_filter(flatten(list_transform({docs}, lambda d: {images})), lambda u: u <> '')", source, alt)
+
+
+def _chain(*lists: str) -> str:
+    out = lists[0]
+    for more in lists[1:]:
+        out = f"list_concat({out}, {more})"
+    return out
+
+
+def _first_url(cands: str, key: str = "c.url") -> str:
+    """First candidate of each key."""
+    return f"list_transform([{cands}], lambda cs: list_filter(cs, lambda c, i: list_position(list_transform(cs, lambda c: {key}), {key}) = i))[1]"
+
+
+_USABLE = f"({_valid('c.url')} AND NOT {_skip('c.url', 'c.alt')})"
+_ROOT = extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+
+
+def _absolute(u: str, root: str) -> str:
+    return f"CASE WHEN starts_with({strip(u)}, '//') THEN 'https:' || {strip(u)} WHEN starts_with({strip(u)}, '/') THEN {root} || {strip(u)} ELSE {strip(u)} END"
+
+
+_IMG_KINDS = case([(has("url", M.AMAZON_SITE), "'amazon'")] + [(f"contains(lower(url), {q(f)})", q(n)) for f, n in M.SITES], "'generic'")
+_ABOVE = f"regexp_replace(html, {q(re2(M.REVIEWS_START + '.*', 'is'))}, '')"
+_BLOCK = extract("above", M.COLOR_IMAGES, 0, "is")
+_JS_TEXT = f"CASE WHEN {_BLOCK} <> '' THEN {_BLOCK} ELSE above END"
+_JS = f"list_transform([{_JS_TEXT}], lambda t: CASE WHEN len({extract_all('t', M.HIRES, 1, 'i')}) > 0 THEN {extract_all('t', M.HIRES, 1, 'i')} ELSE {extract_all('t', M.LARGE, 1, 'i')} END)[1]"
+_GALLERY = "coalesce(" + ", ".join(section("html", i) for i in ("altImages", "imageBlock_feature_div", "imageBlock")) + ", '')"
+_UPGRADED = f"list_filter(list_transform(%s, lambda c: {{'url': {_upgrade_sql().replace('url', _absolute('c.url', chr(39) * 2))}, 'alt': c.alt, 'source': c.source}}), lambda c: {_USABLE})"
+_IMAGE_KEY = f"CASE WHEN {extract('c.url', I.AMAZON_ID, 1, '')} <> '' THEN {extract('c.url', I.AMAZON_ID, 1, '')} ELSE c.url END"
+_AMAZON_ELSE = _first_url(
+    _UPGRADED % _given(f"list_transform({extract_all('above', M.ANY_AMAZON, 0, 'i')}, lambda u: regexp_replace(u, '(?i)([.]_[^.]+_)?[.](?:jpg|jpeg|png|webp)$', '._SL1500_.jpg'))", "html_cdn_fallback"), _IMAGE_KEY
+)
+_AMAZON_OG = f"list_filter({_og_images('og_image', chr(39) * 2, 'og:image')}, lambda c: {_USABLE})"
+_MYNTRA = f"list_transform(list_filter({extract_all('html', M.MYNTRA_CDN, 1, 'i')}, lambda p: NOT contains(p, 'retaillabs')), lambda p: {q(M.MYNTRA_PREFIX)} || p)"
+_JIO = f"list_transform(list_filter({extract_all('html', M.JIOMART_CDN, 0, 'i')}, lambda u: NOT regexp_matches(lower(u), {q(M.JIOMART_SKIP)})), lambda u: regexp_replace(regexp_replace(u, '/t\\.\\w+\\([^)]*\\)/', '/original/', 'g'), '\\?.*$', ''))"
+_SITE_IMAGES = {
+    "flipkart": _chain(
+        _given(f"list_transform({extract_all('html', M.FLIPKART_CDN, 1, 'i')}, lambda u: regexp_replace(u, '/[0-9]+/[0-9]+/', '/832/832/', 'g'))", "flipkart_cdn", "'product'"),
+        _tag_images(f"array_to_string({elements('html', ['div'], H.by_class(M.FLIPKART_CLASSES))}, ' ')", "flipkart_gallery", "src", "data-src"),
+    ),
+    "jiomart": _chain(_given(_JIO, "jiomart_cdn", "'product'"), _ld_of("jiomart_jsonld", "'product'", False), _og_images("og_image", "'product'", "og:image")),
+    "myntra": _given(_MYNTRA, "myntra_script", "'product'"),
+    "meesho": _given(f"list_transform({extract_all('html', M.MEESHO_CDN, 0, 'i')}, lambda u: regexp_replace(u, '/[0-9]+/[0-9]+', '/1080/1080', 'g'))", "meesho_cdn", "'product'"),
+}
+_TAG = extract("html", M.LANDING, 0, "is")
+_SIZES = f"coalesce(try_cast({attribute(_TAG, 'data-a-dynamic-image')} AS JSON), '{{}}'::JSON)"
+_AREA = "coalesce(CAST(j->k->0 AS BIGINT) * CAST(j->k->1 AS BIGINT), 0)"
+_DYNAMIC = f"list_transform([{_SIZES}], lambda j: list_sort(list_transform(json_keys(j), lambda k: {{'area': {_AREA}, 'url': k}}), 'DESC')[1].url)[1]"
+_LANDING = _chain(
+    f"list_filter([{{'url': {attribute(_TAG, 'data-old-hires')}, 'alt': {attribute(_TAG, 'alt')}, 'source': 'landingImage_hires'}}], lambda c: c.url <> '')",
+    f"list_filter([{{'url': {_DYNAMIC}, 'alt': {attribute(_TAG, 'alt')}, 'source': 'landingImage_dynamic'}}], lambda c: coalesce(c.url <> '', false))",
+)
+_AMAZON_ALL = _first_url(_UPGRADED % _chain(_given(_JS, "colorImages_js"), _tag_images("gallery", "altImages_dom", "src"), _LANDING), _IMAGE_KEY)
+_SITE_IMAGES["amazon"] = _chain(f"list_transform([{_AMAZON_ALL}], lambda m: CASE WHEN len(m) > 0 THEN m ELSE {_AMAZON_ELSE} END)[1]", _AMAZON_OG)
+_BEST = (
+    "list_transform([list_filter(string_split(s, ','), lambda p: trim(p) <> '')], lambda ps: list_sort(list_transform(ps, lambda p, i: "
+    "{'size': CASE WHEN len(regexp_extract_all(p, '\\S+')) > 1 THEN coalesce(try_cast(regexp_replace(regexp_extract_all(p, '\\S+')[-1], '[wx]+$', '') AS INT), 0) ELSE 0 END, "
+    "'first': -i, 'url': regexp_extract_all(p, '\\S+')[1]}), 'DESC')[1].url)[1]"
+)
+_SRCSET = f"coalesce(list_transform([{attribute('g', 'srcset')}], lambda s: CASE WHEN s <> '' THEN {_BEST} END)[1], '')"
+_PER_TAG = "[" + ", ".join(
+    [f"{{'url': {attribute('g', a)}, 'alt': {attribute('g', 'alt')}, 'source': {q('generic_' + a)}}}" for a in M.LAZY_ATTRIBUTES]
+    + [f"{{'url': {_SRCSET}, 'alt': {attribute('g', 'alt')}, 'source': 'generic_srcset'}}", f"{{'url': {attribute('g', 'src')}, 'alt': {attribute('g', 'alt')}, 'source': 'img_tag'}}"]
+) + "]"
+_BODY = f"substr(html, coalesce(nullif(instr(html, {extract('html', M.CONTAINER, 0, 'is')}), 0), 1))"
+_PAGE_TAGS = f"list_filter({extract_all(_BODY, r'<img\b[^>]*>', 0)}, lambda g: NOT {_skip(attribute('g', 'src'), attribute('g', 'alt'))})"
+_SITE_IMAGES["generic"] = _chain(
+    _og_images("og_image", "''", "og:image", "og:image:secure_url"), _og_images("twitter_image", "''", "twitter:image", "twitter:image:src"), _ld_of("jsonld", "''", True),
+    f"list_filter(flatten(list_transform({_PAGE_TAGS}, lambda g: {_PER_TAG})), lambda c: c.url <> '')",
+)
+_RAW_IMAGES = "CASE kind " + " ".join(f"WHEN {q(k)} THEN {e}" for k, e in _SITE_IMAGES.items()) + " END"
+_FULL = f"list_filter(list_transform(raw, lambda c: {{'url': {_absolute('c.url', 'root')}, 'alt': c.alt, 'source': c.source}}), lambda c: {_USABLE})"
+_COLLECTED = f"""WITH p AS (SELECT *, {_IMG_KINDS} AS kind, {_ROOT} AS root, {_ABOVE} AS above, {_GALLERY} AS gallery FROM ({PAGES}) p0),
+r AS (SELECT page_id, root, {_RAW_IMAGES} AS raw FROM p),
+c AS (SELECT page_id, unnest({_first_url(_FULL)}) AS c, unnest(range(1, len({_first_url(_FULL)}) + 1)) AS i FROM r),
+s AS (SELECT page_id, i, c.url AS url, c.alt AS alt, c.source AS source FROM c)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, i) - 1 AS ord, url, alt, source, score FROM (SELECT *, {_COLLECTOR} AS score FROM s) z"""
+
+
+@R.add("img_01_collect_images", _COLLECTED)
+def collect(spark, sf_dir):
+    return M.collect_images(pages(spark, sf_dir))
