@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import entities as E
 from ..operators import fusion as M
 from ..operators import compare as K
+from ..operators import reports as D
 from ..operators.attributes import FLAG_ATTRIBUTES, STRING_ATTRIBUTES
 from ..operators.marketplaces import RECORD_FIELDS
 from . import page_sql as P
@@ -33,7 +34,7 @@ def _steps(web: str, pack: str, codes: str) -> dict[str, str]:
     }
     own = ", ".join([f"w.{f} AS w_{f}" for f in RECORD_FIELDS] + [f"s_{f}" for f in M.STRUCTURED_STRINGS])
     both = ", ".join(f"coalesce(ap.{n}, aw.{n}) AS e_{n}" for n in NAMES)
-    steps["met"] = f"""SELECT coalesce(w.page_id, p.product_id) AS product_id, w.url AS w_url, w.source AS w_source, w.row_count, w.row_weight, w.feature_bullets, {own}, coalesce(adapter_text0, '') AS adapter_text,
+    steps["met"] = f"""SELECT coalesce(w.page_id, p.product_id) AS product_id, w.url AS w_url, w.source AS w_source, w.display_name AS w_display_name, w.row_count, w.row_weight, w.feature_bullets, {own}, coalesce(adapter_text0, '') AS adapter_text,
   coalesce(p.text, '') AS ocr, p.text AS ocr_text, {both}, c.barcode, c.barcode_type, c.qr_code
 FROM site w FULL JOIN pack p ON p.product_id = w.page_id LEFT JOIN aw ON aw.product_id = w.page_id LEFT JOIN ap ON ap.product_id = p.product_id
 LEFT JOIN codes c ON c.product_id = coalesce(w.page_id, p.product_id)"""
@@ -67,11 +68,12 @@ LEFT JOIN codes c ON c.product_id = coalesce(w.page_id, p.product_id)"""
     ]
     joins = " ".join(f"LEFT JOIN a_{r} ON a_{r}.id = f.product_id" for r in ROLES)
     steps["known"] = f"SELECT f.*, {', '.join(parties)} FROM found f {joins}"
-    country, _, _ = T.detect_country("declared")
+    country, sure, _ = T.detect_country("declared")
     from_maker = "manufacturer_country IS NOT NULL AND manufacturer_country <> 'Unknown'"
     steps["model0"] = f"""SELECT *, {first_nonblank('w_product_name', 's_name', 's_og_title')} AS name, {first_nonblank('e_brand', 'w_brand', 'fw_brand', 's_brand')} AS brand,
   {first_nonblank('w_description', 's_og_description')} AS description, coalesce(w_source, 'Unknown') AS platform, {first_nonblank('w_seller', 's_seller')} AS seller,
-  CASE WHEN {from_maker} THEN manufacturer_country WHEN declared IS NOT NULL THEN {country} END AS detected, coalesce(package_qty, website_qty) AS qty,
+  CASE WHEN {from_maker} THEN manufacturer_country WHEN declared IS NOT NULL THEN {country} END AS detected,
+  CAST(CASE WHEN {from_maker} THEN manufacturer_sure WHEN declared IS NOT NULL THEN {sure} ELSE 0 END AS INT) AS detected_sure, coalesce(package_qty, website_qty) AS qty,
   {first_nonblank('e_mfg_date', 'w_mfg_date', 'fo_mfg_date', 'fw_mfg_date')} AS mfg_date, {first_nonblank('e_expiry_date', 'w_best_before', 'fo_best_before', 'fw_best_before')} AS expiry_date,
   {first_nonblank('e_consumer_care_raw')} AS care_raw, {first_nonblank('e_consumer_care_phone', 'w_consumer_care_phone', 'fw_consumer_care_phone')} AS care_phone,
   {first_nonblank('e_consumer_care_email', 'fw_consumer_care_email')} AS care_email, {first_nonblank('e_fssai', 'w_fssai', 'fo_fssai', 'fw_fssai')} AS fssai,
@@ -164,3 +166,84 @@ FROM model WHERE declared IS NOT NULL OR detected IS NOT NULL
 UNION ALL SELECT product_id, 'Brand', brand, {q(K.NOT_VERIFIED)}, 'WEBSITE_ONLY', 'Brand confirmed from product listing' FROM model WHERE brand IS NOT NULL
 UNION ALL SELECT product_id, 'Manufacturer', CASE WHEN manufacturer_source = 'webpage' THEN {maker} ELSE 'Not Found on website' END, CASE WHEN manufacturer_source = 'ocr' THEN {maker} ELSE {q(K.NOT_VERIFIED)} END,
   CASE WHEN manufacturer_source = 'webpage' THEN 'WEBSITE_ONLY' ELSE 'PACKAGE_ONLY' END, 'Source: ' || manufacturer_source FROM model WHERE {maker} IS NOT NULL"""
+
+
+def _section(title: str) -> str:
+    return q(f"\n{D.SECTION}\n{title}\n{D.SECTION}\n")
+
+
+def _field(label: str, e: str) -> str:
+    return f"{q(label + ':' + chr(10))} || coalesce({nz(strip(e))}, {q(D.ABSENT)}) || {NL}"
+
+
+def _optional(label: str, e: str) -> str:
+    return f"CASE WHEN {strip(e)} <> '' THEN {q(label + ':' + chr(10))} || {strip(e)} || {NL} END"
+
+
+def _tagged(label: str, source: str, e: str) -> str:
+    tag = "CASE " + source + " " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in D.SOURCE_TAGS.items()) + " ELSE '' END"
+    return f"{q(label)} || {tag} || ':' || {NL} || {e} || {NL}"
+
+
+def _party(title: str, r: str, shown: str, country: bool) -> str:
+    label, name, address = title.title(), f"coalesce({r}_name, {r}_text)", f"coalesce({r}_structured, {r}_text)"
+    parts = [_section(f"{title} INFORMATION"), _tagged(label, f"{r}_source", name), f"CASE WHEN {strip(address)} <> {strip(name)} THEN {q(label + ' Address:' + chr(10))} || {address} || {NL} END"]
+    if country:
+        parts.append(_optional(f"{label} Country", f"{r}_country"))
+    return f"CASE WHEN {shown} THEN concat_ws({NL}, {', '.join(parts)}) END"
+
+
+def report_query(figures: str) -> str:
+    """product_id and report over ``model``; ``figures`` is a query (product_id, found_n, downloaded, processed, confidence) of the images."""
+    held, lacked = critical()
+    name, address = "coalesce(manufacturer_name, manufacturer_text)", "coalesce(manufacturer_structured, manufacturer_text)"
+    known = "coalesce(manufacturer_country <> 'Unknown', false)"
+    seen = "coalesce(detected <> 'Unknown', false)"
+    packer = "coalesce(packer_name, packer_text)"
+    display, percent = "coalesce(w_display_name, 'E-Commerce')", "CAST(CAST(round(confidence * 100) AS INT) AS VARCHAR) || '%'"
+    status = "CASE status " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in D.STATUS_LABELS.items()) + " ELSE status END"
+    line = (
+        f"concat_ws({NL}, field || ':' || {NL} || '  Website:  ' || website_value || {NL} || '  Package:  ' || package_value || {NL} || '  Status:   ' || {status}, "
+        f"CASE WHEN notes <> '' THEN '  Note:     ' || notes END, '')"
+    )
+    order = "CASE field " + " ".join(f"WHEN {q(f)} THEN {i}" for i, f in enumerate(("Net Quantity", "MRP", "Country of Origin", "Brand", "Manufacturer"))) + " END"
+    text = lambda s: q(s)
+    parts = [
+        _section("PRODUCT INFORMATION"), _field("Product Name", "name"), _field("Brand", "brand"), _optional("SKU", "s_sku"), _optional("Vegetarian / Non-Vegetarian", "e_veg_status"), _optional("Description", "description"),
+        _section("E-COMMERCE INFORMATION"), _field("Platform", "w_display_name"), _optional("Seller", "seller"), _field("MRP", "coalesce(CASE WHEN m_found THEN m_display END, mrp_raw)"), _optional("Listed Quantity", "website_qty"),
+        _section("MANUFACTURER INFORMATION"), f"coalesce({_tagged('Manufacturer', 'manufacturer_source', name)}, {text(f'Manufacturer:{chr(10)}{D.ABSENT}{chr(10)}')})",
+        f"CASE WHEN {strip(address)} <> {strip(name)} THEN {text('Manufacturer Address:' + chr(10))} || {address} || {NL} END",
+        f"{text('Manufacturer Country:' + chr(10))} || CASE WHEN {known} THEN manufacturer_country ELSE {q(D.ABSENT)} END || {NL}",
+        f"CASE WHEN {known} AND manufacturer_sure > 0 THEN {text('Country Confidence:' + chr(10))} || manufacturer_sure || {text('% (from address analysis)' + chr(10))} END",
+        _party("PACKER", "packer", f"{packer} IS NOT NULL AND {strip(packer)} IS DISTINCT FROM {strip(name)}", False), _party("IMPORTER", "importer", "coalesce(importer_name, importer_text) IS NOT NULL", True),
+        _section("COUNTRY OF ORIGIN"), _field("Declared Country of Origin", "declared"),
+        f"CASE WHEN {seen} THEN {text('Detected Country:' + chr(10))} || detected || CASE WHEN declared IS NULL THEN {text(' (from address analysis)' + chr(10))} ELSE {text(' (confirmed)' + chr(10))} END END",
+        f"CASE WHEN {seen} AND detected_sure > 0 THEN {text('Detection Confidence:' + chr(10))} || detected_sure || {text('%' + chr(10))} END", _optional("Product Classification", "classification"),
+        _section("PACKAGE INFORMATION"),
+        f"CASE WHEN package_qty IS NOT NULL THEN {text('Net Weight / Quantity [Package]:' + chr(10))} || package_qty || {NL} WHEN website_qty IS NOT NULL THEN {text('Net Weight / Quantity [Website]:' + chr(10))} || website_qty || {NL} ELSE {text(f'Net Weight / Quantity:{chr(10)}{D.ABSENT}{chr(10)}')} END",
+        f"CASE WHEN qty IS NOT NULL AND n_found THEN {_optional('Normalized Quantity', 'n_display')} END",
+        _section("REGULATORY INFORMATION"), _field("FSSAI Licence Number", "fssai"),
+        f"CASE WHEN code IS NOT NULL THEN 'Barcode' || coalesce(' (' || barcode_type || ')', '') || ':' || {NL} || code || {NL} ELSE {text(f'Barcode:{chr(10)}{D.ABSENT}{chr(10)}')} END",
+        _optional("QR Code", "qr_code"), _optional("Batch / Lot Number", "batch_no"), f"CASE WHEN len(declarations) > 0 THEN {text('Legal Declarations:' + chr(10))} || array_to_string(declarations, {NL}) || {NL} END",
+        _section("INGREDIENTS"),
+        f"coalesce(ingredients || {NL}, {text(D.ABSENT + chr(10) + 'Note: Ingredient declaration not found in any accessible product image.' + chr(10) + 'If the product has a physical packaging label, upload it in the Label Image tab.' + chr(10))})",
+        f"CASE WHEN ingredients IS NOT NULL THEN CASE e_ingredient_complete WHEN true THEN {text('Completeness: COMPLETE' + chr(10))} WHEN false THEN {text('Completeness: POSSIBLE TRUNCATION — the list may continue on another panel or image. Upload packaging photos for full extraction.' + chr(10))} END END",
+        f"CASE WHEN allergen_info IS NOT NULL THEN {_section('ALLERGEN INFORMATION')} || {NL} || allergen_info || {NL} END", f"CASE WHEN storage_instructions IS NOT NULL THEN {_section('STORAGE INSTRUCTIONS')} || {NL} || storage_instructions || {NL} END",
+        _section("DATES"), _field("Manufacturing Date", "mfg_date"), text(f"Packing Date:\n{D.ABSENT}\n"), _field("Expiry / Best Before", "expiry_date"),
+        _section("CONSUMER CARE"), _optional("Consumer Care", "care_raw"), _optional("Phone", "care_phone"), _optional("Email", "care_email"),
+        f"CASE WHEN coalesce(care_raw, care_phone, care_email) IS NULL THEN {text(f'Consumer Care:{chr(10)}{D.ABSENT}{chr(10)}')} END",
+        f"{_section('WEBSITE ↔ PACKAGE COMPARISON')} || {NL} || compared",
+        f"concat_ws({NL}, {_section('IMAGE ANALYSIS')}, 'Images Found: ' || found_n || {NL} || 'Images Downloaded: ' || downloaded || '/' || processed || {NL} || 'OCR Characters Extracted: ' || length(ocr) || {NL} || 'Average OCR Confidence: ' || {percent} || {NL})",
+        f"CASE WHEN length(ocr) > 0 THEN {_section('OCR EXTRACTED TEXT (Packaging Images)')} || {NL} || ocr || {NL} END",
+        _section("DATA SOURCE"), f"{text('Webpage Data:' + chr(10))} || {display} || {text(' product listing' + chr(10))}",
+        f"CASE WHEN length(ocr) > 0 THEN {text('Packaging Data:' + chr(10))} || downloaded || {text(' product image(s) downloaded and OCR analysed' + chr(10))} ELSE {text('Packaging Data:' + chr(10) + 'Not available — use the Label Image tab to upload packaging photos for full OCR analysis' + chr(10))} END",
+        text("Note:\nAI/OCR extraction is an assistance mechanism. Manual verification required before making any legal compliance determination.\n"),
+        _section("EXTRACTION COMPLETENESS"), f"'Critical Fields: ' || len(held) || '/' || 7 || ' (' || CAST(floor(100 * len(held) / 7) AS INT) || {text('%)' + chr(10))}",
+        f"'OCR Images Analysed: ' || downloaded || {NL} || 'OCR Characters Extracted: ' || format('{{:,}}', length(ocr)) || {NL} || 'Average OCR Confidence: ' || {percent} || {NL}",
+        f"CASE WHEN len(held) > 0 THEN 'Found:   ' || array_to_string(held, ' | ') || {NL} END", f"CASE WHEN len(lacked) > 0 THEN 'Missing: ' || array_to_string(lacked, ' | ') || {NL} END",
+        f"CASE WHEN len(lacked) > 0 AND code IS NOT NULL THEN 'Barcode: ' || code || {text('  (Barcode found — additional data may be available)' + chr(10))} END",
+        f"CASE WHEN CAST(floor(100 * len(held) / 7) AS INT) < 60 THEN {text('Note: Critical field coverage is below 60%. Upload packaging photos in the Label Image tab for complete extraction.' + chr(10))} END",
+        f"'Source: ' || {display} || ' e-commerce listing (online marketplace)'",
+    ]
+    return f"""SELECT product_id, concat_ws({NL}, {', '.join(parts)}) AS report FROM (SELECT *, {held} AS held, {lacked} AS lacked FROM model) m JOIN ({figures}) i USING (product_id)
+LEFT JOIN (SELECT product_id, string_agg({line}, {NL} ORDER BY {order}) AS compared FROM ({compared()}) x GROUP BY product_id) c USING (product_id)"""

@@ -246,6 +246,19 @@ def stated_completeness(spark, sf_dir):
     )
 
 
+_K = "CAST(substr(product_id, 2) AS BIGINT)"
+_FIGURES = f"SELECT product_id, {_K} % 9 AS found_n, {_K} % 5 AS downloaded, {_K} % 5 + 1 AS processed, {_K} % 10 / 10 AS confidence FROM model"
+
+
+@R.add("txt_02_stated_reports", _over(Z.report_query(_FIGURES)))
+def stated_reports(spark, sf_dir):
+    """Product reports with the figures of the images that were read."""
+    d = M.completeness(M.product_comparisons(stated_model(spark, sf_dir)))
+    k = F.substring("product_id", 2, 20).cast("bigint")
+    figures = {"images_found": k % 9, "images_downloaded": k % 5, "images_processed": k % 5 + 1, "avg_confidence": (k % 10) / 10}
+    return T.product_report(d.withColumns(figures))
+
+
 _FIELDS = X.field_table(ORDERS)
 _DETAIL = f"""'  [' || rpad(status, 6, ' ') || '] ' || field_id || ' — ' || field_label
   || coalesce(chr(10) || '           Value     : ' || detected_value, '') || coalesce(chr(10) || '           Normalised: ' || normalized_value, '')

@@ -13,7 +13,9 @@ from labelwright.plans import corpus as C
 SF = os.environ.get("LABELWRIGHT_TEST_SF", "/root/testdata/sf0.001")
 SAMPLE = [
     "cmp_01_04_field_results", "agg_04_trends", "srt_01_violation_page", "ent_00_attributes", "geo_03_parse_address",
-    "pge_04_table_rows", "pge_16_prj_02_generic_record", "img_15_srt_04_total_score", "ocr_03_scan_passes", "jn_06_compare_records",
+    "pge_04_table_rows", "pge_16_prj_02_generic_record", "pge_07_json_ld", "pge_17_listing_texts", "pge_12_14_record_images", "img_01_collect_images", "img_12_near_duplicates",
+    "img_06_stated_union", "jn_07_stated_products", "jn_06_stated_comparisons", "txt_01_agg_08_stated_texts", "txt_02_stated_reports", "src_06_scans_as_of", "src_06_rules_in_force", "src_01_label_outcomes",
+    "srt_01_seek_page", "agg_01_summary", "str_02_live_platforms", "fnt_03_verdicts", "img_15_srt_04_total_score", "ocr_03_scan_passes", "jn_06_compare_records",
 ]
 entry = importlib.import_module("__spark_entry__")
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
