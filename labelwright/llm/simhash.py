@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut
+from .common import add_columns, cut, spread_join
 from .components import components
 
 SEED = 42
@@ -186,10 +186,11 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """Per row: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id linked to it."""
     docs = cut(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle).drop("text"))
-    fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
     roots = components(links(fps, radius)).withColumnRenamed("node", "fp")
     placed = cut(roots.join(fps, "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = placed.join(least, "root").select("fp", "least_id")
-    classes = fps.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = cut(fps.join(linked, "fp", "left").select("fp", "rows", F.coalesce("least_id", "first_id").alias("component_id")))
+    # a fingerprint that many rows share is broadcast, so these rows do not meet in one task
+    return spread_join(docs, classes, "fp", "rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
