@@ -55,7 +55,7 @@ UNITS = 3_000
 CHANCE = 20.0
 #: Least ratio of a unit's share of toxic documents to its share of clean ones.
 ODDS = 8.0
-MEMORY = 600_000
+MEMORY = 400_000
 #: Margin of tokens without letters, and least margin of any.
 FLOOR = -2.0
 # Digits and signs that are written in place of letters.
@@ -237,9 +237,9 @@ def _piece_number(x: np.ndarray) -> np.ndarray:
     return ((x[:n] * SYMBOLS + x[1 : n + 1]) * SYMBOLS + x[2 : n + 2]) * SYMBOLS + x[3 : n + 3]
 
 
-def across(bodies: list[bytes], marked: np.ndarray) -> set[bytes]:
-    """Units of up to three neighbouring tokens whose letters across the blanks hold marked pieces: two, or all if fewer cross."""
-    bodies = [b for b in bodies if b]
+def across(units: list[bytes], marked: np.ndarray) -> set[bytes]:
+    """Units of up to three neighbouring tokens, given as units, whose letters across the blanks hold marked pieces: two, or all if fewer cross."""
+    bodies = [u[1:-1] for u in units if u and len(u) <= LONG]
     sizes = np.fromiter(map(len, bodies), np.int32, len(bodies))
     x = np.frombuffer(b"".join(bodies), np.uint8)
     if len(x) < ORDER:
@@ -266,16 +266,30 @@ def _marked(pieces: bytes) -> np.ndarray:
     return table
 
 
-_SCORERS: dict[tuple, Scorer] = {}
+class _Remembered(dict):
+    """A function's values by its argument."""
 
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-def scorer(weights: np.ndarray, bias: float, pieces: np.ndarray, memory: int) -> Scorer:
-    """The scorer of a model; a worker process keeps the last one from task to task, with the units that it remembers."""
-    key = (crc32(weights.tobytes()), bias, pieces.tobytes(), memory)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(weights, bias, memory, pieces)
-    return _SCORERS[key]
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+def _units_of(texts: list[str | None], code: dict[str, bytes]) -> list[tuple[set[bytes], list[bytes]]]:
+    """For each text the distinct units of its tokens, and the units in order."""
+    out = []
+    for text in texts:
+        low = (text or "").lower()
+        row = list(map(code.__getitem__, low.split()))
+        distinct = set(row)
+        if LONELY.search(low):
+            distinct.update(map(codes, tokens_of(text)))
+        distinct.discard(b"")
+        out.append((distinct, row))
+    return out
 
 
 class Scorer:
@@ -284,10 +298,8 @@ class Scorer:
     def __init__(self, weights: np.ndarray, bias: float, memory: int = MEMORY, pieces: np.ndarray | None = None):
         self.memory = memory
         self.weights, self.bias = weights.reshape(-1, 1), bias
-        self.known: dict[str, float] = {}
-        self.bodies: dict[str, bytes] = {}
-        self.joined: dict[bytes, float] = {}
-        self.parts: dict[bytes, float] = {}
+        self.code = _Remembered(codes)
+        self.known: dict[bytes, float] = {}
         self.marked = _marked((np.zeros(0, np.int32) if pieces is None else pieces).tobytes())
 
     def units(self, units: list[bytes]) -> np.ndarray:
@@ -298,49 +310,30 @@ class Scorer:
         return np.maximum.reduceat(flat, ends[:-1]) if len(units) else flat
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: the four highest margins, the length, and three counts of tokens on or near the toxic side."""
-        if len(self.known) > self.memory:
+        """For each text: the four highest margins, the length, and three counts of units on or near the toxic side."""
+        if len(self.code) > self.memory:
+            self.code.clear()
             self.known.clear()
-            self.bodies.clear()
-            self.parts.clear()
-        if len(self.joined) > self.memory:
-            self.joined.clear()
-        known, joined = self.known, self.joined
-        tokens = [tokens_of(t) for t in texts]
-        wide = [self.across(t) for t in texts]
-        new = sorted({u for us in wide for u in us if u not in joined})
-        joined.update(zip(new, np.maximum(self.units(new), FLOOR).tolist(), strict=True))
-        coded = {t: codes(t) for t in set().union(*tokens) if t not in known}
-        units = sorted({c for c in coded.values() if c})
-        margins = dict(zip(units, np.maximum(self.units(units), FLOOR).tolist(), strict=True)) | {b"": FLOOR}
-        known.update((t, margins[c]) for t, c in coded.items())
-        parts = self.parts
-        parts.update((u[1:-1], m) for u, m in margins.items() if u)
-        # a window is counted if none of its tokens is clearly toxic by itself
-        alone = lambda u: all(parts.get(p, FLOOR) <= 0.5 for p in u[1:-1].split(b"\0"))
+        known = self.known
+        rows = [(own, across(row, self.marked)) for own, row in _units_of(texts, self.code)]
+        new = sorted({u for own, wide in rows for us in (own, wide) for u in us if u not in known})
+        known.update(zip(new, np.maximum(self.units(new), FLOOR).tolist(), strict=True))
         out = np.full((len(texts), 8), FLOOR)
-        for row, ts, us in zip(out, tokens, wide, strict=True):
-            across_ = [m for u in us if (m := joined[u]) > -0.5 and alone(u)]
-            near = sorted([m for t in ts if (m := known[t]) > -0.5] + across_, reverse=True)
+        for line, (own, wide) in zip(out, rows, strict=True):
+            near = [m for u in own if (m := known[u]) > -0.5]
+            # a window is counted if none of its tokens is clearly toxic by itself
+            near += [m for u in wide if (m := known[u]) > -0.5 and all(known.get(u[:1] + p + u[-1:], FLOOR) <= 0.5 for p in u[1:-1].split(b"\0"))]
+            near.sort(reverse=True)
             if len(near) < 4:
-                near = nlargest(4, [*map(known.__getitem__, ts), *across_])
-            row[: min(4, len(near))] = near[:4]
+                near = nlargest(4, [known[u] for us in (own, wide) for u in us if us is own or known[u] > -0.5])
+            line[: min(4, len(near))] = near[:4]
             hits = sum(m > 0 for m in near)
-            row[4:] = np.log1p(len(ts)), np.log1p(hits), np.log1p(sum(min(1.0, max(0.0, m + 0.5)) for m in near)), hits / np.sqrt(len(ts) + 1)
+            line[4:] = np.log1p(len(own)), np.log1p(hits), np.log1p(sum(min(1.0, max(0.0, m + 0.5)) for m in near)), hits / np.sqrt(len(own) + 1)
         return out
 
-
     def across(self, text: str | None) -> set[bytes]:
         """Units across the blanks of a text."""
-        if not text:
-            return set()
-        bodies, out = self.bodies, []
-        for t in text.lower().split():
-            b = bodies.get(t)
-            if b is None:
-                b = bodies[t] = body_of(t)
-            out.append(b)
-        return across(out, self.marked)
+        return across(_units_of([text], self.code)[0][1], self.marked)
 
 
 def tokens_of(text: str | None) -> set[str]:
@@ -491,7 +484,8 @@ def _features(df: DataFrame, weights: np.ndarray, bias: float, pieces: np.ndarra
     sent = df.sparkSession.sparkContext.broadcast((weights, bias, pieces))  # a weight per subsequence: 10 MB, whatever the input
 
     def make():
-        score = scorer(*sent.value, memory)
+        weights, bias, pieces = sent.value
+        score = Scorer(weights, bias, memory, pieces)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             rows = score.documents(texts.to_pylist())
