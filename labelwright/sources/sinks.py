@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,18 @@ def write_scans(scanned: DataFrame, path: str, batch: str, text: str = "text", t
     nested = f"{path}/nested_scans/batch={batch}"
     out.write.mode("overwrite").parquet(nested)
     kept = spark.read.schema(out.schema).parquet(nested)
-    field_rows(kept).write.mode("overwrite").parquet(f"{path}/field_results/batch={batch}")
-    rollup_rows(scan_rows(kept, text)).write.mode("overwrite").parquet(f"{path}/rollups/batch={batch}")
     size = stored_bytes(spark, nested)
-    write_by_date(violation_rows(kept), f"{path}/violations/batch={batch}", size)
-    write_by_date(scan_rows(kept, text), f"{path}/scans/batch={batch}", size)
+    scans = scan_rows(kept, text)
+    jobs = [
+        lambda: field_rows(kept).write.mode("overwrite").parquet(f"{path}/field_results/batch={batch}"),
+        lambda: rollup_rows(scans).write.mode("overwrite").parquet(f"{path}/rollups/batch={batch}"),
+        lambda: write_by_date(violation_rows(kept), f"{path}/violations/batch={batch}", size),
+        lambda: write_by_date(scans, f"{path}/scans/batch={batch}", size),
+    ]
+    # the derived tables do not depend on each other; their jobs share the cluster
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
     if track_ids:
         remember(kept.select("scan_id"), path, batch)
 
