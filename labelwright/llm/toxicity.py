@@ -30,7 +30,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
-from heapq import nlargest
 from itertools import combinations
 from unicodedata import normalize
 
@@ -56,8 +55,8 @@ CHANCE = 20.0
 #: Least ratio of a unit's share of toxic documents to its share of clean ones.
 ODDS = 8.0
 MEMORY = 400_000
-#: Margin of tokens without letters, and least margin of any.
-FLOOR = -2.0
+#: Least margin of any unit, and the margin of tokens without letters.
+FLOOR = -0.5
 # Digits and signs that are written in place of letters.
 STAND_INS = str.maketrans("013457@$", "oieastas")
 LONELY = re.compile(r"\s\S\s\S(?!\S)|\A\S\s\S(?!\S)")
@@ -132,10 +131,12 @@ def self_kernel(x: np.ndarray) -> np.ndarray:
     return (same * before[:n, :n]).sum(axis=(0, 1), dtype=np.float64)
 
 
-def evaluate(units: list[bytes], weights: np.ndarray, column: np.ndarray | None = None) -> np.ndarray:
+def evaluate(units: list[bytes], weights: np.ndarray, column: np.ndarray | None = None, least: float | None = None) -> np.ndarray:
     """Normalised weighted sums over the subsequences of each unit.
 
-    ``weights`` has a row per subsequence, or per entry of ``column``, which maps subsequences to rows.
+    ``weights`` has a row per subsequence, or per entry of ``column``, which maps subsequences to rows.  With ``least`` a
+    unit whose sum can't exceed it gets ``least``: its norm is at least that of its runs of four symbols, so only
+    the others need their norm.
     """
     out = np.zeros((len(units), weights.shape[1]))
     by_size: dict[int, list[int]] = {}
@@ -149,6 +150,15 @@ def evaluate(units: list[bytes], weights: np.ndarray, column: np.ndarray | None
             part = rows[lo : lo + step]
             x = np.frombuffer(b"".join(units[i] for i in part), np.uint8).reshape(-1, n).astype(np.int32)
             index, weight = subsequences(x)
+            if least is not None and column is None:
+                sums = np.take(weights, index) @ weight
+                runs = np.lib.stride_tricks.sliding_window_view(x > 0, ORDER, axis=1).all(axis=2).sum(axis=1)
+                high = np.flatnonzero(sums > least * DECAY**ORDER * np.sqrt(runs) - 1e-6)
+                values = np.full(len(part), least)
+                if len(high):
+                    values[high] = np.maximum(sums[high] / np.sqrt(np.maximum(self_kernel(x[high].astype(np.uint8)), 1e-12)), least)
+                out[part] = values[:, None]
+                continue
             norm = np.sqrt(np.maximum(self_kernel(x.astype(np.uint8)), 1e-12))
             if column is None:
                 sums = (np.take(weights, index) @ weight)[:, None]
@@ -299,13 +309,15 @@ class Scorer:
         self.memory = memory
         self.weights, self.bias = weights.reshape(-1, 1), bias
         self.code = _Remembered(codes)
-        self.known: dict[bytes, float] = {}
+        self.known: set[bytes] = set()
+        self.near: dict[bytes, float] = {}
         self.marked = _marked((np.zeros(0, np.int32) if pieces is None else pieces).tobytes())
 
     def units(self, units: list[bytes]) -> np.ndarray:
         """Margins; a very long unit scores like its worst window."""
         cut_up = [windows(u) for u in units]
-        flat = evaluate([w for ws in cut_up for w in ws], self.weights)[:, 0] + self.bias
+        least = FLOOR - self.bias if FLOOR > self.bias else None
+        flat = np.maximum(evaluate([w for ws in cut_up for w in ws], self.weights, least=least)[:, 0] + self.bias, FLOOR)
         ends = np.cumsum([0, *map(len, cut_up)])
         return np.maximum.reduceat(flat, ends[:-1]) if len(units) else flat
 
@@ -314,18 +326,18 @@ class Scorer:
         if len(self.code) > self.memory:
             self.code.clear()
             self.known.clear()
-        known = self.known
+            self.near.clear()
+        known, close = self.known, self.near
         rows = [(own, across(row, self.marked)) for own, row in _units_of(texts, self.code)]
-        new = sorted({u for own, wide in rows for us in (own, wide) for u in us if u not in known})
-        known.update(zip(new, np.maximum(self.units(new), FLOOR).tolist(), strict=True))
+        new = sorted(set().union(*(us - known for row in rows for us in row)))
+        known.update(new)
+        close.update((u, m) for u, m in zip(new, self.units(new).tolist(), strict=True) if m > FLOOR)
         out = np.full((len(texts), 8), FLOOR)
         for line, (own, wide) in zip(out, rows, strict=True):
-            near = [m for u in own if (m := known[u]) > -0.5]
+            near = [close[u] for u in own & close.keys()]
             # a window is counted if none of its tokens is clearly toxic by itself
-            near += [m for u in wide if (m := known[u]) > -0.5 and all(known.get(u[:1] + p + u[-1:], FLOOR) <= 0.5 for p in u[1:-1].split(b"\0"))]
+            near += [close[u] for u in wide & close.keys() if all(close.get(u[:1] + p + u[-1:], FLOOR) <= 0.5 for p in u[1:-1].split(b"\0"))]
             near.sort(reverse=True)
-            if len(near) < 4:
-                near = nlargest(4, [known[u] for us in (own, wide) for u in us if us is own or known[u] > -0.5])
             line[: min(4, len(near))] = near[:4]
             hits = sum(m > 0 for m in near)
             line[4:] = np.log1p(len(own)), np.log1p(hits), np.log1p(sum(min(1.0, max(0.0, m + 0.5)) for m in near)), hits / np.sqrt(len(own) + 1)
