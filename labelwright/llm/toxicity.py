@@ -135,8 +135,8 @@ def evaluate(units: list[bytes], weights: np.ndarray, column: np.ndarray | None
     """Normalised weighted sums over the subsequences of each unit.
 
     ``weights`` has a row per subsequence, or per entry of ``column``, which maps subsequences to rows.  With ``least`` a
-    unit whose sum can't exceed it gets ``least``: its norm is at least that of its runs of four symbols, so only
-    the others need their norm.
+    unit whose sum can't exceed it gets ``least``: its norm is at least what it would be were all its subsequences
+    different, so only the others need their norm.
     """
     out = np.zeros((len(units), weights.shape[1]))
     by_size: dict[int, list[int]] = {}
@@ -152,8 +152,8 @@ def evaluate(units: list[bytes], weights: np.ndarray, column: np.ndarray | None
             index, weight = subsequences(x)
             if least is not None and column is None:
                 sums = np.take(weights, index) @ weight
-                runs = np.lib.stride_tricks.sliding_window_view(x > 0, ORDER, axis=1).all(axis=2).sum(axis=1)
-                high = np.flatnonzero(sums > least * DECAY**ORDER * np.sqrt(runs) - 1e-6)
+                square = (weight * weight).sum() if x.all() else (index > 0) @ (weight * weight)
+                high = np.flatnonzero(sums > least * np.sqrt(square) * 0.999 - 1e-6)
                 values = np.full(len(part), least)
                 if len(high):
                     values[high] = np.maximum(sums[high] / np.sqrt(np.maximum(self_kernel(x[high].astype(np.uint8)), 1e-12)), least)
