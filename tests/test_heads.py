@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from labelwright.functions.heads import always_captures, guard, looks_back
+from labelwright.functions import images as I
+from labelwright.functions.heads import always_captures, factored, guard, looks_back
 from labelwright.functions.text import first_capture, rx
 from labelwright.operators import scan as S
 from labelwright.rules import default_rules
@@ -73,3 +74,30 @@ def test_index_and_capture_share_a_run(spark):
     df = spark.createDataFrame([("1", "MRP: Rs. 5")], "record_id string, text string")
     plan = S.scan_labels(df).select("score", "status")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(rx(default_rules().fields[1].patterns[0], "im")[:60]) == 1
+
+
+def test_factored_patterns_match_the_same_texts(spark):
+    random.seed(4)
+    patterns = [p for n, p in vars(I).items() if n.isupper() and isinstance(p, str) and "|" in p] + [*I.SIGNALS.values(), "ab|a|b|cd|c?d", "a*|ab|ac|^b", "(a|b)|ab|c|d", r"[a\]]b|[a\]]c|\.x|\.y"]
+    changed = [p for p in patterns if factored(p) != p]
+    assert len(changed) > 15
+    assert factored(r"ab1|ac2|b|d\d") == r"a(?:b1|c2)|b|d\d"
+    pieces = sorted({w for p in changed for w in re.findall(r"[A-Za-z]+", p)}) + list("/_-.:% ") + ["12", "100%", "1500_", "₹ 5", "10014022002711", "ſ", "ı", "İ"]
+    rows = [("".join(random.choices(pieces, k=random.choice([1, 2, 4, 12]))),) for _ in range(3000)]
+    df = spark.createDataFrame([*rows, ("",)], "t string").coalesce(2).cache()
+    t = F.col("t")
+    for start in range(0, len(changed), 8):
+        wrong = F.lit(False)
+        for p in changed[start : start + 8]:
+            for flags in ("", "i"):
+                wrong = wrong | (t.rlike(rx(factored(p), flags)) != t.rlike(f"(?Ud{flags}){p}"))
+        assert df.filter(wrong).count() == 0
+
+
+def test_a_rejecting_pattern_runs_once_a_row(spark):
+    from labelwright.operators import images as M
+
+    cols = "product_id string, ord int, url string, alt string, source string, score int, visual_score int, phash string, ocr_text string"
+    df = spark.createDataFrame([("1", 1, "https://x/back.jpg", "", "adapter", 1, 1, "", "MRP Rs. 5")], cols)
+    plan = M.score_images(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(rx(factored(I.REJECT_URL))[:200]) == 1
