@@ -101,3 +101,23 @@ def test_a_rejecting_pattern_runs_once_a_row(spark):
     df = spark.createDataFrame([("1", 1, "https://x/back.jpg", "", "adapter", 1, 1, "", "MRP Rs. 5")], cols)
     plan = M.score_images(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(rx(factored(I.REJECT_URL))[:200]) == 1
+
+
+def test_attribute_patterns_run_only_where_their_literals_stand(spark):
+    """The same values with and without the folded text; a pattern that always captures is not tested first."""
+    from labelwright.functions import entities as E
+    from labelwright.rules.literals import folded
+
+    random.seed(5)
+    names = [n for n in E.PATTERNS if n != "fssai"]
+    pieces = sorted({w for n in names for p, _ in E.PATTERNS[n] for w in re.findall(r"[A-Za-z]{3,}", p)}) + [":", "\n", "\n\n", "500 g", "Rs. 45", "12/2024", "10014022002711", "Pune 411001", ",", "ıſ"]
+    df = spark.createDataFrame([(" ".join(random.choices(pieces, k=25)),) for _ in range(300)] + [("",), (None,)], "t string")
+    t, low = F.col("t"), F.col("low")
+    rows = df.withColumn("low", folded(t)).cache()
+    for n in names:
+        plain = [F.when(t.rlike(rx(p, f)), F.regexp_extract(t, rx(p, f), 1)) for p, f in E.PATTERNS[n]]
+        want = E.clean_entity_text(F.coalesce(*plain))
+        assert rows.filter(~E.first_attribute(t, n, low).eqNullSafe(want)).count() == 0
+    assert rows.filter(~E.licence_number(t, low).eqNullSafe(E.licence_number(t))).count() == 0
+    shown = rows.select(E.first_attribute(t, "net_quantity", low))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in shown
