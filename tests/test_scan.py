@@ -145,3 +145,14 @@ def test_scan_does_not_shuffle(spark):
     df = spark.range(10).select(F.col("id").cast("string").alias("record_id"), F.lit(SAMPLE).alias("text"))
     plan = S.field_rows(S.with_scan_id(S.scan_labels(df)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_status_counts_read_the_statuses_only(spark):
+    labels = spark.createDataFrame([("Net Weight: 200 g\nMRP: Rs. 85.00",), ("nothing here",)], "text string")
+    counts = S.status_counts(S.scan_labels(labels))
+    rows = counts.select("text", "fields", "pass_fields", "fail_fields", "review_fields").collect()
+    for r in rows:
+        assert [r.pass_fields, r.fail_fields, r.review_fields] == [sum(f.status == s for f in r.fields) for s in ("PASS", "FAIL", "REVIEW")]
+    plan = counts.select("pass_fields", "fail_fields", "review_fields")._jdf.queryExecution().optimizedPlan().toString()
+    # neither evidence nor normalised values are computed for a count
+    assert "_e_F01" not in plan and "normalized_value" not in plan
