@@ -128,3 +128,13 @@ def test_batches_and_streams_share_the_ids(spark, tmp_path):
     write_scans(S.scan_labels(S.with_scan_id(label_records(labels))), str(tmp_path / "out"), "upload")
     write_scan_stream(read_labels(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "scans")).count() == 3
+
+
+def test_order_labels_are_dealt_into_parts_of_like_size(spark):
+    from labelwright.plans import q_scan
+
+    labels = q_scan.order_labels(spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in labels.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    # the engine does not put the parts together, so that no core waits for a last large one
+    assert len(sizes) >= 4 * spark.sparkContext.defaultParallelism
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
