@@ -121,3 +121,19 @@ def test_attribute_patterns_run_only_where_their_literals_stand(spark):
     assert rows.filter(~E.licence_number(t, low).eqNullSafe(E.licence_number(t))).count() == 0
     shown = rows.select(E.first_attribute(t, "net_quantity", low))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in shown
+
+
+def test_tests_do_not_follow_repeats_at_their_ends():
+    from labelwright.functions.heads import tested
+
+    assert tested(r"(?:\d{1,4}[,\s]+[a-z][^\n]{10,100}(?:rd|st)[^\n]{0,60})") == r"(?:\d[,\s]+[a-z][^\n]{10,100}(?:rd|st))"
+    assert tested(r"x{2,5}(?:y|z{1,3})+") == "x{2}(?:y|z)"
+    assert tested(r"x?\by*") == r"\b"
+    assert tested(r"\d{1,4}+a") == r"\d{1,4}+a" and tested(r"\x41?b") == r"\x41?b"
+    rng = random.Random(7)
+    pieces = ["12", "3456", "400612", " ", ", ", "\n", "-", "Plot", "K-5", "Main", "road", "st", "UP", "Bihar", "abc def gh", "Mfd by: ", "MRP Rs. 5", "net wt 5 kg", "₹"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(4000)]
+    for f in default_rules().fields:
+        for p in (*f.patterns, *f.address_patterns, *(g for g in f.address_guards if g)):
+            one, other = re.compile(p, re.I | re.M), re.compile(tested(p).replace("(?-i:", "(?:"), re.I | re.M)
+            assert [bool(one.search(t)) for t in texts] == [bool(other.search(t)) for t in texts], p
