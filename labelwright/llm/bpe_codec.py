@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import add_columns
+from .common import add_columns, keeps
 from .token_count import SPACE, Splitter, byte_letters
 
 # The words of the vocabulary's split rule.
@@ -174,6 +174,7 @@ class Codec:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@keeps
 @lru_cache(1)
 def codec(path: str, memory: int = MEMORY) -> Codec:
     """One codec per worker process; the process keeps it from task to task."""

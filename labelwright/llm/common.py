@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,13 +43,41 @@ def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+#: What a worker process keeps from task to task, by the module that keeps it.
+_KEPT: dict[str, list] = {}
+
+
+def keeps(cache):
+    """Mark a cached function whose values a worker keeps until a task of another module begins."""
+    _KEPT.setdefault(cache.__module__, []).append(cache)
+    return cache
+
+
+def settle() -> None:
+    """Give memory that a task has freed back to the system; the allocators keep it else, and stages that share a worker add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def begin(module: str) -> None:
+    """Drop what other modules keep in this worker, as a task of ``module`` begins."""
+    held = [c for other, caches in _KEPT.items() if other != module for c in caches if c.cache_info().currsize]
+    for cache in held:
+        cache.cache_clear()
+    if held:
+        settle()
+
+
 def add_columns(
     df: DataFrame, inputs: list[str], schema: str, make: Callable[[], Callable[..., list[pa.Array]]], clash: str = "drop"
 ) -> DataFrame:
     """Append the columns of ``schema``, computed batch by batch from the columns ``inputs``.
 
     ``make`` runs once per task and returns a function from Arrow arrays to Arrow
-    arrays.  Rows are cut to at most 512 a call, so that a batch of long texts is
+    arrays; what other modules keep in the worker is dropped first.  Rows are cut to at most 512 a call, so that a batch of long texts is
     handled in bounded steps.  Columns of ``df`` that clash with a new name are
     replaced by it.
     """
@@ -61,13 +90,18 @@ def add_columns(
     if missing:
         raise ValueError(f"input columns are overwritten or absent: {missing}")
 
+    owner = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         work = make()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 got = work(*[batch.column(batch.schema.get_field_index(c)) for c in inputs])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *got], names=[*batch.schema.names, *new])
+        work = batch = got = whole = None
+        settle()
 
     return narrow.mapInArrow(run, out)
 

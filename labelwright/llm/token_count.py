@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import add_columns
+from .common import add_columns, keeps
 
 # The Unicode white space of the split pattern, and the pattern itself.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -182,6 +182,7 @@ class Counter:
         return found + sum(map(self.plain, self.added.split(text)))
 
 
+@keeps
 @lru_cache(2)
 def counter(path: str) -> Counter:
     """One counter per worker process and vocabulary; the process keeps it from task to task."""

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut
+from .common import add_columns, begin, cut, keeps
 from .labelled import held_out, training_texts
 
 DECAY, ORDER = 0.6, 4
@@ -89,6 +89,7 @@ def windows(unit: bytes) -> list[bytes]:
     return [unit] if len(unit) <= LONG else [unit[i : i + LONG] for i in range(0, len(unit) - STRIDE, STRIDE)]
 
 
+@keeps
 @lru_cache(64)
 def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ways to choose four of n places, as two pairs of places; the pairs; and the weights."""
@@ -269,6 +270,7 @@ def across(units: list[bytes], marked: np.ndarray) -> set[bytes]:
     return {w for u in out for w in windows(u)}
 
 
+@keeps
 @lru_cache(1)
 def _marked(pieces: bytes) -> np.ndarray:
     table = np.zeros(SYMBOLS**ORDER, bool)
@@ -361,6 +363,7 @@ def tokens_of(text: str | None) -> set[str]:
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, y, copy) for each distinct unit of each text; ``copy`` is alike for most near copies of a text."""
+    begin(__name__)
     for whole in batches:
         for at in range(0, whole.num_rows, 128):
             part = whole.slice(at, 128)
@@ -381,6 +384,7 @@ def _pair_rows(only: set[bytes] | None = None):
     """(unit, y, copy) for each distinct pair of neighbouring tokens of each text; of ``only`` these if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 part = whole.slice(at, 128)
@@ -425,6 +429,7 @@ def _across_rows(pieces: np.ndarray):
     """(unit, y, copy) for each unit across the blanks of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         own = Scorer(np.zeros(1), 0.0, pieces=pieces)
         for whole in batches:
             rows = [(u, y, crc32((text or "").encode())) for text, y in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True) for u in own.across(text)]

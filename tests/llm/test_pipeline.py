@@ -88,3 +88,23 @@ def test_ids_of_the_library(stages):
 
 def test_run_returns_the_last_stage(spark, tmp_path):
     assert C.run(spark, SF).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_a_worker_keeps_one_operator_at_a_time(spark):
+    """Stages share their workers: what an operator keeps from task to task goes when another one begins."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from labelwright.llm.bpe_codec import codec, encode_texts
+    from labelwright.llm.common import add_columns
+
+    docs = spark.range(64, numPartitions=2).selectExpr("id", "concat('some words ', id) AS text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def make():
+        held = codec.cache_info().currsize
+        return lambda ids: [pa.array([held] * len(ids), pa.int64())]
+
+    for _ in range(2):
+        assert encode_texts(docs, path).filter("size(ids) < 2").count() == 0
+        assert add_columns(docs, ["id"], "held bigint", make).filter("held > 0").count() == 0
