@@ -401,7 +401,7 @@ def severity_of_results(spark, sf_dir):
     rules = (
         default_rules().to_frame(spark).select("field_id", "severity").distinct().coalesce(1)
     )
-    fields = S.field_rows(order_scans(spark, sf_dir)).select("field_id", "status")
+    fields = S.field_statuses(order_scans(spark, sf_dir))
     return (
         fields.join(F.broadcast(rules), "field_id", "left")
         .groupBy(F.coalesce("severity", F.lit("medium")).alias("severity"), "status")
