@@ -67,3 +67,14 @@ def test_the_length_of_a_text_is_taken_once(spark):
     df = spark.createDataFrame([("1", "MRP: Rs. 5")], "record_id string, text string")
     plan = S.scan_labels(df).select("violations")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"length\(text#\d+\)", plan)) == 1
+
+
+def test_signals_of_a_text_are_tested_once(spark):
+    from labelwright.functions import images as I
+
+    df = spark.createDataFrame([("FSSAI Lic. No. 10014022002711 INGREDIENTS: Oats",)], "t string")
+    plan = df.select(bind(F.col("t"), I.text_signals))._jdf.queryExecution().optimizedPlan().toString()
+    # as above, a lambda is printed twice
+    assert plan.count("regexp_extract_all(") == 2
+    got = df.select(bind(F.col("t"), I.text_signals).alias("s")).first().s
+    assert got.signals.has_fssai and got.signals.has_ingredients and got.signals.word_count == 6
